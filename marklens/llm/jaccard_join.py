@@ -17,11 +17,12 @@ Recursion. Regions of a few members test all pairs. In a larger one a document b
 others are measured against it; those within r are its component and need no tests among each other.
 Members of other components are then pivots in turn, for the members y only with
 |d(x, p) - d(y, p)| <= r by the triangle inequality at the first pivot p. A region is done when all its
-members are in one component or have been pivots.
+members are in one component. After two rounds, what is still open (near copies that mostly do not link)
+is compared in blocks by signatures that bound the distance from below, then exactly.
 
 Documents with equal sets are one class from the start. "Frequent" is counted over all documents on
-each one's lowest 2 r |A| shingles; the most frequent ``max_hot`` of them at most are put last. Which
-they are changes the regions' sizes, never the result.
+each one's lowest 2 r |A| shingles; a map of fixed size holds which are put last. Which they are changes the
+regions' sizes, never the result.
 
 Words are runs of other than ASCII white space, A-Z lower-cased; shingles are hashed to 64 bits.
 
@@ -42,45 +43,76 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-#: Occurrences from which a shingle is put last; how many are at most; members up to which a region
-#: tests all pairs; pivots of a large region per round, after the first.
-HOT, MAX_HOT, SMALL, PIVOTS = 24, 1_000_000, 4, 16
-#: Words remembered per task. No effect on results.
-REMEMBERED = 500_000
+#: Occurrences from which a shingle is put last, if no more than FULL of the map's BITS bits are then
+#: set (else as many occurrences as it takes); members up to which a region tests all pairs; pivots of
+#: a large region per round, after the first.
+HOT, BITS, FULL, SMALL, PIVOTS = 2, 2**26, 0.2, 32, 4
+#: Rounds of pivots; members of a block afterwards.
+ROUNDS, BLOCK = 2, 1024
+#: The map goes to the driver in so many pieces; bits of a set's signature.
+PIECES, SIGNATURE = 128, 2048
+#: Bytes of text taken at once, and sets remembered per task. No effect on results.
+AT_ONCE, REMEMBERED = 500_000, 500_000
 #: Fixed odd multipliers, one per word of a shingle.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * ODD[1]
+    x = (x ^ (x >> np.uint64(29))) * ODD[2]
+    return x ^ (x >> np.uint64(32))
+
+
 class Shingler:
+    """Hashes all words of a slice of texts at once: per word, the sum of its bytes' codes times powers
+    of an odd number (by place in the word); then all shingles as sums over neighbouring words."""
+
     def __init__(self, words: int):
         self.words = words
-        self.known: dict[bytes, int] = {}
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        """The text's distinct shingle hashes, ascending."""
-        import xxhash
-
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII white space and letters
-        if not words:
-            return np.empty(0, np.int64)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, hashes = self.known, []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w)
-                if len(w) <= 64:
-                    known[w] = h
-            hashes.append(h)
-        h = np.array(hashes, dtype=np.uint64)
-        k = min(self.words, len(h))
-        s = np.full(len(h) - k + 1, k, dtype=np.uint64)
-        for i in range(k):
+        byte = np.arange(256)
+        byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)  # A-Z only
+        self.code = mixed_bits((byte.astype(np.uint64) + np.uint64(1)) * ODD[0])
+        self.space = (byte == 32) | (byte >= 9) & (byte <= 13)
+        self.power = np.cumprod(np.full(64, ODD[3]))
+
+    def shingles(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Each text's distinct shingle hashes, ascending."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        limits = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        content = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[limits[0] : limits[-1]]
+        limits = limits - limits[0]
+        inside = ~self.space[content]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        edge = limits[:-1][limits[:-1] < len(content)]
+        begins[edge] = inside[edge]  # a word never goes on from one text into the next
+        starts = np.flatnonzero(begins)
+        if len(starts):
+            place = np.arange(len(content)) - np.repeat(starts, np.diff(np.append(starts, len(content)))) if starts[0] == 0 else None
+            if place is None:
+                place = np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], len(content)) - np.repeat(starts, np.diff(np.append(starts, len(content))))])
+            place[~inside] = 0
+            if (longest := int(place.max()) + 1) > len(self.power):
+                self.power = np.cumprod(np.full(longest, ODD[3]))
+            values = self.code[content] * self.power[place]
+            values[~inside] = 0
+            h = mixed_bits(np.add.reduceat(values, starts))
+        else:
+            h = np.empty(0, np.uint64)
+        first = np.searchsorted(starts, limits)  # of each text's words
+        k = self.words
+        s = np.full(max(0, len(h) - k + 1), k, dtype=np.uint64)
+        for i in range(k if len(s) else 0):
             s += h[i : len(h) - k + 1 + i] * ODD[i]
-        s = (s ^ (s >> np.uint64(32))) * ODD[1]
-        s = (s ^ (s >> np.uint64(29))) * ODD[2]
-        return np.unique((s ^ (s >> np.uint64(32))).view(np.int64))
+        s = mixed_bits(s).view(np.int64)
+        for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+            if z - a >= k:
+                mine = np.sort(s[a : z - k + 1])
+                yield mine[np.append(True, mine[1:] != mine[:-1])]
+            elif z > a:
+                yield mixed_bits(np.array([(h[a:z] * ODD[: z - a]).sum() + np.uint64(z - a)])).view(np.int64)
+            else:
+                yield np.empty(0, np.int64)
 
 
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -100,7 +132,7 @@ def sets_table(docs: DataFrame, words: int) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words)
         for b in it:
-            rows = [(len(s), *set_key(s)) for s in (make.shingles(t.as_py()) for t in b.column(1))]
+            rows = [(len(s), *set_key(s)) for part in common.slices(b, 1, AT_ONCE) for s in make.shingles(part.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in list(zip(*rows)) or [()] * 3)], ["doc_id", "n", "s1", "s2"])
 
     return texts_of(docs).mapInArrow(batches, "doc_id long, n long, s1 long, s2 long")
@@ -108,8 +140,7 @@ def sets_table(docs: DataFrame, words: int) -> DataFrame:
 
 def fresh_sets(batch: pa.RecordBatch, make: Shingler, seen: set[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
     """Key and shingles of each set that this task has not had yet."""
-    for t in batch.column(1):
-        s = make.shingles(t.as_py())
+    for s in make.shingles(batch.column(1)):
         if len(s) and (key := set_key(s)) not in seen:
             if len(seen) > REMEMBERED:
                 seen.clear()
@@ -117,13 +148,18 @@ def fresh_sets(batch: pa.RecordBatch, make: Shingler, seen: set[tuple[int, int]]
             yield key[0], s
 
 
-def frequent(docs: DataFrame, words: int, percent: int, hot: int, max_hot: int) -> np.ndarray:
-    """The shingles to put last, ascending."""
+def place_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) % np.uint64(BITS)).astype(np.int64)
+
+
+def frequent(docs: DataFrame, words: int, percent: int, hot: int) -> np.ndarray:
+    """A bit map, of fixed size, of the shingles to put last. Shingles that share a bit share its value:
+    any function of the shingle makes a valid order."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Shingler(words), set()
         for b in it:
-            for part in common.slices(b, 1, 8_000_000):
+            for part in common.slices(b, 1, AT_ONCE):
                 low = [s[: 2 * ((100 - percent) * len(s) // 100 + 1)] for _, s in fresh_sets(part, make, seen)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*low, np.empty(0, np.int64)]))], ["t"])
 
@@ -132,11 +168,29 @@ def frequent(docs: DataFrame, words: int, percent: int, hot: int, max_hot: int)
     sizes = {r["e"]: r["n"] for r in counts.groupBy(F.floor(F.log2("count")).alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()}
     least, total = hot, sum(sizes.values())
     for e in sorted(sizes):
-        if total <= max_hot:
+        if total <= FULL * BITS:
             break
         total -= sizes[e]
         least = 2 ** (e + 1)
-    return np.sort(counts.where(F.col("count") >= least).select("t").toArrow().column(0).to_numpy())
+    size = BITS // PIECES
+
+    def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for b in it:
+            places = place_of(b.column(0).to_numpy())
+            for piece in np.unique(places // size).tolist():
+                bits = made.setdefault(piece, np.zeros(size, bool))
+                bits[places[places // size == piece] % size] = True
+        for piece, bits in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["piece", "bits"])
+
+    piece = F.expr(f"floor((t & {BITS - 1}) / {size})")
+    last = counts.where(F.col("count") >= least).select("t").repartition(PIECES, piece).mapInArrow(pieces, "piece int, bits binary")
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in last.collect():  # BITS / 8 bytes in all
+        at = r["piece"] * size // 8
+        out[at : at + size // 8] |= np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def regions(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
@@ -145,16 +199,13 @@ def regions(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> Data
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Shingler(words), set()
         for b in it:
-            for part in common.slices(b, 1, 8_000_000):
+            for part in common.slices(b, 1, AT_ONCE):
                 t, k, n = [np.empty(0, np.int64)], [], []
                 for key, s in fresh_sets(part, make, seen):
                     first = (100 - percent) * len(s) // 100 + 1
-                    if len(last):
-                        late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                        s_first = np.concatenate([s[~late], s[late]])[:first]
-                    else:
-                        s_first = s[:first]
-                    t.append(s_first)
+                    at = place_of(s)
+                    late = (last[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+                    t.append(np.concatenate([s[~late], s[late]])[:first])
                     k.append(key)
                     n.append(len(s))
                 size = [len(x) for x in t[1:]]
@@ -187,15 +238,27 @@ def shared(members: DataFrame) -> DataFrame:
     return members.repartition("t").sortWithinPartitions("t", "k").mapInArrow(batches, "t long, k long, n int")
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Per bit, whether an odd number of shingles fall on it. Two sets differ in at least as many
+    shingles as their signatures differ in bits."""
+    at = ((shingles.view(np.uint64) >> np.uint64(20)) % np.uint64(SIGNATURE)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SIGNATURE) & 1).astype(bool)).view(np.int64)
+
+
 def near_size(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, d, linked: the pairs' exact distances."""
+    """a, b, d, linked: exact distances of the pairs that their signatures don't exclude. Excluded
+    pairs are further apart than the radius for certain; the others' whole sets are intersected."""
+    sign = lambda name: sets.select(F.col("k").alias(name), F.size("shingles").alias(f"n_{name}"), F.col("signature").alias(f"s_{name}"))
+    near = pairs.select("a", "b").join(sign("b"), "b").join(sign("a"), "a")
+    differ = "aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
+    near = near.where(f"{100 + percent} * {differ} <= {100 - percent} * (n_a + n_b)").select("a", "b")
     one = sets.select(F.col("k").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("k").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.select("a", "b").join(two, "b").join(one, "a")
+    both = near.join(two, "b").join(one, "a")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
     return both.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("d"), F.expr(f"100 * i >= {percent} * (s - i)").alias("linked"))
 
@@ -214,23 +277,24 @@ def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     stars = ordered(many.where("k <> pk AND " + near_size("n", "pn", percent)).select(F.col("pk").alias("a"), F.col("k").alias("b")))
     tested = common.written(measured(pairs.unionByName(stars).distinct(), sets, percent))
     links = tested.where("linked").select("a", "b")
-    # distances to the region's first pivot; 1 stands for those that the sizes keep apart by more than r
+    # distances to the region's first pivot; null where sizes or signatures already exclude a link
     at_first = tested.select("a", "b", "d")
     many = many.join(at_first, F.expr("least(k, pk) = a AND greatest(k, pk) = b"), "left_outer")
     many = common.written(many.select("t", "k", "n", F.when(F.expr("k = pk"), 0.0).otherwise(F.col("d")).alias("d"), F.expr("k = pk").alias("done")))
-    while True:
+    for left in range(ROUNDS, -1, -1):
         root = graph.components(links)
         named = many.join(root, F.expr("k = node"), "left_outer").withColumn("c", F.coalesce("root", "k")).drop("node", "root")
         open_ = named.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("t")
         many = common.written(named.join(open_, "t"))
         if many.isEmpty():
             return links
+        if not left:
+            tested = measured(crossed(many, sets, percent), sets, percent)
+            return common.written(links.unionByName(tested.where("linked").select("a", "b")).distinct())
         # the largest component of each region stays put; members of others become pivots
         sizes = many.groupBy("t", "c").agg(F.count(F.lit(1)).alias("size"))
         largest = sizes.groupBy("t").agg(F.max(F.struct("size", "c")).alias("top")).select("t", F.col("top.c").alias("top"))
         waiting = many.where("NOT done").join(largest, "t").where("c <> top")
-        if waiting.isEmpty():
-            return links
         place = F.row_number().over(common.window("t", F.xxhash64("k"), "k"))
         pivots = common.written(waiting.withColumn("place", place).where(F.col("place") <= PIVOTS).select("t", F.col("k").alias("pk"), F.col("n").alias("pn"), F.col("d").alias("pd"), F.col("c").alias("pc")))
         # a member that has been pivot, and one of a pivot's component, needs no test; a triangle at the first pivot may exclude one
@@ -243,10 +307,46 @@ def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         many = many.join(past, F.expr("t = pt AND k = pk"), "left_outer").select("t", "k", "n", "d", (F.col("done") | F.col("pk").isNotNull()).alias("done"))
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, hot: int = HOT, max_hot: int = MAX_HOT) -> DataFrame:
+def crossed(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of different components that regions still open have in common and signatures
+    don't exclude. Regions that share members form a group, so that a pair is looked at once, not once
+    per region. In a group, the members outside of its largest component meet all others, in blocks."""
+    spot = F.xxhash64("t", F.lit("region"))  # a region as a node of the graph of regions and members
+    group = graph.components(many.select(spot.alias("a"), F.col("k").alias("b")))
+    members = many.select("k", "c").distinct().join(group, F.expr("k = node")).select("k", "c", F.col("root").alias("g"))
+    members = common.written(members.join(sets.select("k", F.size("shingles").alias("n"), "signature"), "k"))
+    sizes = members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("g").agg(F.max(F.struct("size", "c")).alias("top"), F.sum("size").alias("m"))
+    sizes = sizes.select(F.col("g").alias("gg"), F.col("top.c").alias("top"), F.expr(f"ceil(m / {BLOCK})").alias("blocks"), F.expr(f"ceil((m - top.size) / {BLOCK})").alias("rests"))
+    dealt = members.join(common.sent_if_small(common.written(sizes)), F.expr("g = gg")).where("rests > 0")
+    block = lambda count: F.expr(f"int(pmod(xxhash64(k, 1), {count}))")
+    every = lambda count: F.explode(F.expr(f"sequence(0, int({count}) - 1)"))
+    columns = ["k", "c", "n", "signature", "g"]
+    rest = dealt.where("c <> top").select(*columns, block("rests").alias("x"), every("blocks").alias("y"))
+    whole = dealt.select(*columns, every("rests").alias("x"), block("blocks").alias("y"))
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        k1, k2, c1, c2, n1, n2 = (t.column(c).to_numpy() for c in ("k", "c", "n") for t in (one, two))
+        s1, s2 = (t.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(t), -1) if len(t) else None for t in (one, two))
+        found = [np.empty((0, 2), np.int64)]
+        for at in range(0, len(one) if len(two) else 0, 32):
+            some = slice(at, at + 32)
+            small, large = np.minimum(n1[some, None], n2[None]).astype(np.int64), np.maximum(n1[some, None], n2[None]).astype(np.int64)
+            may = (c1[some, None] != c2[None]) & (100 * small >= percent * large)
+            differ = np.bitwise_count(s1[some, None] ^ s2[None]).sum(2, dtype=np.int64)
+            i, j = np.nonzero(may & ((100 + percent) * differ <= (100 - percent) * (small + large)))
+            found.append(np.column_stack([k1[some][i], k2[j]]))
+        pairs = np.sort(np.concatenate(found), axis=1)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    by = ["g", "x", "y"]
+    return rest.groupBy(*by).cogroup(whole.groupBy(*by)).applyInArrow(compare, "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), links' sets at percent or more."""
     table = common.written(sets_table(docs, words))
-    last = frequent(docs, words, percent, hot, max_hot)
+    last = frequent(docs, words, percent, hot)
     members = common.written(shared(regions(docs, words, percent, last)))
     classes = table.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
     # sets of the documents that share a region with another, one document per class
@@ -257,12 +357,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, hot:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words)
         for b in it:
-            for part in common.slices(b, 1, 8_000_000):
-                made = [make.shingles(t.as_py()) for t in part.column(1)]
-                made = [s for s in made if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s)[0] for s in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["k", "shingles"])
+            for part in common.slices(b, 1, AT_ONCE):
+                made = [s for s in make.shingles(part.column(1)) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s)[0] for s in made], pa.int64()), pa.array(made, pa.list_(pa.int64())), pa.array([signature(s) for s in made], pa.list_(pa.int64()))], ["k", "shingles", "signature"])
 
-    sets = common.written(chosen.mapInArrow(batches, "k long, shingles array<long>").join(active.select("k"), "k", "left_semi").dropDuplicates(["k"]))
+    sets = common.written(chosen.mapInArrow(batches, "k long, shingles array<long>, signature array<long>").join(active.select("k"), "k", "left_semi").dropDuplicates(["k"]))
     root = graph.components(class_links(members, sets, percent))
     named = common.written(classes.join(root, F.expr("s1 = node"), "left_outer").select("s1", "s2", "least", F.coalesce("root", "s1").alias("root")))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
