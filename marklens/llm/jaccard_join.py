@@ -324,8 +324,10 @@ def crossed(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     columns = ["k", "c", "n", "signature", "g"]
     rest = dealt.where("c <> top").select(*columns, block("rests").alias("x"), every("blocks").alias("y"))
     whole = dealt.select(*columns, every("rests").alias("x"), block("blocks").alias("y"))
+    whole = whole.select(*(F.col(c).alias(f"other_{c}") for c in [*columns, "x", "y"]))
 
     def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        two = two.rename_columns([c.removeprefix("other_") for c in two.column_names])
         k1, k2, c1, c2, n1, n2 = (t.column(c).to_numpy() for c in ("k", "c", "n") for t in (one, two))
         s1, s2 = (t.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(t), -1) if len(t) else None for t in (one, two))
         found = [np.empty((0, 2), np.int64)]
@@ -340,7 +342,7 @@ def crossed(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     by = ["g", "x", "y"]
-    return rest.groupBy(*by).cogroup(whole.groupBy(*by)).applyInArrow(compare, "a long, b long").distinct()
+    return rest.groupBy(*by).cogroup(whole.groupBy(*(f"other_{c}" for c in by))).applyInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, hot: int = HOT) -> DataFrame:
