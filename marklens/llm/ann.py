@@ -203,7 +203,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXACT = """
 WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0)
 SELECT query_id, vec_id, score FROM (
-  SELECT query_id, vec_id, sqrt(list_sum(list_transform(list_zip(a::DOUBLE[], embedding::DOUBLE[]), x -> (x[1] - x[2]) * (x[1] - x[2])))) AS score,
+  SELECT query_id, vec_id, sqrt(list_sum(list_transform(list_zip(a::DOUBLE[], embedding::DOUBLE[]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score,
     row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank
   FROM q JOIN embeddings ON query_id <> vec_id) WHERE rank <= 10
 """
