@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Rows that a key range should hold on average, so that a window's partition stays small.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
