@@ -160,7 +160,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0), *(lists(c, lengths) for c in columns)], ["doc_id", "ids", "starts", "ends"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return common.in_batches(rows, batches, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decoded(tokens: DataFrame, ranks: dict[bytes, int], with_text: bool = True) -> DataFrame:
@@ -185,7 +185,7 @@ def decoded(tokens: DataFrame, ranks: dict[bytes, int], with_text: bool = True)
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*inputs, "bytes", "n_split", "text"][: len(inputs) + len(more)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + ", bytes binary, n_split long" + ", text string" * with_text
-    return tokens.mapInArrow(batches, schema)
+    return common.in_batches(tokens, batches, schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of an Arrow batch of texts, unless the cluster sets its own. No effect on results.
+BATCH_BYTES = "4m"
+
+
+def in_batches(df: DataFrame, batches, schema) -> DataFrame:
+    """mapInArrow over batches of bounded bytes: 10,000 rows of long texts, copied on both sides, would fill an executor."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.sparkContext.getConf().contains(setting):
+        df.sparkSession.conf.set(setting, BATCH_BYTES)
+    return df.mapInArrow(batches, schema)
+
+
 def slices(batch, column: int, most: int):
     """Parts of an Arrow batch with at most so many bytes in a text column, or one row."""
     import numpy as np

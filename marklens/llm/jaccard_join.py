@@ -135,7 +135,7 @@ def sets_table(docs: DataFrame, words: int) -> DataFrame:
             rows = [(len(s), *set_key(s)) for part in common.slices(b, 1, AT_ONCE) for s in make.shingles(part.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in list(zip(*rows)) or [()] * 3)], ["doc_id", "n", "s1", "s2"])
 
-    return texts_of(docs).mapInArrow(batches, "doc_id long, n long, s1 long, s2 long")
+    return common.in_batches(texts_of(docs), batches, "doc_id long, n long, s1 long, s2 long")
 
 
 def fresh_sets(batch: pa.RecordBatch, make: Shingler, seen: set[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
@@ -163,7 +163,7 @@ def frequent(docs: DataFrame, words: int, percent: int, hot: int) -> np.ndarray:
                 low = [s[: 2 * ((100 - percent) * len(s) // 100 + 1)] for _, s in fresh_sets(part, make, seen)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*low, np.empty(0, np.int64)]))], ["t"])
 
-    counts = common.written(texts_of(docs).mapInArrow(batches, "t long").groupBy("t").count().where(F.col("count") >= hot))
+    counts = common.written(common.in_batches(texts_of(docs), batches, "t long").groupBy("t").count().where(F.col("count") >= hot))
     # at most 64 rows: how many shingles occur 2 ** e times or more
     sizes = {r["e"]: r["n"] for r in counts.groupBy(F.floor(F.log2("count")).alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()}
     least, total = hot, sum(sizes.values())
@@ -185,7 +185,7 @@ def frequent(docs: DataFrame, words: int, percent: int, hot: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["piece", "bits"])
 
     piece = F.expr(f"floor((t & {BITS - 1}) / {size})")
-    last = counts.where(F.col("count") >= least).select("t").repartition(PIECES, piece).mapInArrow(pieces, "piece int, bits binary")
+    last = common.in_batches(counts.where(F.col("count") >= least).select("t").repartition(PIECES, piece), pieces, "piece int, bits binary")
     out = np.zeros(BITS // 8, np.uint8)
     for r in last.collect():  # BITS / 8 bytes in all
         at = r["piece"] * size // 8
@@ -211,7 +211,7 @@ def regions(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> Data
                 size = [len(x) for x in t[1:]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t)), pa.array(np.repeat(np.array(k, np.int64), size)), pa.array(np.repeat(np.array(n, np.int32), size))], ["t", "k", "n"])
 
-    return texts_of(docs).mapInArrow(batches, "t long, k long, n int")
+    return common.in_batches(texts_of(docs), batches, "t long, k long, n int")
 
 
 def shared(members: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def shared(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (t, k, n)], ["t", "k", "n"])
             held, sent = (t[-1:], k[-1:], n[-1:]), bool(company[-1] or gone and len(t) == 1)
 
-    return members.repartition("t").sortWithinPartitions("t", "k").mapInArrow(batches, "t long, k long, n int")
+    return common.in_batches(members.repartition("t").sortWithinPartitions("t", "k"), batches, "t long, k long, n int")
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -363,7 +363,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, hot:
                 made = [s for s in make.shingles(part.column(1)) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s)[0] for s in made], pa.int64()), pa.array(made, pa.list_(pa.int64())), pa.array([signature(s) for s in made], pa.list_(pa.int64()))], ["k", "shingles", "signature"])
 
-    sets = common.written(chosen.mapInArrow(batches, "k long, shingles array<long>, signature array<long>").join(active.select("k"), "k", "left_semi").dropDuplicates(["k"]))
+    sets = common.written(common.in_batches(chosen, batches, "k long, shingles array<long>, signature array<long>").join(active.select("k"), "k", "left_semi").dropDuplicates(["k"]))
     root = graph.components(class_links(members, sets, percent))
     named = common.written(classes.join(root, F.expr("s1 = node"), "left_outer").select("s1", "s2", "least", F.coalesce("root", "s1").alias("root")))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -152,7 +152,7 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     # the labels are cut to the sample first, so that only its documents' texts are looked at
     graded = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "quality").limit(fit_rows)
-    rows = rated(docs, sample).mapInArrow(batches, "doc_id long, grade int, ids array<int>, measures array<double>").toArrow().to_pydict()
+    rows = common.in_batches(rated(docs, sample), batches, "doc_id long, grade int, ids array<int>, measures array<double>").toArrow().to_pydict()
     order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["grade"][i], rows["measures"][i]))
     return fit([(np.array(rows["ids"][i], dtype=np.int64), rows["measures"][i], rows["grade"][i]) for i in order])
 
@@ -177,7 +177,7 @@ def graded(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> Dat
             names = ["doc_id", "n_features", "score", "expected_grade", "p_toxic", "p_tail", "grade", "kept"]
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, SCHEMA)
+    return common.in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), batches, SCHEMA)
 
 
 def selected(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> DataFrame:
@@ -189,7 +189,7 @@ def selected(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> D
         for b in it:
             yield b.filter(pa.array(probabilities(b.column(at), model, known)[2][:, -1] >= least_tail))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return common.in_batches(docs, batches, docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
