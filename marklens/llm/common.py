@@ -51,7 +51,23 @@ def written(df: DataFrame) -> DataFrame:
 
 
 #: Most bytes of an Arrow batch of texts, unless the cluster sets its own. No effect on results.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
+
+
+def tidy(batches):
+    """batches, after which the task's worker gives its freed memory back: idle workers of one stage stay while the next one runs."""
+
+    def run(it):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from batches(it)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return run
 
 
 def in_batches(df: DataFrame, batches, schema) -> DataFrame:
@@ -59,7 +75,7 @@ def in_batches(df: DataFrame, batches, schema) -> DataFrame:
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not df.sparkSession.sparkContext.getConf().contains(setting):
         df.sparkSession.conf.set(setting, BATCH_BYTES)
-    return df.mapInArrow(batches, schema)
+    return df.mapInArrow(tidy(batches), schema)
 
 
 def slices(batch, column: int, most: int):
