@@ -1,19 +1,13 @@
-"""Inspection, cleaning and verification of text assets, and chunk walks of binary ones."""
+"""Inspection, cleaning and verification of text assets."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans import classes
 
-CHUNKS = "asset_id long, format string, kind string, start long, total long, complete boolean"
-
 
 def scanned(assets: DataFrame, id_col: str = "asset_id", text_col: str = "text") -> DataFrame:
     """id, format, n_hygiene, n_malformed, n_wrapper, invisibles, c2pa: a row per text asset."""
@@ -64,60 +58,3 @@ def spans(assets: DataFrame, id_col: str = "asset_id", text_col: str = "text") -
     upto = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("byte_end", F.sum(F.octet_length("token")).over(upto)).withColumn("kind", T.token_kind(F.col("token")))
     return found.where("kind <> 'T'").select(id_col, "kind", (F.col("byte_end") - F.octet_length("token")).alias("byte_start"), "byte_end")
-
-
-def walk(content: bytes, form: str) -> tuple[list[tuple[str, int, int]], bool]:
-    """Elements (kind, start, total) of a PNG, RIFF, FLAC or JPEG file, and whether the walk got to its end."""
-    out, at, end = [], {"png": 8, "flac": 4, "jpeg": 2}.get(form, 12), len(content)
-    if form in ("webp", "riff-wav", "riff-avi"):
-        declared = struct.unpack_from("<I", content, 4)[0] + 8
-        while at + 8 <= end:
-            size = struct.unpack_from("<I", content, at + 4)[0]
-            if at + 8 + size > end:
-                return out, False
-            total = min(8 + size + size % 2, end - at)
-            out.append((content[at : at + 4].decode("latin-1"), at, total))
-            at += total
-        return out, end - at <= 1 and end - declared <= 1
-    while form == "png" and at + 12 <= end:
-        size, kind = struct.unpack_from(">I4s", content, at)
-        if at + 12 + size > end:
-            return out, False
-        out.append((kind.decode("latin-1"), at, 12 + size))
-        at += 12 + size
-        if kind == b"IEND":
-            return out, True
-    while form == "flac" and at + 4 <= end:
-        kind, size = content[at], int.from_bytes(content[at + 1 : at + 4], "big")
-        if at + 4 + size > end:
-            return out, False
-        out.append((str(kind & 0x7F), at, 4 + size))
-        at += 4 + size
-        if kind & 0x80:
-            return out, True
-    while form == "jpeg" and at + 4 <= end and content[at] == 0xFF:
-        marker = content[at + 1]
-        if marker in (0xD9, 0xDA):
-            return out, True
-        size = struct.unpack_from(">H", content, at + 2)[0]
-        if size < 2 or at + 2 + size > end:
-            return out, False
-        out.append((f"{marker:02X}", at, 2 + size))
-        at += 2 + size
-    return out, False
-
-
-def chunks(assets: DataFrame) -> DataFrame:
-    """The elements of binary assets, see CHUNKS; an asset whose walk finds none has one row without kind."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            rows = []
-            for asset, form, content in zip(*(b.column(i) for i in range(3))):
-                found, complete = walk(content.as_py(), form.as_py())
-                rows += [(asset.as_py(), form.as_py(), *f, complete) for f in found or [(None, None, None)]]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], ["asset_id", "format", "kind", "start", "total", "complete"])
-
-    binary = assets.select("asset_id", T.sniffed(F.col("content")).alias("format"), "content")
-    return binary.where(F.col("format").isin("png", "jpeg", "webp", "riff-wav", "riff-avi", "flac")).mapInArrow(batches, CHUNKS)

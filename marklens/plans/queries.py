@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import inspect
+from ..operators import containers, inspect
+from . import classes
 
 
 def selectors(message: str) -> str:
@@ -61,6 +62,24 @@ def worst_by_source(spark, sf_dir):
     return inspect.worst_exit(done.select(F.col("id.source").alias("source"), "exit_code"), "source")
 
 
+#: By doc_id % 5, the start of a media file (the text follows as its data) and what its report says is there.
+FILES = {
+    0: ("FFD8" "FFE10024" + (b"http://ns.adobe.com/xap/1.0/\0" + b"<x/>\n").hex() + "FFDA", "jpeg", ["xmp"]),
+    1: ("FFD8" "FFEB0006" + b"jumb".hex() + "FFED0010" + b"Photoshop 3.0\0".hex() + "FFDA0000", "jpeg", ["c2pa", "iptc"]),
+    2: ("664C6143" "00000002ABCD" "84000001FF", "flac", ["vorbis"]),
+    3: ("664C6143" "80000002ABCD", "flac", []),
+}
+
+
+def container_states(spark, sf_dir):
+    start = F.lit(None).cast("binary")
+    for k, (hexed, _, _) in FILES.items():
+        start = F.when(F.col("doc_id") % 5 == k, F.unhex(F.lit(hexed))).otherwise(start)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = docs.select(F.col("doc_id").alias("asset_id"), F.concat(start, F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
+    return containers.states(files).withColumnRenamed("asset_id", "doc_id")
+
+
 QUERIES = {
     "sniff_format": sniff_format,
     "scan_text": scan,
@@ -70,6 +89,7 @@ QUERIES = {
     "clean_text": clean,
     "verify_text": verify,
     "worst_exit": worst_by_source,
+    "container_states": container_states,
 }
 
 # the SQL twins
@@ -93,7 +113,15 @@ c AS (SELECT *, CASE WHEN n_hygiene = 0 AND n_malformed > 0 THEN t ELSE
     '{T.CUT_LINE}', '', 'g'), '{T.CUT}', '', 'g'), '{_q(T.BANNER)}', '', 'g') END AS after,
   CASE WHEN n_hygiene = 0 AND n_malformed > 0 THEN 30 ELSE 0 END AS exit_code FROM r)"""
 
+_REPORTS = [
+    (k, form, c, honesty, "not_attempted" if honesty != "confirmable" else "confirmed_present" if c in found else "confirmed_absent", int(c in found))
+    for k, (_, form, found) in FILES.items()
+    for honesty, table in (("confirmable", classes.CONFIRMABLE), ("blind", classes.BLIND), ("unaddressed", classes.UNADDRESSED))
+    for c in table.get(form, ())
+]
+
 ORACLES = {
+    "container_states": f"SELECT doc_id, format, class, honesty, state, n::BIGINT AS n FROM documents JOIN (VALUES {', '.join(map(str, _REPORTS))}) r(k, format, class, honesty, state, n) ON doc_id % 5 = k",
     "sniff_format": "SELECT origin, CASE WHEN regexp_matches(lower(ltrim(t)), '^(<!doctype html|<html)') THEN 'html' ELSE 'text' END AS format, count(*) AS n FROM (SELECT 'documents' AS origin, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'pages', coalesce(html, '') FROM pages) GROUP BY ALL",
     "scan_text": f"WITH {_DOCS} SELECT doc_id, format, n_hygiene, n_malformed, n_wrapper, invisibles, c2pa FROM r",
     "scan_states": f"WITH {_DOCS} SELECT doc_id, 'invisibles' AS class, 'confirmable' AS honesty, invisibles AS state FROM r UNION ALL SELECT doc_id, 'c2pa', 'confirmable', c2pa FROM r WHERE c2pa IS NOT NULL",

@@ -1,6 +1,4 @@
-"""Exact expectations for text marks, the registry's SQL twins, and chunk walks."""
-
-import struct
+"""Exact expectations for text marks, the registry's SQL twins."""
 
 import duckdb
 import pytest
@@ -46,15 +44,6 @@ def test_sniffed(spark, content, form):
     assert spark.createDataFrame([(bytearray(content),)], "content binary").select(T.sniffed(F.col("content"))).first()[0] == form
 
 
-def test_walks():
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"\0\0\0\0"
-    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"tEXt", b"a\0b") + chunk(b"IEND", b"")
-    assert inspect.walk(png, "png") == ([("IHDR", 8, 25), ("tEXt", 33, 15), ("IEND", 48, 12)], True)
-    assert inspect.walk(png[:40], "png")[1] is False
-    wav = b"RIFF" + struct.pack("<I", 16) + b"WAVE" + b"data" + struct.pack("<I", 3) + b"abc\0"
-    assert inspect.walk(wav, "riff-wav") == ([("data", 12, 12)], True)
-
-
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
