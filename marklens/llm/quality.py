@@ -7,14 +7,14 @@ words and text-shape measures is shared by all grades; ordered thresholds cut it
 
 so a document gets an expected grade and the tail probability P(grade >= 2), by which it is selected.
 
-Fitting takes a bounded sample: the ``fit_rows`` labelled documents with the smallest hash of their
-id. Executors make the sample's features; the driver gets these alone and fits by proximal Adam with
+Fitting takes a bounded sample: of the labels that name a document present, the ``fit_rows`` with the
+smallest hash of their id. Executors make the sample's features; the driver gets these alone and fits by proximal Adam with
 an L1 penalty, so words that say nothing weigh nothing. Scoring reads every whole text, in Arrow
 batches, with the weights (``2 ** bits`` floats, whatever the corpus) sent along.
 
 Defined cases: null or empty text has no words and is scored by its shape alone; rows with null labels
-don't take part in fitting; a document labelled twice takes part twice; without labelled rows, every
-grade is equally likely and nothing is rejected; very long texts are read whole.
+don't take part in fitting; a document labelled twice takes part twice; without a row to fit on (no labels,
+or none that names a document present), every grade is equally likely and nothing is rejected; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -78,10 +78,15 @@ class Model:
     mean: np.ndarray
     spread: np.ndarray
     thresholds: np.ndarray  # ascending, GRADES - 1
+    fitted: bool = True  # else there were no rows to fit on
 
     def score(self, ids: np.ndarray, measures: list[float]) -> float:
         return float(self.weights[ids].sum(dtype=np.float64) + self.dense @ ((np.array(measures) - self.mean) / self.spread))
 
+    def keeps(self, p: np.ndarray, least_tail: float) -> np.ndarray:
+        """By rows of probabilities per grade; a model that has seen nothing rejects nothing."""
+        return (p[:, -1] >= least_tail) | (not self.fitted)
+
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -92,7 +97,7 @@ def fit(rows: list[tuple[np.ndarray, list[float], int]], rounds: int = 300, l1:
     size = 2**BITS
     dense_of = np.array([r[1] for r in rows], dtype=float).reshape(len(rows), len(SHAPE))
     if not rows:
-        return Model(np.zeros(size, np.float32), np.zeros(len(SHAPE)), np.zeros(len(SHAPE)), np.ones(len(SHAPE)), np.log([1 / 2, 2.0]))
+        return Model(np.zeros(size, np.float32), np.zeros(len(SHAPE)), np.zeros(len(SHAPE)), np.ones(len(SHAPE)), np.log([1 / 2, 2.0]), fitted=False)
     grade = np.array([r[2] for r in rows])
     mean, spread = dense_of.mean(0), np.maximum(dense_of.std(0), 1e-6)
     dense_of = (dense_of - mean) / spread
@@ -140,7 +145,7 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on the fit_rows labelled documents with the smallest hash of their id."""
+    """Fits on the fit_rows labels of documents present with the smallest hash of their id."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -149,9 +154,10 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
             columns = [b.column(0), b.column(2), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "grade", "ids", "measures"])
 
-    # the labels are cut to the sample first, so that only its documents' texts are looked at
+    # the labels are cut to the sample first, by the documents' ids alone, so that only its documents' texts are looked at
     graded = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
-    sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "quality").limit(fit_rows)
+    present = graded.join(docs.select("doc_id"), "doc_id", "left_semi")
+    sample = present.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "quality").limit(fit_rows)
     rows = common.in_batches(rated(docs, sample), batches, "doc_id long, grade int, ids array<int>, measures array<double>").toArrow().to_pydict()
     order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["grade"][i], rows["measures"][i]))
     return fit([(np.array(rows["ids"][i], dtype=np.int64), rows["measures"][i], rows["grade"][i]) for i in order])
@@ -167,13 +173,13 @@ def probabilities(texts: pa.Array, model: Model, known: dict[bytes, int]) -> tup
 
 
 def graded(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> DataFrame:
-    """One row per input row, see SCHEMA; kept where p_tail reaches least_tail."""
+    """One row per input row, see SCHEMA; kept where p_tail reaches least_tail, or everywhere if the model has no fitted rows."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for b in it:
             n, s, p = probabilities(b.column(1), model, known)
-            columns = [n, s, p @ np.arange(GRADES), p[:, 0], p[:, -1], p.argmax(1).astype(np.int32), p[:, -1] >= least_tail]
+            columns = [n, s, p @ np.arange(GRADES), p[:, 0], p[:, -1], p.argmax(1).astype(np.int32), model.keeps(p, least_tail)]
             names = ["doc_id", "n_features", "score", "expected_grade", "p_toxic", "p_tail", "grade", "kept"]
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], names)
 
@@ -187,7 +193,7 @@ def selected(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> D
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for b in it:
-            yield b.filter(pa.array(probabilities(b.column(at), model, known)[2][:, -1] >= least_tail))
+            yield b.filter(pa.array(model.keeps(probabilities(b.column(at), model, known)[2], least_tail)))
 
     return common.in_batches(docs, batches, docs.schema)
 

@@ -111,6 +111,19 @@ def test_quality_without_labels(spark):
     assert quality.graded(odd_docs(spark), m).where("p_tail > 0.3").count() == len(ODD) + 2
 
 
+@pytest.mark.parametrize("labels", [[], [(0, None, None), (1, None, 0)], [(900, 1, 0), (901, 0, 1), (None, 1, 0)]])
+def test_quality_without_fitted_rows_keeps_all(spark, labels):
+    docs = odd_docs(spark)
+    m = quality.trained(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert quality.graded(docs, m).where("kept").count() == quality.selected(docs, m).count() == len(ODD) + 2
+
+
+def test_quality_sample_is_of_documents_present(spark):
+    labels = [(i, 1, 0) for i in range(1000, 1200)] + [(i, i % 2, 0) for i in range(6)]
+    m = quality.trained(odd_docs(spark), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), fit_rows=6)
+    assert m.fitted and m.mean.any()
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
