@@ -105,3 +105,9 @@ SENT_ROWS = 500_000
 def sent_if_small(keys: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     """keys (written before), marked for broadcast if it has at most so many rows; else left to a shuffle."""
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def one_each(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """columns of one row per key, the one with the least text; combined before the shuffle."""
+    row = F.min_by(F.struct(*columns), whole_text()).alias("row")
+    return rows.groupBy(*(F.col(c).alias(f"by_{c}") for c in by)).agg(row).select("row.*")

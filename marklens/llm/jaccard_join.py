@@ -27,9 +27,11 @@ regions' sizes, never the result.
 Words are runs of other than ASCII white space, A-Z lower-cased; shingles are hashed to 64 bits.
 
 Defined cases: a document without words (null, empty) has an empty set and links with nothing, also
-not with other empty ones; with fewer words than a shingle, the whole sequence is one shingle; a row
-with a null id links by its class only, that is if a row with an id has an equal set; repeated rows are
-one class; an empty table gives no rows.
+not with other empty ones; with fewer words than a shingle, the whole sequence is one shingle; rows
+with a null id link like others, but a component of such rows alone has a null component_id; repeated
+rows are one class; an empty table gives no rows. Of a component, the row with the least id stays (null
+ids last, then the least set key, then the least text); rows are told apart by id and set key, as ids
+may be null or repeated.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, graph
 
@@ -345,38 +348,74 @@ def crossed(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rest.groupBy(*by).cogroup(whole.groupBy(*(f"other_{c}" for c in by))).applyInArrow(compare, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), links' sets at percent or more."""
+def rooted_classes(docs: DataFrame, words: int, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The sets table, and s1, s2, least, root: each class's least doc_id and its component."""
     table = common.written(sets_table(docs, words))
     last = frequent(docs, words, percent, hot)
     members = common.written(shared(regions(docs, words, percent, last)))
     classes = table.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
     # sets of the documents that share a region with another, one document per class
     active = members.select("k").distinct()
-    active = common.written(classes.join(active, F.expr("s1 = k")).select("k", F.col("least").alias("rep")).where("rep IS NOT NULL"))
-    chosen = texts_of(docs).join(common.sent_if_small(active.select("rep")), F.expr("doc_id = rep"), "left_semi")
+    active = common.written(classes.join(active, F.expr("s1 = k")).select("k", F.col("least").alias("rep")))
+    reps = common.sent_if_small(common.written(active.where("rep IS NOT NULL").select("rep")))
+    chosen = texts_of(docs).join(reps, F.expr("doc_id = rep"), "left_semi")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(words)
+        make, seen = Shingler(words), set()
         for b in it:
             for part in common.slices(b, 1, AT_ONCE):
-                made = [s for s in make.shingles(part.column(1)) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s)[0] for s in made], pa.int64()), pa.array(made, pa.list_(pa.int64())), pa.array([signature(s) for s in made], pa.list_(pa.int64()))], ["k", "shingles", "signature"])
+                made = list(fresh_sets(part, make, seen))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.array([s for _, s in made], pa.list_(pa.int64())), pa.array([signature(s) for _, s in made], pa.list_(pa.int64()))], ["k", "shingles", "signature"])
 
-    sets = common.written(common.in_batches(chosen, batches, "k long, shingles array<long>, signature array<long>").join(active.select("k"), "k", "left_semi").dropDuplicates(["k"]))
+    sets_of = lambda rows, keys: common.in_batches(rows, batches, "k long, shingles array<long>, signature array<long>").join(keys.select("k"), "k", "left_semi")
+    # classes of rows with null ids alone have no document to be found by: those rows' sets are compared
+    nameless = sets_of(texts_of(docs).where("doc_id IS NULL"), active.where("rep IS NULL"))
+    sets = common.written(sets_of(chosen, active.where("rep IS NOT NULL")).unionByName(nameless).dropDuplicates(["k"]))
     root = graph.components(class_links(members, sets, percent))
-    named = common.written(classes.join(root, F.expr("s1 = node"), "left_outer").select("s1", "s2", "least", F.coalesce("root", "s1").alias("root")))
+    return table, common.written(classes.join(root, F.expr("s1 = node"), "left_outer").select("s1", "s2", "least", F.coalesce("root", "s1").alias("root")))
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), links' sets at percent or more."""
+    table, named = rooted_classes(docs, words, percent, hot)
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "root").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "component_id")
     out = table.join(named, F.expr("n > 0 AND s1 = c1 AND s2 = c2"), "left_outer")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def with_keys(docs: DataFrame, words: int) -> DataFrame:
+    """docs, all columns, with their set keys as key_1 and key_2."""
+    at = docs.columns.index("text")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingler(words)
+        for b in it:
+            for part in common.slices(b, at, AT_ONCE):
+                keys = [set_key(s) for s in make.shingles(part.column(at))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], [*part.schema.names, "key_1", "key_2"])
+
+    return common.in_batches(docs, batches, T.StructType([*docs.schema, T.StructField("key_1", T.LongType()), T.StructField("key_2", T.LongType())]))
+
+
 def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, but for those whose component has a smaller id."""
-    found = jaccard_components(docs, words, percent).where("NOT (doc_id <=> component_id)")
-    gone = common.sent_if_small(common.written(found.select(F.col("doc_id").alias("gone_id")).distinct()))
-    return docs.join(gone, F.expr("doc_id <=> gone_id"), "left_anti")
+    """The rows of docs, all columns, but for all rows of a component save its least one."""
+    table, named = rooted_classes(docs, words, percent, HOT)
+    stays = F.min(F.struct(F.col("least").isNull().alias("nameless"), "least", "s1", "s2")).alias("stays")
+    named = named.join(named.groupBy("root").agg(stays), "root").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "stays")
+    found = table.where("n > 0").join(named, F.expr("s1 = c1 AND s2 = c2"))
+    first = F.expr("doc_id <=> stays.least AND s1 = stays.s1 AND s2 = stays.s2").alias("first")
+    # per id and set key: whether its rows go, or how many of them would stay; those that stay alone need no mention
+    keys = found.groupBy("doc_id", "s1", "s2", first).agg(F.count(F.lit(1)).alias("rows")).where("NOT first OR rows > 1")
+    keys = common.written(keys.select(F.col("doc_id").alias("key_id"), F.col("s1").alias("k1"), F.col("s2").alias("k2"), "first"))
+    same = F.expr("doc_id <=> key_id AND key_1 = k1 AND key_2 = k2")
+    keyed = with_keys(docs, words)
+    rest = keyed.join(common.sent_if_small(keys), same, "left_anti").select(*docs.columns)
+    repeated = keys.where("first")
+    if repeated.isEmpty():
+        return rest
+    some = keyed.join(common.sent_if_small(repeated), same, "left_semi")
+    return rest.unionByName(common.one_each(some, ["doc_id", "key_1", "key_2"], docs.columns))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

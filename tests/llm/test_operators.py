@@ -237,6 +237,18 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, small, block):
     assert got == brute_components(list(enumerate(texts)), 4, 85)
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(80)) for _ in range(8)]
+    a, b, c, d, e, f, g, h = texts
+    rows = [(1, a), (None, a.replace(" ", "  ")), (None, b), (2, c), (7, c + " more"), (7, d), (None, e), (None, e + " more"), (None, f), (None, f + " "), (3, g), (3, g + " "), (4, h)]
+    # linked only through a row without id
+    w = h.split()
+    rows += [(None, " ".join(w + ["x1 x2 x3 x4 x5 x6 x7 x8 x9 y1 y2 y3"])), (9, " ".join(w[10:] + ["x1 x2 x3 x4 x5 x6 x7 x8 x9 y1 y2 y3"]))]
+    kept = [tuple(r) for r in jaccard_join.one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert collections.Counter((i, t.split()[0]) for i, t in kept) == {(i, t.split()[0]): 1 for i, t in [(1, a), (None, b), (2, c), (7, d), (None, e), (None, f), (3, g), (4, h)]}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (3, 1), (7, 5)], "a long, b long")
     assert {(r["node"], r["root"]) for r in graph.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 4)}
