@@ -39,9 +39,9 @@ def cleaned(assets: DataFrame, id_col: str = "asset_id", text_col: str = "text")
 
 
 def verified(clean: DataFrame, id_col: str = "asset_id") -> DataFrame:
-    """id, verified, exit_code: whether the output holds none of what cleaning removes."""
-    left = (T.hygiene_count(F.col("after")) > 0) & (F.col("exit_code") == 0)
-    code = F.when(F.col("exit_code") != 0, F.col("exit_code")).when(left, 10).otherwise(0)
+    """id, verified, exit_code: 30 where the output's state is malformed, 10 where it holds what cleaning removes."""
+    hygiene, malformed = T.hygiene_count(F.col("after")) > 0, T.kind_count(F.col("after"), "M") > 0
+    code = F.when(F.col("exit_code") != 0, F.col("exit_code")).when(~hygiene & malformed, 30).when(hygiene, 10).otherwise(0)
     return clean.select(id_col, (code == 0).alias("verified"), code.alias("exit_code"))
 
 

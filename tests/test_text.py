@@ -35,6 +35,18 @@ def test_malformed_run_is_kept_and_fails_closed(spark):
     assert {r["asset_id"]: (r["exit_code"], r["changed"]) for r in inspect.cleaned(rows).collect()} == {1: (30, False), 2: (0, False)}
 
 
+def test_malformed_run_in_the_output_is_not_verified(spark):
+    run = "x" + "\ufe0f" * 12
+    rows = spark.createDataFrame([(1, run + "\u200b"), (2, "a\u200bb"), (3, run)], "asset_id long, text string")
+    done = inspect.cleaned(rows)
+    assert {r["asset_id"]: r["exit_code"] for r in done.collect()} == {1: 0, 2: 0, 3: 30}
+    checked = inspect.verified(done)
+    assert {r["asset_id"]: (r["verified"], r["exit_code"]) for r in checked.collect()} == {1: (False, 30), 2: (True, 0), 3: (False, 30)}
+    assert inspect.worst_exit(checked.where("asset_id < 3").withColumn("g", F.lit(1)), "g").first()["worst_exit"] == 30
+    kept = spark.createDataFrame([(4, run + "\u200b", 0), (5, "a\u200b", 0)], "asset_id long, after string, exit_code int")
+    assert {r["asset_id"]: r["exit_code"] for r in inspect.verified(kept).collect()} == {4: 10, 5: 10}
+
+
 @pytest.mark.parametrize(
     "content, form",
     [(b"\x89PNG\r\n\x1a\n", "png"), (b"\xff\xd8\xff\xe0", "jpeg"), (b"RIFF\0\0\0\0WAVEfmt ", "riff-wav"), (b"\0\0\0\x18ftypM4A ", "isobmff"), (b"ID3\x04", "mp3"),
