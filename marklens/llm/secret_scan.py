@@ -4,11 +4,12 @@
    alone (key_id, key_secret, endpoint). Spark has no function for match positions, so a text is
    split at a pattern's matches: running sums of the lengths of gaps and matches are the positions.
 2. Parts have a role: identifier (access, key_id), secret (assign, hex, key_secret) or endpoint. An
-   interval join links each weak part with the parts of other roles that start within SCOPE code
-   points of its start. Both sides carry a bucket of SCOPE code points, and the weak side goes to
-   its own and both neighbour buckets, so it is an equi-join. A part has at least 8 code points and
-   parts of a kind don't overlap, so a bucket holds a bounded number of them: no document, however
-   long or full of keys, makes more than a fixed number of pairs per part.
+   interval join links each weak part with the parts of other roles that are at most SCOPE code points
+   away, from the end of the earlier to the start of the later. Both sides carry the buckets of SCOPE
+   code points that they cover, and the weak side its neighbour buckets too, so it is an equi-join; a
+   pair counts in the first bucket that both carry. A part has at least 8 code points and parts of a
+   kind don't overlap, so a bucket holds a bounded number of them: no document, however long or full
+   of keys, makes more than a fixed number of pairs per part and bucket.
 3. A key_id stays if a secret is near, a key_secret if an identifier is near, an endpoint if both are.
 
 Defined cases: null text is empty and has no spans; repeated rows (same id and text) share one
@@ -82,15 +83,18 @@ def secret_parts(docs: DataFrame) -> DataFrame:
 
 
 def linked(parts: DataFrame) -> DataFrame:
-    """Base spans, and the weak spans near which their complements start."""
+    """Base spans, and the weak spans near which their complements are."""
     role = F.element_at(F.array(*(F.lit(ROLES[k]) for k in KINDS)), F.col("kind") + 1)
-    parts = parts.withColumn("role", role).withColumn("bucket", F.floor(F.col("start_at") / SCOPE))
-    weak = parts.where(F.col("kind") >= KINDS.index("key_id"))
-    weak = weak.withColumn("bucket", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1)))))
-    others = parts.select(*(F.col(c).alias(f"o_{c}") for c in ("doc_id", "row_key", "bucket", "role", "start_at")))
+    first, last = F.floor(F.col("start_at") / SCOPE), F.floor(F.col("end_at") / SCOPE)
+    parts = parts.withColumn("role", role).withColumn("first", first)
+    weak = parts.where(F.col("kind") >= KINDS.index("key_id")).withColumn("first", F.col("first") - 1)
+    weak = weak.withColumn("bucket", F.explode(F.sequence("first", last + 1)))
+    others = parts.withColumn("bucket", F.explode(F.sequence("first", last)))
+    others = others.select(*(F.col(c).alias(f"o_{c}") for c in ("doc_id", "row_key", "bucket", "first", "role", "start_at", "end_at")))
+    gap = "greatest(start_at, o_start_at) - least(end_at, o_end_at)"
     near = weak.join(
         others,
-        F.expr(f"row_key = o_row_key AND bucket = o_bucket AND doc_id <=> o_doc_id AND role <> o_role AND abs(start_at - o_start_at) <= {SCOPE}"),
+        F.expr(f"row_key = o_row_key AND bucket = o_bucket AND doc_id <=> o_doc_id AND role <> o_role AND bucket = greatest(first, o_first) AND {gap} <= {SCOPE}"),
         "left_outer",
     )
     near = near.groupBy("doc_id", "row_key", "kind", "start_at", "end_at").agg(

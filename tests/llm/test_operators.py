@@ -188,6 +188,15 @@ def test_secret_links(spark):
     assert got[6]["spans"] == "access:0:20,hex:23:39" and (got[6]["n_access"], got[6]["n_hex"]) == (1, 1)
 
 
+def test_secret_links_across_long_parts(spark):
+    key, long = "ABCD1234EFGH5678", "token=" + "aB3." * 175
+    url = "https://host/" + "x." * 350
+    texts = [long + "\n" + key, key + "\n" + long, url + " " + key + " " + "0a" * 8, long + " " * 400 + key, long + " " * 401 + key, key + " " * 400 + long, key + " " * 401 + long]
+    got = {r["doc_id"]: r for r in secret_scan.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["n_weak"] for i in range(len(texts))] == [1, 1, 2, 1, 0, 1, 0]
+    assert got[0]["spans"] == "assign:0:706,key_id:707:723" and got[2]["spans"] == "endpoint:0:713,key_id:714:730,hex:731:747"
+
+
 def test_nearest_with_copies_and_bad_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8)).astype(np.float32)
