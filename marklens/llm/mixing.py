@@ -13,7 +13,9 @@ closed form: in ascending order of capacity per weight, a source is full if the
 hold without it exceeds its capacity.
 
 Defined cases: null text has size 0, the null source comes last, sources of size 0 get target 0,
-ties in the key (repeated ids) are ordered by size; an empty table gives no rows.
+ties in the key (repeated ids) are ordered by size; an empty table gives no rows. Mixes of whole
+documents tell rows apart by source, id and text, which are then the key, so that rows with null or
+repeated ids each have their own place; of rows equal in all three, as many are repeated as the mix starts.
 """
 
 from __future__ import annotations
@@ -33,6 +35,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def row_key() -> Column:
+    """128 bits of text, source and id, nulls told apart."""
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    # digests have one length, so no two rows run together
+    return F.unhex(F.md5(F.concat(F.md5(known("text").cast("binary")), F.md5(known("source").cast("binary")), known("doc_id")).cast("binary")))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, max_epochs: int) -> DataFrame:
     """source, source_size -> plus target. One row per source."""
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
@@ -60,14 +69,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, max_e
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix", by_row: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies.
 
     taken: words the mix takes, repeats counted, cut inside a document where the budget ends.
     copies: how often the mix starts the document; for mixes of whole documents.
+    by_row: the key is made of source, id and text, not of the id alone; plus row_key.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = common.written(docs.select("doc_id", "source", word_count(common.whole_text()).alias("size"), key.alias("key")))
+    name = [row_key().alias("row_key")] if by_row else []
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.hex(row_key()) if by_row else F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    rows = common.written(docs.select("doc_id", "source", word_count(common.whole_text()).alias("size"), key.alias("key"), *name))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 0
     digits = next(d for d in range(32) if 16**d * RANGE_ROWS >= most)
@@ -88,15 +99,22 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.
     out = out.select("*", start.alias("start"), epochs.alias("epochs"), rest.alias("rest"))
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
     copies = F.col("epochs") + F.when(F.col("start") < F.col("rest"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"), *["row_key"][: len(name)])
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, in whole documents: every row of docs as often as the mix starts it."""
-    copies = mixed(docs, **how).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies")).where("mix_copies > 0")
-    copies = common.sent_if_small(common.written(copies))
-    rows = docs.join(copies, F.expr("doc_id <=> mix_id"))
-    return rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    copies = mixed(docs, by_row=True, **how).groupBy(F.col("row_key").alias("mix_key")).agg(
+        F.min("copies").alias("mix_copies"), F.sum(F.col("copies")).alias("total"), F.count(F.lit(1)).alias("n")
+    )
+    # equal rows are neighbours in the mix's order, so where its rest ends some of them may have one copy more: at most one key per source
+    copies = common.written(copies.where("total > 0").select("mix_key", "mix_copies", (F.col("total") - F.col("n") * F.col("mix_copies")).alias("more")))
+    keyed = docs.withColumn("mix_row", row_key())
+    rows = keyed.join(common.sent_if_small(copies.where("mix_copies > 0").select("mix_key", "mix_copies")), F.expr("mix_row = mix_key"))
+    out = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    extra = keyed.join(common.sent_if_small(copies.where("more > 0").select("mix_key", "more")), F.expr("mix_row = mix_key"))
+    place = F.row_number().over(common.window("mix_row", F.lit(1)))
+    return out.unionByName(extra.withColumn("mix_place", place).where("mix_place <= more").select(*docs.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,27 @@ def test_mix_takes_the_budget(spark):
     assert mixing.mixed(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_mixed_documents_are_as_many_as_the_mix_starts(spark):
+    # source a: two epochs for its null ids; b: a fraction; ids null, repeated over sources, and rows equal in all
+    rows = [(None, f"a {i}", "a") for i in range(5)] + [(None, f"b {i}", "b") for i in range(60)] + [(i, f"c {i}", "c") for i in range(40)]
+    rows += [(i % 2, f"b again {i}", "b") for i in range(20)] + [(None, "same text", "b")] * 30 + [(None, None, "b"), (None, "a 1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    how = {"weights": (9, 1, 1), "share": 0.5}
+    want = collections.Counter()
+    for r in mixing.mixed(docs, by_row=True, **how).collect():
+        want[r["source"]] += r["copies"]
+    got = [tuple(r) for r in mixing.mixed_documents(docs, **how).collect()]
+    assert +want == collections.Counter(s for _, _, s in got) and want["a"] == 10 and 0 < want["b"] < 111
+    of_row = collections.Counter(got)
+    assert set(got) <= set(rows) and all(n <= (30 if r[1] == "same text" else 2 if r[2] in ("a", None) else 1) for r, n in of_row.items())
+
+
+def test_null_ids_spread_over_key_ranges(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "s") for i in range(50)], "doc_id long, text string, source string")
+    keys = docs.select(F.hex(mixing.row_key()).alias("k")).distinct()
+    assert keys.count() == 50 and keys.select(F.substring("k", 1, 1)).distinct().count() > 8
+
+
 def greedy(word, starts, continues):
     n, at = 0, 0
     while at < len(word):
