@@ -9,8 +9,8 @@ Texts are equal when identical after lower-casing A-Z; null counts as empty.
    More than one (a collision): these documents, and only these, find their class by the text.
 
 Defined cases: rows with a null id take part, but stay only if all ids of their group are null;
-rows repeated with the same id and text are one document and share its flag; an empty table gives
-no rows; other columns of the input are ignored.
+rows repeated with the same id and text are one document and share its flag, and deduplicated() keeps
+one row of it; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -54,10 +54,17 @@ def exact_groups(
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, that stay."""
-    groups = exact_groups(docs, **how).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text"))
+    groups = exact_groups(docs, **how).where("group_size > 1").groupBy(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_text"), "kept")
+    # rows that go, and rows kept of which there are several
+    keys = common.written(groups.agg(F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1").drop("n"))
     digest = F.sha2(common.ascii_lower(common.whole_text()), 256)
-    gone = common.sent_if_small(common.written(groups.distinct()))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_text")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (digest == F.col("key_text"))
+    rest = docs.join(common.sent_if_small(keys), same, "left_anti")
+    repeated = keys.where("kept").drop("kept")
+    if repeated.isEmpty():
+        return rest
+    some = docs.join(common.sent_if_small(repeated), same)
+    return rest.unionByName(common.one_each(some, ["key_id", "key_text"], docs.columns))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,14 @@ def test_exact_groups_with_colliding_hash(spark):
     assert sizes[0] == sizes[1] == (1, 2) and sizes[8] == (9, 2) and sizes[4] == (4, 3)
 
 
+def test_deduplicated_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "A b"), (3, "c"), (3, "c"), (3, "d"), (None, "e"), (None, "e"), (None, "f"), (None, "c"), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in exact_dedup.deduplicated(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "a b"), (3, "c"), (3, "d"), (None, "e"), (None, "f"), got[[r[0] for r in got].index(4)]]))
+    assert exact_dedup.deduplicated(docs.unionByName(docs)).count() == len(got)
+
+
 def test_license_expressions():
     assert license_scan.postfix("mit or apache-2.0 and bsd-3-clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
     assert license_scan.postfix("(mit or gpl-2.0) and x") == ["mit", "gpl-2.0", "or", "x", "and"]
