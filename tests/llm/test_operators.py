@@ -94,10 +94,37 @@ def test_bpe_long_text_in_segments(ranks, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_MATCHES", 7)
     text = "Ünïcode words and 123 numbers, " * 30
     e = bpe.Encoder(bpe.tokenizer_json(ranks), public_tokenizers.PATTERN)
-    ids, starts, ends, lengths = e.encode(["ab", text, None])
+    ids, starts, ends = e.encode(text)
     monkeypatch.undo()
-    whole = bpe.Encoder(bpe.tokenizer_json(ranks), public_tokenizers.PATTERN).encode(["ab", text, None])
-    assert all((a == b).all() for a, b in zip((ids, starts, ends, lengths), whole)) and ends[-1] == len(text)
+    whole = bpe.Encoder(bpe.tokenizer_json(ranks), public_tokenizers.PATTERN).encode(text)
+    assert all((a == b).all() for a, b in zip((ids, starts, ends), whole)) and ends[-1] == len(text)
+
+
+def test_bpe_forgets_and_stays_right(ranks, monkeypatch):
+    text = "Ünïcode words and 123 numbers, " + "a" * 300 + " b" * 40
+    want = bpe.Encoder(bpe.tokenizer_json(ranks), public_tokenizers.PATTERN).encode(text)[0].tolist()
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    e = bpe.Encoder(bpe.tokenizer_json(ranks), public_tokenizers.PATTERN)
+    assert [e.encode(text)[0].tolist() for _ in range(3)] == [want] * 3 and not any(len(m) > bpe.LONGEST for m in e.known)
+
+
+def test_bpe_round_trip_equals_tiktoken_on_the_table(spark, ranks):
+    import tiktoken
+
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = sorted(tuple(r) for r in bpe.op2_bpe(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars").collect())
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        text = r["text"] or ""
+        ids = reference.encode_ordinary(text)
+        want.append((r["doc_id"], len(ids), sha(" ".join(map(str, ids)).encode()), sha(text.encode()), len(text)))
+    assert got == sorted(want)
+    odd = bpe.round_trip(odd_docs(spark), ranks, public_tokenizers.PATTERN, with_ids=True)
+    assert {(r["doc_id"], tuple(r["ids"]), r["n_tokens"]) for r in odd.collect() if r["doc_id"] is not None} == {
+        (i, tuple(reference.encode_ordinary(t or "")), len(reference.encode_ordinary(t or ""))) for i, t in [*enumerate(ODD), (3, "A")]
+    }
+    assert bpe.round_trip(odd_docs(spark).limit(0), ranks, public_tokenizers.PATTERN, with_ids=False).count() == 0
 
 
 def test_quality_orders_grades():
