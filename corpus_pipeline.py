@@ -1,13 +1,18 @@
 """A corpus from raw documents to token ids: quality, exact and near duplicates, mixing, encoding.
 
 Each stage takes what its predecessor kept, whole, and is written before the next one reads it.
+
+Defined cases: a null text counts as empty in every stage; the classifier judges empty texts by their shape; the
+first of equal texts by largest id stays (null ids last); documents without words are no near copies of each other;
+rows with null or repeated ids are told apart by their text; very long texts are read whole; ties are broken by id
+and text, so reruns agree; an empty table gives no rows in every stage; further columns, whatever their names, pass
+through all stages but the last.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marklens.llm import bpe, common, exact_dedup, jaccard_join, mixing, quality
 
@@ -33,9 +38,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.RANKS))
-    ids = bpe.encoded(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
-    back = bpe.decoded(ids, ranks, with_text=False)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, with_ids=True).select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
