@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from . import common
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Bytes of text taken at once; characters from which a text is taken in segments; matches in such a
+#: Characters from which a text is taken in segments; matches in such a
 #: segment; matches remembered, and the longest remembered. They bound memory and change no result.
-BLOCK_BYTES, LONG_TEXT, BLOCK_MATCHES, REMEMBERED, LONGEST = 2_000_000, 1_000_000, 200_000, 200_000, 64
+LONG_TEXT, BLOCK_MATCHES, REMEMBERED, LONGEST = 1_000_000, 200_000, 200_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -168,10 +168,9 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: st
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, pattern)
-        for whole in it:
-            for b in common.slices(whole, 1, BLOCK_BYTES):
-                rows = [encoder.encode(t.as_py()) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *(lists([r[i] for r in rows]) for i in range(3))], ["doc_id", "ids", "starts", "ends"])
+        for b in it:
+            rows = [encoder.encode(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(lists([r[i] for r in rows]) for i in range(3))], ["doc_id", "ids", "starts", "ends"])
 
     return common.in_batches(texts_of(docs, text_col, id_col), batches, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
@@ -218,11 +217,10 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids:
             shown = " ".join(map(decimal.__getitem__, ids.tolist())).encode()
             return len(ids), ids, hashlib.sha256(shown).hexdigest(), hashlib.sha256(content).hexdigest(), int(ends[-1]) if len(ends) else 0, n_split
 
-        for whole in it:
-            for b in common.slices(whole, 1, BLOCK_BYTES):
-                n, ids, *rest = list(zip(*(row(t.as_py()) for t in b.column(1)))) or [()] * 6
-                made = dict(zip(names, [b.column(0), pa.array(n, pa.int64()), lists(list(ids)), *map(pa.array, rest)]))
-                yield pa.RecordBatch.from_arrays([made[c] for c in wanted], wanted)
+        for b in it:
+            n, ids, *rest = zip(*(row(t.as_py()) for t in b.column(1)))
+            made = dict(zip(names, [b.column(0), pa.array(n, pa.int64()), lists(list(ids)), *map(pa.array, rest)]))
+            yield pa.RecordBatch.from_arrays([made[c] for c in wanted], wanted)
 
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds) if n in wanted)
     return common.in_batches(texts_of(docs, text_col, id_col), batches, schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import string
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,11 @@ def lowered(text: str | None) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if text else ""
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared folder that the cluster names in spark.checkpoint.dir.
 
@@ -38,20 +46,61 @@ def scratch_dir(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="marklens-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/marklens-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings for the time of a block; what the caller set itself is left alone."""
+    ours = [k for k in values if not spark._jsparkSession.sessionState().conf().contains(k)]
+    for k in ours:
+        spark.conf.set(k, values[k])
+    try:
+        yield
+    finally:
+        for k in ours:
+            spark.conf.unset(k)
+
+
+#: While a table is written: the shuffle files that made it go at once, and Arrow batches are small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it again."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_dir(spark)
+    with settings(spark, WRITING):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
-#: Most bytes of an Arrow batch of texts, unless the cluster sets its own. No effect on results.
-BATCH_BYTES = "2m"
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def all_of(df: DataFrame, side: str = "") -> list[Column]:
+    """The columns of df by name, whatever characters the names hold."""
+    return [F.col(f"{side}`{c.replace('`', '``')}`") for c in df.columns]
+
+
+#: Most bytes of texts that are looked at at once. No effect on results.
+BATCH_BYTES = 2_000_000
 
 
 def tidy(batches):
@@ -70,21 +119,27 @@ def tidy(batches):
     return run
 
 
-def in_batches(df: DataFrame, batches, schema) -> DataFrame:
-    """mapInArrow over batches of bounded bytes: 10,000 rows of long texts, copied on both sides, would fill an executor."""
-    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not df.sparkSession.sparkContext.getConf().contains(setting):
-        df.sparkSession.conf.set(setting, BATCH_BYTES)
-    return df.mapInArrow(tidy(batches), schema)
+def in_batches(df: DataFrame, batches, schema, most: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow over rows of whole texts. A batch that Spark hands over has up to spark.sql.execution.arrow.
+    maxRecordsPerBatch rows; ``batches`` sees slices of bounded bytes, so what it makes of them stays small."""
+    widest = [i for i, f in enumerate(df.schema) if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+
+    def sliced(it):
+        for b in it:
+            yield from slices(b, widest, most)
+
+    return df.mapInArrow(tidy(lambda it: batches(sliced(it))), schema)
 
 
-def slices(batch, column: int, most: int):
-    """Parts of an Arrow batch with at most so many bytes in a text column, or one row."""
+def slices(batch, columns: list[int], most: int):
+    """Parts of an Arrow batch with at most so many bytes in its texts, or one row."""
     import numpy as np
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        sizes += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(sizes)])
     at = 0
     while at < len(sizes):
         upto = max(at + 1, int(np.searchsorted(before, before[at] + most, side="right")) - 1)
@@ -107,7 +162,8 @@ def sent_if_small(keys: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
-def one_each(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """columns of one row per key, the one with the least text; combined before the shuffle."""
-    row = F.min_by(F.struct(*columns), whole_text()).alias("row")
-    return rows.groupBy(*(F.col(c).alias(f"by_{c}") for c in by)).agg(row).select("row.*")
+def one_each(rows: DataFrame, by: list[str], like: DataFrame, text_col: str = "text") -> DataFrame:
+    """The columns of like, of one of the rows per key, the one with the least text; combined before the shuffle."""
+    key = [F.col(f"`{c}`").alias(f"by_{i}") for i, c in enumerate(by)]
+    row = F.min_by(F.struct(*all_of(like)), whole_text(text_col)).alias("row")
+    return rows.groupBy(*key).agg(row).select("row.*")

@@ -10,7 +10,8 @@ Texts are equal when identical after lower-casing A-Z; null counts as empty.
 
 Defined cases: rows with a null id take part, but stay only if all ids of their group are null;
 rows repeated with the same id and text are one document and share its flag, and deduplicated() keeps
-one row of it; an empty table gives no rows; other columns of the input are ignored.
+one row of it; an empty table gives no rows; very long texts are hashed and compared whole; other columns of
+the input, whatever their names, are ignored, and pass through deduplicated().
 """
 
 from __future__ import annotations
@@ -52,19 +53,20 @@ def exact_groups(
     return found.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
-def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, all columns, that stay."""
-    groups = exact_groups(docs, **how).where("group_size > 1").groupBy(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_text"), "kept")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, all columns, that stay; columns may have any names."""
+    groups = exact_groups(docs, id_col, text_col, **how).where("group_size > 1").groupBy("doc_id", "text_sha256", "kept")
     # rows that go, and rows kept of which there are several
-    keys = common.written(groups.agg(F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1").drop("n"))
-    digest = F.sha2(common.ascii_lower(common.whole_text()), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (digest == F.col("key_text"))
-    rest = docs.join(common.sent_if_small(keys), same, "left_anti")
-    repeated = keys.where("kept").drop("kept")
+    keys = common.written(groups.agg(F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1").drop("n")).alias("r")
+    digest = common.fresh(docs, "digest")
+    keyed = docs.withColumn(digest, F.sha2(common.ascii_lower(common.whole_text(text_col)), 256))
+    same = F.expr(f"l.`{id_col}` <=> r.doc_id AND l.`{digest}` = r.text_sha256")
+    rest = keyed.alias("l").join(common.sent_if_small(keys), same, "left_anti").select(*common.all_of(docs))
+    repeated = keys.where("kept")
     if repeated.isEmpty():
         return rest
-    some = docs.join(common.sent_if_small(repeated), same)
-    return rest.unionByName(common.one_each(some, ["key_id", "key_text"], docs.columns))
+    some = keyed.alias("l").join(common.sent_if_small(repeated), same, "left_semi")
+    return rest.unionByName(common.one_each(some, [id_col, digest], docs, text_col))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

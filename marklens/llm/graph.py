@@ -2,7 +2,11 @@
 
 Each step moves edges towards the smallest node of a neighbourhood: per node, its neighbours are
 linked with their minimum. Minima are combined before the shuffle, and joins on a node with very
-many neighbours are split by Spark (skew join). Each step is written, so lineage stays short.
+many neighbours are split by Spark (skew join). Each step is written, so lineage stays short, and
+the one before it is deleted. The steps end when every edge joins a node to its root: no node then
+has two roots, and no root has one of its own.
+
+Defined cases: edges from a node to itself and repeated edges say nothing; no edges give no rows.
 """
 
 from __future__ import annotations
@@ -13,20 +17,25 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def is_forest_of_stars(e: DataFrame) -> bool:
+    """Whether each u of the edges (u, v) has one v, and no v is a u."""
+    sides = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    sides = sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sides.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> node, root: for each node of an edge the smallest node it can reach."""
+    """edges (a, b) -> node, root, a written table: for each node of an edge the smallest node it can reach."""
     pair = F.struct(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).alias("e")
     e = common.written(edges.where("a <> b").select(pair).select("e.*").distinct())
-    seen = None
-    while True:
+    while not is_forest_of_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).withColumn("m", F.least("node", "m"))
         large = both.where("v > u").join(low, F.expr("u = node")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
         small = large.join(low, F.expr("u = node"))
-        e = common.written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
-        if now == seen:
-            break
-        seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        last, e = e, common.written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct())
+        common.forget(last)
+    roots = common.written(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    common.forget(e)
+    return roots

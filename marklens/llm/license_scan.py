@@ -160,7 +160,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = list(zip(*found)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
-    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(batches, SCHEMA)
+    return common.in_batches(docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"CAST(`{text_col}` AS STRING) AS text"), batches, SCHEMA)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

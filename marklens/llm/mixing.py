@@ -16,6 +16,7 @@ Defined cases: null text has size 0, the null source comes last, sources of size
 ties in the key (repeated ids) are ordered by size; an empty table gives no rows. Mixes of whole
 documents tell rows apart by source, id and text, which are then the key, so that rows with null or
 repeated ids each have their own place; of rows equal in all three, as many are repeated as the mix starts.
+Very long texts count in full; further columns, whatever their names, pass through :func:`mixed_documents`.
 """
 
 from __future__ import annotations
@@ -104,17 +105,17 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, in whole documents: every row of docs as often as the mix starts it."""
-    copies = mixed(docs, by_row=True, **how).groupBy(F.col("row_key").alias("mix_key")).agg(
-        F.min("copies").alias("mix_copies"), F.sum(F.col("copies")).alias("total"), F.count(F.lit(1)).alias("n")
-    )
+    copies = mixed(docs, by_row=True, **how).groupBy("row_key").agg(F.min("copies").alias("each"), F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n"))
     # equal rows are neighbours in the mix's order, so where its rest ends some of them may have one copy more: at most one key per source
-    copies = common.written(copies.where("total > 0").select("mix_key", "mix_copies", (F.col("total") - F.col("n") * F.col("mix_copies")).alias("more")))
-    keyed = docs.withColumn("mix_row", row_key())
-    rows = keyed.join(common.sent_if_small(copies.where("mix_copies > 0").select("mix_key", "mix_copies")), F.expr("mix_row = mix_key"))
-    out = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
-    extra = keyed.join(common.sent_if_small(copies.where("more > 0").select("mix_key", "more")), F.expr("mix_row = mix_key"))
-    place = F.row_number().over(common.window("mix_row", F.lit(1)))
-    return out.unionByName(extra.withColumn("mix_place", place).where("mix_place <= more").select(*docs.columns))
+    copies = common.written(copies.where("total > 0").select("row_key", "each", (F.col("total") - F.col("n") * F.col("each")).alias("more")))
+    key, copy, place = (common.fresh(docs, c) for c in ("row_key", "copy", "place"))
+    keyed = docs.withColumn(key, row_key()).alias("l")
+    same = F.expr(f"l.`{key}` = r.row_key")
+    rows = keyed.join(common.sent_if_small(copies.where("each > 0").alias("r")), same)
+    out = rows.select(*common.all_of(docs, "l."), F.explode(F.sequence(F.lit(1), F.col("r.each"))).alias(copy)).select(*common.all_of(docs))
+    extra = keyed.join(common.sent_if_small(copies.where("more > 0").alias("r")), same)
+    extra = extra.select(*common.all_of(docs, "l."), F.row_number().over(common.window(f"l.{key}", F.lit(1))).alias(place), F.col("r.more").alias(copy))
+    return out.unionByName(extra.where(f"`{place}` <= `{copy}`").select(*common.all_of(docs)))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ The vocabulary comes from a ranks file: its tokens with a leading space start wo
 out), the others continue words; every single byte may do both, so each word has pieces.
 
 Defined cases: null or empty text has 0 words and 0 tokens; very long words and texts are counted
-whole (linear time); repeated rows give repeated counts; other columns are ignored.
+whole (linear time); repeated rows give repeated counts; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def token_counts(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id
             columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_words", "n_tokens", "max_word_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(batches, SCHEMA)
+    return common.in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), batches, SCHEMA)
 
 
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

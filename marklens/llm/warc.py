@@ -10,15 +10,15 @@ at least ``least_bytes``, the one with the largest page id is the response, the
 records that refer to it.
 
 Index: index rows are range-sorted by key; runs of ``block_rows`` become compressed blocks, and a
-directory keeps each block's first key. A lookup binary-searches the directory for its block, then
-the block's lines, then reads one range of the archive. Directory and blocks are tables: the
-directory is sorted and small (one row per block), blocks are found by their number.
+directory keeps each block's first and last key. Blocks hold more rows where there would else be more than
+MOST_BLOCKS of them, so the directory has a bound whatever the corpus. A lookup binary-searches the directory
+for the blocks of its key, is sent to these, binary-searches their lines, then reads ranges of the archive,
+each file's in order of offset. Reading back looks up every url.
 
-Reading back takes every block, and reads each archive's ranges in order of offset.
-
-Defined cases: null html is an empty payload; null urls have an empty key and sort first; repeated
+Defined cases: null html is an empty payload; null urls have the key of an empty url; repeated
 rows are records of their own; equal payloads whose ids tie share the id that they refer to, and are
-all responses; an empty table makes no archive. The store must be one that pyarrow can open.
+all responses; an empty table makes no archive and no rows; very long payloads are written and read whole, one at a
+time; further columns, whatever their names, are ignored. The store must be one that pyarrow can open.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_BYTES, BLOCK_ROWS = 1000, 2000
+#: Blocks of an index, at most (but for one more per partition of its sort): rows of the directory that goes to tasks.
+MOST_BLOCKS = 200_000
+#: Searched keys of a block that one task looks up on average, at most; bytes of archive that a task reads.
+KEYS_AT_ONCE, READ_BY_TASK = 20_000, 32_000_000
 #: Gaps of fewer bytes between two records of a file are read along with them; bytes read at once.
 GAP, READ_AT_ONCE = 65_536, 16_000_000
 INDEX = "key string, page_id long, file string, offset long, length long"
@@ -54,7 +58,8 @@ def surt(url: Column) -> Column:
     rest = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     authority = F.lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^.*@", ""))
     host, port = F.regexp_replace(authority, r":\d*$", ""), F.regexp_extract(authority, r"(:\d+)$", 1)
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), port, F.lit(")"), F.regexp_replace(rest, r"^[^/?#]*", ""))
+    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), port, F.lit(")"), F.regexp_replace(rest, r"^[^/?#]*", ""))
+    return F.replace(F.replace(key, F.lit("\t"), F.lit("%09")), F.lit("\n"), F.lit("%0A"))  # they separate an index's fields and lines
 
 
 def record(page_id, url, payload: bytes | None, size: int, digest: str, refers_to) -> bytes:
@@ -96,8 +101,9 @@ def captures(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.select("*", F.length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"), F.sha2("payload", 256).alias("d256"))
     groups = rows.where(F.col("size") >= least_bytes).groupBy("digest", "d256").agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where("n > 1").select(F.col("digest").alias("g1"), F.col("d256").alias("g2"), "keep_id")
-    rows = rows.join(groups, F.expr("digest = g1 AND d256 = g2"), "left_outer")
+    # the groups that there are: payloads stay where they are read unless these are many
+    groups = common.written(groups.where("n > 1").select(F.col("digest").alias("g1"), F.col("d256").alias("g2"), "keep_id"))
+    rows = rows.join(common.sent_if_small(groups), F.expr("digest = g1 AND d256 = g2"), "left_outer")
     refers_to = F.when(~F.expr("page_id <=> keep_id"), F.col("keep_id"))
     rows = rows.withColumn("refers_to", refers_to)
     return rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
@@ -130,11 +136,12 @@ def write_archives(captured: DataFrame, folder: str, level: int = 6) -> DataFram
         if out is not None:
             out.close()  # before the task ends, so that its index rows never name an unfinished file
 
-    return common.written(rows.mapInArrow(batches, INDEX))
+    return common.written(common.in_batches(rows, batches, INDEX))
 
 
 def build_index(index: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(directory, blocks). directory: block, first_key, last_key, rows; blocks: block, content."""
+    block_rows = max(block_rows, -(-index.count() // MOST_BLOCKS))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -147,8 +154,7 @@ def build_index(index: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFra
             yield packed(held)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        lines = "\n".join("\t".join("" if x is None else str(x).replace("\t", "%09").replace("\n", "%0A") for x in r) for r in rows)
-        content = zlib.compress(lines.encode())
+        content = zlib.compress("\n".join("\t".join("" if x is None else str(x) for x in r) for r in rows).encode())
         return pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([rows[-1][0]]), pa.array([len(rows)], pa.int64()), pa.array([content], pa.binary())], ["first_key", "last_key", "rows", "content"])
 
     sorted_rows = index.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
@@ -191,67 +197,63 @@ def ranged_reads(entries: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    # a file's ranges lie in order; a file is split over tasks by stretches of offsets, so none waits for a large one
+    # a file's ranges lie in order; a file is split over tasks by stretches of offsets, so none waits for a large one.
+    # Tasks are told by the bytes that they will read: the entries themselves are tiny
     stretch = F.floor(F.col("offset") / (4 * READ_AT_ONCE))
-    dealt = entries.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(batches, RECORD)
-
-
-def entries_of(blocks: DataFrame) -> DataFrame:
-    """All index lines of the blocks."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for content in b.column(0):
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines_of(content.as_py())), kinds)], ["key", "page_id", "file", "offset", "length"])
-
-    return blocks.select("content").mapInArrow(batches, INDEX)
-
+    total = entries.agg(F.sum("length")).first()[0] or 0
+    tasks = max(entries.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BY_TASK))
+    dealt = entries.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(common.tidy(batches), RECORD)
 
-def look_up(urls: DataFrame, directory: DataFrame, blocks: DataFrame, folder: str) -> DataFrame:
-    """The records of the given urls (column url), by binary search in directory and blocks.
 
-    The directory (one short row per block) is sent to tasks only as its block starts; each key finds
-    the blocks that may hold it, is joined with these by block number, and searched there.
-    """
-    starts = directory.orderBy("first_key", "block").select("first_key", "last_key", "block").toArrow().to_pydict()
-    first, last, number = starts["first_key"], starts["last_key"], starts["block"]
+def search(keys: DataFrame, directory: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The index lines, as in INDEX, of distinct keys (column key), written: a binary search in the directory names the
+    blocks that may hold a key, one in the block finds its lines."""
+    rows = directory.orderBy("first_key", "last_key", "block").select("first_key", "last_key", "block").limit(2 * MOST_BLOCKS + 1).toArrow().to_pydict()
+    first, last, number = rows["first_key"], rows["last_key"], rows["block"]
+    if len(number) > 2 * MOST_BLOCKS:
+        raise ValueError(f"an index of over {2 * MOST_BLOCKS} blocks: build it with more rows in a block")
 
     def find_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            pairs = []
+            found = []
             for key in b.column(0).to_pylist():
-                i = max(0, bisect.bisect_left(first, key) - 1)
+                i = bisect.bisect_left(last, key)  # both bounds ascend with the blocks
                 while i < len(first) and first[i] <= key:
-                    if last[i] >= key:
-                        pairs.append((key, number[i]))
+                    found.append((key, number[i]))
                     i += 1
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())], ["key", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["key", "block"])
 
-    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            hits, seen = [], (None, [])
-            for key, block, content in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if seen[0] != block:
-                    seen = block, lines_of(content)
-                i = bisect.bisect_left(seen[1], key, key=lambda line: line[0])
-                while i < len(seen[1]) and seen[1][i][0] == key:
-                    hits.append(seen[1][i])
-                    i += 1
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*hits)) or [()] * 5, kinds)], ["key", "page_id", "file", "offset", "length"])
+    asked = common.written(keys.select("key").mapInArrow(find_blocks, "key string, block long"))
+    parts = asked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", F.expr(f"int(ceil(n / {KEYS_AT_ONCE}))").alias("parts"))
+    parts = F.broadcast(common.written(parts))  # a row per block at most
+    asked = asked.join(parts, "block").select("key", "block", F.expr("int(pmod(xxhash64(key), parts))").alias("part"))
+    there = blocks.join(parts, "block").select(F.col("block").alias("number"), F.explode(F.expr("sequence(0, parts - 1)")).alias("of"), "content")
 
-    keys = urls.select(F.regexp_replace(F.regexp_replace(surt(F.col("url")), "\t", "%09"), "\n", "%0A").alias("key")).distinct()
-    found = keys.mapInArrow(find_blocks, "key string, block long").join(blocks, "block").select("key", "block", "content")
-    return ranged_reads(found.sortWithinPartitions("block").mapInArrow(search, INDEX), folder)
+    def search_block(some: pa.Table, block: pa.Table) -> pa.Table:
+        lines = [line for content in block.column("content").to_pylist() for line in lines_of(content)]
+        hits = []
+        for key in some.column("key").to_pylist():
+            i = bisect.bisect_left(lines, key, key=lambda line: line[0])
+            while i < len(lines) and lines[i][0] == key:
+                hits.append(lines[i])
+                i += 1
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*hits)) or [()] * 5, kinds)], ["key", "page_id", "file", "offset", "length"])
+
+    return common.written(asked.groupBy("block", "part").cogroup(there.groupBy("number", "of")).applyInArrow(search_block, INDEX))
+
+
+def look_up(urls: DataFrame, directory: DataFrame, blocks: DataFrame, folder: str) -> DataFrame:
+    """The records of the given urls (column url)."""
+    return ranged_reads(search(urls.select(surt(F.col("url")).alias("key")).distinct(), directory, blocks), folder)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch_dir(spark)
-    index = write_archives(captures(common.table(spark, sf_dir, "pages")), folder)
-    _, blocks = build_index(index)
-    return ranged_reads(entries_of(blocks), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = common.table(spark, sf_dir, "pages")
+    directory, blocks = build_index(write_archives(captures(pages), folder))
+    return look_up(pages, directory, blocks, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = f"""

@@ -174,7 +174,7 @@ def test_warc_reads_back_and_looks_up(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit(0))
     folder = f"file://{tmp_path}/w"
     directory, blocks = warc.build_index(warc.write_archives(warc.captures(pages), folder), block_rows=2)
-    back = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.ranged_reads(warc.entries_of(blocks), folder).collect()}
+    back = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.look_up(pages, directory, blocks, folder).collect()}
     sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
     assert back == {(1, "revisit", 5, 1200, sha(same)), (2, "revisit", 5, 1200, sha(same)), (3, "response", None, 0, sha("")), (4, "response", None, 6, sha("é\r\n\r\n")), (5, "response", None, 1200, sha(same))}
     urls = spark.createDataFrame([("http://www.example.com/a",), ("http://none.org",)], "url string")
@@ -283,23 +283,82 @@ def brute_components(texts, words, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("small, block", [(32, 1024), (2, 5)])
-def test_jaccard_components_equal_brute_force(spark, monkeypatch, small, block):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
-    rng = random.Random(4)
-    base = [[f"w{rng.randint(0, 500)}" for _ in range(80)] for _ in range(3)]
-    texts = list(ODD)
-    for b in base:
-        for _ in range(25):  # near copies on both sides of the threshold
+def near_copies(rng, of, each, words=80, vocabulary=500):
+    """Texts on both sides of the threshold."""
+    for b in ([f"w{rng.randint(0, vocabulary)}" for _ in range(words)] for _ in range(of)):
+        for _ in range(each):
             c = list(b)
             for _ in range(rng.randint(0, 4)):
-                c[rng.randrange(len(c))] = "new"
-            texts.append(" ".join(c))
-    docs = odd_docs(spark, texts)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).where("doc_id is not null").collect()}
-    assert got == brute_components(list(enumerate(texts)), 4, 85)
+                c[rng.randrange(len(c))] = f"new{rng.randint(0, 9)}"
+            yield " ".join(c)
+
+
+def components_of(docs):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).where("doc_id is not null").collect()}
+
+
+@pytest.mark.parametrize("small, block, fanout, hot", [(32, 1024, 8, 4096), (2, 5, 3, 4), (1, 2, 2, 2)])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, small, block, fanout, hot):
+    for name, value in (("SMALL", small), ("BLOCK", block), ("FANOUT", fanout), ("HOT", hot)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    long = " ".join(f"u{i}" for i in range(259))  # signatures of different widths
+    texts = [*ODD, *near_copies(random.Random(4), 3, 25), long, long + " and then some more of these words", long[40:] + long]
+    assert components_of(odd_docs(spark, texts)) == brute_components(list(enumerate(texts)), 4, 85)
+
+
+def test_jaccard_components_of_classes_that_clash(spark, monkeypatch):
+    right = jaccard_join.set_key
+    monkeypatch.setattr(jaccard_join, "set_key", lambda s: bytes(7) + right(s)[:1] + right(s)[8:])
+    texts = [*ODD, *near_copies(random.Random(6), 30, 2)]
+    assert components_of(odd_docs(spark, texts)) == brute_components(list(enumerate(texts)), 4, 85)
+
+
+def test_jaccard_recursion_cuts_cells_and_finds_all(spark, monkeypatch):
+    """One group of thousands in clusters that lie further apart than the windows reach: cells must be cut."""
+    rng = random.Random(7)
+    sets = {}
+    for cluster in range(12):
+        base = [rng.getrandbits(62) for _ in range(60)]
+        for _ in range(100):
+            mine = set(base)
+            for x in rng.sample(base, rng.randint(0, 8)):
+                mine.remove(x)
+                mine.add(rng.getrandbits(62))
+            sets[len(sets)] = np.array(sorted(mine), np.int64)
+    rows = [(k, len(s), s.tolist(), jaccard_join.signature(s).tolist()) for k, s in sets.items()]
+    table = spark.createDataFrame(rows, "k long, n int, shingles array<long>, signature array<long>")
+    cells = spark.createDataFrame([(0, k, k, True) for k in sets], "cell long, k long, c long, home boolean")
+    seen = []
+    monkeypatch.setattr(jaccard_join, "compared", lambda live, *a, real=jaccard_join.compared: seen.append(live.groupBy("cell").count().agg(F.max("count")).first()[0]) or real(live, *a))
+    links = jaccard_join.recursive_links(jaccard_join.common.written(cells), table, 85)
+    found = {r["node"]: r["root"] for r in graph.components(links).collect()}
+    name = list(sets)
+    find = lambda i: i if name[i] == i else find(name[i])
+    for i in sets:
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if i // 100 == j // 100 else 0
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                name[b] = a
+    assert {k: found.get(k, k) for k in sets} == {k: find(k) for k in sets}
+    assert max(x for x in seen if x) < 1200  # the group was never compared as a whole
+
+
+def test_signatures_bound_the_difference_from_below():
+    rng = np.random.default_rng(9)
+    for n, more in ((200, 90), (900, 200), (1000, 30), (5000, 3)):
+        a = rng.integers(0, 2**62, n)
+        b = np.concatenate([a[5:], rng.integers(0, 2**62, more)])
+        x, y = (jaccard_join.signature(s).view(np.uint64)[None] for s in (a, b))
+        width = min(x.shape[1], y.shape[1])
+        differ = np.bitwise_count(jaccard_join.at_width(x, width) ^ jaccard_join.at_width(y, width)).sum()
+        assert (5 + more) / 3 < differ <= 5 + more
+
+
+def test_packed_places_round_trip():
+    rng = np.random.default_rng(8)
+    for x in (np.empty(0, np.uint32), np.array([0, 0, 5, 200, 70000, 2**26 - 1]), np.sort(rng.integers(0, 131072, 5000))):
+        assert jaccard_join.unpacked(jaccard_join.packed(x)).tolist() == x.tolist()
 
 
 def test_near_duplicates_with_null_and_repeated_ids(spark):
