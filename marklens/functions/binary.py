@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -12,8 +13,9 @@ EXIF_START, XMP_START, IPTC_START = b"Exif\0\0", b"http://ns.adobe.com/xap/1.0/\
 TEXT_TAGS = {0x010F: "make", 0x0110: "model", 0x0131: "software"}
 FLAG_TAGS = {0x829A: "exposure", 0x829D: "aperture", 0x8827: "iso", 0x920A: "lens", 0xA434: "lens"}
 SUB_DIRECTORY, DEEPEST = 0x8769, 8
-#: Elements whose payload is small metadata that later steps read.
-CARRIED = {"png": {"tEXt", "zTXt", "iTXt", "eXIf"}, "jpeg": {"E1", "ED"}, "webp": {"EXIF", "XMP "}, "riff-wav": {"EXIF", "XMP ", "LIST"}, "riff-avi": {"EXIF", "XMP ", "LIST"}}
+#: Elements whose payload is small metadata that later steps read; of the others as many first bytes as tell a list's kind.
+CARRIED = {"png": {"tEXt", "zTXt", "iTXt"}, "jpeg": {"E1", "ED"}, "webp": {"XMP "}, "riff-wav": {"XMP "}, "riff-avi": {"XMP "}}
+HEAD = 4
 
 
 class Element(NamedTuple):
@@ -117,8 +119,12 @@ def walk(content: bytes, form: str) -> tuple[list[Element], bool]:
     return WALKS[form](content)
 
 
-def carries_manifest(payload: bytes) -> bool:
-    return b"jumb" in payload or b"c2pa" in payload.lower()
+ANY_CASE = re.compile(rb"(?i)c2pa")
+
+
+def carries_manifest(content: bytes, start: int, end: int) -> bool:
+    """Looks in place: an element may be most of the file."""
+    return content.find(b"jumb", start, end) >= 0 or ANY_CASE.search(content, start, end) is not None
 
 
 def directory(tiff: bytes, at: int, order: str) -> Iterator[tuple[int, int, int, int]]:

@@ -1,7 +1,7 @@
 """Marks in text, as column expressions: invisible characters, variation-selector runs, generator headers.
 
-All patterns mean the same in Java's regular expressions and in RE2, so the SQL twins of the queries
-use them too. On Spark, ``(?d)`` makes LF the only line end, as it is in RE2.
+Every expression takes time in proportion to the text, whatever it holds: nothing is searched for behind the
+last place where it may end. LF is the only line end.
 """
 
 from __future__ import annotations
@@ -11,20 +11,26 @@ from pyspark.sql import functions as F
 
 # Code point sets, the encoded forms of two words, and element patterns.
 SELECTORS = r"\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
-HYGIENE = r"[\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{AD}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{1680}]"
+HYGIENE_SET = r"\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{AD}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{1680}"
+HYGIENE = f"[{HYGIENE_SET}]"
 WRAPPER = (
     r"\x{E015A}\x{E0165}\x{E015D}\x{E0152}"
     r"|[\x{E0153}\x{E0133}]\x{E0122}[\x{E0160}\x{E0140}][\x{E0151}\x{E0131}]"
 )
 MALFORMED_RUN = 8
 RUN_OR_TEXT = f"([{SELECTORS}]+|[^{SELECTORS}]+)"
-ELEMENT_OR_TEXT = r"(?s)((?i:<meta)[^>]*>|<!--.*?-->|<|[^<]+)"
+#: Runs of selectors, single hygiene characters, and the text between them.
+SPAN_OR_TEXT = f"([{SELECTORS}]+|[{HYGIENE_SET}]|[^{SELECTORS}{HYGIENE_SET}]+)"
+TAG_OR_TEXT = r"((?i:<meta)[^>]*+>|<|[^<]+)"
+ELEMENT_OR_TEXT = r"(?s)((?i:<meta)[^>]*+>|<!--.*?-->|<|[^<]+)"
 GENERATOR_META = r"""(?is)^<meta[^>]*[ \t\n\r\f]name\s*=\s*(?:"\s*generator\s*"|'\s*generator\s*'|generator[\s>/])"""
 GENERATOR_COMMENT = r"(?is)^<!--.*(?:generator|created with)"
-CUT_LINE = r"(?m)^[ \t\r\f\x0B]*(?:\x{E000}[ \t\r\f\x0B]*)+(?:\n|\z)"
-BANNER = r"(?im)^[ \t\r\f\x0B]*(?:(?:#|//|;|--|%|rem |')[^\n]*generator:|generator:|x-generator:)[^\n]*(?:\n|\z)"
-METADATA = r"(?s)\G((?:(?!</?metadata).)*+)<metadata.*?</metadata>"
-CUT = ""
+BANNER = r"(?dim)^[ \t\r\f\x0B]*+(?:(?:#|//|;|--|%|rem |')[^\n]*generator:|generator:|x-generator:)[^\n]*+(?:\n|\z)"
+OPEN, CLOSE = "<metadata", "</metadata>"
+#: A cut element is ESCAPE + GONE. Either character of the text itself gets another one behind ESCAPE, so no text is taken for a cut.
+ESCAPE, GONE = "\ue000", "\ue002"
+ESCAPED = {"\ue000": "\ue000\ue001", "\ue002": "\ue000\ue003"}
+CUT_LINE = r"(?dm)^[ \t\r\f\x0B]*+\x{E000}\x{E002}[ \t\r\f\x0B\x{E000}\x{E002}]*+(?:\n|\z)"
 
 
 def tokens(text: Column) -> Column:
@@ -39,33 +45,59 @@ def token_kind(token: Column) -> Column:
     )
 
 
-def kind_count(text: Column, kind: str) -> Column:
-    return F.size(F.filter(tokens(text), lambda t: token_kind(t) == kind)).cast("long")
+def counted(text: Column) -> Column:
+    """struct<hygiene, malformed, wrapper>: how many marks of each kind, in one pass over the tokens."""
+    zero = F.lit(0).cast("long")
 
+    def add(total: Column, token: Column) -> Column:
+        kind = token_kind(token)
+        one = lambda k: F.when(kind == k, 1).otherwise(0)
+        return F.struct((total["hygiene"] + one("H")).alias("hygiene"), (total["malformed"] + one("M")).alias("malformed"), (total["wrapper"] + one("W")).alias("wrapper"))
 
-def hygiene_count(text: Column) -> Column:
-    return kind_count(text, "H") + F.regexp_count(text, F.lit(HYGIENE))
+    runs = F.aggregate(F.regexp_extract_all(text, F.lit(f"([{SELECTORS}]+)"), F.lit(1)), F.struct(zero.alias("hygiene"), zero.alias("malformed"), zero.alias("wrapper")), add)
+    # most texts have no mark: one look spares them the rest
+    none = F.struct(zero.alias("hygiene"), zero.alias("malformed"), zero.alias("wrapper"))
+    some = F.struct((runs["hygiene"] + F.regexp_count(text, F.lit(HYGIENE))).cast("long").alias("hygiene"), runs["malformed"].alias("malformed"), runs["wrapper"].alias("wrapper"))
+    return F.when(text.rlike(f"[{SELECTORS}{HYGIENE_SET}]"), some).otherwise(none)
 
 
 def without_invisibles(text: Column) -> Column:
     """Drops lone selectors and hygiene characters; malformed runs and wrappers stay."""
     kept = F.filter(tokens(text), lambda t: token_kind(t) != "H")
-    return F.regexp_replace(F.array_join(kept, ""), HYGIENE, "")
+    return F.when(text.rlike(f"[{SELECTORS}{HYGIENE_SET}]"), F.regexp_replace(F.array_join(kept, ""), HYGIENE, "")).otherwise(text)
 
 
 def without_metadata(text: Column) -> Column:
-    return F.regexp_replace(text, METADATA, "$1")
+    """Cuts from the first opening to the first closing tag, again and again, until a closing tag comes first."""
+    parts = F.split(text, CLOSE, -1)  # the last one has no closing tag behind it
+    ended = F.slice(parts, 1, F.size(parts) - 1)
+    stop = F.array_position(F.transform(ended, lambda p: p.contains(OPEN)), False)
+    n = F.when(stop > 0, stop - 1).otherwise(F.size(ended)).cast("int")  # parts that are cut
+    before = F.array_join(F.transform(F.slice(parts, F.lit(1), n), lambda p: F.substring_index(p, OPEN, 1)), "")
+    return F.when(text.contains(OPEN) & text.contains(CLOSE), F.concat(before, F.array_join(F.slice(parts, n + 1, F.size(parts) - n), CLOSE))).otherwise(text)
 
 
 def without_generator_elements(text: Column) -> Column:
     """Cuts generator <meta> tags and comments; one alone on its line takes the line."""
-    parts = F.regexp_extract_all(text, F.lit(ELEMENT_OR_TEXT), F.lit(1))
-    marked = F.transform(parts, lambda t: F.when(t.rlike(GENERATOR_META) | t.rlike(GENERATOR_COMMENT), F.lit(CUT)).otherwise(t))
-    return F.regexp_replace(F.regexp_replace(F.array_join(marked, ""), f"(?d){CUT_LINE}", ""), CUT, "")
+    # no comment ends behind the last -->, and no tag behind the last >
+    tail = F.substring_index(text, "-->", -1)
+    head = F.left(text, F.length(text) - F.length(tail))
+    rest = F.substring_index(tail, ">", -1)
+    middle = F.left(tail, F.length(tail) - F.length(rest))
+    parts = F.concat(F.regexp_extract_all(head, F.lit(ELEMENT_OR_TEXT), F.lit(1)), F.regexp_extract_all(middle, F.lit(TAG_OR_TEXT), F.lit(1)))
+
+    def escaped(t: Column) -> Column:
+        return F.replace(F.replace(t, F.lit(ESCAPE), F.lit(ESCAPED[ESCAPE])), F.lit(GONE), F.lit(ESCAPED[GONE]))
+
+    marked = F.transform(parts, lambda t: F.when(t.rlike(GENERATOR_META) | t.rlike(GENERATOR_COMMENT), F.lit(ESCAPE + GONE)).otherwise(escaped(t)))
+    out = F.regexp_replace(F.concat(F.array_join(marked, ""), escaped(rest)), CUT_LINE, "")
+    out = F.replace(out, F.lit(ESCAPE + GONE), F.lit(""))
+    out = F.replace(F.replace(out, F.lit(ESCAPED[GONE]), F.lit(GONE)), F.lit(ESCAPED[ESCAPE]), F.lit(ESCAPE))
+    return F.when(text.rlike("(?i)<meta|<!--"), out).otherwise(text)
 
 
 def without_banners(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?d){BANNER}", "")
+    return F.regexp_replace(text, BANNER, "")
 
 
 def cleaned(text: Column) -> Column:

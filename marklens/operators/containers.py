@@ -1,7 +1,7 @@
 """Marks in media files: elements from a walk of each file, then column expressions and joins.
 
 Only the walk is Python, one Arrow batch at a time; it hands on the payload of small metadata elements
-and never that of pixels or sound. Which element is a mark, its evidence, and the states of classes
+and never that of pixels, sound or film, of which it copies nothing. Which element is a mark, its evidence, and the states of classes
 that were not found are relational, with no shuffle but that of the states (by file).
 """
 
@@ -13,32 +13,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import binary
+from ..functions import binary, mp3
 from ..functions import text as T
 from ..plans import classes
 
 EXIF = "struct<make: string, model: string, software: string, exposure: boolean, aperture: boolean, iso: boolean, lens: boolean>"
-ELEMENTS = f"asset_id long, format string, complete boolean, kind string, start long, total long, manifest boolean, payload binary, exif {EXIF}"
+ELEMENTS = f"asset_id long, format string, complete boolean, kind string, start long, total long, manifest boolean, payload binary, exif {EXIF}, detail string, notes array<string>, broken boolean"
 _EXIF = pa.struct([(n, pa.string() if n in ("make", "model", "software") else pa.bool_()) for n in ("make", "model", "software", "exposure", "aperture", "iso", "lens")])
-_TYPES = [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), _EXIF]
-_NAMES = ["asset_id", "format", "complete", "kind", "start", "total", "manifest", "payload", "exif"]
+_TYPES = [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), _EXIF, pa.string(), pa.list_(pa.string()), pa.bool_()]
+_NAMES = ["asset_id", "format", "complete", "kind", "start", "total", "manifest", "payload", "exif", "detail", "notes", "broken"]
 #: Elements that may carry a manifest; in RIFF any chunk but the sound.
 MANIFEST_KINDS = {"jpeg": {"EB"}, "isobmff": {"uuid"}}
+RIFF = ("webp", "riff-wav", "riff-avi")
+#: Formats whose content is read as text, not walked.
+TEXT = ["text", "html", "svg"]
 
 
 def elements(assets: DataFrame) -> DataFrame:
-    """ELEMENTS of each file with a walk; a file without any has one row of null kind. Null content is left out."""
+    """ELEMENTS of each media file; a file without any has one row of null kind. Null content (a file over the
+    source's cap) is read as nothing: its row says format null, not complete."""
 
-    def rows(asset: int, form: str, content: bytes) -> list[tuple]:
-        found, complete = binary.walk(content, form)
+    def rows(asset: int, form: str | None, content: bytes | None) -> list[tuple]:
         out = []
-        for e in found:
-            payload = content[e.body : e.start + e.total]
-            facts = binary.exif(payload) if e.kind in ("eXIf", "EXIF") or e.kind == "E1" and payload.startswith(binary.EXIF_START) else None
-            looked_at = e.kind in MANIFEST_KINDS.get(form, ()) or form in ("webp", "riff-wav", "riff-avi") and e.kind != "data"
-            carried = payload if e.kind in binary.CARRIED.get(form, ()) else None
-            out.append((asset, form, complete, e.kind, e.start, e.total, looked_at and binary.carries_manifest(payload), carried, facts))
-        return out or [(asset, form, complete, None, None, None, False, None, None)]
+        if form == "mp3":
+            found, complete = mp3.walk(content)
+            out = [(asset, form, complete, m.kind, m.start, m.total, False, None, None, m.detail, m.notes, m.broken) for m in found]
+        elif form in binary.WALKS:
+            found, complete = binary.walk(content, form)
+            for e in found:
+                end = e.start + e.total
+                is_exif = e.kind in ("eXIf", "EXIF") or e.kind == "E1" and content.startswith(binary.EXIF_START, e.body)
+                looked_at = e.kind in MANIFEST_KINDS.get(form, ()) or form in RIFF and e.kind != "data"
+                carried = content[e.body : end if e.kind in binary.CARRIED.get(form, ()) else min(end, e.body + binary.HEAD)]
+                out.append((asset, form, complete, e.kind, e.start, e.total, looked_at and binary.carries_manifest(content, e.body, end), carried, binary.exif(content[e.body : end]) if is_exif else None, None, [], False))
+        else:  # nothing to walk: complete if its bytes are there
+            complete = content is not None
+        return out or [(asset, form, complete, None, None, None, False, None, None, None, [], False)]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -46,8 +56,8 @@ def elements(assets: DataFrame) -> DataFrame:
                 columns = zip(*rows(asset.as_py(), form.as_py(), content.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _TYPES)], _NAMES)
 
-    read = assets.where("content IS NOT NULL").select(F.col("asset_id").cast("long").alias("asset_id"), T.sniffed(F.col("content")).alias("format"), "content")
-    return read.where(F.col("format").isin(list(binary.WALKS))).mapInArrow(batches, ELEMENTS)
+    read = assets.select(F.col("asset_id").cast("long").alias("asset_id"), F.when(F.col("content").isNotNull(), T.sniffed(F.col("content"))).alias("format"), "content")
+    return read.where(~F.coalesce(F.col("format"), F.lit("none")).isin(TEXT)).mapInArrow(batches, ELEMENTS)
 
 
 def _starts(prefix: bytes) -> Column:
@@ -74,48 +84,58 @@ def mark_class() -> Column:
         .when(is_riff & (kind == "LIST"), F.when(_starts(b"INFO"), "riff_ancillary"))
         .when((form == "flac") & (kind == "4"), "vorbis")
         .when((form == "isobmff") & (kind == "ilst"), "ilst")
+        .when((form == "mp3") & kind.isin("ID3v2", "ID3v1"), "id3")
+        .when((form == "mp3") & (kind == "APE"), "ape")
+        .when((form == "mp3") & (kind == "info"), "mp3_info")
+        .when((form == "mp3") & (kind == "ancillary"), "mp3_ancillary")
         .when(F.col("manifest"), "c2pa")
     )
 
 
 def evidence() -> Column:
     """What an element says of its origin: software and make of EXIF, the tool of XMP, a text chunk's keyword."""
-    packet = F.decode("payload", "UTF-8")
+    packet = F.make_valid_utf8(F.col("payload").cast("string"))  # packets need not be UTF-8
     tool = [F.nullif(F.trim(F.regexp_extract(packet, p, 1)), F.lit("")) for p in ('CreatorTool="([^"]*)"', "<(?:xmp:)?CreatorTool>([^<]*)<")]
     keyword = F.substring(F.regexp_replace(F.split(F.decode("payload", "ISO-8859-1"), "\x00")[0], r"[^\x20-\x7E]", ""), 1, 80)
     said = (
         F.when(F.col("class") == "exif", F.array(F.concat(F.lit("Software: "), "exif.software"), F.concat(F.lit("Make: "), "exif.make")))
         .when(F.col("class") == "xmp", F.array(F.coalesce(*tool), F.when(F.lower(packet).contains("c2pa"), "references a C2PA manifest")))
         .when(F.col("class") == "png_text", F.array(F.nullif(keyword, F.lit(""))))
-        .otherwise(F.array().cast("array<string>"))
+        .otherwise(F.col("notes"))
     )
     return F.array_compact(said)
 
 
 def marks(assets: DataFrame) -> DataFrame:
-    """asset_id, format, class, start, total, evidence: a row per mark found."""
+    """asset_id, format, class, start, total, evidence, kind, detail, broken: a row per mark found."""
     found = elements(assets).withColumn("class", mark_class()).where("class IS NOT NULL")
-    return found.select("asset_id", "format", "class", "start", "total", evidence().alias("evidence"))
+    return found.select("asset_id", "format", "class", "start", "total", evidence().alias("evidence"), "kind", "detail", "broken")
 
 
 def states(assets: DataFrame) -> DataFrame:
     """asset_id, format, class, honesty, state, n: a row per class that the format's report names.
 
-    Found: confirmed_present. Not found: malformed if the walk broke off, else confirmed_absent
-    (unsupported_format where the format is not scanned in full). Blind and unaddressed classes are
-    not_attempted.
+    Found: confirmed_present, or malformed if it is there but can't be read. Not found: malformed if the walk broke
+    off, else confirmed_absent (unsupported_format where the format is not scanned in full). Blind and unaddressed
+    classes are not_attempted. A file that was not read, or is of no known format, has one row of null class and
+    state unsupported_format. Text assets have none: see :mod:`inspect`.
     """
     walked = elements(assets).withColumn("class", mark_class())
     # a map per file: classes are a few, so files with many elements still aggregate to little
-    per_class = walked.groupBy("asset_id", "format", "class").agg(F.count(F.lit(1)).alias("n"), F.bool_and("complete").alias("complete"))
+    found = F.count(F.when(~F.col("broken"), 1))
+    per_class = walked.groupBy("asset_id", "format", "class").agg(found.alias("n"), F.bool_or("broken").alias("broken"), F.bool_and("complete").alias("complete"))
     per_file = per_class.groupBy("asset_id", "format").agg(
-        F.bool_and("complete").alias("complete"), F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "n")))).alias("found")
+        F.bool_and("complete").alias("complete"), F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", F.struct("n", "broken"))))).alias("found")
     )
     dim = F.broadcast(classes.class_table(assets.sparkSession))  # fixed, a few dozen rows
-    n = F.coalesce(F.try_element_at("found", F.col("class")), F.lit(0))
+    of = F.try_element_at("found", F.col("class"))
+    n = F.coalesce(of["n"], F.lit(0))
     absent = F.when(~F.col("complete"), "malformed").when(F.col("format").isin(classes.SUPPORTED), "confirmed_absent").otherwise("unsupported_format")
-    state = F.when(F.col("honesty") != "confirmable", "not_attempted").when(n > 0, "confirmed_present").otherwise(absent)
-    return per_file.join(dim, "format").select("asset_id", "format", "class", "honesty", state.alias("state"), n.alias("n"))
+    state = (
+        F.when(F.col("class").isNull(), "unsupported_format").when(F.col("honesty") != "confirmable", "not_attempted")
+        .when(of["broken"], "malformed").when(n > 0, "confirmed_present").otherwise(absent)
+    )
+    return per_file.join(dim, "format", "left_outer").select("asset_id", "format", "class", "honesty", state.alias("state"), n.alias("n"))
 
 
 def camera_hint(makes: list[str]) -> Column:

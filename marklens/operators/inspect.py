@@ -12,10 +12,8 @@ from ..plans import classes
 def scanned(assets: DataFrame, id_col: str = "asset_id", text_col: str = "text") -> DataFrame:
     """id, format, n_hygiene, n_malformed, n_wrapper, invisibles, c2pa: a row per text asset."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = assets.select(
-        id_col, T.sniffed(text.cast("binary")).alias("format"), T.hygiene_count(text).alias("n_hygiene"),
-        T.kind_count(text, "M").alias("n_malformed"), T.kind_count(text, "W").alias("n_wrapper"),
-    )
+    counted = assets.select(id_col, T.sniffed(text.cast("binary")).alias("format"), T.counted(text).alias("n"))
+    counted = counted.select(id_col, "format", F.col("n.hygiene").alias("n_hygiene"), F.col("n.malformed").alias("n_malformed"), F.col("n.wrapper").alias("n_wrapper"))
     absent = F.when(F.col("format").isin(classes.SUPPORTED), "confirmed_absent").otherwise("unsupported_format")
     state = F.when(F.col("n_hygiene") > 0, "confirmed_present").when(F.col("n_malformed") > 0, "malformed").otherwise(absent)
     return counted.select("*", state.alias("invisibles"), F.when(F.col("n_wrapper") > 0, "confirmed_present").alias("c2pa"))
@@ -31,18 +29,19 @@ def scan_states(scan: DataFrame, id_col: str = "asset_id") -> DataFrame:
 
 def cleaned(assets: DataFrame, id_col: str = "asset_id", text_col: str = "text") -> DataFrame:
     """id, before, after, changed, exit_code: 30 where only malformed runs are found, else 0."""
-    before = F.coalesce(F.col(text_col), F.lit(""))
-    fails = (T.hygiene_count(before) == 0) & (T.kind_count(before, "M") > 0)
-    after = F.when(fails, before).otherwise(T.cleaned(before))
-    out = assets.select(id_col, before.alias("before"), after.alias("after"), F.when(fails, 30).otherwise(0).alias("exit_code"))
+    rows = assets.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("before"))
+    rows = rows.select(id_col, "before", T.counted(F.col("before")).alias("n"))
+    fails = (F.col("n.hygiene") == 0) & (F.col("n.malformed") > 0)
+    out = rows.select(id_col, "before", F.when(fails, F.col("before")).otherwise(T.cleaned(F.col("before"))).alias("after"), F.when(fails, 30).otherwise(0).alias("exit_code"))
     return out.withColumn("changed", F.col("before") != F.col("after"))
 
 
 def verified(clean: DataFrame, id_col: str = "asset_id") -> DataFrame:
     """id, verified, exit_code: 30 where the output's state is malformed, 10 where it holds what cleaning removes."""
-    hygiene, malformed = T.hygiene_count(F.col("after")) > 0, T.kind_count(F.col("after"), "M") > 0
+    rows = clean.select(id_col, "exit_code", T.counted(F.col("after")).alias("n"))
+    hygiene, malformed = F.col("n.hygiene") > 0, F.col("n.malformed") > 0
     code = F.when(F.col("exit_code") != 0, F.col("exit_code")).when(~hygiene & malformed, 30).when(hygiene, 10).otherwise(0)
-    return clean.select(id_col, (code == 0).alias("verified"), code.alias("exit_code"))
+    return rows.select(id_col, (code == 0).alias("verified"), code.alias("exit_code"))
 
 
 def worst_exit(codes: DataFrame, *by: str) -> DataFrame:
@@ -58,3 +57,36 @@ def spans(assets: DataFrame, id_col: str = "asset_id", text_col: str = "text") -
     upto = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("byte_end", F.sum(F.octet_length("token")).over(upto)).withColumn("kind", T.token_kind(F.col("token")))
     return found.where("kind <> 'T'").select(id_col, "kind", (F.col("byte_end") - F.octet_length("token")).alias("byte_start"), "byte_end")
+
+
+def located(assets: DataFrame, id_col: str = "asset_id", text_col: str = "text") -> DataFrame:
+    """id, class, state, locations, evidence: a row per text asset and class found, with byte offsets.
+
+    Only texts that hold a mark are looked at further, so the windows see few rows.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = assets.select(F.struct(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    rows = rows.where(F.col("text").rlike(f"[{T.SELECTORS}{T.HYGIENE_SET}]"))
+    found = rows.select("id", "row", F.posexplode(F.regexp_extract_all("text", F.lit(T.SPAN_OR_TEXT), F.lit(1))).alias("at", "token"))
+    upto = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.select("id", "row", F.octet_length("token").cast("long").alias("length"), F.sum(F.octet_length("token")).over(upto).alias("end"), kind_of_span(F.col("token")).alias("kind"))
+    found = found.where("kind <> 'T'").withColumn("offset", F.col("end") - F.col("length"))
+    of_class = F.when(F.col("kind") == "W", "c2pa").otherwise("invisibles")
+    where = F.struct(
+        F.when(F.col("kind") == "W", "text C2PA wrapper").otherwise("text").alias("container"), "offset", "length",
+        F.when(F.col("kind") == "W", "variation-selector wrapper").otherwise("invisible character").alias("detail"),
+    )
+    grouped = found.groupBy("id", "row", of_class.alias("class")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") != "M", where))).alias("locations"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "M", F.col("offset")))).alias("runs"),
+        F.count(F.when(F.col("kind") == "H", 1)).alias("hygiene"),
+    )
+    note = F.transform("runs", lambda at: F.format_string("wrapper-shaped variation-selector run at byte %d did not parse, left alone", at))
+    count = F.when(F.col("hygiene") > 0, F.array(F.format_string("%d invisible characters", "hygiene"))).otherwise(F.array().cast("array<string>"))
+    state = F.when((F.col("class") == "invisibles") & (F.col("hygiene") == 0), "malformed").otherwise("confirmed_present")
+    by_offset = F.array_sort("locations", lambda x, y: (x["offset"] - y["offset"]).cast("int"))
+    return grouped.select("id.*", "class", state.alias("state"), by_offset.alias("locations"), F.concat(count, note).alias("evidence"))
+
+
+def kind_of_span(token):
+    return F.when(token.rlike(f"^{T.HYGIENE}$"), "H").otherwise(T.token_kind(token))

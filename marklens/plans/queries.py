@@ -17,9 +17,9 @@ def selectors(message: str) -> str:
 
 #: By doc_id % 10, what is put before and after the text.
 MARKS = {
-    0: ("zero​width ", ""), 1: ("‮", "‬"), 2: ("caption", selectors("jumb c2pa manifest")), 3: ("x" + "️" * 12, ""),
-    4: ("# Generator: X\n", ""), 5: ("<p>x</p><!-- Generator: X --><p>y</p>\n", ""), 6: ('<meta name="generator" content="X">\n', ""),
-    8: ("x" + "️" * 12 + "​", ""), 9: ("<metadata>a</metadata>b️c ", ""),
+    0: ("soft\u00adhyphen ", ""), 1: ("\u2066", "\u2069"), 2: ("figure", selectors("store jumb/C2pa box")), 3: ("y" + "\ufe0e" * 9, ""),
+    4: ("// generator: tool 7\n", ""), 5: ("<b>q</b><!-- created with tool 7 --><i>r</i>\n", ""), 6: ("<meta content=a name=generator >\n", ""),
+    7: ("\ue000 kept \ue002\n<!-- made by a Generator -->\n\ue000\n", ""), 8: ("z" + "\ufe01" * 8 + "\u2060", ""), 9: ("<metadata>k</metadata>d\ufe0fe ", "\n -- x-generator: y"),
 }
 MARKED = "CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN '{a}' || coalesce(text, '') || '{b}'" for k, (a, b) in MARKS.items()) + " ELSE coalesce(text, '') END"
 
@@ -57,29 +57,46 @@ def verify(spark, sf_dir):
     return inspect.verified(inspect.cleaned(marked(spark, sf_dir), "doc_id"), "doc_id")
 
 
-def worst_by_source(spark, sf_dir):
+#: By doc_id % 13, exit codes that later steps may give (a collision, an unreadable file, ...), put in so that all six occur.
+CODES = {1: 10, 2: 50, 3: 40, 4: 2}
+
+
+def worst_by_group(spark, sf_dir):
+    """By source and doc_id % 50: groups in which the worst code is not the largest one."""
     done = inspect.verified(inspect.cleaned(marked(spark, sf_dir).withColumn("id", F.struct("doc_id", "source")), "id"), "id")
-    return inspect.worst_exit(done.select(F.col("id.source").alias("source"), "exit_code"), "source")
+    code = F.col("exit_code")
+    for k, put in CODES.items():
+        code = F.when(F.col("id.doc_id") % 13 == k, put).otherwise(code)
+    return inspect.worst_exit(done.select(F.col("id.source").alias("source"), (F.col("id.doc_id") % 50).alias("part"), code.alias("exit_code")), "source", "part")
 
 
-#: By doc_id % 5, the start of a media file (the text follows as its data) and what its report says is there.
+#: By doc_id % 8, a media file around the text (its bytes are T, little-endian length L), and its classes found or malformed.
 FILES = {
-    0: ("FFD8" "FFE10024" + (b"http://ns.adobe.com/xap/1.0/\0" + b"<x/>\n").hex() + "FFDA", "jpeg", ["xmp"]),
-    1: ("FFD8" "FFEB0006" + b"jumb".hex() + "FFED0010" + b"Photoshop 3.0\0".hex() + "FFDA0000", "jpeg", ["c2pa", "iptc"]),
-    2: ("664C6143" "00000002ABCD" "84000001FF", "flac", ["vorbis"]),
-    3: ("664C6143" "80000002ABCD", "flac", []),
+    0: ("FFD8" "FFE10024" + (b"http://ns.adobe.com/xap/1.0/\0" + b"<x/>\n").hex() + "FFDA", "jpeg", ["xmp"], []),
+    1: ("FFD8" "FFEB0006" + b"jumb".hex() + "FFED0010" + b"Photoshop 3.0\0".hex() + "FFDA0000", "jpeg", ["c2pa", "iptc"], []),
+    2: ("664C6143" "00000002ABCD" "84000001FF", "flac", ["vorbis"], []),
+    3: ("664C6143" "80000002ABCD", "flac", [], []),
+    4: ("89504E470D0A1A0A" "00000003" + b"tEXta\0b".hex() + "00000000" "00000000" + b"IEND".hex() + "00000000", "png", ["png_text"], []),
+    5: ("89504E470D0A1A0A" "00000004" + b"caBXjumb".hex() + "00000000" "7FFFFFFF" + b"IDAT".hex(), "png", ["c2pa"], ["png_text", "exif", "xmp"]),
+    6: ("00000010" + b"ftypM4A 0000".hex() + "0000000E" + b"uuid..jumb".hex() + "00000000" + b"mdat".hex(), "isobmff", ["c2pa"], []),
+    7: (b"ID3\4\0\0\0\0\0\4TXXX".hex(), "mp3", ["id3"], ["ape", "mp3_info", "mp3_ancillary"]),
 }
 
 
 def container_states(spark, sf_dir):
     start = F.lit(None).cast("binary")
-    for k, (hexed, _, _) in FILES.items():
-        start = F.when(F.col("doc_id") % 5 == k, F.unhex(F.lit(hexed))).otherwise(start)
+    for k, (hexed, *_) in FILES.items():
+        start = F.when(F.col("doc_id") % 8 == k, F.unhex(F.lit(hexed))).otherwise(start)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = docs.select(F.col("doc_id").alias("asset_id"), F.concat(start, F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
     return containers.states(files).withColumnRenamed("asset_id", "doc_id")
 
 
+def text_locations(spark, sf_dir):
+    found = inspect.located(marked(spark, sf_dir), "doc_id").select("doc_id", "class", "state", F.explode_outer("locations").alias("l"), F.array_join("evidence", "; ").alias("evidence"))
+    return found.select("doc_id", "class", "state", F.col("l.offset").alias("byte_start"), F.col("l.length").alias("length"), F.col("l.detail").alias("detail"), "evidence")
+
+
 QUERIES = {
     "sniff_format": sniff_format,
     "scan_text": scan,
@@ -88,46 +105,75 @@ QUERIES = {
     "selector_spans": lambda s, d: inspect.spans(marked(s, d), "doc_id"),
     "clean_text": clean,
     "verify_text": verify,
-    "worst_exit": worst_by_source,
+    "worst_exit": worst_by_group,
     "container_states": container_states,
+    "text_locations": text_locations,
 }
 
-# the SQL twins
-_q = lambda pattern: pattern.replace("'", "''")
-_KIND = f"CASE WHEN NOT regexp_matches(tok, '^[{T.SELECTORS}]') THEN 'T' WHEN regexp_matches(tok, '{T.WRAPPER}') THEN 'W' WHEN length(tok) >= {T.MALFORMED_RUN} THEN 'M' ELSE 'H' END"
-_DOCS = f"""d AS (SELECT doc_id, lang, source, {MARKED} AS t FROM documents),
-tok AS (SELECT doc_id, i, tok, {_KIND} AS kind FROM (
-  SELECT doc_id, unnest(regexp_extract_all(t, '{T.RUN_OR_TEXT}', 1)) AS tok, unnest(range(len(regexp_extract_all(t, '{T.RUN_OR_TEXT}', 1)))) AS i FROM d)),
-n AS (SELECT doc_id, count(*) FILTER (kind = 'H') AS h, count(*) FILTER (kind = 'M') AS m, count(*) FILTER (kind = 'W') AS w,
-  coalesce(string_agg(tok, '' ORDER BY i) FILTER (kind <> 'H'), '') AS kept FROM tok GROUP BY doc_id),
-s AS (SELECT d.doc_id, lang, source, t, coalesce(kept, '') AS kept,
-  (coalesce(h, 0) + len(regexp_extract_all(t, '{T.HYGIENE}')))::BIGINT AS n_hygiene, coalesce(m, 0)::BIGINT AS n_malformed, coalesce(w, 0)::BIGINT AS n_wrapper
-  FROM d LEFT JOIN n USING (doc_id)),
+# The SQL twins, written by themselves: they share no pattern with the expressions above. RE2 reads them.
+_SEL = r"\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
+_ODD = r"\x{AD}\x{1680}\x{2000}-\x{200F}\x{202A}-\x{202F}\x{205F}-\x{2064}\x{2066}-\x{2069}\x{3000}\x{FEFF}"
+_KIND = rf"""CASE WHEN NOT regexp_matches(tok, '^[{_SEL}]') THEN 'T'
+  WHEN regexp_matches(tok, '\x{{E015A}}\x{{E0165}}\x{{E015D}}\x{{E0152}}|[\x{{E0133}}\x{{E0153}}]\x{{E0122}}[\x{{E0140}}\x{{E0160}}][\x{{E0131}}\x{{E0151}}]') THEN 'W'
+  WHEN length(tok) > 7 THEN 'M' ELSE 'H' END"""
+
+
+def _tokens(of: str, source: str, name: str) -> str:
+    """{name}: tokens of a column, numbered, with kinds; {name}_n: how many of each kind a document has."""
+    runs = f"regexp_extract_all({of}, '[{_SEL}]+|[^{_SEL}]+')"
+    return f"""{name} AS (SELECT doc_id, i, tok, {_KIND} AS kind FROM (SELECT doc_id, unnest({runs}) AS tok, unnest(range(len({runs}))) AS i FROM {source})),
+{name}_n AS (SELECT doc_id, count(*) FILTER (kind = 'H') AS h, count(*) FILTER (kind = 'M') AS m, count(*) FILTER (kind = 'W') AS w,
+  string_agg(tok, '' ORDER BY i) FILTER (kind <> 'H') AS kept FROM {name} GROUP BY doc_id)"""
+
+
+_WS = r"[ \t\r\f\v]"
+_DOCS = rf"""d AS (SELECT doc_id, lang, source, {MARKED} AS t FROM documents),
+{_tokens('t', 'd', 'tok')},
+s AS (SELECT d.doc_id, lang, source, t, coalesce(kept, '') AS kept, (coalesce(h, 0) + len(regexp_extract_all(t, '[{_ODD}]')))::BIGINT AS n_hygiene,
+  coalesce(m, 0)::BIGINT AS n_malformed, coalesce(w, 0)::BIGINT AS n_wrapper FROM d LEFT JOIN tok_n USING (doc_id)),
 r AS (SELECT *, CASE WHEN regexp_matches(lower(ltrim(t)), '^(<!doctype html|<html)') THEN 'html' WHEN starts_with(lower(ltrim(t)), '<svg') THEN 'svg' ELSE 'text' END AS format,
   CASE WHEN n_hygiene > 0 THEN 'confirmed_present' WHEN n_malformed > 0 THEN 'malformed' ELSE 'confirmed_absent' END AS invisibles,
   CASE WHEN n_wrapper > 0 THEN 'confirmed_present' END AS c2pa FROM s),
+cut AS (SELECT *, array_to_string(list_transform(
+    regexp_extract_all(regexp_replace(regexp_replace(kept, '[{_ODD}]', '', 'g'), '(?s)<metadata.*?</metadata>', '', 'g'), '(?s)(?i:<meta)[^>]*>|<!--.*?-->|<|[^<]+'),
+    lambda x: CASE WHEN regexp_matches(lower(x), '(?s)^<meta[^>]*\sname\s*=\s*["'']?\s*generator\s*["''\s/>]') OR regexp_matches(lower(x), '(?s)^<!--.*(generator|created with)')
+      THEN chr(63742) ELSE x END), '') AS joined FROM r),
 c AS (SELECT *, CASE WHEN n_hygiene = 0 AND n_malformed > 0 THEN t ELSE
-  regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(
-    regexp_extract_all(regexp_replace(regexp_replace(kept, '{T.HYGIENE}', '', 'g'), '(?s)<metadata.*?</metadata>', '', 'g'), '{T.ELEMENT_OR_TEXT}', 1),
-    lambda x: CASE WHEN regexp_matches(x, '{_q(T.GENERATOR_META)}') OR regexp_matches(x, '{T.GENERATOR_COMMENT}') THEN '{T.CUT}' ELSE x END), ''),
-    '{T.CUT_LINE}', '', 'g'), '{T.CUT}', '', 'g'), '{_q(T.BANNER)}', '', 'g') END AS after,
-  CASE WHEN n_hygiene = 0 AND n_malformed > 0 THEN 30 ELSE 0 END AS exit_code FROM r)"""
+  regexp_replace(replace(regexp_replace(joined, '(?m)^{_WS}*(?:\x{{F8FE}}{_WS}*)+(?:\n|\z)', '', 'g'), chr(63742), ''),
+    '(?im)^{_WS}*((#|//|;|--|%|rem |'')[^\n]*generator:|(x-)?generator:)[^\n]*(\n|\z)', '', 'g') END AS after,
+  CASE WHEN n_hygiene = 0 AND n_malformed > 0 THEN 30 ELSE 0 END AS exit_code FROM cut),
+{_tokens('after', 'c', 'out')},
+v AS (SELECT c.doc_id, source, CASE WHEN exit_code <> 0 THEN exit_code WHEN coalesce(h, 0) + len(regexp_extract_all(after, '[{_ODD}]')) > 0 THEN 10
+  WHEN coalesce(m, 0) > 0 THEN 30 ELSE 0 END AS exit_code FROM c LEFT JOIN out_n USING (doc_id))"""
 
 _REPORTS = [
-    (k, form, c, honesty, "not_attempted" if honesty != "confirmable" else "confirmed_present" if c in found else "confirmed_absent", int(c in found))
-    for k, (_, form, found) in FILES.items()
+    (k, form, c, honesty, "not_attempted" if honesty != "confirmable" else "confirmed_present" if c in found else "malformed" if c in broken else "confirmed_absent", int(c in found))
+    for k, (_, form, found, broken) in FILES.items()
     for honesty, table in (("confirmable", classes.CONFIRMABLE), ("blind", classes.BLIND), ("unaddressed", classes.UNADDRESSED))
     for c in table.get(form, ())
 ]
+_PUT = " ".join(f"WHEN {k} THEN {code}" for k, code in CODES.items())
+_SPANS = f"regexp_extract_all(t, '[{_SEL}]+|[{_ODD}]|[^{_SEL}{_ODD}]+')"
 
 ORACLES = {
-    "container_states": f"SELECT doc_id, format, class, honesty, state, n::BIGINT AS n FROM documents JOIN (VALUES {', '.join(map(str, _REPORTS))}) r(k, format, class, honesty, state, n) ON doc_id % 5 = k",
+    "container_states": f"""SELECT doc_id, format, class, honesty, state, n::BIGINT AS n FROM documents JOIN (VALUES {', '.join(map(str, _REPORTS))}) r(k, format, class, honesty, state, n) ON doc_id % 8 = k
+UNION ALL SELECT doc_id, NULL, NULL, NULL, 'unsupported_format', 0 FROM documents WHERE doc_id IS NULL""",
     "sniff_format": "SELECT origin, CASE WHEN regexp_matches(lower(ltrim(t)), '^(<!doctype html|<html)') THEN 'html' ELSE 'text' END AS format, count(*) AS n FROM (SELECT 'documents' AS origin, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'pages', coalesce(html, '') FROM pages) GROUP BY ALL",
     "scan_text": f"WITH {_DOCS} SELECT doc_id, format, n_hygiene, n_malformed, n_wrapper, invisibles, c2pa FROM r",
     "scan_states": f"WITH {_DOCS} SELECT doc_id, 'invisibles' AS class, 'confirmable' AS honesty, invisibles AS state FROM r UNION ALL SELECT doc_id, 'c2pa', 'confirmable', c2pa FROM r WHERE c2pa IS NOT NULL",
     "state_by_lang": f"WITH {_DOCS} SELECT lang, invisibles, count(*) AS n, sum(n_hygiene)::BIGINT AS n_hygiene FROM r GROUP BY ALL",
     "selector_spans": f"WITH {_DOCS} SELECT doc_id, kind, byte_end - strlen(tok) AS byte_start, byte_end FROM (SELECT *, sum(strlen(tok)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS byte_end FROM tok) WHERE kind <> 'T'",
     "clean_text": f"WITH {_DOCS} SELECT doc_id, t <> after AS changed, exit_code, sha256(after) AS after_sha256 FROM c",
-    "verify_text": f"WITH {_DOCS} SELECT doc_id, exit_code = 0 AS verified, exit_code FROM c",
-    "worst_exit": f"WITH {_DOCS} SELECT source, max(exit_code) AS worst_exit, count(*) AS n FROM c GROUP BY source",
+    "verify_text": f"WITH {_DOCS} SELECT doc_id, exit_code = 0 AS verified, exit_code FROM v",
+    "worst_exit": f"""WITH {_DOCS}, e AS (SELECT source, doc_id % 50 AS part, CASE doc_id % 13 {_PUT} ELSE exit_code END AS code FROM v)
+SELECT source, part, (ARRAY[0, 10, 50, 30, 40, 2])[max(list_position([0, 10, 50, 30, 40, 2], code))] AS worst_exit, count(*) AS n FROM e GROUP BY source, part""",
+    "text_locations": f"""WITH {_DOCS}, sp AS (SELECT doc_id, unnest({_SPANS}) AS tok, unnest(range(len({_SPANS}))) AS i FROM d),
+k AS (SELECT doc_id, tok, CASE WHEN regexp_matches(tok, '^[{_ODD}]$') THEN 'H' ELSE {_KIND} END AS kind, sum(strlen(tok)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT - strlen(tok) AS pos FROM sp),
+g AS (SELECT doc_id, CASE WHEN kind = 'W' THEN 'c2pa' ELSE 'invisibles' END AS class, count(*) FILTER (kind = 'H') AS h,
+  string_agg('wrapper-shaped variation-selector run at byte ' || pos || ' did not parse, left alone', '; ' ORDER BY pos) FILTER (kind = 'M') AS runs FROM k WHERE kind <> 'T' GROUP BY ALL),
+l AS (SELECT doc_id, CASE WHEN kind = 'W' THEN 'c2pa' ELSE 'invisibles' END AS class, pos, strlen(tok) AS length FROM k WHERE kind IN ('W', 'H'))
+SELECT doc_id, class, CASE WHEN class = 'invisibles' AND h = 0 THEN 'malformed' ELSE 'confirmed_present' END AS state, pos AS byte_start, length,
+  CASE WHEN pos IS NULL THEN NULL WHEN class = 'c2pa' THEN 'variation-selector wrapper' ELSE 'invisible character' END AS detail,
+  concat_ws('; ', CASE WHEN h > 0 THEN h || ' invisible characters' END, runs) AS evidence
+FROM g LEFT JOIN l USING (doc_id, class)""",
 }
