@@ -6,6 +6,8 @@ last place where it may end. LF is the only line end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ ESCAPED = {"\ue000": "\ue000\ue001", "\ue002": "\ue000\ue003"}
 CUT_LINE = r"(?dm)^[ \t\r\f\x0B]*+\x{E000}\x{E002}[ \t\r\f\x0B\x{E000}\x{E002}]*+(?:\n|\z)"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often use names it: a plan would else hold (and run) a copy for each."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(text: Column) -> Column:
     """Runs of variation selectors and the text between them, in order."""
     return F.regexp_extract_all(text, F.lit(RUN_OR_TEXT), F.lit(1))
@@ -46,19 +53,18 @@ def token_kind(token: Column) -> Column:
 
 
 def counted(text: Column) -> Column:
-    """struct<hygiene, malformed, wrapper>: how many marks of each kind, in one pass over the tokens."""
-    zero = F.lit(0).cast("long")
+    """struct<hygiene, malformed, wrapper>: how many marks of each kind, in one pass over the runs of selectors."""
 
-    def add(total: Column, token: Column) -> Column:
-        kind = token_kind(token)
-        one = lambda k: F.when(kind == k, 1).otherwise(0)
-        return F.struct((total["hygiene"] + one("H")).alias("hygiene"), (total["malformed"] + one("M")).alias("malformed"), (total["wrapper"] + one("W")).alias("wrapper"))
+    def totals(text: Column) -> Column:
+        kinds = F.transform(F.regexp_extract_all(text, F.lit(f"([{SELECTORS}]+)"), F.lit(1)), token_kind)
+        how_many = lambda kinds, k: F.size(F.filter(kinds, lambda x: x == k)).cast("long")
+        single = F.regexp_count(text, F.lit(HYGIENE)).cast("long")
+        return bound(kinds, lambda ks: F.struct((how_many(ks, "H") + single).alias("hygiene"), how_many(ks, "M").alias("malformed"), how_many(ks, "W").alias("wrapper")))
 
-    runs = F.aggregate(F.regexp_extract_all(text, F.lit(f"([{SELECTORS}]+)"), F.lit(1)), F.struct(zero.alias("hygiene"), zero.alias("malformed"), zero.alias("wrapper")), add)
-    # most texts have no mark: one look spares them the rest
+    zero = F.lit(0).cast("long")
     none = F.struct(zero.alias("hygiene"), zero.alias("malformed"), zero.alias("wrapper"))
-    some = F.struct((runs["hygiene"] + F.regexp_count(text, F.lit(HYGIENE))).cast("long").alias("hygiene"), runs["malformed"].alias("malformed"), runs["wrapper"].alias("wrapper"))
-    return F.when(text.rlike(f"[{SELECTORS}{HYGIENE_SET}]"), some).otherwise(none)
+    # most texts have no mark: one look spares them the rest
+    return bound(text, lambda t: F.when(t.rlike(f"[{SELECTORS}{HYGIENE_SET}]"), totals(t)).otherwise(none))
 
 
 def without_invisibles(text: Column) -> Column:
@@ -69,31 +75,39 @@ def without_invisibles(text: Column) -> Column:
 
 def without_metadata(text: Column) -> Column:
     """Cuts from the first opening to the first closing tag, again and again, until a closing tag comes first."""
-    parts = F.split(text, CLOSE, -1)  # the last one has no closing tag behind it
-    ended = F.slice(parts, 1, F.size(parts) - 1)
-    stop = F.array_position(F.transform(ended, lambda p: p.contains(OPEN)), False)
-    n = F.when(stop > 0, stop - 1).otherwise(F.size(ended)).cast("int")  # parts that are cut
-    before = F.array_join(F.transform(F.slice(parts, F.lit(1), n), lambda p: F.substring_index(p, OPEN, 1)), "")
-    return F.when(text.contains(OPEN) & text.contains(CLOSE), F.concat(before, F.array_join(F.slice(parts, n + 1, F.size(parts) - n), CLOSE))).otherwise(text)
+
+    def cut(parts: Column) -> Column:  # the last one has no closing tag behind it
+        stop = F.array_position(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.contains(OPEN)), False)
+        return bound(F.when(stop > 0, stop - 1).otherwise(F.size(parts) - 1).cast("int"), lambda n: joined(parts, n))
+
+    def joined(parts: Column, n: Column) -> Column:  # of which the first n are cut
+        before = F.array_join(F.transform(F.slice(parts, F.lit(1), n), lambda p: F.substring_index(p, OPEN, 1)), "")
+        return F.concat(before, F.array_join(F.slice(parts, n + 1, F.size(parts) - n), CLOSE))
+
+    return F.when(text.contains(OPEN) & text.contains(CLOSE), bound(F.split(text, CLOSE, -1), cut)).otherwise(text)
 
 
 def without_generator_elements(text: Column) -> Column:
     """Cuts generator <meta> tags and comments; one alone on its line takes the line."""
-    # no comment ends behind the last -->, and no tag behind the last >
-    tail = F.substring_index(text, "-->", -1)
-    head = F.left(text, F.length(text) - F.length(tail))
-    rest = F.substring_index(tail, ">", -1)
-    middle = F.left(tail, F.length(tail) - F.length(rest))
-    parts = F.concat(F.regexp_extract_all(head, F.lit(ELEMENT_OR_TEXT), F.lit(1)), F.regexp_extract_all(middle, F.lit(TAG_OR_TEXT), F.lit(1)))
 
     def escaped(t: Column) -> Column:
         return F.replace(F.replace(t, F.lit(ESCAPE), F.lit(ESCAPED[ESCAPE])), F.lit(GONE), F.lit(ESCAPED[GONE]))
 
-    marked = F.transform(parts, lambda t: F.when(t.rlike(GENERATOR_META) | t.rlike(GENERATOR_COMMENT), F.lit(ESCAPE + GONE)).otherwise(escaped(t)))
-    out = F.regexp_replace(F.concat(F.array_join(marked, ""), escaped(rest)), CUT_LINE, "")
-    out = F.replace(out, F.lit(ESCAPE + GONE), F.lit(""))
-    out = F.replace(F.replace(out, F.lit(ESCAPED[GONE]), F.lit(GONE)), F.lit(ESCAPED[ESCAPE]), F.lit(ESCAPE))
-    return F.when(text.rlike("(?i)<meta|<!--"), out).otherwise(text)
+    def marked(t: Column) -> Column:
+        return F.when(t.rlike(GENERATOR_META) | t.rlike(GENERATOR_COMMENT), F.lit(ESCAPE + GONE)).otherwise(escaped(t))
+
+    def elements(before: Column, pattern: str) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(before, F.lit(pattern), F.lit(1)), marked), "")
+
+    def without(text: Column, tail: Column, rest: Column) -> Column:
+        upto = lambda t, end: F.left(t, F.length(t) - F.length(end))
+        out = F.concat(elements(upto(text, tail), ELEMENT_OR_TEXT), elements(upto(tail, rest), TAG_OR_TEXT), escaped(rest))
+        out = F.replace(F.regexp_replace(out, CUT_LINE, ""), F.lit(ESCAPE + GONE), F.lit(""))
+        return F.replace(F.replace(out, F.lit(ESCAPED[GONE]), F.lit(GONE)), F.lit(ESCAPED[ESCAPE]), F.lit(ESCAPE))
+
+    # no comment ends behind the last -->, and no tag behind the last >
+    cut = bound(F.substring_index(text, "-->", -1), lambda tail: bound(F.substring_index(tail, ">", -1), lambda rest: without(text, tail, rest)))
+    return F.when(text.rlike("(?i)<meta|<!--"), cut).otherwise(text)
 
 
 def without_banners(text: Column) -> Column:
@@ -102,11 +116,17 @@ def without_banners(text: Column) -> Column:
 
 def cleaned(text: Column) -> Column:
     """Privacy scrub: invisible characters, then generator headers. Provenance wrappers stay."""
-    return without_banners(without_generator_elements(without_metadata(without_invisibles(text))))
+    for step in (without_invisibles, without_metadata, without_generator_elements):
+        text = bound(text, step)
+    return without_banners(text)
 
 
 def sniffed(content: Column) -> Column:
     """The format by leading bytes, then by the start of valid UTF-8 text; else unknown."""
+    return bound(content, _sniffed)
+
+
+def _sniffed(content: Column) -> Column:
     starts = lambda at, hexed: F.substring(content, at, len(hexed) // 2) == F.unhex(F.lit(hexed))
     text = content.cast("string")
     head = F.translate(F.regexp_replace(F.substring(text, 1, 512), r"^\p{IsWhite_Space}+", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import containers, inspect
-from . import classes
+from ..operators import containers, inspect, report
+from . import classes, policy
+
+
+def selectors_of(content: bytes) -> str:
+    """Bytes as variation selectors."""
+    return "".join(chr(0xFE00 + b if b < 16 else 0xE0100 + b - 16) for b in content)
 
 
 def selectors(message: str) -> str:
-    """A message's bytes as variation selectors."""
-    return "".join(chr(0xFE00 + b if b < 16 else 0xE0100 + b - 16) for b in message.encode())
+    return selectors_of(message.encode())
 
 
 #: By doc_id % 10, what is put before and after the text.
@@ -97,6 +101,32 @@ def text_locations(spark, sf_dir):
     return found.select("doc_id", "class", "state", F.col("l.offset").alias("byte_start"), F.col("l.length").alias("length"), F.col("l.detail").alias("detail"), "evidence")
 
 
+def as_assets(rows, id_col="doc_id"):
+    return rows.select(F.col(id_col).alias("asset_id"), F.col("text").cast("binary").alias("content"))
+
+
+def report_rows(spark, sf_dir):
+    made = report.reports(report.detections(as_assets(marked(spark, sf_dir))))
+    return made.select(
+        F.col("asset_id").alias("doc_id"), "format", "exit_code", F.size("scan_states").alias("n_states"),
+        F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["class"], f["scan_state"], F.size(f["locations"]))), ",").alias("findings"),
+    )
+
+
+def verify_report(spark, sf_dir):
+    """Cleaned texts against reports that say their invisible characters are gone; every third is of another policy."""
+    done = inspect.cleaned(marked(spark, sf_dir), "doc_id")
+    other = F.when(F.col("doc_id") % 3 == 0, '"another"').otherwise("null")
+    made = done.select(F.col("doc_id").alias("asset_id"), F.format_string('{"policy_digest": %s, "stripped_and_proven_gone": ["invisible Unicode"]}', other).alias("value"))
+    found = report.detections(as_assets(done.withColumnRenamed("after", "text")))
+    return report.verified_against(made, found).select(F.col("asset_id").alias("doc_id"), "verified", "exit_code", F.array_join("problems", "; ").alias("problems"))
+
+
+def plan_rows(spark, sf_dir):
+    plan = policy.planned(spark, keep=["id3", "Strip-XMP"], no_degrade=True)
+    return plan.select("format", "place", "id", "name", "runs", "reason")
+
+
 QUERIES = {
     "sniff_format": sniff_format,
     "scan_text": scan,
@@ -108,6 +138,9 @@ QUERIES = {
     "worst_exit": worst_by_group,
     "container_states": container_states,
     "text_locations": text_locations,
+    "report_rows": report_rows,
+    "verify_report": verify_report,
+    "plan_rows": plan_rows,
 }
 
 # The SQL twins, written by themselves: they share no pattern with the expressions above. RE2 reads them.
@@ -176,4 +209,18 @@ SELECT doc_id, class, CASE WHEN class = 'invisibles' AND h = 0 THEN 'malformed'
   CASE WHEN pos IS NULL THEN NULL WHEN class = 'c2pa' THEN 'variation-selector wrapper' ELSE 'invisible character' END AS detail,
   concat_ws('; ', CASE WHEN h > 0 THEN h || ' invisible characters' END, runs) AS evidence
 FROM g LEFT JOIN l USING (doc_id, class)""",
+    "report_rows": f"""WITH {_DOCS}, sp AS (SELECT doc_id, unnest({_SPANS}) AS tok FROM d),
+k AS (SELECT doc_id, count(*) FILTER (kind = 'H') AS h, count(*) FILTER (kind = 'W') AS w FROM (
+  SELECT doc_id, CASE WHEN regexp_matches(tok, '^[{_ODD}]$') THEN 'H' ELSE {_KIND} END AS kind FROM sp) GROUP BY doc_id)
+SELECT doc_id, format, CASE WHEN invisibles = 'malformed' THEN 30 ELSE 0 END AS exit_code, 1 + (c2pa IS NOT NULL)::INT AS n_states,
+  concat_ws(',', CASE WHEN c2pa IS NOT NULL THEN 'c2pa:' || c2pa || ':' || w END, CASE WHEN invisibles <> 'confirmed_absent' THEN 'invisibles:' || invisibles || ':' || h END) AS findings
+FROM r LEFT JOIN k USING (doc_id)""",
+    "verify_report": f"""WITH {_DOCS}, o AS (SELECT c.doc_id, coalesce(h, 0) + len(regexp_extract_all(after, '[{_ODD}]')) AS h, coalesce(m, 0) AS m FROM c LEFT JOIN out_n USING (doc_id)),
+p AS (SELECT doc_id, h = 0 AND m > 0 AS bad, concat_ws('; ', CASE WHEN doc_id % 3 = 0 THEN 'policy digest does not match' END, CASE WHEN h > 0 THEN 'invisible Unicode is present again in the output' END) AS said FROM o)
+SELECT doc_id, NOT bad AND said = '' AS verified, CASE WHEN bad THEN 30 WHEN said <> '' THEN 10 ELSE 0 END AS exit_code,
+  CASE WHEN bad THEN 'invisible Unicode is malformed in the output' ELSE said END AS problems FROM p""",
+    "plan_rows": f"""WITH t AS (SELECT unnest([{', '.join(f"{{'id': '{i}', 'name': '{n}', 'place': {o}, 'kind': '{k}', 'formats': {f}, 'targets': {c}::VARCHAR[]}}" for i, n, o, k, f, c in policy.TRANSFORMS)}]) AS t),
+x AS (SELECT unnest(t.formats) AS format, t.place AS place, t.id AS id, t.name AS name, CASE WHEN t.kind IN ('pixel', 'audio') THEN 'kept by flag --no-degrade'
+  WHEN list_contains(t.targets, 'id3') THEN 'kept by flag --keep id3' WHEN t.name = 'strip-xmp' THEN 'kept by flag --keep Strip-XMP' END AS reason FROM t)
+SELECT format, place, id, name, reason IS NULL AS runs, reason FROM x""",
 }
