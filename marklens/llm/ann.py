@@ -14,7 +14,8 @@ Nearness is Euclidean distance in double precision; the score is computed from t
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 null ids, nor vectors of another length than the most frequent; rows with equal id and vector count
-once; with fewer than k candidates all are returned; an empty table gives no rows.
+once; with fewer than k candidates all are returned; an empty table gives no rows; other columns, whatever their
+names, are ignored; a vector of any length is compared whole.
 """
 
 from __future__ import annotations

@@ -6,13 +6,15 @@ by single spaces, so a hit on " cc by " is a place where these words stand conse
 
 An identifier tag ("SPDX-License-Identifier: ...") is followed by an expression over licence ids
 with ``or``, ``and``, ``with`` and parentheses. Its value is how far the licence restricts use, from
-0 (free) to 1: ``or`` lets the user choose (minimum), ``and`` binds to both (maximum), ``with`` an
-exception halves. ``score`` is the largest value of a document's notices and expressions, 0 if it
+0 (free) to 1: ``or`` lets the user choose (minimum), ``and`` binds to both (maximum), ``with`` a known
+exception halves. A line's expression is the longest one that its start makes: what follows it (the end of a comment,
+code, a full stop) is no part of it. ``score`` is the largest value of a document's notices and expressions, 0 if it
 has none.
 
-Defined cases: null or empty text has no words, no labels, score 0; an expression that does not
-parse gives the label ``malformed`` with value 1 (nothing is granted for sure); overlapping phrases
-all count; repeated rows give repeated results; other columns are ignored.
+Defined cases: null or empty text has no words, no labels, score 0; a tag whose line starts with no whole
+expression gives the label ``malformed`` with value 1 (nothing is granted for sure); overlapping phrases
+all count; very long texts are read whole; repeated rows give repeated results; an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +40,13 @@ NOTICES = {
 }
 #: How far a licence family restricts use.
 RESTRICTION = {
-    "cc0": 0.0, "public-domain": 0.0, "mit": 0.1, "bsd": 0.1, "isc": 0.1, "zlib": 0.1, "unlicense": 0.0, "apache": 0.15, "cc-by": 0.2, "mpl": 0.35, "lgpl": 0.45,
-    "cc-by-sa": 0.5, "gpl": 0.6, "agpl": 0.7, "cc-by-nd": 0.8, "cc-by-nc": 0.8, "reserved": 1.0, "proprietary": 1.0, "malformed": 1.0,
+    "cc0": 0.0, "public-domain": 0.0, "unlicense": 0.0, "0bsd": 0.0, "wtfpl": 0.0, "mit": 0.1, "bsd": 0.1, "isc": 0.1, "zlib": 0.1, "bsl": 0.1, "psf": 0.1, "python": 0.1, "ncsa": 0.1,
+    "postgresql": 0.1, "x11": 0.1, "curl": 0.1, "apache": 0.15, "ms-pl": 0.2, "afl": 0.2, "artistic": 0.2, "cc-by": 0.2, "ofl": 0.25, "mpl": 0.35, "cddl": 0.35, "epl": 0.4, "lgpl": 0.45,
+    "ms-rl": 0.45, "cc-by-sa": 0.5, "eupl": 0.55, "cecill": 0.55, "osl": 0.6, "gpl": 0.6, "agpl": 0.7, "sspl": 0.8, "busl": 0.8, "cc-by-nd": 0.8, "cc-by-nc": 0.8,
+    "cc-by-nc-sa": 0.85, "cc-by-nc-nd": 0.9, "reserved": 1.0, "proprietary": 1.0, "malformed": 1.0,
 }
+#: Exceptions that relax a licence; others change nothing.
+EXCEPTIONS = ("classpath-exception", "gcc-exception", "linux-syscall-note", "llvm-exception", "autoconf-exception", "bison-exception", "font-exception", "openjdk-assembly-exception", "libtool-exception", "universal-foss-exception")
 UNKNOWN = 0.5
 TAG_WORDS = "spdx license identifier"
 TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)")
@@ -59,24 +65,33 @@ def family(identifier: str) -> str:
     return next((f for f in FAMILIES if identifier == f or identifier.startswith((f"{f}-", f"{f}+"))), identifier)
 
 
-def postfix(expression: str) -> list[str] | None:
-    """The expression in postfix order by the shunting-yard method; None if it is malformed."""
-    tokens = TOKEN.findall(expression)
-    if "".join(tokens) != re.sub(r"\s", "", expression):
-        return None
+def leading_tokens(line: str) -> list[str]:
+    """The tokens that a line starts with, up to the first thing that is none; a full stop ends a sentence, not an identifier."""
+    out, at = [], 0
+    while m := TOKEN.match(line, at):
+        out.append(m[1].rstrip(".:") if len(m[1]) > 1 else m[1])
+        at = m.end()
+        if not out[-1] or out[-1] != m[1]:
+            break
+    return [t for t in out if t]
+
+
+def steps(tokens: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The shunting-yard method: for each number of tokens that make a whole expression, that expression in postfix
+    order. Ends at the first token that can't stand where it does."""
     out: list[str] = []
     held: list[str] = []
     operand_next = True
-    for t in tokens:
+    for n, t in enumerate(tokens, 1):
         if operand_next != (t == "(" or t not in BINDS and t != ")"):
-            return None
+            return
         if t == "(":
             held.append(t)
         elif t == ")":
             while held and held[-1] != "(":
                 out.append(held.pop())
             if not held:
-                return None
+                return
             held.pop()
         elif t in BINDS:
             while held and held[-1] != "(" and BINDS[held[-1]] >= BINDS[t]:
@@ -86,9 +101,16 @@ def postfix(expression: str) -> list[str] | None:
         else:
             out.append(t)
             operand_next = False
-    if operand_next or "(" in held:
-        return None
-    return out + held[::-1]
+        if not operand_next and "(" not in held:
+            yield n, out + held[::-1]
+
+
+def postfix(expression: str) -> list[str] | None:
+    """The longest expression at the start of a line, in postfix order; None if there is none."""
+    order = None
+    for _, order in steps(leading_tokens(expression)):
+        pass
+    return order
 
 
 def evaluate(expression: str) -> tuple[set[str], float]:
@@ -102,7 +124,7 @@ def evaluate(expression: str) -> tuple[set[str], float]:
             stack.append(({family(t)}, RESTRICTION.get(family(t), UNKNOWN)))
             continue
         (right, b), (left, a) = stack.pop(), stack.pop()
-        stack.append((left, a / 2) if t == "with" else (left | right, min(a, b) if t == "or" else max(a, b)))
+        stack.append((left, a / 2 if next(iter(right)).startswith(EXCEPTIONS) else a) if t == "with" else (left | right, min(a, b) if t == "or" else max(a, b)))
     return stack[0]
 
 
@@ -141,10 +163,10 @@ def scan(text: str | None, a) -> tuple:
         n_base, first, last = n_base + 1, seen if first is None else first, seen
     if tagged:
         for m in TAG.finditer(low):
-            expression = m[1].strip().removesuffix("*/").removesuffix("-->").strip()
-            found, value = evaluate(expression)
-            expressions.append(expression)
-            labels |= dict.fromkeys(found, value)
+            found, value = evaluate(m[1])
+            expressions.append(m[1].strip())
+            for label in found:
+                labels[label] = max(value, labels.get(label, 0.0))
     return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), float(max(labels.values(), default=0.0)), expressions
 
 

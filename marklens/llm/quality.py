@@ -13,7 +13,9 @@ an L1 penalty, so words that say nothing weigh nothing. Scoring reads every whol
 batches, with the weights (``2 ** bits`` floats, whatever the corpus) sent along.
 
 Defined cases: null or empty text has no words and is scored by its shape alone; rows with null labels
-don't take part in fitting; a document labelled twice takes part twice; without a row to fit on (no labels,
+don't take part in fitting; a document labelled twice takes part twice, of documents that repeat an id one does; rows
+repeated, tied or with a null id are scored like others; columns of any names pass through selected(); an empty table
+gives no rows; without a row to fit on (no labels,
 or none that names a document present), every grade is equally likely and nothing is rejected; very long texts are read whole.
 """
 
@@ -158,7 +160,10 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     graded = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     present = graded.join(docs.select("doc_id"), "doc_id", "left_semi")
     sample = present.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "quality").limit(fit_rows)
-    rows = common.in_batches(rated(docs, sample), batches, "doc_id long, grade int, ids array<int>, measures array<double>").toArrow().to_pydict()
+    # documents that repeat an id would take part once for each: the one with the least text does, so fit_rows is a bound
+    named = docs.join(sample.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("text").cast("string").alias("text"))
+    once = named.groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = common.in_batches(rated(once, sample), batches, "doc_id long, grade int, ids array<int>, measures array<double>").toArrow().to_pydict()
     order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["grade"][i], rows["measures"][i]))
     return fit([(np.array(rows["ids"][i], dtype=np.int64), rows["measures"][i], rows["grade"][i]) for i in order])
 

@@ -13,7 +13,8 @@
 3. A key_id stays if a secret is near, a key_secret if an identifier is near, an endpoint if both are.
 
 Defined cases: null text is empty and has no spans; repeated rows (same id and text) share one
-result; rows with a null id keep their spans; other columns are ignored.
+result; rows with a null id keep their spans; very long texts are scanned whole; an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

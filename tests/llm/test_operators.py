@@ -1,12 +1,14 @@
 """Each operator against brute force or an exact round trip, on small and odd tables."""
 
 import collections
+import dataclasses
 import hashlib
 import random
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,7 +59,12 @@ def test_deduplicated_keeps_one_of_repeated_rows(spark):
 def test_license_expressions():
     assert license_scan.postfix("mit or apache-2.0 and bsd-3-clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
     assert license_scan.postfix("(mit or gpl-2.0) and x") == ["mit", "gpl-2.0", "or", "x", "and"]
-    assert all(license_scan.postfix(e) is None for e in ("", "mit or", "(mit", "mit)", "or mit", "mit gpl", "mit & x"))
+    assert all(license_scan.postfix(e) is None for e in ("", "(mit", "or mit", "*/", "((mit) or"))
+    # the longest expression at the start of the line
+    for line in ("mit", "mit // foo", "mit */ int x;", "mit.", "mit or", "mit)", "mit gpl", "mit & x", "mit -->", "(mit", "mit, see file"):
+        assert license_scan.postfix(line) == (None if line[0] == "(" else ["mit"])
+    assert license_scan.postfix("(mit or x) and y. or z") == ["mit", "x", "or", "y", "and"]
+    assert license_scan.evaluate("gpl-2.0 with some-exception")[1] == 0.6
     assert license_scan.evaluate("gpl-2.0-only or mit") == ({"gpl", "mit"}, 0.1)
     assert license_scan.evaluate("gpl-2.0-only with classpath-exception-2.0")[1] == 0.3
     a = license_scan.automaton()
@@ -66,14 +73,29 @@ def test_license_expressions():
     assert license_scan.scan(None, a)[:4] == (0, 0, None, None)
 
 
-def test_license_scan_counts_like_brute_force(spark):
-    words = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "x"]
+def test_license_scan_equals_brute_force(spark):
+    words = ["cc", "by", "nc", "general", "public", "license", "all", "rights", "reserved", "mit", "x"]
     rng = random.Random(1)
     texts = [" ".join(rng.choices(words, k=60)) for _ in range(40)]
-    for r, text in zip(license_scan.license_scan(odd_docs(spark, texts)).where("doc_id is not null").orderBy("doc_id").limit(3).collect(), texts):
-        w = text.split()
-        at = [i for p in license_scan.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (60, len(at), min(at, default=None), max(at, default=None))
+    tags = ["MIT", "GPL-2.0-only OR Apache-2.0 */", "(BSD-3-Clause", "LGPL-2.1 AND (CC0-1.0 OR x)."]
+    texts += [f"// SPDX-License-Identifier: {t}\n" + rng.choice(words) for t in tags] + [texts[0] + " " + "all rights reserved " * 20_000]
+    values = {"MIT": {"mit": 0.1}, "GPL-2.0-only OR Apache-2.0 */": {"gpl": 0.15, "apache": 0.15}, "(BSD-3-Clause": {"malformed": 1.0}, "LGPL-2.1 AND (CC0-1.0 OR x).": {"lgpl": 0.45, "cc0": 0.45, "x": 0.45}}
+    got = {r["doc_id"]: r for r in license_scan.license_scan(odd_docs(spark, texts)).where("doc_id is not null").dropDuplicates(["doc_id"]).where("doc_id <> 3").collect()}
+    for i, text in enumerate(texts):
+        if i == 3:  # odd_docs has another text of this id
+            continue
+        w = text.lower().replace("/", " ").replace(":", " ").replace("-", " ").replace(".", " ").replace("(", " ").replace(")", " ").replace("*", " ").split()
+        places = lambda phrase: [i for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        base = {p: places(p) for p in license_scan.BASE}
+        at = [x for p in base.values() for x in p]
+        labels = {label: license_scan.RESTRICTION[label] for p, label in [*license_scan.BASE.items(), *license_scan.NOTICES.items()] if places(p)}
+        for t in tags:
+            if f"Identifier: {t}\n" in text:
+                for label, value in values[t].items():
+                    labels[label] = max(value, labels.get(label, 0))
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min(at, default=None), max(at, default=None))
+        assert r["base_labels"] == ",".join(sorted({license_scan.BASE[p] for p in base if base[p]})) and r["labels"] == ",".join(sorted(labels)) and r["score"] == max(labels.values(), default=0)
 
 
 def test_bpe_equals_tiktoken_and_round_trips(spark, ranks):
@@ -141,6 +163,43 @@ def test_quality_orders_grades():
     assert np.mean(right) > 0.9
 
 
+def test_quality_fit_is_at_the_likelihoods_maximum():
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        x = rng.normal()
+        measures = [x, rng.normal()] + [0.0] * (len(quality.SHAPE) - 2)
+        rows.append((np.array(sorted({int(v) for v in rng.integers(0, 12, 4)})), measures, int(np.clip(round(1 + x + rng.normal()), 0, 2))))
+    m = quality.fit(rows, rounds=3000, l1=0.0)
+
+    def loss(model):
+        total = 0.0
+        for ids, measures, grade in rows:
+            below = [0.0, *(1 / (1 + np.exp(model.score(ids, measures) - c)) for c in model.thresholds), 1.0]
+            total -= np.log(below[grade + 1] - below[grade])
+        return total / len(rows)
+
+    def moved(what, i, by):
+        value = getattr(m, what).astype(float).copy()
+        value[i] += by
+        return loss(dataclasses.replace(m, **{what: value}))
+
+    for what, i in [("thresholds", 0), ("thresholds", 1), ("dense", 0), ("dense", 1), *(("weights", j) for j in range(12))]:
+        assert abs(moved(what, i, 1e-4) - moved(what, i, -1e-4)) / 2e-4 < 2e-3
+
+
+def test_quality_sample_bound_holds_for_repeated_documents(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(300)], "doc_id long, text string")
+    sizes = []
+    real = quality.fit
+    quality.fit = lambda rows, **how: sizes.append(len(rows)) or real(rows, **how)
+    try:
+        quality.trained(docs, spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int"), fit_rows=2)
+    finally:
+        quality.fit = real
+    assert sizes == [2]
+
+
 def test_quality_without_labels(spark):
     m = quality.trained(odd_docs(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert quality.graded(odd_docs(spark), m).where("p_tail > 0.3").count() == len(ODD) + 2
@@ -234,6 +293,88 @@ def test_token_counts_equal_greedy(ranks):
         assert a.count(word.encode()) == greedy(word.encode(), starts, continues)
 
 
+def test_token_counts_of_the_table(spark, ranks):
+    starts, continues = token_count.pieces_of(ranks)
+    known = {}
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"], r["max_word_tokens"]) for r in token_count.op7_token_count(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        words = (r["text"] or "").encode().split()
+        n = [known[w] if w in known else known.setdefault(w, greedy(w, starts, continues)) for w in words]
+        assert got[r["doc_id"]] == (len(n), sum(n), max(n, default=0))
+    odd = token_count.token_counts(odd_docs(spark, [*ODD, "word " * 300_000 + "y" * 200_000]), ranks).collect()
+    assert len(odd) == len(ODD) + 3 and max(r["n_words"] for r in odd) == 300_001
+
+
+def test_nearest_of_the_table(spark):
+    """Recall at the default target, and exact scores."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    rows = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    found = collections.defaultdict(dict)
+    for r in ann.op9_ann(spark, "/root/testdata/sf0.01").collect():
+        found[r["query_id"]][r["vec_id"]] = r["score"]
+    hits = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        best = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        hits += len({int(ids[i]) for i in best} & set(found[q]))
+        total += 10
+        assert len(found[q]) == 10 and all(abs(s - d[ids == v][0]) < 1e-9 for v, s in found[q].items())
+    assert hits / total >= 0.9
+
+
+CLASHING = "h k t n s1 s2 c cell file digest key row_key copy place key_1 key_2 keep_id group_size gone_id gone_text mix_id mix_copies mix_epoch size source_size taken ids starts labels grade row_ text_".split()
+
+
+def pipeline_stage(i):
+    import corpus_pipeline
+
+    return lambda docs: corpus_pipeline.STAGES[i][1](docs.sparkSession, docs, SF)
+
+
+OPERATORS = {
+    "op1": license_scan.license_scan,
+    "op2": lambda d: bpe.round_trip(d, bpe.read_ranks(public_tokenizers.path(bpe.RANKS)), public_tokenizers.PATTERN, with_ids=True),
+    "op3": lambda d: quality.graded(d, quality.trained(d, d.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int"))),
+    "op4": exact_dedup.exact_groups,
+    "op6": mixing.mixed,
+    "op7": lambda d: token_count.token_counts(d, bpe.read_ranks(public_tokenizers.path(bpe.RANKS))),
+    "op8": secret_scan.secret_scan,
+    "op10": jaccard_join.jaccard_components,
+    **{f"stage {i}": pipeline_stage(i) for i in range(5)},
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_tables(spark, name):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, columns with clashing names; and no rows."""
+    rows = [*enumerate([*ODD, "word " * 50_000]), (None, None), (None, None), (3, "A"), (4, "a"), (4, "a")]
+    docs = spark.createDataFrame([(i, t, "s" if i and i % 2 else None) for i, t in rows], "doc_id long, text string, source string")
+    docs = docs.select("*", F.lit(None).cast("string").alias("lang"), F.length("text").cast("long").alias("n_chars"), *(F.lit(c).alias(c) for c in CLASHING))
+    out = OPERATORS[name](docs)
+    got = out.collect()
+    assert OPERATORS[name](docs.limit(0)).count() == 0
+    if name.startswith("op"):
+        assert len(got) == len(rows)
+    elif name != "stage 4":
+        assert out.columns == docs.columns and all(r[c] == c for r in got for c in CLASHING)
+    kept = [(r["doc_id"], r["text"]) for r in got] if name in ("stage 1", "stage 2") else []
+    if name == "stage 1":
+        assert len(kept) == len({(t or "").encode().lower() for _, t in rows})
+    if name == "stage 2":
+        assert len(kept) == len(rows) - 5  # of the five rows "A" and "a" one stays, of the two "same text here again" one; rows without words all
+
+
+def test_warc_of_odd_pages(spark, tmp_path):
+    rows = [(1, None, None), (None, "http://a.b/\tc\n", "x" * 2000), (2, "http://a.b/\tc\n", "x" * 2000), (3, "", ""), (3, "", ""), (4, "http://a.b", "y" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *(F.lit(c).alias(c) for c in CLASHING))
+    for some in (pages, pages.limit(0)):
+        folder = f"file://{tmp_path}/{some.count()}"
+        directory, blocks = warc.build_index(warc.write_archives(warc.captures(some), folder), block_rows=1)
+        got = warc.look_up(some, directory, blocks, folder).select("page_id", "record_type", "refers_to", "payload_bytes").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "response", None, 0), (None, "revisit", 2, 2000), (2, "response", None, 2000), (3, "response", None, 0), (3, "response", None, 0), (4, "response", None, 3_000_000)][: some.count()]))
+
+
 def test_secret_links(spark):
     secret = "abcdEFGH1234abcdEFGH1234abcdEFGH1234abcd"
     texts = ["id ABCD1234EFGH5678 then " + secret, "id ABCD1234EFGH5678 alone", "id ABCD1234EFGH5678" + " " * 500 + secret,
@@ -378,9 +519,60 @@ def test_components(spark):
     assert {(r["node"], r["root"]) for r in graph.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 4)}
 
 
-def test_pipeline_stages_keep_columns(spark):
+def test_pipeline_equals_a_plain_run(spark):
+    """All stages, one after another, against Python without Spark (the model is the stage's own)."""
     import corpus_pipeline
+    import tiktoken
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[1:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns
+    model = quality.trained(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [r.asDict() for r in docs.collect()]
+    p = quality.probabilities(pa.array([r["text"] for r in rows], pa.string()), model, {})[2]
+    rows = [r for r, keep in zip(rows, model.keeps(p, quality.LEAST_TAIL)) if keep]
+    assert 0 < len(rows) < docs.count()
+    last = {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        last[(r["text"] or "").encode().lower()] = r
+    named = brute_components([(r["doc_id"], r["text"]) for r in last.values()], 5, 80)
+    rows = [r for r in last.values() if not named[r["doc_id"]][0] or named[r["doc_id"]][1] == r["doc_id"]]
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    shown = lambda v: "null" if v is None else f"={v}"
+    for r in rows:
+        r["size"] = len((r["text"] or "").encode().split())
+        r["key"] = md5("mix:" + md5(md5(shown(r["text"])) + md5(shown(r["source"])) + shown(r["doc_id"])).upper())
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r["size"] for r in rows if r["source"] == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    full = set()
+    while True:  # fill, fix those that are full, fill again
+        level = (1.5 * sum(size.values()) - 2 * sum(size[s] for s in full)) / sum(weight[s] for s in sources if s not in full)
+        more = {s for s in sources if s not in full and level * weight[s] > 2 * size[s]}
+        if not more:
+            break
+        full |= more
+    want = collections.Counter()
+    for s in sources:
+        budget = int(2 * size[s] if s in full else level * weight[s])
+        epochs, rest = divmod(budget, size[s]) if size[s] else (0, 0)
+        for r in sorted((r for r in rows if r["source"] == s), key=lambda r: (r["key"], r["doc_id"], r["size"])):
+            want[r["doc_id"]] += epochs + (rest > 0)
+            rest -= r["size"]
+    ranks = bpe.read_ranks(public_tokenizers.path(bpe.RANKS))
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = {r["doc_id"]: reference.encode_ordinary(r["text"] or "") for r in rows}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == +want
+    text = {r["doc_id"]: r["text"] or "" for r in rows}
+    assert all(r["ids"] == ids[r["doc_id"]] and r["n_tokens"] == len(r["ids"]) and r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest() for r in got)
+
+
+def test_callers_settings_stay(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    contains = lambda: spark._jsparkSession.sessionState().conf().contains(name)
+    assert not contains()
+    exact_dedup.deduplicated(odd_docs(spark)).count()
+    assert not contains()
+    spark.conf.set(name, "5m")
+    jaccard_join.common.written(odd_docs(spark))
+    assert spark.conf.get(name) == "5m"
+    spark.conf.unset(name)
