@@ -152,7 +152,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
 p AS ({" UNION ALL ".join(map(_sql_kind, KINDS))}),
 w AS (
   SELECT a.rid, a.kind, a.start_at, a.end_at, coalesce(bool_or(b.role = 'id'), false) AS id, coalesce(bool_or(b.role = 'secret'), false) AS secret
-  FROM p a LEFT JOIN p b ON a.rid = b.rid AND a.role <> b.role AND abs(a.start_at - b.start_at) <= {SCOPE}
+  FROM p a LEFT JOIN p b ON a.rid = b.rid AND a.role <> b.role AND greatest(a.start_at, b.start_at) - least(a.end_at, b.end_at) <= {SCOPE}
   WHERE a.kind >= 3 GROUP BY ALL),
 s AS (
   SELECT rid, kind, start_at, end_at FROM p WHERE kind < 3
