@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import samples
 from ..functions import text as T
-from ..operators import containers, inspect, report
+from ..operators import containers, fidelity, inspect, report
 from . import classes, policy
 
 
@@ -127,6 +132,28 @@ def plan_rows(spark, sf_dir):
     return plan.select("format", "place", "id", "name", "runs", "reason")
 
 
+#: Pixels across, and how many values of a pixel become one in the second picture: of every fifth document, and of others.
+ACROSS, COARSE, FINE = 32, 128, 4
+
+
+def picture_fidelity(spark, sf_dir):
+    """Each text's bytes as a grey PNG of eight lines at least, against the same with fewer shades."""
+
+    def drawn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for asset, text, step in zip(*b.columns):
+                content = np.frombuffer(text.as_py(), np.uint8)
+                grey = np.zeros((max(8, -(-len(content) // ACROSS)), ACROSS, 1), np.uint8)
+                grey.ravel()[: len(content)] = content
+                both = [samples.png_of(np.repeat(g, 3, axis=2)) for g in (grey, grey - grey % np.uint8(step.as_py()))]
+                yield pa.RecordBatch.from_arrays([pa.array([asset.as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in both)], ["asset_id", "before", "after"])
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary"), F.when(F.col("doc_id") % 5 == 0, COARSE).otherwise(FINE))
+    made = fidelity.measures(texts.mapInArrow(drawn, "asset_id long, before binary, after binary"))
+    return made.select(F.col("asset_id").alias("doc_id"), F.round("psnr_db", 6).alias("psnr_db"), F.round("ssim", 6).alias("ssim"), "passed", "exit_code")
+
+
 QUERIES = {
     "sniff_format": sniff_format,
     "scan_text": scan,
@@ -141,6 +168,7 @@ QUERIES = {
     "report_rows": report_rows,
     "verify_report": verify_report,
     "plan_rows": plan_rows,
+    "picture_fidelity": picture_fidelity,
 }
 
 # The SQL twins, written by themselves: they share no pattern with the expressions above. RE2 reads them.
@@ -223,4 +251,14 @@ SELECT doc_id, NOT bad AND said = '' AS verified, CASE WHEN bad THEN 30 WHEN sai
 x AS (SELECT unnest(t.formats) AS format, t.place AS place, t.id AS id, t.name AS name, CASE WHEN t.kind IN ('pixel', 'audio') THEN 'kept by flag --no-degrade'
   WHEN list_contains(t.targets, 'id3') THEN 'kept by flag --keep id3' WHEN t.name = 'strip-xmp' THEN 'kept by flag --keep Strip-XMP' END AS reason FROM t)
 SELECT format, place, id, name, reason IS NULL AS runs, reason FROM x""",
+    "picture_fidelity": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CASE WHEN doc_id % 5 = 0 THEN 128 ELSE 4 END AS step FROM documents),
+e AS (SELECT doc_id, step, greatest(8, (length(h) + 63) // 64) AS high, regexp_extract_all(h, '..') AS x FROM d),
+p AS (SELECT doc_id, step, high, unnest(range(high * 32)) AS i, unnest(list_resize(x, high * 32, '00')) AS x FROM e),
+q AS (SELECT doc_id, high, i, a, a - a % step AS b FROM (SELECT *, ('0x' || x)::INT AS a FROM p)),
+w AS (SELECT doc_id, high, i // 256 AS wy, (i % 32) // 8 AS wx, count(*) AS n, sum((a - b) * (a - b)) AS squares, avg(a) AS ma, avg(b) AS mb,
+  var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS both_ FROM q GROUP BY ALL),
+m AS (SELECT doc_id, sum(n) AS n, sum(squares) AS squares,
+  avg((2 * ma * mb + 6.5025) * (2 * both_ + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))) FILTER (wy < high // 8) AS ssim FROM w GROUP BY doc_id),
+r AS (SELECT doc_id, CASE WHEN squares = 0 THEN 120.0::DOUBLE ELSE 10 * log10(65025 * n / squares) END AS psnr, ssim FROM m)
+SELECT doc_id, round(psnr, 6) AS psnr_db, round(ssim, 6) AS ssim, psnr >= 25 AND ssim >= 0.6 AS passed, CASE WHEN psnr >= 25 AND ssim >= 0.6 THEN 0 ELSE 30 END AS exit_code FROM r""",
 }
