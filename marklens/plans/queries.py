@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import samples
 from ..functions import text as T
-from ..operators import containers, fidelity, inspect, report
+from ..operators import containers, fidelity, inspect, pixelmark, report
 from . import classes, policy
 
 
@@ -154,6 +154,23 @@ def picture_fidelity(spark, sf_dir):
     return made.select(F.col("asset_id").alias("doc_id"), F.round("psnr_db", 6).alias("psnr_db"), F.round("ssim", 6).alias("ssim"), "passed", "exit_code")
 
 
+def pixel_marks(spark, sf_dir):
+    """Each text's bytes as the colours of a PNG of whole lines, read for the pixel mark."""
+
+    def drawn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for asset, text in zip(*b.columns):
+                content = np.frombuffer(text.as_py(), np.uint8)
+                picture = np.zeros((max(8, -(-len(content) // (3 * ACROSS))), ACROSS, 3), np.uint8)
+                picture.ravel()[: len(content)] = content
+                yield pa.RecordBatch.from_arrays([pa.array([asset.as_py()], pa.int64()), pa.array([samples.png_of(picture)], pa.binary())], ["asset_id", "content"])
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary"))
+    found = pixelmark.decisions(texts.mapInArrow(drawn, "asset_id long, content binary"))
+    return found.select(F.col("asset_id").alias("doc_id"), "state", "blocks", *(F.col("agreements")[n].alias(c) for n, c in (("sdxl-48", "sdxl"), ("compvis-136", "compvis"))))
+
+
 QUERIES = {
     "sniff_format": sniff_format,
     "scan_text": scan,
@@ -169,6 +186,7 @@ QUERIES = {
     "verify_report": verify_report,
     "plan_rows": plan_rows,
     "picture_fidelity": picture_fidelity,
+    "pixel_marks": pixel_marks,
 }
 
 # The SQL twins, written by themselves: they share no pattern with the expressions above. RE2 reads them.
@@ -261,4 +279,20 @@ m AS (SELECT doc_id, sum(n) AS n, sum(squares) AS squares,
   avg((2 * ma * mb + 6.5025) * (2 * both_ + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))) FILTER (wy < high // 8) AS ssim FROM w GROUP BY doc_id),
 r AS (SELECT doc_id, CASE WHEN squares = 0 THEN 120.0::DOUBLE ELSE 10 * log10(65025 * n / squares) END AS psnr, ssim FROM m)
 SELECT doc_id, round(psnr, 6) AS psnr_db, round(ssim, 6) AS ssim, psnr >= 25 AND ssim >= 0.6 AS passed, CASE WHEN psnr >= 25 AND ssim >= 0.6 THEN 0 ELSE 30 END AS exit_code FROM r""",
+    "pixel_marks": """WITH e AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS x FROM documents),
+h AS (SELECT doc_id, greatest(8, (len(x) + 95) // 96) AS high, x FROM e),
+p AS (SELECT doc_id, high, unnest(range(high * 96)) AS i, unnest(list_resize(x, high * 96, '00')) AS x FROM h),
+q AS (SELECT doc_id, any_value(high) AS high, i // 3 AS px, max(('0x' || x)::INT) FILTER (i % 3 = 0) AS r, max(('0x' || x)::INT) FILTER (i % 3 = 1) AS g,
+  max(('0x' || x)::INT) FILTER (i % 3 = 2) AS b FROM p GROUP BY ALL),
+u AS (SELECT doc_id, high, px // 32 AS y, px % 32 AS x, greatest(0, least(255, ((b - ((r * 4899 + g * 9617 + b * 1868 + 8192) >> 14)) * 8061 + 2097152 + 8192) >> 14)) AS u FROM q),
+l AS (SELECT doc_id, high, y // 2 AS y, x // 2 AS x, max(u) FILTER (y % 2 = 0 AND x % 2 = 0) AS a, max(u) FILTER (y % 2 = 0 AND x % 2 = 1) AS b,
+  max(u) FILTER (y % 2 = 1 AND x % 2 = 0) AS c, max(u) FILTER (y % 2 = 1 AND x % 2 = 1) AS d FROM u WHERE y < high // 8 * 8 GROUP BY ALL),
+v AS (SELECT doc_id, y // 4 * 4 + x // 4 AS num, max((d * sqrt(0.5) + b * sqrt(0.5)) * sqrt(0.5) + (c * sqrt(0.5) + a * sqrt(0.5)) * sqrt(0.5)) AS val
+  FROM l WHERE y % 4 > 0 OR x % 4 > 0 GROUP BY ALL),
+t AS (SELECT doc_id, num, (val % 36 > 18)::INT AS bit FROM v),
+""" + ",\n".join(f"""{c}_b AS (SELECT doc_id, num % {len(bits)} AS k, sum(bit) * 255 > 127 * count(*) AS shown FROM t GROUP BY ALL),
+{c} AS (SELECT doc_id, round(({bits.count('0')} + sum(CASE WHEN NOT shown THEN 0 WHEN substr('{bits}', k::INT + 1, 1) = '1' THEN 1 ELSE -1 END)) / {len(bits)}, 3) AS {c} FROM {c}_b GROUP BY doc_id)"""
+        for c, bits in (("sdxl", f"{0xB3EC907BB19E:048b}"), ("compvis", "".join(f"{x:08b}" for x in b"StableDiffusionV1")))) + """
+SELECT doc_id, CASE WHEN n >= 48 AND sdxl >= 0.8 OR n >= 136 AND compvis >= 0.8 THEN 'confirmed_present' ELSE 'confirmed_absent' END AS state, n AS blocks, sdxl, compvis
+FROM (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id) JOIN sdxl USING (doc_id) JOIN compvis USING (doc_id)""",
 }
