@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, hard_negatives, jaccard_join, license_scan, mixing, quality, secret_scan, sentence_pieces, token_count, warc
+from . import ann, bpe, exact_dedup, hard_negatives, jaccard_join, lexical_search, license_scan, mixing, quality, secret_scan, sentence_pieces, token_count, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_sentencepiece": sentence_pieces.op12_sentencepiece,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_mixing": mixing.ORACLE,
     "op8_secret_scan": secret_scan.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
