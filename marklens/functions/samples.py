@@ -1,21 +1,24 @@
-"""Samples of single files: pixels of PNG, sound of WAV, and how far two of a kind differ. One file's bytes in, arrays or
-sums out.
+"""Samples of single files: pixels of PNG and JPEG, sound of WAV, and how far two of a kind differ. One file's bytes in,
+arrays or sums out.
 
-A file that breaks its format raises Unreadable; one whose form is not read here (or whose picture would take over
-MOST_SAMPLES bytes) raises Unread.
+Pictures come in bands of lines, so memory follows their width and not their size. A file that breaks its format raises
+Unreadable; one whose form is not read here raises Unread.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 
-from . import binary
+from . import binary, jpeg
+from .jpeg import Unread, Unreadable
 
-MOST_SAMPLES = 2**28
+#: Bytes of a band of lines, about; and of compressed data that are taken in at once.
+BAND_BYTES, TAKEN_IN = 2**22, 2**16
 # Channels by PNG colour type; the seven passes of interlaced pictures (first column and row, steps); luma
 # weights; window edge and constants of structural similarity; frame, hop, floor and least frames of log spectra.
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -26,25 +29,21 @@ FRAME, HOP, FLOOR, LEAST_FRAMES = 2048, 1024, 1e-10, 4
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
 
-class Unreadable(ValueError):
-    pass
-
-
-class Unread(ValueError):
-    pass
-
-
-def unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
-    """Lines of bytes with their filters undone. Only bytes left of and above a byte count for it, so all bytes of an
-    anti-diagonal (of groups of step bytes) are done at once: as many steps as lines and columns, not as bytes."""
+def unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int, above: np.ndarray | None = None) -> np.ndarray:
+    """Lines of bytes with their filters undone; above: the line before the first one. Only bytes left of and above a byte count for
+    it, so all bytes of an anti-diagonal (of groups of step bytes) are done at once: as many steps as lines and columns, not as bytes."""
     height, width = len(rows), rows.shape[1] // step
     if kinds.max() <= 2:  # each line is a running sum, or the line above and a difference
         made = np.zeros((height + 1, width, step), np.uint8)
+        if above is not None:
+            made[0] = above.reshape(width, step)
         for y, line in enumerate(rows.reshape(height, width, step)):
             made[y + 1] = line if kinds[y] == 0 else np.cumsum(line, axis=0, dtype=np.uint8) if kinds[y] == 1 else line + made[y]
         return made[1:].reshape(height, -1)
     raw = rows.reshape(height, width, step).astype(np.int16)
     out = np.zeros((height + 1, width + 1, step), np.int16)
+    if above is not None:
+        out[0, 1:] = above.reshape(width, step)
     for d in range(height + width - 1):
         y = np.arange(max(0, d - width + 1), min(height, d + 1))
         x = d - y
@@ -56,29 +55,61 @@ def unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
     return out[1:, 1:].reshape(height, -1).astype(np.uint8)
 
 
-def lines(content: bytes, width: int, height: int, depth: int, channels: int) -> tuple[np.ndarray, int]:
-    """height x width x channels numbers of depth bits, and the bytes they took."""
-    per_line = (width * depth * channels + 7) // 8
-    taken = height * (per_line + 1)
-    if len(content) < taken:
-        raise Unreadable("the picture's data end early")
-    rows = np.frombuffer(content, np.uint8, taken).reshape(height, per_line + 1)
-    if (kinds := rows[:, 0]).max() > 4:
-        raise Unreadable("no such filter")
-    data = unfiltered(kinds, rows[:, 1:], max(1, depth * channels // 8))
-    if depth == 16:
-        data = data.view(">u2")
-    elif depth < 8:
-        bits = np.unpackbits(data, axis=1).reshape(height, -1, depth)
-        data = bits @ (1 << np.arange(depth)[::-1])
-    return data[:, : width * channels].reshape(height, width, channels).astype(np.uint16), taken
+class Inflated:
+    """Bytes of a compressed stream, a few at a time."""
 
+    def __init__(self, parts: list[memoryview]):
+        self.source = (p[at : at + TAKEN_IN] for p in parts for at in range(0, len(p), TAKEN_IN))
+        self.stream, self.waiting = zlib.decompressobj(), b""
 
-def png_pixels(content: bytes) -> np.ndarray:
-    """height x width x 3 or 4 bytes: palettes and transparent colours resolved, grey as three equal channels, of 16 bits
-    the upper 8. Content after the picture's data is not looked at."""
+    def read(self, n: int) -> bytes:
+        found = []
+        try:
+            while n:
+                if not self.waiting and (more := next(self.source, None)) is not None:
+                    self.waiting = more
+                made = self.stream.decompress(self.waiting, n)
+                if not made and not self.waiting:
+                    raise Unreadable("the picture's data end early")
+                self.waiting = self.stream.unconsumed_tail
+                found.append(made)
+                n -= len(made)
+        except zlib.error as e:
+            raise Unreadable("the picture's data are broken") from e
+        return b"".join(found)
+
+
+class Lines:
+    """The lines of a PNG, or of one pass of it."""
+
+    def __init__(self, parts: list[memoryview], skip: int, width: int, depth: int, channels: int):
+        self.stream, self.width, self.depth, self.channels, self.above = Inflated(parts), width, depth, channels, None
+        self.per_line = (width * depth * channels + 7) // 8
+        while skip:
+            skip -= len(self.stream.read(min(skip, TAKEN_IN)))
+
+    def next(self, n: int) -> np.ndarray:
+        """n x width x channels numbers of depth bits."""
+        rows = np.frombuffer(self.stream.read(n * (self.per_line + 1)), np.uint8).reshape(n, self.per_line + 1)
+        if (kinds := rows[:, 0]).max() > 4:
+            raise Unreadable("no such filter")
+        data = unfiltered(kinds, rows[:, 1:], max(1, self.depth * self.channels // 8), self.above)
+        self.above = data[-1]
+        if self.depth == 16:
+            data = np.ascontiguousarray(data).view(">u2")
+        elif self.depth < 8:
+            bits = np.unpackbits(data, axis=1).reshape(n, -1, self.depth)
+            data = bits @ (1 << np.arange(self.depth)[::-1])
+        return data[:, : self.width * self.channels].reshape(n, self.width, self.channels).astype(np.uint16)
+
+
+def png_bands(content: bytes) -> tuple[int, int, Iterator[np.ndarray]]:
+    """Height, width, and lines (lines x width x 3 or 4 bytes) in bands: palettes and transparent colours resolved, grey as three
+    equal channels, of 16 bits the upper 8. Content after the picture's data is not looked at. An interlaced picture's passes
+    are read side by side."""
     elements, complete = binary.png(content)
-    part = lambda kind: [content[e.body : e.start + e.total - 4] for e in elements if e.kind == kind]
+    view = memoryview(content)
+    part = lambda kind: [view[e.body : e.start + e.total - 4] for e in elements if e.kind == kind]
     if not complete or not (head := part("IHDR")) or len(head[0]) < 13:
         raise Unreadable("no whole PNG")
     width, height, depth, colour, method, filters, interlaced = struct.unpack_from(">IIBBBBB", head[0])
@@ -86,22 +117,29 @@ def png_pixels(content: bytes) -> np.ndarray:
     if not width or not height or colour not in CHANNELS or depth not in depths or method or filters or interlaced > 1:
         raise Unreadable("no such PNG header")
     channels = CHANNELS[colour]
-    if width * height * max(4, channels * 2) > MOST_SAMPLES:
-        raise Unread("the picture is too large")
     passes = [p for p in PASSES if p[0] < width and p[1] < height] if interlaced else [(0, 0, 1, 1)]
     sizes = [(-(-(width - x) // dx), -(-(height - y) // dy)) for x, y, dx, dy in passes]
-    length = sum(h * ((w * depth * channels + 7) // 8 + 1) for w, h in sizes)
-    try:
-        data = zlib.decompressobj().decompress(b"".join(part("IDAT")), length)
-    except zlib.error as e:
-        raise Unreadable("the picture's data are broken") from e
-    made = np.zeros((height, width, channels), np.uint16)
-    for (x, y, dx, dy), (w, h) in zip(passes, sizes):
-        made[y::dy, x::dx], taken = lines(data, w, h, depth, channels)
-        data = data[taken:]
-    clear = part("tRNS")
+    lengths = [h * ((w * depth * channels + 7) // 8 + 1) for w, h in sizes]
+    clear, palette = part("tRNS"), part("PLTE")
+
+    def bands() -> Iterator[np.ndarray]:
+        read = [Lines(part("IDAT"), sum(lengths[:i]), w, depth, channels) for i, (w, _) in enumerate(sizes)]
+        most = max(8, BAND_BYTES // (2 * channels * width) // 8 * 8)
+        for top in range(0, height, most):
+            here = min(most, height - top)
+            made = np.zeros((here, width, channels), np.uint16)
+            for lines, (x, y, dx, dy) in zip(read, passes):  # top is a multiple of 8, so each pass has whole lines in a band
+                if y < here:
+                    made[y::dy, x::dx] = lines.next(-(-(here - y) // dy))
+            yield as_bytes(made, colour, depth, palette, clear)
+
+    return height, width, bands()
+
+
+def as_bytes(made: np.ndarray, colour: int, depth: int, palette: list, clear: list) -> np.ndarray:
+    channels = CHANNELS[colour]
     if colour == 3:
-        return resolved(made[..., 0], part("PLTE"), clear)
+        return resolved(made[..., 0], palette, clear)
     if clear and colour in (0, 2) and len(clear[0]) >= 2 * channels:
         key = np.frombuffer(clear[0], ">u2", channels)
         opaque = (made != key).any(-1, keepdims=True) * (2**depth - 1)
@@ -112,7 +150,43 @@ def png_pixels(content: bytes) -> np.ndarray:
     return made.astype(np.uint8)
 
 
-def resolved(index: np.ndarray, palette: list[bytes], clear: list[bytes]) -> np.ndarray:
+#: Readers of pictures by format.
+PICTURES = {"png": png_bands, "jpeg": jpeg.bands}
+
+
+def in_windows(bands: Iterator[np.ndarray], lines: int = 8) -> Iterator[np.ndarray]:
+    """The same lines in bands of a multiple of so many lines, but for the last one."""
+    held: list[np.ndarray] = []
+    for band in bands:
+        held.append(band)
+        n = sum(map(len, held))
+        if whole := n // lines * lines:
+            both = np.concatenate(held) if len(held) > 1 else band
+            yield both[:whole]
+            held = [both[whole:]] if whole < n else []
+    if held:
+        yield np.concatenate(held)
+
+
+def side_by_side(a: Iterator[np.ndarray], b: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Two pictures of one size in bands of equal lines, whole windows but at the end."""
+    one, two = np.empty((0, 0)), np.empty((0, 0))
+    a, b = in_windows(a), in_windows(b)
+    while True:
+        one, two = (one if len(one) else next(a, one)), (two if len(two) else next(b, two))
+        n = min(len(one), len(two))
+        if not n:
+            return
+        yield one[:n], two[:n]
+        one, two = one[n:], two[n:]
+
+
+def png_pixels(content: bytes) -> np.ndarray:
+    """A whole PNG's pixels."""
+    return np.concatenate(list(png_bands(content)[2]))
+
+
+def resolved(index: np.ndarray, palette: list, clear: list) -> np.ndarray:
     colours = np.frombuffer(palette[0][: len(palette[0]) // 3 * 3] if palette else b"", np.uint8).reshape(-1, 3)
     if index.max() >= len(colours):
         raise Unreadable("a colour is not in the palette")
@@ -193,26 +267,26 @@ def wav_of(sound: Sound) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def picture_sums(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float] | None:
-    """Samples, squared differences, windows and the sum of their similarities; None if the sizes differ. An opaque
+def picture_sums(a: Iterator[np.ndarray], b: Iterator[np.ndarray]) -> tuple[int, int, int, float]:
+    """Samples, squared differences, windows and the sum of their similarities of two pictures of one size, in bands. An opaque
     channel stands in for one that only the other has."""
-    if a.shape[:2] != b.shape[:2]:
-        return None
-    if a.shape != b.shape:
-        a, b = (p if p.shape[2] == 4 else np.concatenate([p, np.full((*p.shape[:2], 1), 255, np.uint8)], axis=2) for p in (a, b))
-    squares, windows, similar = 0, 0, 0.0
-    for y in range(0, len(a), WINDOW):  # a band of windows at a time
-        x1, x2 = a[y : y + WINDOW], b[y : y + WINDOW]
-        squares += int(((x1.astype(np.int64) - x2) ** 2).sum())
-        across = a.shape[1] // WINDOW
-        if len(x1) == WINDOW and across:
-            l1, l2 = ((p[:, : across * WINDOW, :3] @ LUMA).reshape(WINDOW, across, WINDOW) for p in (x1, x2))
-            m1, m2 = l1.mean((0, 2)), l2.mean((0, 2))
-            d1, d2 = l1 - m1[:, None], l2 - m2[:, None]
-            top = (2 * m1 * m2 + C1) * (2 * (d1 * d2).mean((0, 2)) + C2)
-            similar += float((top / ((m1**2 + m2**2 + C1) * ((d1**2).mean((0, 2)) + (d2**2).mean((0, 2)) + C2))).sum())
-            windows += across
-    return a.size, squares, windows, similar
+    samples, squares, windows, similar = 0, 0, 0, 0.0
+    for one, two in side_by_side(a, b):
+        if one.shape != two.shape:
+            one, two = (p if p.shape[2] == 4 else np.concatenate([p, np.full((*p.shape[:2], 1), 255, np.uint8)], axis=2) for p in (one, two))
+        samples += one.size
+        for y in range(0, len(one), WINDOW):  # a line of windows at a time
+            x1, x2 = one[y : y + WINDOW], two[y : y + WINDOW]
+            squares += int(((x1.astype(np.int64) - x2) ** 2).sum())
+            across = one.shape[1] // WINDOW
+            if len(x1) == WINDOW and across:
+                l1, l2 = ((p[:, : across * WINDOW, :3] @ LUMA).reshape(WINDOW, across, WINDOW) for p in (x1, x2))
+                m1, m2 = l1.mean((0, 2)), l2.mean((0, 2))
+                d1, d2 = l1 - m1[:, None], l2 - m2[:, None]
+                top = (2 * m1 * m2 + C1) * (2 * (d1 * d2).mean((0, 2)) + C2)
+                similar += float((top / ((m1**2 + m2**2 + C1) * ((d1**2).mean((0, 2)) + (d2**2).mean((0, 2)) + C2))).sum())
+                windows += across
+    return samples, squares, windows, similar
 
 
 def spectral_sums(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:

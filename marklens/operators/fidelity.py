@@ -7,6 +7,7 @@ sums; measures, floors and exit codes are column expressions over these.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,11 +18,13 @@ from ..functions import text as T
 
 # Value for equal pictures, floors, least edge of a picture, least frames of a sound, exit codes.
 EQUAL_DB, PSNR_FLOOR, SSIM_FLOOR, LEAST_EDGE = 120.0, 25.0, 0.6, 8
-EXIT_MALFORMED, EXIT_UNSUPPORTED = 30, 40
+EXIT_MALFORMED, EXIT_UNSUPPORTED, EXIT_BELOW_FLOOR = 30, 40, 50
+#: Rows of results that are handed on at once.
+ROWS_AT_ONCE = 2048
 SUMS = "asset_id long, format string, width int, height int, samples long, squares long, windows long, similar double, frames long, distance double, problem string"
 _TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.string()]
 #: Formats that are measured.
-PICTURE, SOUND = "png", "riff-wav"
+SOUND = "riff-wav"
 
 
 def sums(pairs: DataFrame) -> DataFrame:
@@ -30,13 +33,14 @@ def sums(pairs: DataFrame) -> DataFrame:
 
     def measured(form: str | None, before: bytes | None, after: bytes | None) -> tuple:
         nothing = (None,) * 8
-        if form not in (PICTURE, SOUND):
+        if form != SOUND and form not in samples.PICTURES:
             return (*nothing, "unsupported")
         try:
-            if form == PICTURE:
-                one, two = samples.png_pixels(before), samples.png_pixels(after)
-                found = samples.picture_sums(one, two)
-                return (one.shape[1], one.shape[0], *(found or (None,) * 4), None, None, None if found else "mismatch")
+            if form != SOUND:
+                (height, width, one), (*size, two) = samples.PICTURES[form](before), samples.PICTURES[form](after)
+                if [height, width] != size:
+                    return (*nothing, "mismatch")
+                return (width, height, *samples.picture_sums(one, two), None, None, None)
             one, two = samples.wav_sound(before), samples.wav_sound(after)
             if one.rate != two.rate:
                 return (*nothing, "mismatch")
@@ -48,9 +52,8 @@ def sums(pairs: DataFrame) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for asset, form, before, after in zip(*b.columns):  # a pair at a time: its pixels bound the memory
-                row = (asset.as_py(), form.as_py(), *measured(form.as_py(), before.as_py(), after.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], names)
+            rows = ((asset.as_py(), form.as_py(), *measured(form.as_py(), before.as_py(), after.as_py())) for asset, form, before, after in zip(*b.columns))
+            yield from gathered(rows, _TYPES, names)  # a pair at a time: its pixels bound the memory
 
     names = [c.split()[0] for c in SUMS.split(", ")]
     kind = lambda c: F.when(F.col(c).isNotNull(), T.sniffed(F.col(c)))
@@ -58,6 +61,12 @@ def sums(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("asset_id").cast("long").alias("asset_id"), form.alias("format"), "before", "after").mapInArrow(batches, SUMS)
 
 
+def gathered(rows: Iterator[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of few numbers in batches, not one by one."""
+    while held := list(islice(rows, ROWS_AT_ONCE)):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held), types)], names)
+
+
 def psnr() -> Column:
     return F.when(F.col("squares") == 0, EQUAL_DB).when(F.col("samples") > 0, 10 * F.log10(65025.0 * F.col("samples") / F.col("squares")))
 
@@ -66,20 +75,21 @@ def measures(pairs: DataFrame) -> DataFrame:
     """pairs (asset_id, before, after) -> asset_id, format, psnr_db, ssim, lsd_db, passed, refusal, exit_code: a row per
     pair, repeated rows too.
 
-    Pictures pass above both floors; sounds, which have no floor, where they were measured. A picture with an edge under
-    8, or a file that is not read here, gives 40. A file that can't be read, pairs of other size or rate, and sounds of
-    under four frames were not measured: null measures, 30. Null contents are not read (40). A refused picture keeps code
-    30 as well: nothing is written.
+    Pictures pass at or above both floors; one below a floor was measured and gives 50. Sounds, which have no floor, pass where
+    they were measured. A picture with an edge under 8, or a file that is not read here, gives 40. A file that can't be
+    read, pairs of other size or rate, and sounds of under four frames were not measured: null measures, 30. Null
+    contents are not read (40).
     """
     found = sums(pairs).withColumn("psnr_db", psnr()).withColumn("ssim", F.when(F.col("windows") > 0, F.col("similar") / F.col("windows")))
     found = found.withColumn("lsd_db", F.when(F.col("frames") >= samples.LEAST_FRAMES, F.col("distance") / F.col("frames")))
     small = F.least("width", "height") < LEAST_EDGE
     picture = (F.col("psnr_db") >= PSNR_FLOOR) & (F.col("ssim") >= SSIM_FLOOR)
-    passed = F.coalesce(F.when(F.col("format") == PICTURE, picture).otherwise(F.col("lsd_db").isNotNull()), F.lit(False))
+    passed = F.coalesce(F.when(F.col("format") != SOUND, picture).otherwise(F.col("lsd_db").isNotNull()), F.lit(False))
+    was_measured = F.col("psnr_db").isNotNull() & F.col("ssim").isNotNull()
     scores = F.format_string("scores PSNR %.2f dB and SSIM %.4f against the floors %.1f dB and %.2f", "psnr_db", "ssim", F.lit(PSNR_FLOOR), F.lit(SSIM_FLOOR))
     refusal = (
         F.when((F.col("problem") == "unsupported") | small, "not measurable: format or size").when(F.col("problem").isNotNull(), F.concat(F.lit("not measured: "), "problem"))
-        .when(~passed, F.when(F.col("psnr_db").isNotNull() & F.col("ssim").isNotNull(), scores).otherwise("not measured: too short"))
+        .when(~passed, F.when(was_measured, scores).otherwise("not measured: too short"))
     )
-    code = F.when((F.col("problem") == "unsupported") | small, EXIT_UNSUPPORTED).when(~passed, EXIT_MALFORMED).otherwise(0)
+    code = F.when((F.col("problem") == "unsupported") | small, EXIT_UNSUPPORTED).when(~passed, F.when(was_measured, EXIT_BELOW_FLOOR).otherwise(EXIT_MALFORMED)).otherwise(0)
     return found.select("asset_id", "format", "psnr_db", "ssim", "lsd_db", (passed & ~F.coalesce(small, F.lit(False))).alias("passed"), refusal.alias("refusal"), code.alias("exit_code"))

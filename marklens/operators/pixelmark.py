@@ -1,6 +1,6 @@
 """Reading of the published pixel mark that image generators put into the blue-difference plane. Nothing is altered.
 
-Per file, blocks vote in one pass over an Arrow batch and only the votes, a few dozen numbers, go on; majority,
+Per file, blocks vote in one pass over its bands of lines and only the votes, a few dozen numbers, go on; majority,
 agreement with the published payloads, decision and evidence are column expressions.
 """
 
@@ -13,14 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import samples
+from ..functions import jpeg, samples
 from ..functions import text as T
+from .fidelity import gathered
 
 # Payloads, least agreement, quantization step, edge of a block, weights of luma and blue difference in 2**14ths.
 PAYLOADS = {"sdxl-48": f"{0xB3EC907BB19E:048b}", "compvis-136": "".join(f"{b:08b}" for b in b"StableDiffusionV1")}
 AGREEMENT, STEP, BLOCK = 0.8, 36.0, 4
 RED, GREEN, BLUE, DIFFERENCE = 4899, 9617, 1868, 8061
-VOTES = "asset_id long, format string, blocks long, ones array<array<long>>"
+VOTES = "asset_id long, format string, blocks long, ones array<array<long>>, subsampled boolean, unread boolean"
 
 
 def blue_difference(pixels: np.ndarray) -> np.ndarray:
@@ -43,25 +44,40 @@ def block_bits(pixels: np.ndarray) -> np.ndarray:
     return np.fmod(blocks[:, 1:].max(1, initial=0), STEP) > STEP / 2
 
 
+def voted(bands: Iterator[np.ndarray]) -> tuple[int, list[list[int]]]:
+    """Of a picture in bands: its blocks, and per payload how many of each bit's are ones."""
+    count, ones = 0, [np.zeros(len(p), np.int64) for p in PAYLOADS.values()]
+    for band in samples.in_windows(bands, 2 * BLOCK):
+        bits = block_bits(band)
+        place = np.flatnonzero(bits) + count
+        ones = [o + np.bincount(place % len(o), minlength=len(o)) for o in ones]
+        count += len(bits)
+    return count, [o.tolist() for o in ones]
+
+
 def votes(assets: DataFrame) -> DataFrame:
-    """assets (asset_id, content) -> VOTES, a row per file: its blocks and, per payload, how many of each bit's are ones;
-    null blocks where a PNG can't be read, and for other formats."""
+    """assets (asset_id, content) -> VOTES, a row per file; null blocks where a picture can't be read, where its form is not
+    read here (unread), and for other formats."""
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for asset, form, content in zip(*batch.columns):  # a file at a time, in bands of lines
+            form, count, ones, coarse, unread = form.as_py(), None, None, None, False
+            if form in samples.PICTURES:
+                content = content.as_py()
+                coarse = form == "jpeg" and jpeg.subsampled(content)
+                try:
+                    count, ones = voted(samples.PICTURES[form](content)[2])
+                except samples.Unreadable:
+                    pass
+                except samples.Unread:
+                    unread = True
+            yield asset.as_py(), form, count, ones, coarse, unread
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for asset, form, content in zip(*b.columns):  # a file at a time: its pixels bound the memory
-                count = ones = None
-                if form.as_py() == "png":
-                    try:
-                        bits = block_bits(samples.png_pixels(content.as_py()))
-                        count, place = len(bits), np.arange(len(bits))
-                        ones = [np.bincount(place[bits] % len(p), minlength=len(p)).tolist() for p in PAYLOADS.values()]
-                    except (samples.Unreadable, samples.Unread):
-                        pass
-                row = (asset.as_py(), form.as_py(), count, ones)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["asset_id", "format", "blocks", "ones"])
-
-    types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.list_(pa.int64()))]
+            yield from gathered(rows(b), types, ["asset_id", "format", "blocks", "ones", "subsampled", "unread"])
+
+    types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.bool_(), pa.bool_()]
     form = F.when(F.col("content").isNotNull(), T.sniffed(F.col("content")))
     return assets.select(F.col("asset_id").cast("long").alias("asset_id"), form.alias("format"), "content").mapInArrow(batches, VOTES)
 
@@ -77,21 +93,22 @@ def agreement(i: int, payload: str) -> Column:
 def decisions(assets: DataFrame) -> DataFrame:
     """assets (asset_id, content) -> asset_id, format, state, evidence, and blocks and agreements (by payload).
 
-    A payload is present if every bit has a block and the agreement is 0.8 or more. A PNG that can't be read is
-    malformed; other formats, which are not decoded here, and null contents are unsupported_format; an empty table
+    A payload is present if every bit has a block and the agreement is 0.8 or more. A PNG or JPEG that can't be read is
+    malformed. Other formats and forms, which are not decoded here, and null contents are unsupported_format; so is a JPEG of
+    subsampled colours in which nothing is found, as its writer has thrown away what the mark would lie in. An empty table
     gives no rows, a repeated row one each.
     """
     found = votes(assets).withColumn("agreements", F.create_map(*(x for i, (name, p) in enumerate(PAYLOADS.items()) for x in (F.lit(name), agreement(i, p)))))
     score = lambda name: F.col("agreements")[name]
     present = {name: (F.col("blocks") >= len(p)) & (score(name) >= AGREEMENT) for name, p in PAYLOADS.items()}
     said = [
-        F.format_string(f"payload {name} agreement %.3f against threshold {AGREEMENT:.2f} over %d blocks: %s", score(name), "blocks", F.when(there, "present").otherwise("absent"))
+        F.format_string(f"payload {name} matches %.3f of its bits in %d blocks, {AGREEMENT:.2f} are needed: %s", score(name), "blocks", F.when(there, "found").otherwise("not found"))
         for name, there in present.items()
     ]
     some = present["sdxl-48"] | present["compvis-136"]
     state = (
-        F.when(F.coalesce(F.col("format") != "png", F.lit(True)), "unsupported_format").when(F.col("blocks").isNull(), "malformed")
-        .when(some, "confirmed_present").otherwise("confirmed_absent")
+        F.when(F.coalesce(~F.col("format").isin(*samples.PICTURES), F.lit(True)) | F.col("unread"), "unsupported_format").when(F.col("blocks").isNull(), "malformed")
+        .when(some, "confirmed_present").when(F.col("subsampled"), "unsupported_format").otherwise("confirmed_absent")
     )
     evidence = F.when(F.col("blocks").isNull(), F.array().cast("array<string>")).otherwise(F.array(*said))
     return found.select("asset_id", "format", state.alias("state"), evidence.alias("evidence"), "blocks", F.when(F.col("blocks").isNotNull(), F.col("agreements")).alias("agreements"))

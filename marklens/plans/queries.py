@@ -278,7 +278,7 @@ w AS (SELECT doc_id, high, i // 256 AS wy, (i % 32) // 8 AS wx, count(*) AS n, s
 m AS (SELECT doc_id, sum(n) AS n, sum(squares) AS squares,
   avg((2 * ma * mb + 6.5025) * (2 * both_ + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))) FILTER (wy < high // 8) AS ssim FROM w GROUP BY doc_id),
 r AS (SELECT doc_id, CASE WHEN squares = 0 THEN 120.0::DOUBLE ELSE 10 * log10(65025 * n / squares) END AS psnr, ssim FROM m)
-SELECT doc_id, round(psnr, 6) AS psnr_db, round(ssim, 6) AS ssim, psnr >= 25 AND ssim >= 0.6 AS passed, CASE WHEN psnr >= 25 AND ssim >= 0.6 THEN 0 ELSE 30 END AS exit_code FROM r""",
+SELECT doc_id, round(psnr, 6) AS psnr_db, round(ssim, 6) AS ssim, psnr >= 25 AND ssim >= 0.6 AS passed, CASE WHEN psnr >= 25 AND ssim >= 0.6 THEN 0 ELSE 50 END AS exit_code FROM r""",
     "pixel_marks": """WITH e AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS x FROM documents),
 h AS (SELECT doc_id, greatest(8, (len(x) + 95) // 96) AS high, x FROM e),
 p AS (SELECT doc_id, high, unnest(range(high * 96)) AS i, unnest(list_resize(x, high * 96, '00')) AS x FROM h),

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from marklens.functions import samples
+from marklens.functions import jpeg, samples
 from marklens.operators import fidelity
 
 
@@ -144,11 +144,54 @@ def test_measures(spark):
     for i, after in ((1, near), (2, far), (3, base)):
         assert (got[i]["psnr_db"], got[i]["ssim"]) == pytest.approx(plain_measures(base, after))
     assert got[4]["psnr_db"] == 120 and got[4]["ssim"] == pytest.approx(1)
-    assert {i: r["exit_code"] for i, r in got.items()} == {1: 0, 2: 30, 3: 0, 4: 0, 5: 30, 6: 40, 7: 30, 8: 40, 9: 40, 10: 40, 11: 0, 12: 30, 13: 30, 14: 0}
+    assert {i: r["exit_code"] for i, r in got.items()} == {1: 0, 2: 50, 3: 0, 4: 0, 5: 30, 6: 40, 7: 30, 8: 40, 9: 40, 10: 40, 11: 0, 12: 30, 13: 30, 14: 0}
     assert all(r["passed"] == (r["exit_code"] == 0) == (r["refusal"] is None) for r in made)
     assert got[11]["lsd_db"] == pytest.approx(plain_distance(tone.mean(1), quiet.mean(1)), rel=1e-4)
     assert got[14]["lsd_db"] == 0 and got[12]["lsd_db"] is None
 
 
+@pytest.mark.parametrize("colour,depth", [(0, 1), (2, 16), (3, 4), (6, 8)])
+@pytest.mark.parametrize("passes", [[(0, 0, 1, 1)], samples.PASSES])
+def test_pictures_in_bands(monkeypatch, colour, depth, passes):
+    """Bands of eight lines, and little data taken in at once, give the same pixels."""
+    some = random.Random(depth)
+    grid = {(x, y): [some.randrange(2**depth) for _ in range(samples.CHANNELS[colour])] for x in range(21) for y in range(45)}
+    content = written(21, 45, depth, colour, passes, lambda x, y: grid[x, y], [(b"PLTE", bytes(range(48)))] if colour == 3 else [])
+    whole = samples.png_pixels(content)
+    monkeypatch.setattr(samples, "BAND_BYTES", 1)
+    monkeypatch.setattr(samples, "TAKEN_IN", 5)
+    height, width, bands = samples.png_bands(content)
+    bands = list(bands)
+    assert (height, width) == (45, 21) and [len(b) for b in bands] == [8, 8, 8, 8, 8, 5]
+    assert (np.concatenate(bands) == whole).all()
+
+
+def test_large_pictures_are_read(spark):
+    """A picture of 36 million pixels takes a band's memory, whatever its size."""
+    line = zlib.compress(bytes(6000 * (1 + 6000 * 3)), 1)
+    head = struct.pack(">IIBBBBB", 6000, 6000, 8, 2, 0, 0, 0)
+    content = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", line) + chunk(b"IEND", b"")
+    assert max(len(b) for b in samples.png_bands(content)[2]) * 6000 * 3 <= samples.BAND_BYTES
+    rows = spark.createDataFrame([(1, bytearray(content), bytearray(content))], "asset_id long, before binary, after binary")
+    made = fidelity.measures(rows).first()
+    assert (made["psnr_db"], made["exit_code"]) == (120.0, 0)
+
+
+def test_jpeg_pairs(spark):
+    rng = np.random.default_rng(8)
+    plane = np.zeros((3, 4, 64), int)
+    plane[..., :3] = rng.integers(-90, 90, (3, 4, 3))
+    other = plane.copy()
+    other[..., 0] += 4
+    one, two, far, odd = (jpeg.of_coefficients(w, 24, [p[:, : -(-w // 8)]], [(1, 1)]) for w, p in ((32, plane), (32, other), (32, -plane), (24, plane)))
+    cmyk = one.replace(b"\xff\xc0\x00\x0b\x08\x00\x18\x00\x20\x01", b"\xff\xc0\x00\x0b\x08\x00\x18\x00\x20\x04")
+    pairs = {1: (one, two), 2: (one, far), 3: (one, odd), 4: (one, one[:60]), 5: (one, cmyk), 6: (one, samples.png_of(np.zeros((24, 32, 3), np.uint8)))}
+    rows = spark.createDataFrame([(i, *map(bytearray, p)) for i, p in pairs.items()], "asset_id long, before binary, after binary")
+    got = {r["asset_id"]: r for r in fidelity.measures(rows).collect()}
+    assert {i: r["exit_code"] for i, r in got.items()} == {1: 0, 2: 50, 3: 30, 4: 30, 5: 40, 6: 40}
+    pixels = [np.concatenate(list(jpeg.bands(c)[2])) for c in (one, two)]
+    assert (got[1]["psnr_db"], got[1]["ssim"]) == pytest.approx(plain_measures(*pixels))
+
+
 def test_no_pairs(spark):
     assert fidelity.measures(spark.createDataFrame([], "asset_id long, before binary, after binary")).count() == 0

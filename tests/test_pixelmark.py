@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from marklens.functions import samples
+from marklens.functions import jpeg, samples
 from marklens.operators import pixelmark
 
 
@@ -53,5 +53,39 @@ def test_decisions(spark):
             assert (got[i]["blocks"], got[i]["agreements"][name]) == plain(p, payload), (i, name)
     assert {i for i, r in got.items() if r["state"] == "confirmed_present"} == {1, 2, 3}  # 4: too many wrong; 5: too few blocks
     assert [got[i]["state"] for i in (9, 10, 11, 12)] == ["malformed"] + ["unsupported_format"] * 3
-    assert got[3]["evidence"][0] == "payload sdxl-48 agreement 0.813 against threshold 0.80 over 64 blocks: present" and got[9]["evidence"] == []
+    assert got[3]["evidence"][0] == "payload sdxl-48 matches 0.813 of its bits in 64 blocks, 0.80 are needed: found" and got[9]["evidence"] == []
     assert pixelmark.decisions(rows.limit(0)).count() == 0
+
+
+def as_jpeg(picture, factors):
+    """Coefficients by the transform of a picture's own blue difference and luma, unrounded colours left out."""
+    lum = picture.astype(float) @ [0.299, 0.587, 0.114] - 128
+    blue = (picture[..., 2] - picture.astype(float) @ [0.299, 0.587, 0.114]) / 1.772
+    wave = np.array([[(0.125**0.5 if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    most = max(a for a, _ in factors)
+    planes = []
+    for plane, (a, _) in zip((lum, blue, blue * 0), factors):
+        r = most // a
+        plane = plane.reshape(plane.shape[0] // r, r, plane.shape[1] // r, r).mean((1, 3))
+        blocks = plane.reshape(plane.shape[0] // 8, 8, -1, 8).swapaxes(1, 2)
+        planes.append(np.rint(wave @ blocks @ wave.T).astype(int).reshape(*blocks.shape[:2], 64))
+    return jpeg.of_coefficients(picture.shape[1], picture.shape[0], planes, factors)
+
+
+def test_jpeg_decisions(spark):
+    """Whole colours show the mark; halved ones that show none are not called free of it."""
+    one = pixelmark.PAYLOADS["sdxl-48"]
+    marked, plain_ = drawn(one, 8, 8), np.full((64, 64, 3), 120, np.uint8)
+    whole, half = [(1, 1)] * 3, [(2, 2), (1, 1), (1, 1)]
+    files = {1: as_jpeg(marked, whole), 2: as_jpeg(plain_, whole), 3: as_jpeg(plain_, half), 4: as_jpeg(plain_, whole)[:90], 5: as_jpeg(plain_, whole).replace(b"\xff\xc0", b"\xff\xc9")}
+    rows = spark.createDataFrame([(i, bytearray(c)) for i, c in files.items()], "asset_id long, content binary")
+    got = {r["asset_id"]: r for r in pixelmark.decisions(rows).collect()}
+    assert [got[i]["state"] for i in range(1, 6)] == ["confirmed_present", "confirmed_absent", "unsupported_format", "malformed", "unsupported_format"]
+    pixels = np.concatenate(list(jpeg.bands(files[1])[2]))
+    assert (got[1]["blocks"], got[1]["agreements"]["sdxl-48"]) == plain(pixels, one)
+
+
+def test_votes_in_bands(monkeypatch):
+    picture = np.random.default_rng(4).integers(0, 256, (77, 41, 3)).astype(np.uint8)
+    whole = pixelmark.voted(iter([picture]))
+    assert pixelmark.voted(iter([picture[:3], picture[3:30], picture[30:]])) == whole == pixelmark.voted(samples.png_bands(samples.png_of(picture))[2])
