@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import takewhile
 from typing import NamedTuple
 
 import numpy as np
@@ -127,7 +128,7 @@ def information(content: bytes, f: Frame) -> Mark | None:
     more = body[at : at + EXTENSION]
     notes, encoder = [], ""
     if len(more) == EXTENSION:
-        encoder = "".join(chr(c) for c in more[NAME].split(b"\0")[0] if 32 <= c < 127).rstrip()
+        encoder = "".join(map(chr, takewhile(lambda c: 32 <= c < 127, more[NAME]))).rstrip()
         if any(more):
             times = int.from_bytes(more[TIMES], "big")
             notes.append(f"delay {times >> 12}, padding {times & 4095}")
@@ -137,8 +138,16 @@ def information(content: bytes, f: Frame) -> Mark | None:
     return Mark("info" if tells else "", f.at, f.size, f"{kind} tag, encoder {encoder}" if encoder else f"{kind} tag", notes)
 
 
-def walk(content: bytes) -> tuple[list[Mark], bool]:
-    """The file's marks in order, and whether tags and frames fill all of it."""
+class Layout(NamedTuple):
+    leading: list[Mark]
+    frames: list[Frame]
+    trailing: list[Mark]  # in the file's order
+    start: int  # of the frames
+    end: int
+    complete: bool  # tags and frames fill the file
+
+
+def layout(content: bytes) -> Layout:
     leading, start = [], 0
     while True:
         if size := id3v2(content, start):
@@ -165,15 +174,20 @@ def walk(content: bytes) -> tuple[list[Mark], bool]:
     while (f := frame(content, at, end)) and at + f.size <= end:
         frames.append(f)
         at += f.size
-    complete = bool(frames) and at == end
+    return Layout(leading, frames, trailing[::-1], start, end, bool(frames) and at == end)
+
+
+def walk(content: bytes) -> tuple[list[Mark], bool]:
+    """The file's marks in order, and whether tags and frames fill all of it."""
+    lay = layout(content)
     inner = []
-    info = information(content, frames[0]) if frames else None
+    info = information(content, lay.frames[0]) if lay.frames else None
     if info and info.kind:
-        inner.append(info._replace(broken=not complete))
-    if complete:
-        stretches = unused(content, frames, info.start if info else None)
+        inner.append(info._replace(broken=not lay.complete))
+    if lay.complete:
+        stretches = unused(content, lay.frames, info.start if info else None)
         if stretches is None:
-            inner.append(Mark("ancillary", start, end - start, "main data can't be placed", [], True))
+            inner.append(Mark("ancillary", lay.start, lay.end - lay.start, "main data can't be placed", [], True))
         else:
             parts = [content[a:z] for a, z in stretches]
             filled = sum(len(p) - p.count(0) for p in parts)
@@ -181,4 +195,50 @@ def walk(content: bytes) -> tuple[list[Mark], bool]:
                 hits = {n: sum(n in p for p in parts) for n in ENCODERS}
                 notes = [f"{n.decode()} in {hits[n]} frames" for n in ENCODERS if hits[n]]
                 inner.append(Mark("ancillary", stretches[0][0], sum(map(len, parts)), f"{filled} nonzero bytes across {len(parts)} runs", notes))
-    return [*leading, *inner, *reversed(trailing)], complete
+    return [*lay.leading, *inner, *lay.trailing], lay.complete
+
+
+#: Bytes of a VBRI tag's head, before its table and what its encoder adds.
+VBRI_AT, VBRI_HEAD = 36, 26
+#: Tags by the class they go with.
+TAG_CLASSES = {"ID3v2": "id3", "ID3v1": "id3", "APE": "ape"}
+
+
+def minimal(body: bytes, f: Frame) -> bytes:
+    """An information frame of the same size with counts, table of contents, delay and padding, and zeros for the rest."""
+    if body[f.data_at : f.data_at + 4] not in (b"Xing", b"Info"):
+        return body[: VBRI_AT + VBRI_HEAD].ljust(len(body), b"\0")
+    flags = int.from_bytes(body[f.data_at + 4 : f.data_at + 8], "big")
+    counts = f.data_at + 8 + 4 * (flags & 1) + 2 * (flags & 2) + 25 * (flags & 4)
+    more = counts + (flags & 8) // 2
+    made = bytearray(body[:counts].ljust(len(body), b"\0"))
+    if more + EXTENSION <= len(body):
+        made[more + TIMES.start : more + TIMES.stop] = body[more + TIMES.start : more + TIMES.stop]
+    return bytes(made)
+
+
+def without(content: bytes, drop: set[str]) -> tuple[bytes, list[str]]:
+    """The file without tags of these classes, its information frame made minimal, unused bytes of main data set to zero; and the
+    kinds of what changed. No byte that a frame's main data covers changes. Raises ValueError for a broken file."""
+    lay = layout(content)
+    if not lay.complete:
+        raise ValueError("tags and frames don't fill the file")
+    info = information(content, lay.frames[0])
+    middle, changed = bytearray(content[lay.start : lay.end]), []
+    if "mp3_info" in drop and info:
+        body = bytes(middle[: info.total])
+        middle[: info.total] = minimal(body, lay.frames[0])
+        changed += ["info"] * (middle[: info.total] != body)
+    if "mp3_ancillary" in drop:
+        stretches = unused(content, lay.frames, info.start if info else None)
+        if stretches is None:
+            raise ValueError("main data can't be placed")
+        changed += ["ancillary"] * any(content.count(0, a, z) < z - a for a, z in stretches)
+        for a, z in stretches:
+            middle[a - lay.start : z - lay.start] = bytes(z - a)
+    kept = [[m for m in tags if TAG_CLASSES[m.kind] not in drop] for tags in (lay.leading, lay.trailing)]
+    gone = [[m.kind for m in tags if TAG_CLASSES[m.kind] in drop] for tags in (lay.leading, lay.trailing)]
+    if not changed and not gone[0] + gone[1]:
+        return content, []
+    parts = [b"".join(content[m.start : m.start + m.total] for m in tags) for tags in kept]
+    return parts[0] + bytes(middle) + parts[1], [*gone[0], *changed, *gone[1]]

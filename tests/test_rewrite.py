@@ -14,6 +14,7 @@ CASES = [
     (png(TEXT, ICON, PACKET, ODD), ["xmp", "unlisted"], png(TEXT, ICON), ["iTXt", "prVt"]),
     (png(BOX, ICON, (b"eXIf", b"II"), (b"prVt", b"c2pa"), ODD), ALL, png(BOX, ICON, (b"prVt", b"c2pa")), ["eXIf", "prVt"]),  # manifests stay
     (png(ICON), ALL, png(ICON), []),
+    (jpeg(), ALL, jpeg(), []),
     (png(TEXT) + b"tail", ["xmp"], png(TEXT) + b"tail", []),
     (riff(b"WAVE", HEAD, INFO, (b"bext", b"x"), SOUND, (b"id3 ", b"ID3")), ["riff_ancillary", "id3"], riff(b"WAVE", HEAD, (b"bext", b"x"), SOUND), ["LIST", "id3 "]),
     (riff(b"WAVE", HEAD, (b"bext", b"x"), FILM, (b"C2PA", b"x"), (b"junk", b""), SOUND), ALL, riff(b"WAVE", HEAD, FILM, (b"C2PA", b"x"), SOUND), ["bext", "junk"]),
@@ -24,7 +25,7 @@ CASES = [
 
 
 def test_rewritten(spark):
-    broken = [(png(TEXT)[:-3], 30), (riff(b"WAVE", INFO)[:-2], 30), (b"fLaC\0\0\0\2a", 30), (jpeg(), 40), (b"text", 40), (None, 40), (b"", 40)]
+    broken = [(png(TEXT)[:-3], 30), (riff(b"WAVE", INFO)[:-2], 30), (b"fLaC\0\0\0\2a", 30), (b"OggS....", 40), (b"text", 40), (None, 40), (b"", 40)]
     rows = [(i, bytearray(c), d) for i, (c, d, _, _) in enumerate(CASES)] + [(100 + i, None if c is None else bytearray(c), ALL) for i, (c, _) in enumerate(broken)]
     rows += [(200, bytearray(png(TEXT)), None), (201, bytearray(png(BOX)), ["c2pa"])]
     frame = spark.createDataFrame(rows, "asset_id long, content binary, drop array<string>")
@@ -35,8 +36,8 @@ def test_rewritten(spark):
     assert [(got[100 + i]["content"], got[100 + i]["exit_code"]) for i in range(len(broken))] == [(None, code) for _, code in broken]
     assert bytes(got[200]["content"]) == png(TEXT) and bytes(got[201]["content"]) == png(BOX)
     left = {(r["asset_id"], r["class"]) for r in containers.marks(made.where("asset_id < 10 AND exit_code = 0")).collect()}
-    assert left == {(0, "xmp"), (1, "png_text"), (2, "c2pa"), (4, "png_text"), (6, "c2pa"), (7, "xmp")}
-    again = rewrite.rewritten(made.where("exit_code = 0 AND asset_id IN (2, 6, 9)"), ALL).collect()
+    assert left == {(0, "xmp"), (1, "png_text"), (2, "c2pa"), (5, "png_text"), (7, "c2pa"), (8, "xmp")}
+    again = rewrite.rewritten(made.where("exit_code = 0 AND asset_id IN (2, 7, 10)"), ALL).collect()
     assert [(bytes(r["content"]), r["removed"]) for r in again] == [(CASES[r["asset_id"]][2], []) for r in again]
 
 
