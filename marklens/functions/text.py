@@ -6,8 +6,11 @@ last place where it may end. LF is the only line end.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +24,7 @@ WRAPPER = (
 )
 MALFORMED_RUN = 8
 RUN_OR_TEXT = f"([{SELECTORS}]+|[^{SELECTORS}]+)"
-#: Runs of selectors, single hygiene characters, and the text between them.
-SPAN_OR_TEXT = f"([{SELECTORS}]+|[{HYGIENE_SET}]|[^{SELECTORS}{HYGIENE_SET}]+)"
+SPANS = "array<struct<kind: string, offset: long, length: long>>"
 TAG_OR_TEXT = r"((?i:<meta)[^>]*+>|<|[^<]+)"
 ELEMENT_OR_TEXT = r"(?s)((?i:<meta)[^>]*+>|<!--.*?-->|<|[^<]+)"
 GENERATOR_META = r"""(?is)^<meta[^>]*[ \t\n\r\f]name\s*=\s*(?:"\s*generator\s*"|'\s*generator\s*'|generator[\s>/])"""
@@ -67,6 +69,31 @@ def counted(text: Column) -> Column:
     return bound(text, lambda t: F.when(t.rlike(f"[{SELECTORS}{HYGIENE_SET}]"), totals(t)).otherwise(none))
 
 
+def spans(text: Column) -> Column:
+    """SPANS, in bytes and in their order: W wrappers, M malformed runs, H lone selectors, S single hygiene characters. Only texts
+    with a mark go to Python, where running sums take one pass; null for the others."""
+
+    def all_of(texts: pa.Array) -> pa.Array:
+        spelt = lambda pattern: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), pattern)
+        mark, wrapper = re.compile(spelt(f"[{SELECTORS}]+|([{HYGIENE_SET}])")), re.compile(spelt(WRAPPER))
+
+        def one(text: str | None) -> list[dict] | None:
+            if text is None:
+                return None
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            ends = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
+            found = []
+            for m in mark.finditer(text):
+                kind = "S" if m[1] else "W" if wrapper.search(m[0]) else "M" if len(m[0]) >= MALFORMED_RUN else "H"
+                at, upto = int(ends[m.start()]), int(ends[m.end()])
+                found.append({"kind": kind, "offset": at, "length": upto - at})
+            return found
+
+        return pa.array([one(t.as_py()) for t in texts], pa.list_(pa.struct([("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])))
+
+    return F.arrow_udf(all_of, SPANS).asNondeterministic()(bound(text, lambda t: F.when(t.rlike(f"[{SELECTORS}{HYGIENE_SET}]"), t)))  # said to be so that no plan runs it twice
+
+
 def without_invisibles(text: Column) -> Column:
     """Drops lone selectors and hygiene characters; malformed runs and wrappers stay."""
     kept = F.filter(tokens(text), lambda t: token_kind(t) != "H")

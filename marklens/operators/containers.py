@@ -1,14 +1,12 @@
-"""Marks in media files: elements from a walk of each file, then column expressions and joins.
+"""Marks in media files: elements from a walk of each file, then column expressions.
 
 Only the walk is Python, one Arrow batch at a time; it hands on the payload of small metadata elements
 and never that of pixels, sound or film, of which it copies nothing. Which element is a mark, its evidence, and the states of classes
-that were not found are relational, with no shuffle but that of the states (by file).
+that were not found are expressions over the array of a file's elements: a file stays in its row, nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +16,12 @@ from ..functions import text as T
 from ..plans import classes
 
 EXIF = "struct<make: string, model: string, software: string, exposure: boolean, aperture: boolean, iso: boolean, lens: boolean>"
-ELEMENTS = f"asset_id long, format string, complete boolean, kind string, start long, total long, manifest boolean, payload binary, exif {EXIF}, detail string, notes array<string>, broken boolean"
+ELEMENT = f"struct<kind: string, start: long, total: long, manifest: boolean, payload: binary, exif: {EXIF}, detail: string, notes: array<string>, broken: boolean>"
+WALKED = f"struct<complete: boolean, elements: array<{ELEMENT}>>"
 _EXIF = pa.struct([(n, pa.string() if n in ("make", "model", "software") else pa.bool_()) for n in ("make", "model", "software", "exposure", "aperture", "iso", "lens")])
-_TYPES = [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), _EXIF, pa.string(), pa.list_(pa.string()), pa.bool_()]
-_NAMES = ["asset_id", "format", "complete", "kind", "start", "total", "manifest", "payload", "exif", "detail", "notes", "broken"]
+_NAMES = ["kind", "start", "total", "manifest", "payload", "exif", "detail", "notes", "broken"]
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), _EXIF, pa.string(), pa.list_(pa.string()), pa.bool_()]
+_WALKED = pa.struct([("complete", pa.bool_()), ("elements", pa.list_(pa.struct(list(zip(_NAMES, _TYPES)))))])
 #: Elements that may carry a manifest; in RIFF any chunk but the sound.
 MANIFEST_KINDS = {"jpeg": {"EB"}, "isobmff": {"uuid"}}
 RIFF = ("webp", "riff-wav", "riff-avi")
@@ -29,45 +29,57 @@ RIFF = ("webp", "riff-wav", "riff-avi")
 TEXT = ["text", "html", "svg"]
 
 
-def elements(assets: DataFrame) -> DataFrame:
-    """ELEMENTS of each media file; a file without any has one row of null kind. Null content (a file over the
-    source's cap) is read as nothing: its row says format null, not complete."""
+def is_media(form: Column) -> Column:
+    """Whether a file is walked and not read as text; true for null."""
+    return ~F.coalesce(form, F.lit("none")).isin(TEXT)
+
 
-    def rows(asset: int, form: str | None, content: bytes | None) -> list[tuple]:
-        out = []
+def walked(content: Column, form: Column) -> Column:
+    """WALKED of a media file, null for texts. Null content (a file over the source's cap) is read as nothing, not complete."""
+
+    def one(form: str | None, content: bytes | None) -> dict:
         if form == "mp3":
             found, complete = mp3.walk(content)
-            out = [(asset, form, complete, m.kind, m.start, m.total, False, None, None, m.detail, m.notes, m.broken) for m in found]
+            out = [(m.kind, m.start, m.total, False, None, None, m.detail, m.notes, m.broken) for m in found]
         elif form in binary.WALKS:
             found, complete = binary.walk(content, form)
+            out = []
             for e in found:
                 end = e.start + e.total
                 is_exif = e.kind in ("eXIf", "EXIF") or e.kind == "E1" and content.startswith(binary.EXIF_START, e.body)
                 looked_at = e.kind in MANIFEST_KINDS.get(form, ()) or form in RIFF and e.kind != "data"
                 carried = content[e.body : end if e.kind in binary.CARRIED.get(form, ()) else min(end, e.body + binary.HEAD)]
-                out.append((asset, form, complete, e.kind, e.start, e.total, looked_at and binary.carries_manifest(content, e.body, end), carried, binary.exif(content[e.body : end]) if is_exif else None, None, [], False))
+                out.append((e.kind, e.start, e.total, looked_at and binary.carries_manifest(content, e.body, end), carried, binary.exif(content[e.body : end]) if is_exif else None, None, [], False))
         else:  # nothing to walk: complete if its bytes are there
-            complete = content is not None
-        return out or [(asset, form, complete, None, None, None, False, None, None, None, [], False)]
+            out, complete = [], content is not None
+        return {"complete": complete, "elements": [dict(zip(_NAMES, row)) for row in out]}
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for asset, form, content in zip(*b.columns):  # a file at a time: its payloads bound the batch
-                columns = zip(*rows(asset.as_py(), form.as_py(), content.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _TYPES)], _NAMES)
+    def walk(content: pa.Array, form: pa.Array) -> pa.Array:
+        return pa.array([one(f.as_py(), c.as_py()) for c, f in zip(content, form)], _WALKED)
 
-    read = assets.select(F.col("asset_id").cast("long").alias("asset_id"), F.when(F.col("content").isNotNull(), T.sniffed(F.col("content"))).alias("format"), "content")
-    return read.where(~F.coalesce(F.col("format"), F.lit("none")).isin(TEXT)).mapInArrow(batches, ELEMENTS)
+    once = F.arrow_udf(walk, WALKED).asNondeterministic()  # said to be so that no plan runs it twice
+    return F.when(is_media(form), once(F.when(is_media(form), content), F.when(is_media(form), form)))
 
 
-def _starts(prefix: bytes) -> Column:
-    return F.substring("payload", 1, len(prefix)) == F.lit(prefix)
+def read_once(assets: DataFrame) -> DataFrame:
+    """asset_id, format, content, walked: a row per asset; format is null where content is."""
+    form = F.when(F.col("content").isNotNull(), T.sniffed(F.col("content")))
+    rows = assets.select(F.col("asset_id").cast("long").alias("asset_id"), form.alias("format"), "content")
+    return rows.withColumn("walked", walked(F.col("content"), F.col("format")))
 
 
-def mark_class() -> Column:
-    """The class of an element that is a mark, else null."""
-    form, kind = F.col("format"), F.col("kind")
-    keyword = F.split(F.decode("payload", "ISO-8859-1"), "\x00")[0]
+def elements(assets: DataFrame) -> DataFrame:
+    """asset_id, format, complete, and the fields of ELEMENT: a row per element of each media file; a file without any has one
+    row of null kind."""
+    rows = read_once(assets).where("walked IS NOT NULL").select("asset_id", "format", "walked")
+    return rows.select("asset_id", "format", F.col("walked.complete").alias("complete"), F.inline_outer("walked.elements"))
+
+
+def mark_class(form: Column, e: Column) -> Column:
+    """The class of an ELEMENT that is a mark, else null."""
+    kind = e["kind"]
+    _starts = lambda prefix: F.substring(e["payload"], 1, len(prefix)) == F.lit(prefix)
+    keyword = F.split(F.decode(e["payload"], "ISO-8859-1"), "\x00")[0]
     is_riff = form.isin("webp", "riff-wav", "riff-avi")
     return (
         F.when((form == "png") & (kind == "iTXt") & (keyword == "XML:com.adobe.xmp"), "xmp")
@@ -88,28 +100,48 @@ def mark_class() -> Column:
         .when((form == "mp3") & (kind == "APE"), "ape")
         .when((form == "mp3") & (kind == "info"), "mp3_info")
         .when((form == "mp3") & (kind == "ancillary"), "mp3_ancillary")
-        .when(F.col("manifest"), "c2pa")
+        .when(e["manifest"], "c2pa")
     )
 
 
-def evidence() -> Column:
+def evidence(of_class: Column, e: Column) -> Column:
     """What an element says of its origin: software and make of EXIF, the tool of XMP, a text chunk's keyword."""
-    packet = F.make_valid_utf8(F.col("payload").cast("string"))  # packets need not be UTF-8
+    packet = F.make_valid_utf8(e["payload"].cast("string"))  # packets need not be UTF-8
     tool = [F.nullif(F.trim(F.regexp_extract(packet, p, 1)), F.lit("")) for p in ('CreatorTool="([^"]*)"', "<(?:xmp:)?CreatorTool>([^<]*)<")]
-    keyword = F.substring(F.regexp_replace(F.split(F.decode("payload", "ISO-8859-1"), "\x00")[0], r"[^\x20-\x7E]", ""), 1, 80)
+    keyword = F.substring(F.regexp_replace(F.split(F.decode(e["payload"], "ISO-8859-1"), "\x00")[0], r"[^\x20-\x7E]", ""), 1, 80)
     said = (
-        F.when(F.col("class") == "exif", F.array(F.concat(F.lit("Software: "), "exif.software"), F.concat(F.lit("Make: "), "exif.make")))
-        .when(F.col("class") == "xmp", F.array(F.coalesce(*tool), F.when(F.lower(packet).contains("c2pa"), "references a C2PA manifest")))
-        .when(F.col("class") == "png_text", F.array(F.nullif(keyword, F.lit(""))))
-        .otherwise(F.col("notes"))
+        F.when(of_class == "exif", F.array(F.concat(F.lit("Software: "), e["exif"]["software"]), F.concat(F.lit("Make: "), e["exif"]["make"])))
+        .when(of_class == "xmp", F.array(F.coalesce(*tool), F.when(F.lower(packet).contains("c2pa"), "references a C2PA manifest")))
+        .when(of_class == "png_text", F.array(F.nullif(keyword, F.lit(""))))
+        .otherwise(e["notes"])
     )
     return F.array_compact(said)
 
 
+def marks_in(form: Column, elements: Column) -> Column:
+    """array<struct<class, start, total, kind, detail, broken, evidence>> of an array of ELEMENT: those that are marks."""
+    named = F.transform(elements, lambda e: F.struct(mark_class(form, e).alias("class"), e.alias("e")))
+    return F.transform(
+        F.filter(named, lambda x: x["class"].isNotNull()),
+        lambda x: F.struct(x["class"], x["e"]["start"], x["e"]["total"], x["e"]["kind"], x["e"]["detail"], x["e"]["broken"], evidence(x["class"], x["e"]).alias("evidence")),
+    )
+
+
 def marks(assets: DataFrame) -> DataFrame:
-    """asset_id, format, class, start, total, evidence, kind, detail, broken: a row per mark found."""
-    found = elements(assets).withColumn("class", mark_class()).where("class IS NOT NULL")
-    return found.select("asset_id", "format", "class", "start", "total", evidence().alias("evidence"), "kind", "detail", "broken")
+    """asset_id, format, class, start, total, kind, detail, broken, evidence: a row per mark found."""
+    rows = read_once(assets).where("walked IS NOT NULL").select("asset_id", "format", marks_in(F.col("format"), F.col("walked.elements")).alias("marks"))
+    return rows.select("asset_id", "format", F.inline("marks"))
+
+
+def state_of(form: Column, complete: Column, honesty: Column, mine: Column) -> Column:
+    """struct<state, n> of a class, given the marks of it."""
+    n = F.size(F.filter(mine, lambda m: ~m["broken"])).cast("long")
+    absent = F.when(~complete, "malformed").when(form.isin(classes.SUPPORTED), "confirmed_absent").otherwise("unsupported_format")
+    state = (
+        F.when(honesty.isNull(), "unsupported_format").when(honesty != "confirmable", "not_attempted")
+        .when(F.exists(mine, lambda m: m["broken"]), "malformed").when(n > 0, "confirmed_present").otherwise(absent)
+    )
+    return F.struct(state.alias("state"), n.alias("n"))
 
 
 def states(assets: DataFrame) -> DataFrame:
@@ -120,22 +152,13 @@ def states(assets: DataFrame) -> DataFrame:
     classes are not_attempted. A file that was not read, or is of no known format, has one row of null class and
     state unsupported_format. Text assets have none: see :mod:`inspect`.
     """
-    walked = elements(assets).withColumn("class", mark_class())
-    # a map per file: classes are a few, so files with many elements still aggregate to little
-    found = F.count(F.when(~F.col("broken"), 1))
-    per_class = walked.groupBy("asset_id", "format", "class").agg(found.alias("n"), F.bool_or("broken").alias("broken"), F.bool_and("complete").alias("complete"))
-    per_file = per_class.groupBy("asset_id", "format").agg(
-        F.bool_and("complete").alias("complete"), F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", F.struct("n", "broken"))))).alias("found")
-    )
-    dim = F.broadcast(classes.class_table(assets.sparkSession))  # fixed, a few dozen rows
-    of = F.try_element_at("found", F.col("class"))
-    n = F.coalesce(of["n"], F.lit(0))
-    absent = F.when(~F.col("complete"), "malformed").when(F.col("format").isin(classes.SUPPORTED), "confirmed_absent").otherwise("unsupported_format")
-    state = (
-        F.when(F.col("class").isNull(), "unsupported_format").when(F.col("honesty") != "confirmable", "not_attempted")
-        .when(of["broken"], "malformed").when(n > 0, "confirmed_present").otherwise(absent)
-    )
-    return per_file.join(dim, "format", "left_outer").select("asset_id", "format", "class", "honesty", state.alias("state"), n.alias("n"))
+    rows = read_once(assets).where("walked IS NOT NULL")
+    rows = rows.select("asset_id", "format", F.col("walked.complete").alias("complete"), marks_in(F.col("format"), F.col("walked.elements")).alias("marks"))
+    rows = rows.select("asset_id", "format", "complete", "marks", F.explode_outer(classes.of_format(F.col("format"))).alias("c"))
+    mine = F.filter("marks", lambda m: m["class"] == F.col("c.class"))
+    seen = T.bound(mine, lambda m: state_of(F.col("format"), F.col("complete"), F.col("c.honesty"), m))
+    rows = rows.select("asset_id", "format", F.col("c.class").alias("class"), F.col("c.honesty").alias("honesty"), seen.alias("seen"))
+    return rows.select("asset_id", "format", "class", "honesty", F.col("seen.state").alias("state"), F.col("seen.n").alias("n"))
 
 
 def camera_hint(makes: list[str]) -> Column:

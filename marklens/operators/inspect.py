@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -52,41 +52,37 @@ def worst_exit(codes: DataFrame, *by: str) -> DataFrame:
 
 def spans(assets: DataFrame, id_col: str = "asset_id", text_col: str = "text") -> DataFrame:
     """id, kind, byte_start, byte_end of each variation-selector run."""
-    rows = assets.select(id_col, F.monotonically_increasing_id().alias("row"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    found = rows.select(id_col, "row", F.posexplode("tokens").alias("at", "token"))
-    upto = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("byte_end", F.sum(F.octet_length("token")).over(upto)).withColumn("kind", T.token_kind(F.col("token")))
-    return found.where("kind <> 'T'").select(id_col, "kind", (F.col("byte_end") - F.octet_length("token")).alias("byte_start"), "byte_end")
+    rows = assets.select(F.struct(id_col).alias("id"), T.spans(F.coalesce(F.col(text_col), F.lit(""))).alias("spans")).select("id", F.inline("spans"))
+    return rows.where("kind <> 'S'").select("id.*", "kind", F.col("offset").alias("byte_start"), (F.col("offset") + F.col("length")).alias("byte_end"))
 
 
-def located(assets: DataFrame, id_col: str = "asset_id", text_col: str = "text") -> DataFrame:
-    """id, class, state, locations, evidence: a row per text asset and class found, with byte offsets.
+LOCATION = "struct<container: string, offset: bigint, length: bigint, detail: string>"
 
-    Only texts that hold a mark are looked at further, so the windows see few rows.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = assets.select(F.struct(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    rows = rows.where(F.col("text").rlike(f"[{T.SELECTORS}{T.HYGIENE_SET}]"))
-    found = rows.select("id", "row", F.posexplode(F.regexp_extract_all("text", F.lit(T.SPAN_OR_TEXT), F.lit(1))).alias("at", "token"))
-    upto = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.select("id", "row", F.octet_length("token").cast("long").alias("length"), F.sum(F.octet_length("token")).over(upto).alias("end"), kind_of_span(F.col("token")).alias("kind"))
-    found = found.where("kind <> 'T'").withColumn("offset", F.col("end") - F.col("length"))
-    of_class = F.when(F.col("kind") == "W", "c2pa").otherwise("invisibles")
-    where = F.struct(
-        F.when(F.col("kind") == "W", "text C2PA wrapper").otherwise("text").alias("container"), "offset", "length",
-        F.when(F.col("kind") == "W", "variation-selector wrapper").otherwise("invisible character").alias("detail"),
-    )
-    grouped = found.groupBy("id", "row", of_class.alias("class")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") != "M", where))).alias("locations"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "M", F.col("offset")))).alias("runs"),
-        F.count(F.when(F.col("kind") == "H", 1)).alias("hygiene"),
-    )
-    note = F.transform("runs", lambda at: F.format_string("wrapper-shaped variation-selector run at byte %d did not parse, left alone", at))
-    count = F.when(F.col("hygiene") > 0, F.array(F.format_string("%d invisible characters", "hygiene"))).otherwise(F.array().cast("array<string>"))
-    state = F.when((F.col("class") == "invisibles") & (F.col("hygiene") == 0), "malformed").otherwise("confirmed_present")
-    by_offset = F.array_sort("locations", lambda x, y: (x["offset"] - y["offset"]).cast("int"))
-    return grouped.select("id.*", "class", state.alias("state"), by_offset.alias("locations"), F.concat(count, note).alias("evidence"))
-
-
-def kind_of_span(token):
-    return F.when(token.rlike(f"^{T.HYGIENE}$"), "H").otherwise(T.token_kind(token))
+
+def text_classes(spans: Column) -> Column:
+    """array<struct<class, state, locations, evidence>> of a text's SPANS (null: none): the classes found in it."""
+    of = lambda *kinds: F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    where = lambda found, container, detail: F.transform(
+        found, lambda s: F.struct(F.lit(container).alias("container"), s["offset"], s["length"], F.lit(detail).alias("detail"))
+    ).cast(f"array<{LOCATION}>")
+    none = F.array().cast("array<string>")
+
+    def invisibles(found: Column) -> Column:
+        n = F.size(F.filter(found, lambda s: s["kind"] != "M"))
+        count = F.when(n > 0, F.array(F.format_string("%d invisible characters", n))).otherwise(none)
+        runs = F.transform(F.filter(found, lambda s: s["kind"] == "M"), lambda s: F.format_string("a long run of variation selectors at byte %d is no wrapper and stays", s["offset"]))
+        single = where(F.filter(found, lambda s: s["kind"] != "M"), "text", "invisible character")
+        state = F.when(n > 0, "confirmed_present").otherwise("malformed")
+        return F.when(F.size(found) > 0, F.struct(F.lit("invisibles").alias("class"), state.alias("state"), single.alias("locations"), F.concat(count, runs).alias("evidence")))
+
+    def wrapper(found: Column) -> Column:
+        at = where(found, "text C2PA wrapper", "variation-selector wrapper")
+        return F.when(F.size(found) > 0, F.struct(F.lit("c2pa").alias("class"), F.lit("confirmed_present").alias("state"), at.alias("locations"), none.alias("evidence")))
+
+    return F.array_compact(F.array(T.bound(of("H", "S", "M"), invisibles), T.bound(of("W"), wrapper)))
+
+
+def located(assets: DataFrame, id_col: str = "asset_id", text_col: str = "text") -> DataFrame:
+    """id, class, state, locations, evidence: a row per text asset and class found, with byte offsets in their order."""
+    rows = assets.select(F.struct(id_col).alias("id"), T.spans(F.coalesce(F.col(text_col), F.lit(""))).alias("spans"))
+    return rows.select("id", F.inline(text_classes(F.col("spans")))).select("id.*", "class", "state", "locations", "evidence")

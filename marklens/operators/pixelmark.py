@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import jpeg, samples
 from ..functions import text as T
-from .fidelity import gathered
 
 # Payloads, least agreement, quantization step, edge of a block, weights of luma and blue difference in 2**14ths.
 PAYLOADS = {"sdxl-48": f"{0xB3EC907BB19E:048b}", "compvis-136": "".join(f"{b:08b}" for b in b"StableDiffusionV1")}
 AGREEMENT, STEP, BLOCK = 0.8, 36.0, 4
 RED, GREEN, BLUE, DIFFERENCE = 4899, 9617, 1868, 8061
-VOTES = "asset_id long, format string, blocks long, ones array<array<long>>, subsampled boolean, unread boolean"
+VOTES = "struct<blocks: long, ones: array<array<long>>, subsampled: boolean, unread: boolean>"
+_VOTES = pa.struct([("blocks", pa.int64()), ("ones", pa.list_(pa.list_(pa.int64()))), ("subsampled", pa.bool_()), ("unread", pa.bool_())])
 
 
 def blue_difference(pixels: np.ndarray) -> np.ndarray:
@@ -55,60 +55,70 @@ def voted(bands: Iterator[np.ndarray]) -> tuple[int, list[list[int]]]:
     return count, [o.tolist() for o in ones]
 
 
-def votes(assets: DataFrame) -> DataFrame:
-    """assets (asset_id, content) -> VOTES, a row per file; null blocks where a picture can't be read, where its form is not
-    read here (unread), and for other formats."""
-
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for asset, form, content in zip(*batch.columns):  # a file at a time, in bands of lines
-            form, count, ones, coarse, unread = form.as_py(), None, None, None, False
-            if form in samples.PICTURES:
-                content = content.as_py()
-                coarse = form == "jpeg" and jpeg.subsampled(content)
-                try:
-                    count, ones = voted(samples.PICTURES[form](content)[2])
-                except samples.Unreadable:
-                    pass
-                except samples.Unread:
-                    unread = True
-            yield asset.as_py(), form, count, ones, coarse, unread
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield from gathered(rows(b), types, ["asset_id", "format", "blocks", "ones", "subsampled", "unread"])
-
-    types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.bool_(), pa.bool_()]
-    form = F.when(F.col("content").isNotNull(), T.sniffed(F.col("content")))
-    return assets.select(F.col("asset_id").cast("long").alias("asset_id"), form.alias("format"), "content").mapInArrow(batches, VOTES)
+def votes(content: Column, form: Column) -> Column:
+    """VOTES of a picture, null for other formats; null blocks where it can't be read, or its form is not read here (unread)."""
+
+    def one(form: str | None, content: bytes | None) -> dict | None:
+        if form not in samples.PICTURES:
+            return None
+        count = ones = None
+        unread = False
+        try:
+            count, ones = voted(samples.PICTURES[form](content)[2])  # a file at a time, in bands of lines
+        except samples.Unreadable:
+            pass
+        except samples.Unread:
+            unread = True
+        return {"blocks": count, "ones": ones, "subsampled": form == "jpeg" and bool(jpeg.subsampled(content)), "unread": unread}
+
+    def vote(content: pa.Array, form: pa.Array) -> pa.Array:
+        return pa.array([one(f.as_py(), c.as_py()) for c, f in zip(content, form)], _VOTES)
+
+    picture = form.isin(*samples.PICTURES)
+    return F.arrow_udf(vote, VOTES).asNondeterministic()(F.when(picture, content), F.when(picture, form))  # said to be so that no plan runs it twice
 
 
-def agreement(i: int, payload: str) -> Column:
+def agreement(votes: Column, i: int, payload: str) -> Column:
     """Share of the payload's bits that the majority of their blocks show; a bit without blocks shows 0."""
     n = len(payload)
-    shown = f"(b, k) -> CASE WHEN 255 * b > 127 * (blocks div {n} + int(k < blocks % {n})) THEN '1' ELSE '0' END"
-    same = f"(s, k) -> int(s = substring('{payload}', k + 1, 1))"
-    return F.expr(f"round(aggregate(transform(transform(ones[{i}], {shown}), {same}), 0, (t, x) -> t + x) / {n}D, 3)")
 
+    def shown(b: Column, k: Column) -> Column:
+        mine = F.floor(votes["blocks"] / n) + F.when(k < votes["blocks"] % n, 1).otherwise(0)
+        return F.when((255 * b > 127 * mine) == (F.substring(F.lit(payload), k + 1, F.lit(1)) == "1"), 1).otherwise(0)
 
-def decisions(assets: DataFrame) -> DataFrame:
-    """assets (asset_id, content) -> asset_id, format, state, evidence, and blocks and agreements (by payload).
+    return F.round(F.aggregate(F.transform(F.element_at(votes["ones"], i + 1), shown), F.lit(0), lambda t, x: t + x) / n, 3)
+
+
+def decision(form: Column, votes: Column) -> Column:
+    """struct<state, evidence, blocks, agreements> of a file's VOTES.
 
     A payload is present if every bit has a block and the agreement is 0.8 or more. A PNG or JPEG that can't be read is
     malformed. Other formats and forms, which are not decoded here, and null contents are unsupported_format; so is a JPEG of
-    subsampled colours in which nothing is found, as its writer has thrown away what the mark would lie in. An empty table
-    gives no rows, a repeated row one each.
+    subsampled colours in which nothing is found, as its writer has thrown away what the mark would lie in.
     """
-    found = votes(assets).withColumn("agreements", F.create_map(*(x for i, (name, p) in enumerate(PAYLOADS.items()) for x in (F.lit(name), agreement(i, p)))))
-    score = lambda name: F.col("agreements")[name]
-    present = {name: (F.col("blocks") >= len(p)) & (score(name) >= AGREEMENT) for name, p in PAYLOADS.items()}
-    said = [
-        F.format_string(f"payload {name} matches %.3f of its bits in %d blocks, {AGREEMENT:.2f} are needed: %s", score(name), "blocks", F.when(there, "found").otherwise("not found"))
-        for name, there in present.items()
-    ]
-    some = present["sdxl-48"] | present["compvis-136"]
-    state = (
-        F.when(F.coalesce(~F.col("format").isin(*samples.PICTURES), F.lit(True)) | F.col("unread"), "unsupported_format").when(F.col("blocks").isNull(), "malformed")
-        .when(some, "confirmed_present").when(F.col("subsampled"), "unsupported_format").otherwise("confirmed_absent")
-    )
-    evidence = F.when(F.col("blocks").isNull(), F.array().cast("array<string>")).otherwise(F.array(*said))
-    return found.select("asset_id", "format", state.alias("state"), evidence.alias("evidence"), "blocks", F.when(F.col("blocks").isNotNull(), F.col("agreements")).alias("agreements"))
+
+    def decided(score: Column) -> Column:
+        blocks = votes["blocks"]
+        present = {name: (blocks >= len(p)) & (score[name] >= AGREEMENT) for name, p in PAYLOADS.items()}
+        said = [
+            F.format_string(f"payload {name} matches %.3f of its bits in %d blocks, {AGREEMENT:.2f} are needed: %s", score[name], blocks, F.when(there, "found").otherwise("not found"))
+            for name, there in present.items()
+        ]
+        some = present["sdxl-48"] | present["compvis-136"]
+        state = (
+            F.when(~F.coalesce(form.isin(*samples.PICTURES), F.lit(False)) | votes["unread"], "unsupported_format").when(blocks.isNull(), "malformed")
+            .when(some, "confirmed_present").when(votes["subsampled"], "unsupported_format").otherwise("confirmed_absent")
+        )
+        evidence = F.when(blocks.isNull(), F.array().cast("array<string>")).otherwise(F.array(*said))
+        return F.struct(state.alias("state"), evidence.alias("evidence"), blocks.alias("blocks"), F.when(blocks.isNotNull(), score).alias("agreements"))
+
+    return T.bound(F.create_map(*(x for i, (name, p) in enumerate(PAYLOADS.items()) for x in (F.lit(name), agreement(votes, i, p)))), decided)
+
+
+def decisions(assets: DataFrame) -> DataFrame:
+    """assets (asset_id, content) -> asset_id, format, and the fields of :func:`decision`; an empty table gives no rows, a repeated
+    row one each."""
+    form = F.when(F.col("content").isNotNull(), T.sniffed(F.col("content")))
+    rows = assets.select(F.col("asset_id").cast("long").alias("asset_id"), form.alias("format"), "content")
+    rows = rows.select("asset_id", "format", votes(F.col("content"), F.col("format")).alias("votes"))
+    return rows.select("asset_id", "format", decision(F.col("format"), F.col("votes")).alias("d")).select("asset_id", "format", "d.*")

@@ -1,8 +1,9 @@
 """Reports: every asset's detections, findings, plan and survivors as one row, as JSON or as text; verification of an
 output against the report of the run that made it.
 
-Detections are one long table, (asset, class) a row; a report groups them once, by asset. Dimensions (classes,
-labels, the plan per format) are fixed tables of a few dozen rows, and are broadcast.
+An asset stays in its row: its detections are an array, made from one walk, one look at its pixels or one pass over its
+text; reports and verifications are expressions over these arrays, and only :func:`detections` makes a long table of them.
+Dimensions (classes, labels, the plan per format) are a few dozen literals or rows.
 """
 
 from __future__ import annotations
@@ -13,45 +14,93 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans import classes
 from ..plans import policy as P
-from . import containers, inspect
+from . import containers, inspect, pixelmark
+from .inspect import LOCATION
 
-LOCATION = "struct<container: string, offset: bigint, length: bigint, detail: string>"
+DETECTION = f"struct<class: string, label: string, note: string, honesty: string, state: string, place: int, locations: array<{LOCATION}>, evidence: array<string>, citation: string>"
 #: How a mark's element is called in a location, where it is not the element's own kind.
 PLACES = {"jpeg": "JPEG segment", "png": "PNG chunk", "flac": "FLAC block", "isobmff": "MP4 box", "webp": "RIFF chunk", "riff-wav": "RIFF chunk", "riff-avi": "RIFF chunk"}
+PIXEL_CLASS, IMAGES = "dwtdct", ["png", "jpeg", "webp"]
 EXIT_BAD, EXIT_UNREAD, EXIT_MISMATCH = 30, 40, 10
 
 
-def media_detections(assets: DataFrame) -> DataFrame:
-    marks = containers.marks(assets)
-    place = F.coalesce(F.create_map(*(F.lit(x) for pair in PLACES.items() for x in pair))[F.col("format")], F.when(F.col("kind").isin("info", "ancillary"), "MPEG frame").otherwise(F.col("kind")))
-    where = F.struct(F.col("start").alias("offset"), place.alias("container"), F.col("total").alias("length"), F.coalesce("detail", "kind").alias("detail"))
-    found = marks.groupBy("asset_id", "class").agg(
-        F.array_sort(F.collect_list(where)).alias("at"), F.array_sort(F.collect_list(F.struct("start", "evidence"))).alias("said")
-    )
-    locations = F.transform("at", lambda x: F.struct(x["container"], x["offset"], x["length"], x["detail"])).cast(f"array<{LOCATION}>")
-    found = found.select(F.col("asset_id").alias("of"), F.col("class").alias("found"), locations.alias("locations"), F.flatten(F.transform("said", lambda x: x["evidence"])).alias("evidence"))
-    return containers.states(assets).drop("n").join(found, F.expr("asset_id = of AND class = found"), "left_outer").drop("of", "found")
+def _named(policy: P.Policy):
+    """label, note and citation of a class."""
+    rows = [x for c, label in policy.labels.items() for x in (F.lit(c), F.struct(F.lit(label).alias("label"), F.lit(policy.notes.get(c)).cast("string").alias("note"), F.lit(policy.citations.get(c)).cast("string").alias("citation")))]
+    known = F.create_map(*rows) if rows else F.create_map().cast("map<string, struct<label: string, note: string, citation: string>>")
+    return lambda c: F.try_element_at(known, c)
+
+
+def _detection(named, of_class, honesty, state, place, locations, evidence) -> Column:
+    about = named(of_class)
+    return F.struct(
+        of_class.alias("class"), about["label"].alias("label"), about["note"].alias("note"), honesty.alias("honesty"), state.alias("state"), place.cast("int").alias("place"),
+        locations.cast(f"array<{LOCATION}>").alias("locations"), evidence.cast("array<string>").alias("evidence"), about["citation"].alias("citation"),
+    )
+
+
+def media_found(named, form: Column, walked: Column, marks: Column) -> Column:
+    """array<DETECTION> of a walked file: a row per class of its format; an asset that was not read, or is of no known format,
+    has one of null class."""
+    of_element = F.create_map(*(F.lit(x) for pair in PLACES.items() for x in pair))
 
+    def where(m: Column) -> Column:
+        place = F.coalesce(F.try_element_at(of_element, form), F.when(m["kind"].isin("info", "ancillary"), "MPEG frame").otherwise(m["kind"]))
+        return F.struct(place.alias("container"), m["start"].alias("offset"), m["total"].alias("length"), F.coalesce(m["detail"], m["kind"]).alias("detail"))
 
-def text_detections(assets: DataFrame) -> DataFrame:
-    texts = assets.select("asset_id", F.col("content").cast("string").alias("text"), T.sniffed(F.col("content")).alias("format")).where(F.col("format").isin(containers.TEXT))
-    found = inspect.located(texts).select(F.col("asset_id").alias("of"), F.col("class").alias("found"), F.col("state").alias("seen"), F.col("locations").cast(f"array<{LOCATION}>").alias("locations"), "evidence")
-    named = F.explode(F.array(F.lit("invisibles"), F.lit("c2pa")))  # the second has a row only where it is found
-    rows = texts.select("asset_id", "format", named.alias("class")).join(found, F.expr("asset_id = of AND class = found"), "left_outer")
-    rows = rows.where("class = 'invisibles' OR seen IS NOT NULL")
-    return rows.select("asset_id", "format", "class", F.lit("confirmable").alias("honesty"), F.coalesce("seen", F.lit("confirmed_absent")).alias("state"), "locations", "evidence")
+    def row(c: Column) -> Column:
+        def made(mine: Column) -> Column:
+            state = containers.state_of(form, walked["complete"], c["honesty"], mine)["state"]
+            return _detection(named, c["class"], c["honesty"], state, c["place"], F.transform(mine, where), F.flatten(F.transform(mine, lambda m: m["evidence"])))
 
+        in_order = F.array_sort(F.filter(marks, lambda m: m["class"] == c["class"]), lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0))
+        return T.bound(in_order, made)
 
-def detections(assets: DataFrame, policy: P.Policy | None = None) -> DataFrame:
-    """asset_id, format, class, label, note, honesty, state, place, locations, evidence: a row per asset and class of its
-    report; an asset that was not read, or is of no known format, has one of null class."""
-    spark, policy = assets.sparkSession, policy or P.Policy()
-    both = media_detections(assets).unionByName(text_detections(assets.where("content IS NOT NULL")))
-    dim = classes.class_table(spark).select(F.col("format").alias("f"), F.col("class").alias("c"), F.col("honesty").alias("h"), F.col("place"))
-    rows = both.join(F.broadcast(dim), F.expr("format = f AND class = c"), "left_outer").drop("f", "c", "h")
-    rows = rows.join(F.broadcast(P.class_labels(spark, policy)), "class", "left_outer")
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    return rows.select("asset_id", "format", "class", "label", "note", "honesty", "state", "place", F.coalesce("locations", none(LOCATION)).alias("locations"), F.coalesce("evidence", none("string")).alias("evidence"), "citation")
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("honesty"), F.lit(None).cast("int").alias("place")))
+    return F.transform(F.coalesce(classes.of_format(form), nothing), row).cast(f"array<{DETECTION}>")
+
+
+def text_found(named, form: Column, spans: Column) -> Column:
+    """array<DETECTION> of a text: always a row of invisible characters; of wrappers, only where there are."""
+    none = F.array()
+    absent = F.array(_detection(named, F.lit("invisibles"), F.lit("confirmable"), F.lit("confirmed_absent"), F.lit(0), none, none))
+    place = lambda c: F.when(c == "invisibles", 0)
+
+    def rows(found: Column) -> Column:
+        made = F.transform(found, lambda f: _detection(named, f["class"], F.lit("confirmable"), f["state"], place(f["class"]), f["locations"], f["evidence"])).cast(f"array<{DETECTION}>")
+        return F.concat(F.when(F.exists(found, lambda f: f["class"] == "invisibles"), F.array().cast(f"array<{DETECTION}>")).otherwise(absent.cast(f"array<{DETECTION}>")), made)
+
+    return T.bound(inspect.text_classes(spans), rows)
+
+
+def with_found(rows: DataFrame, content: str, form: str, found: str, policy: P.Policy | None = None, pixels: bool = True) -> DataFrame:
+    """rows with two more columns for the content: its format (null where it is null) and its detections, array<DETECTION>.
+    pixels: pictures get a row for the pixel mark as well, for which they are decoded."""
+    named, c, f = _named(policy or P.Policy()), F.col(content), F.col(form)
+    rows = rows.withColumn(form, F.when(c.isNotNull(), T.sniffed(c)))
+    rows = rows.withColumns({"walked_": containers.walked(c, f), "spans_": T.spans(F.when(~containers.is_media(f), c.cast("string")))})
+    rows = rows.withColumn("marks_", containers.marks_in(f, F.col("walked_.elements")))
+    made = F.when(F.col("walked_").isNotNull(), media_found(named, f, F.col("walked_"), F.col("marks_"))).otherwise(text_found(named, f, F.col("spans_")))
+    if pixels:
+        rows = rows.withColumn("votes_", pixelmark.votes(c, f))
+        pixel = T.bound(
+            pixelmark.decision(f, F.col("votes_")),
+            lambda d: F.array(_detection(named, F.lit(PIXEL_CLASS), F.lit("confirmable"), d["state"], F.lit(90), F.array(), d["evidence"])).cast(f"array<{DETECTION}>"),
+        )
+        made = F.concat(made, F.when(f.isin(IMAGES), pixel).otherwise(F.array().cast(f"array<{DETECTION}>")))
+    return rows.withColumn(found, made).drop("walked_", "spans_", "marks_", *(["votes_"] if pixels else []))
+
+
+def inspected(assets: DataFrame, policy: P.Policy | None = None, pixels: bool = True) -> DataFrame:
+    """asset_id, format, found (array<DETECTION>): a row per asset (asset_id, content), repeated ones too."""
+    rows = assets.select(F.col("asset_id").cast("long").alias("asset_id"), "content")
+    return with_found(rows, "content", "format", "found", policy, pixels).select("asset_id", "format", "found")
+
+
+def detections(assets: DataFrame, policy: P.Policy | None = None, pixels: bool = True) -> DataFrame:
+    """asset_id, format and the fields of DETECTION: a row per asset and class of its report; an asset that was not read, or is of
+    no known format, has one of null class."""
+    return inspected(assets, policy, pixels).select("asset_id", "format", F.inline("found"))
 
 
 def findings(found: DataFrame) -> DataFrame:
@@ -59,38 +108,70 @@ def findings(found: DataFrame) -> DataFrame:
     return found.where("honesty = 'confirmable' AND state IN ('confirmed_present', 'malformed')")
 
 
+def in_rows(found: DataFrame) -> DataFrame:
+    """Detections of a long table put together again: asset_id, format, found. Assets told apart by id alone."""
+    fields = [f.split(":")[0].strip() for f in ("class", "label", "note", "honesty", "state", "place", "locations", "evidence", "citation")]
+    return found.groupBy("asset_id", "format").agg(F.collect_list(F.struct(*fields)).alias("found"))
+
+
+def is_finding(d: Column) -> Column:
+    return F.coalesce((d["honesty"] == "confirmable") & d["state"].isin("confirmed_present", "malformed"), F.lit(False))
+
+
+def ranked(found: Column) -> Column:
+    """Detections in a report's order: by the class table, found ones without a place in it first."""
+
+    def rank(d: Column) -> Column:
+        of = F.when(d["honesty"] == "confirmable", 0).when(d["honesty"] == "blind", 100).otherwise(200)
+        return F.when(d["state"].isin("confirmed_present", "malformed") & d["place"].isNull(), -1).otherwise(F.coalesce(d["place"], F.lit(0)) + of)
+
+    in_order = F.array_sort(F.transform(found, lambda d: F.struct(rank(d).alias("rank"), d["class"].alias("class"), d.alias("d"))), lambda x, y: F.when(x["rank"] < y["rank"], -1).when(x["rank"] > y["rank"], 1).when(x["class"] < y["class"], -1).when(x["class"] > y["class"], 1).otherwise(0))
+    return F.transform(in_order, lambda x: x["d"])
+
+
+def scan_states(found: Column) -> Column:
+    return F.transform(F.filter(found, lambda d: d["class"].isNotNull()), lambda d: F.struct(d["class"], d["label"], d["honesty"], d["state"]))
+
+
+def listed_findings(found: Column) -> Column:
+    return F.transform(F.filter(found, is_finding), lambda d: F.struct(d["class"], d["label"], d["honesty"], d["state"].alias("scan_state"), d["note"], d["locations"], d["evidence"]))
+
+
+def survivors(found: Column, degrades: Column) -> Column:
+    """Blind classes, and which degrading transforms are in the run."""
+    named = F.when(F.size(degrades) > 0, F.array_join(degrades, ", ")).otherwise("none")
+    return F.transform(F.filter(found, lambda d: d["honesty"] == "blind"), lambda d: F.struct(d["class"], named.alias("transform"), d["citation"]))
+
+
+STEPS = "array<struct<place: int, id: string, name: string, kind: string, targets: array<string>, runs: boolean, reason: string, run_here: boolean>>"
+
+
+def with_plan(rows: DataFrame, form: str, policy: P.Policy, keep: list[str], no_degrade: bool) -> DataFrame:
+    """rows with steps (STEPS): the plan of each one's format, in its order."""
+    step = F.struct("place", "id", "name", "kind", "targets", "runs", "reason", "run_here")
+    plan = P.planned(rows.sparkSession, policy, keep, no_degrade).groupBy(F.col("format").alias("f_")).agg(F.array_sort(F.collect_list(step)).alias("steps_"))
+    rows = rows.join(F.broadcast(plan), F.expr(f"{form} <=> f_"), "left_outer")  # a row per format
+    return rows.withColumn("steps", F.coalesce(F.col("steps_").cast(STEPS), F.array().cast(STEPS))).drop("f_", "steps_")
+
+
 def reports(found: DataFrame, policy: P.Policy | None = None, keep: list[str] = (), no_degrade: bool = False, verb: str = "inspect") -> DataFrame:
-    """A row per asset of detections, see the module; arrays are in the order of the class table, found ones first."""
-    policy, spark = policy or P.Policy(), found.sparkSession
-    rank = F.when(F.col("state").isin("confirmed_present", "malformed") & F.col("place").isNull(), -1).otherwise(
-        F.coalesce("place", F.lit(0)) + F.when(F.col("honesty") == "confirmable", 0).when(F.col("honesty") == "blind", 100).otherwise(200)
-    )
-    is_finding = (F.col("honesty") == "confirmable") & F.col("state").isin("confirmed_present", "malformed")
-    row = F.struct(rank.alias("rank"), "class", "label", "honesty", "state")
-    finding = F.struct(rank.alias("rank"), "class", "label", "honesty", F.col("state").alias("scan_state"), "note", "locations", "evidence")
-    listed = lambda s, when: F.array_sort(F.collect_list(F.when(when, s)))
-    per = found.groupBy("asset_id", "format").agg(
-        listed(row, F.col("class").isNotNull()).alias("rows"), listed(finding, is_finding).alias("found"),
-        listed(F.struct(rank.alias("rank"), "class", "citation"), F.col("honesty") == "blind").alias("blind"),
-        F.coalesce(F.bool_or(is_finding & (F.col("state") == "malformed")), F.lit(False)).alias("bad"), F.coalesce(F.bool_or(F.col("class").isNull()), F.lit(False)).alias("unread"),
-    )
-    plan = P.planned(spark, policy, keep, no_degrade)
-    step = F.struct("place", "id", "name", "runs", "reason")
-    degrades = F.collect_list(F.when(F.col("runs") & F.col("kind").isin(*P.DEGRADES), F.struct("place", "id")))
-    plan = plan.groupBy(F.col("format").alias("f")).agg(F.array_sort(F.collect_list(step)).alias("steps"), F.array_sort(degrades).alias("degrades"))
-    per = per.join(F.broadcast(plan), F.expr("format <=> f"), "left_outer")
-    steps = F.coalesce("steps", F.array().cast("array<struct<place:int,id:string,name:string,runs:boolean,reason:string>>"))
-    degraded = F.array_join(F.transform(F.coalesce("degrades", F.array().cast("array<struct<place:int,id:string>>")), lambda d: d["id"]), ", ")
+    """A row per asset of detections (long) or of inspected assets (in rows), see the module; arrays are in the order of the class
+    table, found ones first."""
+    policy = policy or P.Policy()
+    per = (found if "found" in found.columns else in_rows(found)).withColumn("found", ranked(F.col("found")))
+    per = with_plan(per, "format", policy, keep, no_degrade)
+    some = lambda when: F.exists("found", when)
+    unread, bad = some(lambda d: d["class"].isNull()), some(lambda d: is_finding(d) & (d["state"] == "malformed"))
+    degrades = F.transform(F.filter("steps", lambda s: s["runs"] & s["kind"].isin(*P.DEGRADES)), lambda s: s["id"])
     return per.select(
-        "asset_id", F.lit(policy.version).alias("policy_version"), F.lit(policy.digest).cast("string").alias("policy_digest"), F.lit(verb).alias("verb"), "format", F.col("format").alias("output_format"),
-        F.transform("rows", lambda r: F.struct(r["class"], r["label"], r["honesty"], r["state"])).alias("scan_states"),
-        F.transform("found", lambda r: F.struct(r["class"], r["label"], r["honesty"], r["scan_state"], r["note"], r["locations"], r["evidence"])).alias("findings"),
-        F.transform(F.filter(steps, lambda s: s["runs"]), lambda s: F.struct(s["id"].alias("transform"), s["name"], F.lit("proposed").alias("outcome"))).alias("actions"),
+        "asset_id", F.lit(policy.version).alias("policy_version"), F.lit(policy.digest).alias("policy_digest"), F.lit(verb).alias("verb"), "format", F.col("format").alias("output_format"),
+        scan_states(F.col("found")).alias("scan_states"), listed_findings(F.col("found")).alias("findings"),
+        F.transform(F.filter("steps", lambda s: s["runs"]), lambda s: F.struct(s["id"].alias("transform"), s["name"], F.lit("proposed").alias("outcome"))).alias("actions"),
         F.array().cast("array<string>").alias("stripped_and_proven_gone"),
-        F.transform(F.filter(steps, lambda s: ~s["runs"]), lambda s: F.struct(F.concat_ws(" ", s["id"], s["name"]).alias("item"), s["reason"])).alias("kept"),
-        F.transform("blind", lambda b: F.struct(b["class"], F.when(degraded == "", "none").otherwise(degraded).alias("transform"), b["citation"])).alias("survived"),
-        F.when(F.col("unread"), "not read: too large, or of no known format").alias("error"),
-        F.when(F.col("unread"), EXIT_UNREAD).when(F.col("bad"), EXIT_BAD).otherwise(0).alias("exit_code"),
+        F.transform(F.filter("steps", lambda s: ~s["runs"]), lambda s: F.struct(F.concat_ws(" ", s["id"], s["name"]).alias("item"), s["reason"])).alias("kept"),
+        survivors(F.col("found"), degrades).alias("survived"),
+        F.when(unread, "not read: too large, or of no known format").alias("error"),
+        F.when(unread, EXIT_UNREAD).when(bad, EXIT_BAD).otherwise(0).alias("exit_code"),
     )
 
 
@@ -106,12 +187,19 @@ def as_text(made: DataFrame) -> DataFrame:
         body = F.array_join(F.transform(F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("none"))), lambda x: F.concat(F.lit("  "), x, F.lit("\n"))), "")
         return F.when(F.lit(even_if_empty) | (F.size(lines) > 0), F.concat(F.lit(f"{title}:\n"), body)).otherwise("")
 
+    def described(f: Column) -> Column:
+        """A finding, where it is, and what it says of itself."""
+        at = F.transform(f["locations"], lambda x: joined("  at ", x["offset"].cast("string"), ", ", x["length"].cast("string"), " bytes: ", x["container"], " ", x["detail"]))
+        note = F.array_compact(F.array(joined("  ", f["note"])))
+        return F.concat(F.array(joined(F.coalesce(f["label"], f["class"]), ": ", f["scan_state"])), note, at, F.transform(f["evidence"], lambda e: joined("  ", e)))
+
     known = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
     joined = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     value = F.concat(
         joined("policy ", F.col("policy_version"), "\nverb: ", F.col("verb"), " | format: ", known("format"), " | output: ", known("output_format"), "\n"),
         F.coalesce(joined("digest: ", F.col("policy_digest"), "\n"), F.lit("")), F.coalesce(joined("error: ", F.col("error"), "\n"), F.lit("")), F.lit("\n"),
         section("scan states", F.transform("scan_states", lambda s: joined(s["label"], ": ", s["state"])), True), F.lit("\n"),
+        section("findings", F.flatten(F.transform("findings", described)), False),
         section("actions", F.transform("actions", lambda a: joined(a["transform"], " ", a["name"], ": ", a["outcome"])), False),
         section("stripped and proven gone", F.col("stripped_and_proven_gone"), True),
         section("kept", F.transform("kept", lambda k: joined(k["item"], ": ", k["reason"])), True),
@@ -130,39 +218,42 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def verified_against(made: DataFrame, outputs: DataFrame, policy: P.Policy | None = None) -> DataFrame:
-    """made: asset_id, value (a report's JSON); outputs: detections of the outputs. Returns asset_id, verified, problems, exit_code.
+    """made: asset_id, value (a report's JSON); outputs: detections of the outputs, long or in rows. See :func:`verified`."""
+    seen = outputs if "found" in outputs.columns else in_rows(outputs)
+    return verified(seen.join(made.select("asset_id", "value"), "asset_id", "left_outer"), policy)
+
 
-    Not read 40, else malformed 30, else 10 for a report that does not parse, another policy or format, or a label
-    that the report says is gone and is present again; else 0.
+def verified(rows: DataFrame, policy: P.Policy | None = None) -> DataFrame:
+    """rows: asset_id, format, found (of the output), value (the report's JSON). Returns asset_id, verified, problems, exit_code.
+
+    Not read 40, else malformed 30, else 10 for a report that is missing or does not parse, that names no policy, or another policy or
+    format than this one, or a label that it says is gone and is there again; else 0.
     """
     policy = policy or P.Policy()
-    said = made.select("asset_id", F.col("value"), F.expr("try_parse_json(value)").isNotNull().alias("parses"))
+    labels = lambda state: F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda d: d["state"] == state), lambda d: F.coalesce(d["label"], d["class"]))))
+    said = rows.select("asset_id", "format", labels("malformed").alias("bad"), labels("confirmed_present").alias("present"), "value", F.coalesce(F.expr("try_parse_json(value)").isNotNull(), F.lit(False)).alias("parses"))
     said = said.select(
-        "asset_id", "parses", F.get_json_object("value", "$.policy_digest").alias("digest"), F.get_json_object("value", "$.output_format").alias("emitted"),
+        "asset_id", "format", "bad", "present", "parses", F.get_json_object("value", "$.policy_digest").alias("digest"), F.get_json_object("value", "$.output_format").alias("emitted"),
         F.from_json(F.get_json_object("value", "$.stripped_and_proven_gone"), "array<string>").alias("gone"),
     )
-    seen = outputs.groupBy("asset_id", "format").agg(
-        F.sort_array(F.collect_set(F.when(F.col("state") == "malformed", F.col("label")))).alias("bad"),
-        F.sort_array(F.collect_set(F.when(F.col("state") == "confirmed_present", F.col("label")))).alias("present"),
-    )
-    both = seen.join(said, "asset_id", "left_outer")
     problem = lambda when, text: F.when(F.coalesce(when, F.lit(False)), text)
+    same = F.coalesce(F.col("digest") == policy.digest, F.lit(False))
     differ = F.array_compact(
         F.concat(
             F.array(
-                problem(~F.coalesce("parses", F.lit(False)), F.lit("the report does not parse")),
-                problem(F.col("parses") & ~F.col("digest").eqNullSafe(F.lit(policy.digest)), F.lit("policy digest does not match")),
-                problem(F.col("parses") & F.col("emitted").isNotNull() & (F.col("emitted") != F.col("format")), F.concat(F.lit("the output is "), "format", F.lit(" and the report emitted "), "emitted")),
+                problem(~F.col("parses"), F.lit("the report can't be parsed")),
+                problem(F.col("parses") & ~same, F.lit("the report is not of this policy")),
+                problem(F.col("parses") & (F.col("emitted") != F.col("format")), F.concat(F.lit("the report tells of "), "emitted", F.lit(", not of "), "format")),
             ),
-            F.transform(F.array_intersect("present", F.coalesce("gone", F.array().cast("array<string>"))), lambda x: F.concat(x, F.lit(" is present again in the output"))),
+            F.transform(F.array_intersect("present", F.coalesce("gone", F.array().cast("array<string>"))), lambda x: F.concat(x, F.lit(" was gone and is back"))),
         )
     )
     unread = ~F.coalesce(F.col("format").isin(classes.SUPPORTED), F.lit(False))
     problems = (
-        F.when(unread, F.array(F.concat(F.lit("the output is "), F.coalesce("format", F.lit("unknown")), F.lit(", which is not read"))))
-        .when(F.size("bad") > 0, F.transform("bad", lambda x: F.concat(x, F.lit(" is malformed in the output"))))
+        F.when(unread, F.array(F.concat(F.lit("outputs of this format are not read: "), F.coalesce("format", F.lit("unknown")))))
+        .when(F.size("bad") > 0, F.transform("bad", lambda x: F.concat(x, F.lit(" can't be read in the output"))))
         .otherwise(differ)
     )
-    both = both.select("asset_id", problems.alias("problems"), unread.alias("unread"), (F.size("bad") > 0).alias("broken"))
+    both = said.select("asset_id", problems.alias("problems"), unread.alias("unread"), (F.size("bad") > 0).alias("broken"))
     code = F.when(F.col("unread"), EXIT_UNREAD).when(F.col("broken"), EXIT_BAD).when(F.size("problems") > 0, EXIT_MISMATCH).otherwise(0)
     return both.select("asset_id", (code == 0).alias("verified"), "problems", code.alias("exit_code"))

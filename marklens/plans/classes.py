@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Formats that are scanned in full; classes by format and how far they can be told.
 SUPPORTED = ["png", "jpeg", "webp", "riff-wav", "isobmff", "mp3", "flac", "svg", "html", "text"]
@@ -37,3 +38,12 @@ def class_table(spark: SparkSession) -> DataFrame:
     for honesty, table in (("confirmable", CONFIRMABLE), ("blind", BLIND), ("unaddressed", UNADDRESSED)):
         rows += [(f, c, honesty, i) for f, classes in table.items() for i, c in enumerate(classes)]
     return spark.createDataFrame(rows, "format string, class string, honesty string, place int")
+
+
+def of_format(form: Column) -> Column:
+    """array<struct<class, honesty, place>>: what a format's report has a row for; null for other formats. A few dozen literals."""
+    rows: dict[str, list] = {}
+    for honesty, table in (("confirmable", CONFIRMABLE), ("blind", BLIND), ("unaddressed", UNADDRESSED)):
+        for f, names in table.items():
+            rows.setdefault(f, []).extend(F.struct(F.lit(c).alias("class"), F.lit(honesty).alias("honesty"), F.lit(i).alias("place")) for i, c in enumerate(names))
+    return F.try_element_at(F.create_map(*(x for f, listed in rows.items() for x in (F.lit(f), F.array(*listed)))), form)

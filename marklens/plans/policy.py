@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -56,6 +57,12 @@ class Policy:
     notes: dict[str, str] = field(default_factory=dict)
     citations: dict[str, str] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        """Rows that come from no file have a digest of their own, so that every report names what it was made by."""
+        if self.digest is None:
+            rows = json.dumps([self.version, self.transforms, self.labels, self.notes, self.citations], sort_keys=True)
+            self.digest = f"sha256:{hashlib.sha256(rows.encode()).hexdigest()}"
+
 
 def digest(text: str, signatures: dict[str, str]) -> str:
     """SHA-256 over a policy file, whatever digest it states, and its signature files by path; line ends count as LF."""
@@ -113,7 +120,7 @@ def planned(spark: SparkSession, policy: Policy | None = None, keep: list[str] =
     names = F.transform(F.concat(F.array("id", "name"), "targets"), F.lower)
     asked = F.array(*(F.lit(k) for k in keep)).cast("array<string>")
     first = F.try_element_at(F.filter(asked, lambda k: F.array_contains(names, F.lower(k))), F.lit(1))
-    reason = F.when(F.lit(no_degrade) & F.col("kind").isin(*DEGRADES), "kept by flag --no-degrade").otherwise(F.concat(F.lit("kept by flag --keep "), first))
+    reason = F.when(F.lit(no_degrade) & F.col("kind").isin(*DEGRADES), "left as it is: no_degrade").otherwise(F.concat(F.lit("left as it is: keep "), first))
     rows = rows.withColumn("reason", reason)
     return rows.select("format", "place", "id", "name", "kind", "targets", F.col("reason").isNull().alias("runs"), "reason", (~F.col("id").isin(*NOT_RUN_HERE)).alias("run_here"))
 

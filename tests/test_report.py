@@ -2,12 +2,15 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marklens.operators import report
+from marklens.functions import samples
+from marklens.operators import pixelmark, report
 from marklens.plans import policy
-from test_containers import FILES, jpeg
+from test_containers import FILES, jpeg, png, riff
+from test_pixelmark import as_jpeg, drawn
 
 TEXTS = {20: "a​b".encode(), 21: b"plain", 22: ("x" + "️" * 12).encode(), 23: b"OggS....", 24: b"\xc0" * 40}
 
@@ -20,8 +23,8 @@ def assets(spark, more=()):
 def test_plan_keeps_and_targets(spark):
     plan = policy.planned(spark, keep=["ID3", "strip-xmp", "mc11"], no_degrade=True).collect()
     of = {(r["format"], r["id"]): r["reason"] for r in plan}
-    assert of["riff-wav", "MC05"] == of["riff-wav", "MC09"] == "kept by flag --keep ID3" and of["png", "MC02"] == "kept by flag --keep strip-xmp"
-    assert of["jpeg", "MC11"] == "kept by flag --keep mc11" and of["jpeg", "PX02"] == "kept by flag --no-degrade" and of["png", "MC04"] is None
+    assert of["riff-wav", "MC05"] == of["riff-wav", "MC09"] == "left as it is: keep ID3" and of["png", "MC02"] == "left as it is: keep strip-xmp"
+    assert of["jpeg", "MC11"] == "left as it is: keep mc11" and of["jpeg", "PX02"] == "left as it is: no_degrade" and of["png", "MC04"] is None
     got = {r["format"]: r["targeted"] for r in policy.targeted(policy.planned(spark, keep=["exif"])).collect()}
     assert got["webp"] == ["c2pa", "xmp", "iptc", "riff_ancillary", "id3", "dwtdct"] and got["text"] == ["c2pa", "invisibles"]
     with pytest.raises(ValueError):
@@ -42,7 +45,7 @@ def test_policy_file(tmp_path):
 
 
 def test_reports(spark):
-    found = report.detections(assets(spark)).cache()
+    found = report.detections(assets(spark), pixels=False).cache()
     got = {r["asset_id"]: json.loads(r["value"]) for r in report.as_json(report.reports(found)).collect()}
     assert set(got) == {*FILES, *TEXTS, 12}
     states = {i: {s["class"]: s["state"] for s in r["scan_states"]} for i, r in got.items()}
@@ -50,25 +53,57 @@ def test_reports(spark):
     assert states[23] == {"synthid_audio": "not_attempted", "audioseal": "not_attempted", "c2pa_soft_binding": "not_attempted"}
     assert {i: r["exit_code"] for i, r in got.items() if r["exit_code"]} == {2: 30, 11: 30, 13: 30, 22: 30, 12: 40, 24: 40}
     assert got[20]["findings"][0]["locations"] == [{"container": "text", "offset": 1, "length": 3, "detail": "invisible character"}]
-    assert [f["class"] for f in got[1]["findings"]] == ["png_text", "xmp"] and got[1]["findings"][0]["evidence"] == ["parameters"] and got[1]["policy_digest"] is None
+    assert [f["class"] for f in got[1]["findings"]] == ["png_text", "xmp"] and got[1]["findings"][0]["evidence"] == ["parameters"] and got[1]["policy_digest"] == policy.Policy().digest
     assert got[1]["survived"][0]["transform"] == "PX03, PX02" and {f["class"] for f in got[22]["findings"]} == {"invisibles"}
     assert {r["asset_id"] for r in report.findings(found).collect()} == {i for i, r in got.items() if r["findings"]}
     text = {r["asset_id"]: r["value"] for r in report.as_text(report.reports(found, keep=["exif"])).collect()}
-    assert "  invisible Unicode: confirmed_present\n" in text[20] and "kept:\n  MC03 strip-exif: kept by flag --keep exif\n" in text[1] and text[12].endswith("exit: 40\n")
+    assert "  invisible Unicode: confirmed_present\n" in text[20] and "findings:\n  invisible Unicode: confirmed_present\n    at 1, 3 bytes: text invisible character\n    1 invisible characters\n" in text[20] and "kept:\n  MC03 strip-exif: left as it is: keep exif\n" in text[1] and text[12].endswith("exit: 40\n")
 
 
 def test_verify_against_a_report(spark):
-    outputs = report.detections(assets(spark))
-    said = {1: {"stripped_and_proven_gone": ["XMP packet"], "output_format": "png", "policy_digest": None}, 3: {"stripped_and_proven_gone": ["EXIF metadata"], "output_format": "jpeg", "policy_digest": None},
-            8: {"output_format": "webp", "policy_digest": "other"}, 21: {"policy_digest": None}, 20: {}, 23: {}, 2: {}}
+    outputs = report.detections(assets(spark), pixels=False)
+    own = {"policy_digest": policy.Policy().digest}
+    said = {1: own | {"stripped_and_proven_gone": ["XMP packet"], "output_format": "png"}, 3: own | {"stripped_and_proven_gone": ["EXIF metadata"], "output_format": "jpeg"},
+            8: {"output_format": "webp", "policy_digest": "other"}, 21: own, 20: {}, 23: own, 2: own, 4: {"policy_digest": None}}
     rows = [(i, json.dumps(v)) for i, v in said.items()] + [(6, "{not json")]
-    got = {r["asset_id"]: (r["exit_code"], r["problems"]) for r in report.verified_against(spark.createDataFrame(rows, "asset_id long, value string"), outputs).collect()}
-    assert got[1] == (10, ["XMP packet is present again in the output"]) and got[3] == got[21] == (0, [])
-    assert got[8][0] == 10 and len(got[8][1]) == 2 and got[6] == (10, ["the report does not parse"]) and got[23][0] == 40 and got[2][0] == 30 and got[7][0] == 10
+    made = spark.createDataFrame(rows, "asset_id long, value string")
+    got = {r["asset_id"]: (r["exit_code"], r["problems"]) for r in report.verified_against(made, outputs).collect()}
+    assert got[1] == (10, ["XMP packet was gone and is back"]) and got[3] == got[21] == (0, [])
+    assert got[20] == got[4] == (10, ["the report is not of this policy"])  # a report that names no policy proves nothing
+    assert got[8][0] == 10 and len(got[8][1]) == 2 and got[6] == (10, ["the report can't be parsed"]) and got[23][0] == 40 and got[2][0] == 30 and got[7][0] == 10
+    in_rows = report.verified_against(made, report.inspected(assets(spark), pixels=False))
+    assert {r["asset_id"]: (r["exit_code"], r["problems"]) for r in in_rows.collect()} == got
+    other = policy.Policy(version="2")
+    assert other.digest != policy.Policy().digest == policy.Policy().digest
+    assert report.verified_against(made, outputs, other).where("asset_id = 21").first()["exit_code"] == 10
+
+
+def test_nothing_is_shuffled_or_read_twice(spark):
+    rows = assets(spark).repartition(2)
+    found = report.with_found(rows.withColumn("value", F.lit("{}")), "content", "format", "found")
+    for df in (report.verified(found), report.reports(report.inspected(rows))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(asset_id" not in plan and plan.count("Scan ExistingRDD") <= 2  # the assets, and the plan per format
+        assert plan.count("ArrowEvalPython") <= 3  # walks, spans, votes: each once
+
+
+def test_pixel_rows(spark):
+    one, two = pixelmark.PAYLOADS.values()
+    wrong = drawn(one, 8, 8, wrong=range(10))
+    half = as_jpeg(np.full((64, 64, 3), 120, np.uint8), [(2, 2), (1, 1), (1, 1)])
+    files = {1: samples.png_of(drawn(one, 8, 8)), 2: samples.png_of(drawn(two, 12, 12)), 3: samples.png_of(drawn(one, 6, 7)), 4: samples.png_of(wrong), 5: half,
+             6: as_jpeg(drawn(one, 8, 8), [(1, 1)] * 3), 7: png(), 8: riff(b"WEBP", (b"VP8L", b"abc")), 9: b"text"}
+    rows = spark.createDataFrame([(i, bytearray(c)) for i, c in files.items()], "asset_id long, content binary")
+    found = {r["asset_id"]: r for r in report.detections(rows).where("class = 'dwtdct'").collect()}
+    assert {i: r["state"] for i, r in found.items()} == {1: "confirmed_present", 2: "confirmed_present", 3: "confirmed_absent", 4: "confirmed_absent", 5: "unsupported_format", 6: "confirmed_present", 7: "malformed", 8: "unsupported_format"}
+    assert found[1]["honesty"] == "confirmable" and found[1]["label"] == "dwtDct pixel mark" and found[1]["evidence"][0].endswith("in 64 blocks, 0.80 are needed: found")
+    made = {r["asset_id"]: r for r in report.reports(report.inspected(rows)).collect()}
+    assert [f["class"] for f in made[1]["findings"]] == ["dwtdct"] and made[7]["exit_code"] == 30 and made[5]["exit_code"] == 0
+    assert [s["class"] for s in made[1]["scan_states"]][:5] == ["png_text", "c2pa", "exif", "xmp", "dwtdct"]
 
 
 def test_before_and_after(spark):
-    before = report.detections(assets(spark).where("asset_id IN (3, 20)"))
+    before = report.detections(assets(spark).where("asset_id IN (3, 20)"), pixels=False)
     clean = spark.createDataFrame([(3, bytearray(jpeg())), (20, bytearray(b"ab"))], "asset_id long, content binary")
     got = {(r["asset_id"], r["class"]): r["gone"] for r in report.changes(before, report.detections(clean)).collect()}
     assert got == {(3, "xmp"): True, (3, "c2pa"): True, (3, "iptc"): True, (20, "invisibles"): True}
