@@ -78,10 +78,24 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Like :func:`written`, but in so many buckets of a key, one row per key: joins by it shuffle their other side alone."""
+    spark = df.sparkSession
+    path, name = scratch_dir(spark), f"marklens_{uuid.uuid4().hex}"
+    with settings(spark, WRITING):
+        rows = df.repartition(buckets, key).dropDuplicates([key])
+        rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.written_to, out.table_name = path, name
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables made by :func:`written` that nothing reads any more."""
+    """Deletes tables made by :func:`written` or :func:`bucketed` that nothing reads any more."""
     for t in tables:
         spark = t.sparkSession
+        if name := getattr(t, "table_name", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
