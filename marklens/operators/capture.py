@@ -7,7 +7,6 @@ Reading a manifest is Python, a file at a time; what it means is column expressi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,39 +22,44 @@ GENERATIVE = ["trainedalgorithmicmedia", "compositewithtrainedalgorithmicmedia",
 SIGNATURE_STATUS = "not verified"
 _ACTION = pa.struct([("action", pa.string()), ("source", pa.string()), ("agent", pa.string())])
 _MANIFEST = pa.struct([("label", pa.string()), ("actions", pa.list_(_ACTION)), ("signers", pa.list_(pa.string()))])
-MANIFESTS = "asset_id long, format string, manifests array<struct<label: string, actions: array<struct<action: string, source: string, agent: string>>, signers: array<string>>>"
+MANIFESTS = "array<struct<label: string, actions: array<struct<action: string, source: string, agent: string>>, signers: array<string>>>"
 
 
-def manifests(assets: DataFrame) -> DataFrame:
-    """asset_id, format, manifests (null: no well-formed store): a row per asset that may carry a manifest."""
+def stores(content: Column, form: Column) -> Column:
+    """MANIFESTS of a file; null where it has no well-formed store."""
 
-    def read(content: bytes, form: str):
+    def read(content: bytes | None, form: str | None):
+        if content is None:
+            return None
         if form in containers.TEXT:
             runs = re.findall("[︀-️\U000e0100-\U000e01ef]{8,}", content.decode())
-            stores = (manifest.manifests(d[d.find(b"jumb") - 4 :]) for d in map(manifest.decoded_run, runs) if d.find(b"jumb") >= 4)
-            found = next((m for m in stores if m), None)
+            found = (manifest.manifests(d[d.find(b"jumb") - 4 :]) for d in map(manifest.decoded_run, runs) if d.find(b"jumb") >= 4)
+            found = next((m for m in found if m), None)
         else:
             found = manifest.store_of(content, form)
         return found and [{"label": label, "actions": [dict(zip(("action", "source", "agent"), a)) for a in actions], "signers": signers} for label, actions, signers in found]
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for asset, form, content in zip(*b.columns):
-                made = read(content.as_py(), form.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([asset.as_py()], pa.int64()), pa.array([form.as_py()]), pa.array([made], pa.list_(_MANIFEST))], ["asset_id", "format", "manifests"])
+    def each(content: pa.Array, form: pa.Array) -> pa.Array:
+        return pa.array([read(c.as_py(), f.as_py()) for c, f in zip(content, form)], pa.list_(_MANIFEST))
+
+    # a store holds the word, as it is or as selectors (j is U+E015A): other files don't go to Python
+    word = F.contains(content, F.unhex(F.lit("6A756D62")))
+    maybe = word | form.isin(containers.TEXT) & content.cast("string").contains("\U000e015a\U000e0165")
+    return F.arrow_udf(each, MANIFESTS).asNondeterministic()(F.when(maybe, content), form)  # said to be so that no plan runs it twice
 
+
+def manifests(assets: DataFrame) -> DataFrame:
+    """asset_id, format, manifests (null: no well-formed store): a row per asset with content."""
     rows = assets.where("content IS NOT NULL").select(F.col("asset_id").cast("long").alias("asset_id"), T.sniffed(F.col("content")).alias("format"), "content")
-    # a store holds the word, as it is or as selectors (j is U+E015A)
-    maybe = F.expr("position(X'6A756D62' IN content) > 0") | F.col("format").isin(containers.TEXT) & F.col("content").cast("string").contains("\U000e015a\U000e0165")
-    return rows.where(maybe).mapInArrow(batches, MANIFESTS)
+    return rows.select("asset_id", "format", stores(F.col("content"), F.col("format")).alias("manifests"))
 
 
 def last_segment(uri: Column, segment: str) -> Column:
     return F.coalesce(F.lower(uri).rlike(f"(^|/){segment}$"), F.lit(False))
 
 
-def readings(assets: DataFrame, makes: list[str], generators: list[str]) -> DataFrame:
-    """asset_id, status, claim, hint, line: a row per asset with content.
+def with_reading(rows: DataFrame, content: str, form: str, walked: str, makes: list[str], generators: list[str]) -> DataFrame:
+    """rows with status, claim, hint and line. content, form, walked: its columns, see :func:`containers.walked`.
 
     certified: a manifest claims a capture, or a camera vendor signed it, and no generative action follows in it or
     in a later one. generative: one does. uncertain: EXIF looks like a camera's. none: else. The first manifest with a claim counts.
@@ -66,43 +70,42 @@ def readings(assets: DataFrame, makes: list[str], generators: list[str]) -> Data
         """Why an action is generative, else null."""
         kind = F.coalesce(*(F.when(last_segment(a["source"], g), g) for g in GENERATIVE))
         by = F.try_element_at(F.filter(F.array(*map(F.lit, generators)).cast("array<string>"), lambda g: F.contains(F.lower(a["agent"]), g)), F.lit(1))
-        return F.coalesce(F.concat(F.lit("a later action "), a["action"], F.lit(" with digitalSourceType "), kind), F.concat(F.lit("a later action "), a["action"], F.lit(" naming "), by))
+        return F.coalesce(F.concat(F.lit("then "), a["action"], F.lit(" of source "), kind), F.concat(F.lit("then "), a["action"], F.lit(" by "), by))
 
     taken = lambda a: (a["action"] == "c2pa.created") & last_segment(a["source"], CAPTURE)
     first = lambda found: F.try_element_at(F.filter(found, lambda x: x.isNotNull()), F.lit(1))
-    read = manifests(assets).where("manifests IS NOT NULL")
-    each = read.select(
-        "asset_id",
-        F.transform(
-            "manifests",
-            lambda m: F.struct(
-                m["label"].alias("label"),
-                F.array_position(F.transform(m["actions"], taken), F.lit(True)).cast("int").alias("taken"),
-                first(F.transform(m["signers"], lambda s: F.try_element_at(known(s), F.lit(1)))).alias("vendor"),
-                F.transform(m["actions"], generative).alias("made"),
-            ),
-        ).alias("m"),
+    told = lambda m: F.struct(
+        m["label"].alias("label"),
+        F.array_position(F.transform(m["actions"], taken), F.lit(True)).cast("int").alias("taken"),
+        first(F.transform(m["signers"], lambda s: F.try_element_at(known(s), F.lit(1)))).alias("vendor"),
+        F.transform(m["actions"], generative).alias("made"),
     )
-    at = F.array_position(F.transform("m", lambda m: (m["taken"] > 0) | m["vendor"].isNotNull()), F.lit(True)).cast("int")
-    claimed = each.withColumn("at", at).where("at > 0").withColumn("c", F.element_at("m", F.col("at")))
-    claim = F.when(F.col("c.taken") > 0, F.concat(F.lit("manifest "), "c.label", F.lit(" c2pa.created with digitalSourceType digitalCapture"))).otherwise(
-        F.concat(F.lit("manifest "), "c.label", F.lit(" signed by the camera vendor "), "c.vendor")
+    rows = rows.withColumn("stores_", stores(F.col(content), F.col(form)))
+    rows = rows.withColumn("m_", F.transform("stores_", told))
+    rows = rows.withColumn("at_", F.array_position(F.transform("m_", lambda m: (m["taken"] > 0) | m["vendor"].isNotNull()), F.lit(True)).cast("int"))
+    rows = rows.withColumn("c_", F.when(F.col("at_") > 0, F.try_element_at("m_", F.col("at_"))))
+    claim = F.when(F.col("c_.taken") > 0, F.concat(F.lit("manifest "), "c_.label", F.lit(" c2pa.created with digitalSourceType digitalCapture"))).otherwise(
+        F.concat(F.lit("manifest "), "c_.label", F.lit(" signed by the camera vendor "), "c_.vendor")
     )
-    inside = first(F.slice("c.made", F.col("c.taken") + 1, F.greatest(F.size("c.made") - F.col("c.taken"), F.lit(0))))
-    after = F.slice("m", F.col("at") + 1, F.greatest(F.size("m") - F.col("at"), F.lit(0)))
+    inside = first(F.slice("c_.made", F.col("c_.taken") + 1, F.greatest(F.size("c_.made") - F.col("c_.taken"), F.lit(0))))
+    after = F.slice("m_", F.col("at_") + 1, F.greatest(F.size("m_") - F.col("at_"), F.lit(0)))
     outside = first(F.transform(after, lambda m: F.concat(first(m["made"]), F.lit(" in manifest "), m["label"])))
-    claimed = claimed.select(F.col("asset_id").alias("of"), claim.alias("claimed"), F.coalesce(inside, outside).alias("later"))
-    facts = containers.elements(assets).where("exif IS NOT NULL").groupBy("asset_id").agg(F.min_by("exif", "start").alias("exif"))
-    hinted = facts.where(containers.camera_hint(makes)).select(F.col("asset_id").alias("h"), F.concat(F.lit("EXIF of a camera, make "), "exif.make").alias("camera"))
-    rows = assets.where("content IS NOT NULL").select(F.col("asset_id").cast("long").alias("asset_id"))
-    rows = rows.join(claimed, F.expr("asset_id = of"), "left_outer").join(hinted, F.expr("asset_id = h"), "left_outer")
-    status = F.when(F.col("later").isNotNull(), "generative").when(F.col("claimed").isNotNull(), "certified").when(F.col("camera").isNotNull(), "uncertain").otherwise("none")
-    rows = rows.select("asset_id", status.alias("status"), F.concat_ws("; ", "claimed", "later").alias("claim"), F.when(F.col("claimed").isNull(), F.col("camera")).alias("hint"))
-    claim = F.nullif(F.col("claim"), F.lit(""))
+    seen = F.try_element_at(F.filter(F.transform(f"{walked}.elements", lambda e: e["exif"]), lambda x: x.isNotNull()), F.lit(1))
+    rows = rows.withColumns({"claimed_": F.when(F.col("c_").isNotNull(), claim), "later_": F.when(F.col("c_").isNotNull(), F.coalesce(inside, outside)), "exif_": seen})
+    camera = F.when(containers.camera_hint(makes, F.col("exif_")), F.concat(F.lit("EXIF of a camera, make "), "exif_.make"))
+    rows = rows.withColumn("camera_", camera)
+    status = F.when(F.col("later_").isNotNull(), "generative").when(F.col("claimed_").isNotNull(), "certified").when(F.col("camera_").isNotNull(), "uncertain").otherwise("none")
+    rows = rows.withColumns({"status": status, "claim": F.nullif(F.concat_ws("; ", "claimed_", "later_"), F.lit("")), "hint": F.when(F.col("claimed_").isNull(), F.col("camera_"))})
     line = (
-        F.when(F.col("status") == "certified", F.concat(F.lit("Capture claimed: "), claim, F.lit(f". Signature: {SIGNATURE_STATUS}.")))
-        .when(F.col("status") == "generative", F.concat(F.lit("Capture claimed, then generated: "), claim, F.lit(f". Signature: {SIGNATURE_STATUS}.")))
+        F.when(F.col("status") == "certified", F.concat(F.lit("Capture claimed: "), "claim", F.lit(f". Signature: {SIGNATURE_STATUS}.")))
+        .when(F.col("status") == "generative", F.concat(F.lit("Capture claimed, then generated: "), "claim", F.lit(f". Signature: {SIGNATURE_STATUS}.")))
         .when(F.col("status") == "uncertain", F.concat(F.lit("Perhaps a capture: "), "hint", F.lit(".")))
         .otherwise("")
     )
-    return rows.select("asset_id", "status", claim.alias("claim"), "hint", line.alias("line"))
+    return rows.withColumn("line", line).drop("stores_", "m_", "at_", "c_", "claimed_", "later_", "exif_", "camera_")
+
+
+def readings(assets: DataFrame, makes: list[str], generators: list[str]) -> DataFrame:
+    """asset_id, status, claim, hint, line: a row per asset with content. See :func:`with_reading`."""
+    rows = containers.read_once(assets.where("content IS NOT NULL"))
+    return with_reading(rows, "content", "format", "walked", makes, generators).select("asset_id", "status", "claim", "hint", "line")

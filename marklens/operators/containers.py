@@ -161,7 +161,8 @@ def states(assets: DataFrame) -> DataFrame:
     return rows.select("asset_id", "format", "class", "honesty", F.col("seen.state").alias("state"), F.col("seen.n").alias("n"))
 
 
-def camera_hint(makes: list[str]) -> Column:
+def camera_hint(makes: list[str], exif: Column | None = None) -> Column:
     """Whether EXIF facts speak of a capture: a known make, exposure, aperture and ISO, and a lens."""
-    known = F.exists(F.array(*(F.lit(m.lower()) for m in makes)), lambda m: F.lower("exif.make").contains(m))
-    return F.coalesce(known & F.col("exif.exposure") & F.col("exif.aperture") & F.col("exif.iso") & F.col("exif.lens"), F.lit(False))
+    exif = F.col("exif") if exif is None else exif
+    known = F.exists(F.array(*(F.lit(m.lower()) for m in makes)).cast("array<string>"), lambda m: F.lower(exif["make"]).contains(m))
+    return F.coalesce(known & exif["exposure"] & exif["aperture"] & exif["iso"] & exif["lens"], F.lit(False))

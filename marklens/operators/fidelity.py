@@ -1,6 +1,6 @@
 """How close an output file is to its input: PSNR and SSIM of pictures, log-spectral distance of sounds.
 
-A row holds both files, so no pixel is shuffled: one Arrow batch at a time, each pair is read and handed on as a few
+A row holds both files, so no pixel is shuffled: each pair is read side by side in bands and handed on as a few
 sums; measures, floors and exit codes are column expressions over these.
 """
 
@@ -21,44 +21,42 @@ EQUAL_DB, PSNR_FLOOR, SSIM_FLOOR, LEAST_EDGE = 120.0, 25.0, 0.6, 8
 EXIT_MALFORMED, EXIT_UNSUPPORTED, EXIT_BELOW_FLOOR = 30, 40, 50
 #: Rows of results that are handed on at once.
 ROWS_AT_ONCE = 2048
-SUMS = "asset_id long, format string, width int, height int, samples long, squares long, windows long, similar double, frames long, distance double, problem string"
-_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.string()]
+SUMS = "struct<width: int, height: int, samples: long, squares: long, windows: long, similar: double, frames: long, distance: double, problem: string>"
+_SUMS = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int64()), ("squares", pa.int64()), ("windows", pa.int64()), ("similar", pa.float64()), ("frames", pa.int64()), ("distance", pa.float64()), ("problem", pa.string())])
 #: Formats that are measured.
 SOUND = "riff-wav"
 
 
-def sums(pairs: DataFrame) -> DataFrame:
-    """pairs (asset_id, before, after) -> SUMS, a row per pair. problem: unsupported (no content, formats that differ or
+def measured(form: str | None, before: bytes | None, after: bytes | None) -> tuple:
+    """The fields of SUMS of one pair."""
+    nothing = (None,) * 8
+    if form != SOUND and form not in samples.PICTURES:
+        return (*nothing, "unsupported")
+    try:
+        if form != SOUND:
+            (height, width, one), (*size, two) = samples.PICTURES[form](before), samples.PICTURES[form](after)
+            if [height, width] != size:
+                return (*nothing, "mismatch")
+            return (width, height, *samples.picture_sums(one, two), None, None, None)
+        one, two = samples.wav_sound(before), samples.wav_sound(after)
+        if one.rate != two.rate:
+            return (*nothing, "mismatch")
+        return (*nothing[:6], *samples.spectral_sums(one.samples, two.samples), None)
+    except samples.Unread:
+        return (*nothing, "unsupported")
+    except samples.Unreadable:
+        return (*nothing, "malformed")
+
+
+def sums(form: Column, before: Column, after: Column) -> Column:
+    """SUMS of a pair of one format (null: formats that differ). problem: unsupported (no content, formats that differ or
     are not read here), malformed, mismatch (other size or rate), else null."""
 
-    def measured(form: str | None, before: bytes | None, after: bytes | None) -> tuple:
-        nothing = (None,) * 8
-        if form != SOUND and form not in samples.PICTURES:
-            return (*nothing, "unsupported")
-        try:
-            if form != SOUND:
-                (height, width, one), (*size, two) = samples.PICTURES[form](before), samples.PICTURES[form](after)
-                if [height, width] != size:
-                    return (*nothing, "mismatch")
-                return (width, height, *samples.picture_sums(one, two), None, None, None)
-            one, two = samples.wav_sound(before), samples.wav_sound(after)
-            if one.rate != two.rate:
-                return (*nothing, "mismatch")
-            return (*nothing[:6], *samples.spectral_sums(one.samples, two.samples), None)
-        except samples.Unread:
-            return (*nothing, "unsupported")
-        except samples.Unreadable:
-            return (*nothing, "malformed")
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            rows = ((asset.as_py(), form.as_py(), *measured(form.as_py(), before.as_py(), after.as_py())) for asset, form, before, after in zip(*b.columns))
-            yield from gathered(rows, _TYPES, names)  # a pair at a time: its pixels bound the memory
-
-    names = [c.split()[0] for c in SUMS.split(", ")]
-    kind = lambda c: F.when(F.col(c).isNotNull(), T.sniffed(F.col(c)))
-    form = F.when(kind("before") == kind("after"), kind("before"))
-    return pairs.select(F.col("asset_id").cast("long").alias("asset_id"), form.alias("format"), "before", "after").mapInArrow(batches, SUMS)
+    def each(form: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
+        rows = (measured(f.as_py(), b.as_py(), a.as_py()) for f, b, a in zip(form, before, after))  # a pair at a time, in bands
+        return pa.array([dict(zip(_SUMS.names, r)) for r in rows], _SUMS)
+
+    return F.arrow_udf(each, SUMS).asNondeterministic()(form, before, after)  # said to be so that no plan runs it twice
 
 
 def gathered(rows: Iterator[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -67,29 +65,39 @@ def gathered(rows: Iterator[tuple], types: list[pa.DataType], names: list[str])
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held), types)], names)
 
 
-def psnr() -> Column:
-    return F.when(F.col("squares") == 0, EQUAL_DB).when(F.col("samples") > 0, 10 * F.log10(65025.0 * F.col("samples") / F.col("squares")))
-
-
-def measures(pairs: DataFrame) -> DataFrame:
-    """pairs (asset_id, before, after) -> asset_id, format, psnr_db, ssim, lsd_db, passed, refusal, exit_code: a row per
-    pair, repeated rows too.
+def judged(form: Column, found: Column) -> Column:
+    """struct<psnr_db, ssim, lsd_db, passed, refusal, exit_code> of a pair's SUMS.
 
     Pictures pass at or above both floors; one below a floor was measured and gives 50. Sounds, which have no floor, pass where
     they were measured. A picture with an edge under 8, or a file that is not read here, gives 40. A file that can't be
     read, pairs of other size or rate, and sounds of under four frames were not measured: null measures, 30. Null
     contents are not read (40).
     """
-    found = sums(pairs).withColumn("psnr_db", psnr()).withColumn("ssim", F.when(F.col("windows") > 0, F.col("similar") / F.col("windows")))
-    found = found.withColumn("lsd_db", F.when(F.col("frames") >= samples.LEAST_FRAMES, F.col("distance") / F.col("frames")))
-    small = F.least("width", "height") < LEAST_EDGE
-    picture = (F.col("psnr_db") >= PSNR_FLOOR) & (F.col("ssim") >= SSIM_FLOOR)
-    passed = F.coalesce(F.when(F.col("format") != SOUND, picture).otherwise(F.col("lsd_db").isNotNull()), F.lit(False))
-    was_measured = F.col("psnr_db").isNotNull() & F.col("ssim").isNotNull()
-    scores = F.format_string("scores PSNR %.2f dB and SSIM %.4f against the floors %.1f dB and %.2f", "psnr_db", "ssim", F.lit(PSNR_FLOOR), F.lit(SSIM_FLOOR))
-    refusal = (
-        F.when((F.col("problem") == "unsupported") | small, "not measurable: format or size").when(F.col("problem").isNotNull(), F.concat(F.lit("not measured: "), "problem"))
-        .when(~passed, F.when(was_measured, scores).otherwise("not measured: too short"))
+    psnr = F.when(found["squares"] == 0, EQUAL_DB).when(found["samples"] > 0, 10 * F.log10(65025.0 * found["samples"] / found["squares"]))
+    measures = F.struct(
+        psnr.alias("psnr_db"), F.when(found["windows"] > 0, found["similar"] / found["windows"]).alias("ssim"),
+        F.when(found["frames"] >= samples.LEAST_FRAMES, found["distance"] / found["frames"]).alias("lsd_db"),
     )
-    code = F.when((F.col("problem") == "unsupported") | small, EXIT_UNSUPPORTED).when(~passed, F.when(was_measured, EXIT_BELOW_FLOOR).otherwise(EXIT_MALFORMED)).otherwise(0)
-    return found.select("asset_id", "format", "psnr_db", "ssim", "lsd_db", (passed & ~F.coalesce(small, F.lit(False))).alias("passed"), refusal.alias("refusal"), code.alias("exit_code"))
+
+    def verdict(m: Column) -> Column:
+        unread = F.coalesce(found["problem"] == "unsupported", F.lit(False)) | F.coalesce(F.least(found["width"], found["height"]) < LEAST_EDGE, F.lit(False))
+        both = m["psnr_db"].isNotNull() & m["ssim"].isNotNull()
+        passed = F.coalesce(F.when(form != SOUND, (m["psnr_db"] >= PSNR_FLOOR) & (m["ssim"] >= SSIM_FLOOR)).otherwise(m["lsd_db"].isNotNull()), F.lit(False)) & ~unread
+        scores = F.format_string("PSNR %.2f dB, SSIM %.4f; at least %.1f dB and %.2f are asked for", m["psnr_db"], m["ssim"], F.lit(PSNR_FLOOR), F.lit(SSIM_FLOOR))
+        refusal = (
+            F.when(unread, "can't be measured: format or size").when(found["problem"].isNotNull(), F.concat(F.lit("not measured: "), found["problem"]))
+            .when(~passed, F.when(both, scores).otherwise("not measured: too short"))
+        )
+        code = F.when(unread, EXIT_UNSUPPORTED).when(passed, 0).when(both, EXIT_BELOW_FLOOR).otherwise(EXIT_MALFORMED)
+        return F.struct(m["psnr_db"], m["ssim"], m["lsd_db"], passed.alias("passed"), refusal.alias("refusal"), code.alias("exit_code"))
+
+    return T.bound(measures, verdict)
+
+
+def measures(pairs: DataFrame) -> DataFrame:
+    """pairs (asset_id, before, after) -> asset_id, format, and the fields of :func:`judged`: a row per pair, repeated rows too."""
+    kind = lambda c: F.when(F.col(c).isNotNull(), T.sniffed(F.col(c)))
+    rows = pairs.select(F.col("asset_id").cast("long").alias("asset_id"), kind("before").alias("one"), kind("after").alias("two"), "before", "after")
+    rows = rows.select("asset_id", F.when(F.col("one") == F.col("two"), F.col("one")).alias("format"), "before", "after")
+    rows = rows.select("asset_id", "format", sums(F.col("format"), F.col("before"), F.col("after")).alias("sums"))
+    return rows.select("asset_id", "format", judged(F.col("format"), F.col("sums")).alias("j")).select("asset_id", "format", "j.*")

@@ -73,9 +73,9 @@ def text_found(named, form: Column, spans: Column) -> Column:
     return T.bound(inspect.text_classes(spans), rows)
 
 
-def with_found(rows: DataFrame, content: str, form: str, found: str, policy: P.Policy | None = None, pixels: bool = True) -> DataFrame:
+def with_found(rows: DataFrame, content: str, form: str, found: str, policy: P.Policy | None = None, pixels: bool = True, walk: bool = False) -> DataFrame:
     """rows with two more columns for the content: its format (null where it is null) and its detections, array<DETECTION>.
-    pixels: pictures get a row for the pixel mark as well, for which they are decoded."""
+    pixels: pictures get a row for the pixel mark as well, for which they are decoded. walk: the file's walk stays as walked_."""
     named, c, f = _named(policy or P.Policy()), F.col(content), F.col(form)
     rows = rows.withColumn(form, F.when(c.isNotNull(), T.sniffed(c)))
     rows = rows.withColumns({"walked_": containers.walked(c, f), "spans_": T.spans(F.when(~containers.is_media(f), c.cast("string")))})
@@ -88,7 +88,7 @@ def with_found(rows: DataFrame, content: str, form: str, found: str, policy: P.P
             lambda d: F.array(_detection(named, F.lit(PIXEL_CLASS), F.lit("confirmable"), d["state"], F.lit(90), F.array(), d["evidence"])).cast(f"array<{DETECTION}>"),
         )
         made = F.concat(made, F.when(f.isin(IMAGES), pixel).otherwise(F.array().cast(f"array<{DETECTION}>")))
-    return rows.withColumn(found, made).drop("walked_", "spans_", "marks_", *(["votes_"] if pixels else []))
+    return rows.withColumn(found, made).drop(*([] if walk else ["walked_"]), "spans_", "marks_", *(["votes_"] if pixels else []))
 
 
 def inspected(assets: DataFrame, policy: P.Policy | None = None, pixels: bool = True) -> DataFrame:

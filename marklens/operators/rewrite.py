@@ -42,7 +42,8 @@ BY_TRANSFORM = {
     "MC02": ["xmp", "iptc"], "MC03": ["exif"], "MC04": ["png_text"], "MC05": ["id3", "ilst"], "MC13": ["ape"], "MC14": ["mp3_info"], "MC15": ["mp3_ancillary"],
     "MC09": ["riff_ancillary", "id3"], "MC12": ["riff_production"], "MC10": ["vorbis"], "MC06": ["unlisted"], "MC11": ["unlisted"],
 }
-REWRITTEN = "asset_id long, format string, content binary, removed array<string>, exit_code int"
+REWRITTEN = "struct<content: binary, removed: array<string>, exit_code: int>"
+_REWRITTEN = pa.struct([("content", pa.binary()), ("removed", pa.list_(pa.string())), ("exit_code", pa.int32())])
 
 
 def class_of(content: bytes, e: binary.Element, family: str) -> str | None:
@@ -105,34 +106,39 @@ def without(content: bytes, form: str, drop: set[str]) -> tuple[bytes, list[str]
     return made, [e.kind for e in removed]
 
 
-def rewritten(assets: DataFrame, drop: list[str] | Column) -> DataFrame:
-    """assets (asset_id, content) -> REWRITTEN, a row per file. drop: classes, or a column of an array of them per file
-    (null: none).
+def rewrite(content: Column, form: Column, drop: Column) -> Column:
+    """REWRITTEN of a file. drop: an array of classes (null: none); those that this module does not drop do nothing.
 
     A file without such elements comes out as it was (removed is empty). Exit 30 and null content: the walk breaks off;
-    40: another format, or null content. Classes that this module does not drop are an error in a list, and do nothing
-    in a column.
+    40: another format, or null content.
     """
+
+    def one(content: bytes | None, form: str | None, wanted: list[str] | None) -> dict:
+        made, removed, code = None, [], EXIT_UNSUPPORTED
+        if content is not None and form in FAMILY:
+            try:
+                (made, removed), code = without(content, form, set(wanted or ()) & set(CLASSES)), 0
+            except ValueError:
+                code = EXIT_MALFORMED
+        return {"content": made, "removed": removed, "exit_code": code}
+
+    def each(content: pa.Array, form: pa.Array, drop: pa.Array) -> pa.Array:
+        return pa.array([one(*(x.as_py() for x in row)) for row in zip(content, form, drop)], _REWRITTEN)
+
+    return F.arrow_udf(each, REWRITTEN).asNondeterministic()(content, form, drop)  # said to be so that no plan runs it twice
+
+
+def rewritten(assets: DataFrame, drop: list[str] | Column) -> DataFrame:
+    """assets (asset_id, content) -> asset_id, format, and the fields of REWRITTEN, a row per file. drop: classes, or a column of an
+    array of them per file; a class that this module does not drop is an error in a list. See :func:`rewrite`."""
     if isinstance(drop, list):
         if unknown := set(drop) - set(CLASSES):
             raise ValueError(f"not dropped here: {sorted(unknown)}")
         drop = F.array(*map(F.lit, drop)).cast("array<string>")
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for asset, form, content, wanted in zip(*b.columns):  # a file at a time: its bytes bound the memory
-                made, removed, code = None, [], EXIT_UNSUPPORTED
-                if form.as_py() in FAMILY:
-                    try:
-                        (made, removed), code = without(content.as_py(), form.as_py(), set(wanted.as_py() or ()) & set(CLASSES)), 0
-                    except ValueError:
-                        code = EXIT_MALFORMED
-                row = (asset.as_py(), form.as_py(), made, removed, code)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["asset_id", "format", "content", "removed", "exit_code"])
-
-    types = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.int32()]
     form = F.when(F.col("content").isNotNull(), T.sniffed(F.col("content")))
-    return assets.select(F.col("asset_id").cast("long").alias("asset_id"), form.alias("format"), "content", drop.alias("drop")).mapInArrow(batches, REWRITTEN)
+    rows = assets.select(F.col("asset_id").cast("long").alias("asset_id"), form.alias("format"), "content", drop.alias("drop"))
+    rows = rows.select("asset_id", "format", rewrite(F.col("content"), F.col("format"), F.col("drop")).alias("r"))
+    return rows.select("asset_id", "format", "r.*")
 
 
 def dropped_by(transforms: list[str]) -> list[str]:

@@ -73,7 +73,7 @@ def test_readings(spark):
     rows = spark.createDataFrame([(i, bytearray(c)) for i, c in files.items()] + [(12, None)], "asset_id long, content binary")
     got = {r["asset_id"]: r for r in capture.readings(rows, ["canon"], ["paintbot"]).collect()}
     assert {i: r["status"] for i, r in got.items()} == {1: "certified", 2: "certified", 3: "generative", 4: "generative", 5: "generative", 6: "certified", 7: "none", 8: "none", 9: "certified", 10: "none", 11: "none"}
-    assert got[4]["claim"] == "manifest m1 c2pa.created with digitalSourceType digitalCapture; a later action c2pa.edited naming paintbot in manifest m2"
+    assert got[4]["claim"] == "manifest m1 c2pa.created with digitalSourceType digitalCapture; then c2pa.edited by paintbot in manifest m2"
     assert got[6]["claim"] == "manifest m1 signed by the camera vendor canon" and "not verified" in got[6]["line"] and got[10]["line"] == ""
 
 
