@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import samples
 from ..functions import text as T
 from ..operators import containers, fidelity, inspect, pixelmark, report
-from . import classes, policy
+from . import classes, media_queries, policy
 
 
 def selectors_of(content: bytes) -> str:
@@ -132,46 +130,66 @@ def verify_report(spark, sf_dir):
 
 
 def plan_rows(spark, sf_dir):
-    plan = policy.planned(spark, keep=["id3", "Strip-XMP"], no_degrade=True)
-    return plan.select("format", "place", "id", "name", "runs", "reason")
+    """The plan of each format that the documents' files have, and how many files it is for."""
+    formats = media_queries.tagged_files(spark, sf_dir).select(T.sniffed(F.col("content")).alias("format")).groupBy("format").agg(F.count(F.lit(1)).alias("files"))
+    plan = policy.planned(spark, keep=["id3", "Strip-XMP"], no_degrade=True).select("format", "place", "id", "name", "runs", "reason")
+    return formats.join(F.broadcast(plan), "format")  # a few dozen rows
 
 
 #: Pixels across, and how many values of a pixel become one in the second picture: of every fifth document, and of others.
 ACROSS, COARSE, FINE = 32, 128, 4
+#: Bytes below it turn a block's bit over.
+LOW = 101
 
 
 def picture_fidelity(spark, sf_dir):
     """Each text's bytes as a grey PNG of eight lines at least, against the same with fewer shades."""
 
-    def drawn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for asset, text, step in zip(*b.columns):
-                content = np.frombuffer(text.as_py(), np.uint8)
-                grey = np.zeros((max(8, -(-len(content) // ACROSS)), ACROSS, 1), np.uint8)
-                grey.ravel()[: len(content)] = content
-                both = [samples.png_of(np.repeat(g, 3, axis=2)) for g in (grey, grey - grey % np.uint8(step.as_py()))]
-                yield pa.RecordBatch.from_arrays([pa.array([asset.as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in both)], ["asset_id", "before", "after"])
+    def drawn(texts: pa.Array, steps: pa.Array) -> pa.Array:
+        out = []
+        for text, step in zip(texts, steps.to_pylist()):
+            content = np.frombuffer(text.as_py(), np.uint8)
+            grey = np.zeros((max(8, -(-len(content) // ACROSS)), ACROSS, 1), np.uint8)
+            grey.ravel()[: len(content)] = content
+            out.append(dict(zip(("before", "after"), (samples.png_of(np.repeat(g, 3, axis=2)) for g in (grey, grey - grey % np.uint8(step))))))
+        return pa.array(out, pa.struct([("before", pa.binary()), ("after", pa.binary())]))
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary"), F.when(F.col("doc_id") % 5 == 0, COARSE).otherwise(FINE))
-    made = fidelity.measures(texts.mapInArrow(drawn, "asset_id long, before binary, after binary"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.when(F.col("doc_id") % 5 == 0, COARSE).otherwise(FINE).alias("step"))
+    pairs = texts.select("doc_id", F.arrow_udf(drawn, "struct<before: binary, after: binary>").asNondeterministic()(F.col("t"), F.col("step")).alias("p"))
+    made = fidelity.measures(pairs.select(F.col("doc_id").alias("asset_id"), "p.before", "p.after"))
     return made.select(F.col("asset_id").alias("doc_id"), F.round("psnr_db", 6).alias("psnr_db"), F.round("ssim", 6).alias("ssim"), "passed", "exit_code")
 
 
 def pixel_marks(spark, sf_dir):
-    """Each text's bytes as the colours of a PNG of whole lines, read for the pixel mark."""
-
-    def drawn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for asset, text in zip(*b.columns):
-                content = np.frombuffer(text.as_py(), np.uint8)
-                picture = np.zeros((max(8, -(-len(content) // (3 * ACROSS))), ACROSS, 3), np.uint8)
+    """Pictures of whole lines, read for the pixel mark. By doc_id % 5: the first payload's pattern on grey (1), the second's (2), the
+    first's with the bits of blocks whose byte is low turned over (3), else the text's bytes as colours."""
+    payloads = [np.array([b == "1" for b in p]) for p in pixelmark.PAYLOADS.values()]
+
+    def drawn(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for asset, text in zip(ids.to_pylist(), texts):
+            content = np.frombuffer(text.as_py(), np.uint8)
+            high, kind = max(8, -(-len(content) // (3 * ACROSS))), (asset or 0) % 5
+            if kind in (1, 2, 3):
+                picture, block = np.full((high, ACROSS, 3), 128, np.uint8), np.arange(high // 8 * (ACROSS // 8))
+                payload = payloads[kind == 2]
+                bits = payload[block % len(payload)]
+                if kind == 3 and len(content):
+                    bits ^= content[block % len(content)] < LOW
+                patches = np.where(bits, 156, 166).astype(np.uint8).reshape(-1, ACROSS // 8)
+                for y in (0, 1):
+                    for x in (2, 3):
+                        picture[y : high // 8 * 8 : 8, x::8, 2] = patches
+            else:
+                picture = np.zeros((high, ACROSS, 3), np.uint8)
                 picture.ravel()[: len(content)] = content
-                yield pa.RecordBatch.from_arrays([pa.array([asset.as_py()], pa.int64()), pa.array([samples.png_of(picture)], pa.binary())], ["asset_id", "content"])
+            out.append(samples.png_of(picture))
+        return pa.array(out, pa.binary())
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary"))
-    found = pixelmark.decisions(texts.mapInArrow(drawn, "asset_id long, content binary"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("asset_id"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+    files = docs.select("asset_id", F.arrow_udf(drawn, "binary").asNondeterministic()(F.col("asset_id"), F.col("t")).alias("content"))
+    found = pixelmark.decisions(files)
     return found.select(F.col("asset_id").alias("doc_id"), "state", "blocks", *(F.col("agreements")[n].alias(c) for n, c in (("sdxl-48", "sdxl"), ("compvis-136", "compvis"))))
 
 
@@ -238,6 +256,9 @@ _REPORTS = [
 _PUT = " ".join(f"WHEN {k} THEN {code}" for k, code in CODES.items())
 _SPANS = f"regexp_extract_all(t, '[{_SEL}]+|[{_ODD}]|[^{_SEL}{_ODD}]+')"
 
+_BITS = {"sdxl": f"{0xB3EC907BB19E:048b}", "compvis": "".join(f"{x:08b}" for x in b"StableDiffusionV1")}
+_DRAWN = lambda sql: sql.replace("{sdxl}", _BITS["sdxl"]).replace("{compvis}", _BITS["compvis"])
+
 ORACLES = {
     "container_states": f"""SELECT doc_id, format, class, honesty, state, n::BIGINT AS n FROM documents JOIN (VALUES {', '.join(map(str, _REPORTS))}) r(k, format, class, honesty, state, n) ON doc_id % 8 = k
 UNION ALL SELECT doc_id, NULL, NULL, NULL, 'unsupported_format', 0 FROM documents WHERE doc_id IS NULL""",
@@ -272,8 +293,9 @@ SELECT doc_id, NOT bad AND said = '' AS verified, CASE WHEN bad THEN 30 WHEN sai
   CASE WHEN bad THEN 'invisible Unicode can''t be read in the output' ELSE said END AS problems FROM p""",
     "plan_rows": f"""WITH t AS (SELECT unnest([{', '.join(f"{{'id': '{i}', 'name': '{n}', 'place': {o}, 'kind': '{k}', 'formats': {f}, 'targets': {c}::VARCHAR[]}}" for i, n, o, k, f, c in policy.TRANSFORMS)}]) AS t),
 x AS (SELECT unnest(t.formats) AS format, t.place AS place, t.id AS id, t.name AS name, CASE WHEN t.kind IN ('pixel', 'audio') THEN 'left as it is: no_degrade'
-  WHEN list_contains(t.targets, 'id3') THEN 'left as it is: keep id3' WHEN t.name = 'strip-xmp' THEN 'left as it is: keep Strip-XMP' END AS reason FROM t)
-SELECT format, place, id, name, reason IS NULL AS runs, reason FROM x""",
+  WHEN list_contains(t.targets, 'id3') THEN 'left as it is: keep id3' WHEN t.name = 'strip-xmp' THEN 'left as it is: keep Strip-XMP' END AS reason FROM t),
+f AS (SELECT (['png', 'riff-wav', 'webp', 'flac', 'jpeg', 'isobmff', 'mp3', 'text'])[doc_id % 8 + 1] AS format, count(*) AS files FROM documents GROUP BY 1)
+SELECT format, files, place, id, name, reason IS NULL AS runs, reason FROM x JOIN f USING (format)""",
     "picture_fidelity": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CASE WHEN doc_id % 5 = 0 THEN 128 ELSE 4 END AS step FROM documents),
 e AS (SELECT doc_id, step, greatest(8, (length(h) + 63) // 64) AS high, regexp_extract_all(h, '..') AS x FROM d),
 p AS (SELECT doc_id, step, high, unnest(range(high * 32)) AS i, unnest(list_resize(x, high * 32, '00')) AS x FROM e),
@@ -284,20 +306,25 @@ m AS (SELECT doc_id, sum(n) AS n, sum(squares) AS squares,
   avg((2 * ma * mb + 6.5025) * (2 * both_ + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))) FILTER (wy < high // 8) AS ssim FROM w GROUP BY doc_id),
 r AS (SELECT doc_id, CASE WHEN squares = 0 THEN 120.0::DOUBLE ELSE 10 * log10(65025 * n / squares) END AS psnr, ssim FROM m)
 SELECT doc_id, round(psnr, 6) AS psnr_db, round(ssim, 6) AS ssim, psnr >= 25 AND ssim >= 0.6 AS passed, CASE WHEN psnr >= 25 AND ssim >= 0.6 THEN 0 ELSE 50 END AS exit_code FROM r""",
-    "pixel_marks": """WITH e AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS x FROM documents),
+    "pixel_marks": _DRAWN("""WITH e AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS x FROM documents),
 h AS (SELECT doc_id, greatest(8, (len(x) + 95) // 96) AS high, x FROM e),
-p AS (SELECT doc_id, high, unnest(range(high * 96)) AS i, unnest(list_resize(x, high * 96, '00')) AS x FROM h),
-q AS (SELECT doc_id, any_value(high) AS high, i // 3 AS px, max(('0x' || x)::INT) FILTER (i % 3 = 0) AS r, max(('0x' || x)::INT) FILTER (i % 3 = 1) AS g,
+p AS (SELECT doc_id, high, len(x) AS n, unnest(range(high * 96)) AS i, unnest(list_resize(x, high * 96, '00')) AS x FROM h),
+q0 AS (SELECT doc_id, any_value(high) AS high, any_value(n) AS n, i // 3 AS px, max(('0x' || x)::INT) FILTER (i % 3 = 0) AS r, max(('0x' || x)::INT) FILTER (i % 3 = 1) AS g,
   max(('0x' || x)::INT) FILTER (i % 3 = 2) AS b FROM p GROUP BY ALL),
+low AS (SELECT doc_id, i AS place FROM p WHERE doc_id % 5 = 3 AND i < n AND ('0x' || x)::INT < 101),
+k AS (SELECT *, px // 32 // 8 * 4 + px % 32 // 8 AS block, px // 32 < high // 8 * 8 AND px // 32 % 8 < 2 AND px % 8 IN (2, 3) AS patch FROM q0 WHERE doc_id % 5 IN (1, 2, 3)),
+m AS (SELECT k.doc_id, high, px, 128 AS r, 128 AS g, CASE WHEN NOT patch THEN 128 WHEN (CASE WHEN k.doc_id % 5 = 2 THEN substr('{compvis}', (block % 136 + 1)::INT, 1) ELSE substr('{sdxl}', (block % 48 + 1)::INT, 1) END = '1') = (place IS NULL) THEN 156 ELSE 166 END AS b
+  FROM k LEFT JOIN low ON k.doc_id = low.doc_id AND place = block % nullif(n, 0)),
+q AS (SELECT doc_id, high, px, r, g, b FROM q0 WHERE coalesce(doc_id % 5 NOT IN (1, 2, 3), true) UNION ALL SELECT * FROM m),
 u AS (SELECT doc_id, high, px // 32 AS y, px % 32 AS x, greatest(0, least(255, ((b - ((r * 4899 + g * 9617 + b * 1868 + 8192) >> 14)) * 8061 + 2097152 + 8192) >> 14)) AS u FROM q),
 l AS (SELECT doc_id, high, y // 2 AS y, x // 2 AS x, max(u) FILTER (y % 2 = 0 AND x % 2 = 0) AS a, max(u) FILTER (y % 2 = 0 AND x % 2 = 1) AS b,
   max(u) FILTER (y % 2 = 1 AND x % 2 = 0) AS c, max(u) FILTER (y % 2 = 1 AND x % 2 = 1) AS d FROM u WHERE y < high // 8 * 8 GROUP BY ALL),
 v AS (SELECT doc_id, y // 4 * 4 + x // 4 AS num, max((d * sqrt(0.5) + b * sqrt(0.5)) * sqrt(0.5) + (c * sqrt(0.5) + a * sqrt(0.5)) * sqrt(0.5)) AS val
   FROM l WHERE y % 4 > 0 OR x % 4 > 0 GROUP BY ALL),
 t AS (SELECT doc_id, num, (val % 36 > 18)::INT AS bit FROM v),
-""" + ",\n".join(f"""{c}_b AS (SELECT doc_id, num % {len(bits)} AS k, sum(bit) * 255 > 127 * count(*) AS shown FROM t GROUP BY ALL),
+""") + ",\n".join(f"""{c}_b AS (SELECT doc_id, num % {len(bits)} AS k, sum(bit) * 255 > 127 * count(*) AS shown FROM t GROUP BY ALL),
 {c} AS (SELECT doc_id, round(({bits.count('0')} + sum(CASE WHEN NOT shown THEN 0 WHEN substr('{bits}', k::INT + 1, 1) = '1' THEN 1 ELSE -1 END)) / {len(bits)}, 3) AS {c} FROM {c}_b GROUP BY doc_id)"""
-        for c, bits in (("sdxl", f"{0xB3EC907BB19E:048b}"), ("compvis", "".join(f"{x:08b}" for x in b"StableDiffusionV1")))) + """
+        for c, bits in _BITS.items()) + """
 SELECT doc_id, CASE WHEN n >= 48 AND sdxl >= 0.8 OR n >= 136 AND compvis >= 0.8 THEN 'confirmed_present' ELSE 'confirmed_absent' END AS state, n AS blocks, sdxl, compvis
 FROM (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id) JOIN sdxl USING (doc_id) JOIN compvis USING (doc_id)""",
 }
