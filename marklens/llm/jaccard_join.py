@@ -257,16 +257,22 @@ def frequency_maps(surveyed: DataFrame, rare: int) -> tuple[np.ndarray, np.ndarr
     size = BITS // PIECES
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}  # of the few pieces of this partition
+        def ended(piece: int, counts: np.ndarray) -> pa.RecordBatch:
+            power = np.frexp(counts.astype(np.float64))[1].astype(np.uint8)  # e if 2 ** (e - 1) <= count < 2 ** e
+            return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([power.tobytes()], pa.binary()), pa.array([np.bincount(power, minlength=64).tolist()], pa.list_(pa.int64()))], ["piece", "power", "sizes"])
+
+        now, counts = None, np.zeros(size, np.int64)  # pieces come one after the other
         for b in it:
             for piece, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                mine = counts.setdefault(piece, np.zeros(size, np.int64))
-                mine += np.bincount(unpacked(content), minlength=size)
-        for piece, mine in counts.items():
-            power = np.frexp(mine.astype(np.float64))[1].astype(np.uint8)  # e if 2 ** (e - 1) <= count < 2 ** e
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([power.tobytes()], pa.binary()), pa.array([np.bincount(power, minlength=64).tolist()], pa.list_(pa.int64()))], ["piece", "power", "sizes"])
-
-    blobs = surveyed.where("piece IS NOT NULL").select("piece", "places").repartition("piece")
+                if now is not None and piece != now:
+                    yield ended(now, counts)
+                    counts[:] = 0
+                now = piece
+                counts += np.bincount(unpacked(content), minlength=size)
+        if now is not None:
+            yield ended(now, counts)
+
+    blobs = surveyed.where("piece IS NOT NULL").select("piece", "places").repartition("piece").sortWithinPartitions("piece")
     powers = common.written(blobs.mapInArrow(common.tidy(count), "piece int, power binary, sizes array<long>"))
     sizes = np.zeros(64, np.int64)
     for r in powers.select("sizes").collect():  # PIECES rows
