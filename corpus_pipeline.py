@@ -51,7 +51,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, read = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir))
+        if read is not None:  # nothing reads the stage before any more
+            common.forget(read)
+        read = docs
     return docs
