@@ -13,7 +13,8 @@ closed form: in ascending order of capacity per weight, a source is full if the
 hold without it exceeds its capacity.
 
 Defined cases: null text has size 0, the null source comes last, sources of size 0 get target 0,
-ties in the key (repeated ids) are ordered by size; an empty table gives no rows. Mixes of whole
+ties in the key (null or repeated ids) are ordered by size, and rows equal in
+source, id and size are one row of a window, taken apart after it; an empty table gives no rows. Mixes of whole
 documents tell rows apart by source, id and text, which are then the key, so that rows with null or
 repeated ids each have their own place; of rows equal in all three, as many are repeated as the mix starts.
 Very long texts count in full; further columns, whatever their names, pass through :func:`mixed_documents`.
@@ -90,8 +91,11 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.
     offset = F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     ranges = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(offset, F.lit(0)).alias("offset"))
     ranges = ranges.join(targets, F.expr("s <=> source")).drop("source")
-    inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    # equal rows count once, so that a range's window has few rows however often one is repeated
+    rows = rows.groupBy("source", "range", "key", "doc_id", "size", *["row_key"][: len(name)]).agg(F.count(F.lit(1)).alias("times"))
+    inside = F.sum(F.col("size") * F.col("times")).over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("inside", F.coalesce(inside, F.lit(0)))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).withColumn("inside", F.col("inside") + F.col("nth") * F.col("size"))
     out = rows.join(ranges, F.expr("range = r AND source <=> s"))
     start = F.col("inside") + F.col("offset")
     budget = F.floor("target")
