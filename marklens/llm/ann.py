@@ -13,7 +13,7 @@
 Nearness is Euclidean distance in double precision; the score is computed from the differences.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
-null ids, nor vectors of another length than the most frequent; rows with equal id and vector count
+null ids, nor vectors of another length than the most frequent; components may be floats, doubles or integers; rows with equal id and vector count
 once; with fewer than k candidates all are returned; an empty table gives no rows; other columns, whatever their
 names, are ignored; a vector of any length is compared whole.
 """
@@ -124,6 +124,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = SAMPLE, leaf
     """vectors: vec_id, embedding. is_query: a condition on vec_id. Returns query_id, rank, vec_id, score."""
     finite = "x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')"
     v = vectors.select(F.col("vec_id").cast("long"), "embedding").where(f"vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, {finite}) AND exists(embedding, x -> x <> 0)")
+    kind = v.schema["embedding"].dataType.simpleString()  # of whatever numbers
     lengths = v.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     out = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
@@ -145,7 +146,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = SAMPLE, leaf
         for b in it:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.assign(matrix(b.column(0), dim)))], ["vector", "cid", "leaf"])
 
-    rows = common.written(classes.select("vector", "cid").mapInArrow(deal, "vector array<float>, cid long, leaf int"))
+    rows = common.written(classes.select("vector", "cid").mapInArrow(deal, f"vector {kind}, cid long, leaf int"))
     in_leaf = {r["leaf"]: r["count"] for r in rows.groupBy("leaf").count().collect()}  # one row per leaf
 
     # how many leaves to visit
@@ -176,7 +177,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample: int = SAMPLE, leaf
                         break
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(number, pa.int64())) for c in (0, 1)), pa.array(leaves, pa.int32())], ["vector", "qid", "leaf"])
 
-    walks = common.written(asked.select("vector", "qid").mapInArrow(walk, "vector array<float>, qid long, leaf int"))
+    walks = common.written(asked.select("vector", "qid").mapInArrow(walk, f"vector {kind}, qid long, leaf int"))
     asking = {r["leaf"]: r["count"] for r in walks.groupBy("leaf").count().collect()}
     blocks = [(leaf, -(-in_leaf.get(leaf, 0) // BLOCK_ROWS), -(-asking[leaf] // BLOCK_QUERIES)) for leaf in asking if in_leaf.get(leaf)]
     sizes = v.sparkSession.createDataFrame(blocks, "leaf int, row_blocks int, query_blocks int")  # one row per leaf
