@@ -1,4 +1,4 @@
-"""Samples of single files: pixels of PNG and JPEG, sound of WAV, and how far two of a kind differ. One file's bytes in,
+"""Samples of single files: pixels of PNG and JPEG, sound of WAV and FLAC, and how far two of a kind differ. One file's bytes in,
 arrays or sums out.
 
 Pictures come in bands of lines, so memory follows their width and not their size. A file that breaks its format raises
@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from . import binary, jpeg
+from . import binary, flac, jpeg
 from .jpeg import Unread, Unreadable
 
 #: Bytes of a band of lines, about; and of compressed data that are taken in at once.
@@ -252,6 +252,15 @@ def wav_sound(content: bytes) -> Sound:
     return Sound(rate, bits, tag == FLOAT, samples.reshape(-1, channels))
 
 
+def flac_sound(content: bytes) -> Sound:
+    info, whole = flac.numbers(content)
+    return Sound(info.rate, info.depth, False, whole / 2.0 ** (info.depth - 1))
+
+
+#: Readers of sounds by format.
+SOUNDS = {"riff-wav": wav_sound, "flac": flac_sound}
+
+
 def wav_of(sound: Sound) -> bytes:
     """A WAV of 8, 16 or 24 bits, or of floats; halves round away from zero."""
     if sound.is_float:

@@ -24,22 +24,20 @@ EXIT_MALFORMED, EXIT_UNSUPPORTED, EXIT_BELOW_FLOOR = 30, 40, 50
 ROWS_AT_ONCE = 2048
 SUMS = "struct<width: int, height: int, samples: long, squares: long, windows: long, similar: double, frames: long, distance: double, problem: string>"
 _SUMS = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int64()), ("squares", pa.int64()), ("windows", pa.int64()), ("similar", pa.float64()), ("frames", pa.int64()), ("distance", pa.float64()), ("problem", pa.string())])
-#: Formats that are measured.
-SOUND = "riff-wav"
 
 
 def measured(form: str | None, before: bytes | None, after: bytes | None) -> tuple:
     """The fields of SUMS of one pair."""
     nothing = (None,) * 8
-    if form != SOUND and form not in samples.PICTURES:
+    if form not in samples.SOUNDS and form not in samples.PICTURES:
         return (*nothing, "unsupported")
     try:
-        if form != SOUND:
+        if form in samples.PICTURES:
             (height, width, one), (*size, two) = samples.PICTURES[form](before), samples.PICTURES[form](after)
             if [height, width] != size:
                 return (*nothing, "mismatch")
             return (width, height, *samples.picture_sums(one, two), None, None, None)
-        one, two = samples.wav_sound(before), samples.wav_sound(after)
+        one, two = samples.SOUNDS[form](before), samples.SOUNDS[form](after)
         if one.rate != two.rate:
             return (*nothing, "mismatch")
         return (*nothing[:6], *samples.spectral_sums(one.samples, two.samples), None)
@@ -110,7 +108,7 @@ def judged(form: Column, found: Column) -> Column:
     def verdict(m: Column) -> Column:
         unread = F.coalesce(found["problem"] == "unsupported", F.lit(False)) | F.coalesce(F.least(found["width"], found["height"]) < LEAST_EDGE, F.lit(False))
         both = m["psnr_db"].isNotNull() & m["ssim"].isNotNull()
-        passed = F.coalesce(F.when(form != SOUND, (m["psnr_db"] >= PSNR_FLOOR) & (m["ssim"] >= SSIM_FLOOR)).otherwise(m["lsd_db"].isNotNull()), F.lit(False)) & ~unread
+        passed = F.coalesce(F.when(~form.isin(*samples.SOUNDS), (m["psnr_db"] >= PSNR_FLOOR) & (m["ssim"] >= SSIM_FLOOR)).otherwise(m["lsd_db"].isNotNull()), F.lit(False)) & ~unread
         scores = F.format_string("PSNR %.2f dB, SSIM %.4f; at least %.1f dB and %.2f are asked for", m["psnr_db"], m["ssim"], F.lit(PSNR_FLOOR), F.lit(SSIM_FLOOR))
         refusal = (
             F.when(unread, "can't be measured: format or size").when(found["problem"].isNotNull(), F.concat(F.lit("not measured: "), found["problem"]))
