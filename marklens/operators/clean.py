@@ -84,7 +84,7 @@ def cleaned(
     rows = rows.withColumn("after", report.ranked(F.col("after")))
     pair = F.col("edited").isNotNull() & goes
     rows = rows.withColumn("sums", fidelity.sums(F.when(pair & (F.col("format") == F.col("output_format")), F.col("format")), F.when(pair, F.col("content")), F.when(pair, F.col("out"))))
-    rows = rows.withColumn("sanity", F.when(pair, fidelity.judged(F.col("format"), F.col("sums"))))
+    rows = rows.withColumn("sanity", F.when(pair, fidelity.judged(F.col("format"), F.col("sums"), policy.floors)))
     # the proof
     was = lambda: _in_state("before", F.col("targets"), "confirmed_present")
     still = F.transform(_in_state("after", F.col("targets"), "confirmed_present"), lambda d: d["class"])

@@ -91,7 +91,7 @@ def totals(form: Column, content: Column) -> Column:
     return F.arrow_udf(each, TOTALS).asNondeterministic()(form, content)  # said to be so that no plan runs it twice
 
 
-def judged(form: Column, found: Column) -> Column:
+def judged(form: Column, found: Column, floors: tuple[float, float] = (PSNR_FLOOR, SSIM_FLOOR)) -> Column:
     """struct<psnr_db, ssim, lsd_db, passed, refusal, exit_code> of a pair's SUMS.
 
     Pictures pass at or above both floors; one below a floor was measured and gives 50. Sounds, which have no floor, pass where
@@ -108,8 +108,8 @@ def judged(form: Column, found: Column) -> Column:
     def verdict(m: Column) -> Column:
         unread = F.coalesce(found["problem"] == "unsupported", F.lit(False)) | F.coalesce(F.least(found["width"], found["height"]) < LEAST_EDGE, F.lit(False))
         both = m["psnr_db"].isNotNull() & m["ssim"].isNotNull()
-        passed = F.coalesce(F.when(~form.isin(*samples.SOUNDS), (m["psnr_db"] >= PSNR_FLOOR) & (m["ssim"] >= SSIM_FLOOR)).otherwise(m["lsd_db"].isNotNull()), F.lit(False)) & ~unread
-        scores = F.format_string("PSNR %.2f dB, SSIM %.4f; at least %.1f dB and %.2f are asked for", m["psnr_db"], m["ssim"], F.lit(PSNR_FLOOR), F.lit(SSIM_FLOOR))
+        passed = F.coalesce(F.when(~form.isin(*samples.SOUNDS), (m["psnr_db"] >= floors[0]) & (m["ssim"] >= floors[1])).otherwise(m["lsd_db"].isNotNull()), F.lit(False)) & ~unread
+        scores = F.format_string("PSNR %.2f dB, SSIM %.4f; at least %.1f dB and %.2f are asked for", m["psnr_db"], m["ssim"], F.lit(floors[0]), F.lit(floors[1]))
         refusal = (
             F.when(unread, "can't be measured: format or size").when(found["problem"].isNotNull(), F.concat(F.lit("not measured: "), found["problem"]))
             .when(~passed, F.when(both, scores).otherwise("not measured: too short"))

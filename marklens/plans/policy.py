@@ -1,9 +1,14 @@
-"""Policies: which transforms a run plans for a format, and what is kept; from fixed rows or a TOML file."""
+"""Policies: which transforms a run plans for a format, and what is kept; from fixed rows or a TOML file.
+
+``python -m marklens.plans.policy digest|show|snapshot [--policy FILE] [--out FILE]`` prints a policy's digest, its facts as JSON,
+or all of it as a page to read.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -11,6 +16,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .classes import SUPPORTED
+
 # Id, name, order, kind, formats, classes it targets.
 IMAGES, TEXTS = ["png", "jpeg", "webp"], ["text", "svg", "html"]
 TRANSFORMS = [
@@ -56,11 +63,15 @@ class Policy:
     labels: dict[str, str] = field(default_factory=lambda: dict(LABELS))
     notes: dict[str, str] = field(default_factory=dict)
     citations: dict[str, str] = field(default_factory=dict)
+    held: list[tuple[str, str, str]] = field(default_factory=list)  # id, name, reason: transforms that are not run
+    guards: list[tuple[str, str, str]] = field(default_factory=list)  # id, name, what it says
+    allowed: list[str] = field(default_factory=list)  # what no transform takes away
+    floors: tuple[float, float] = (25.0, 0.6)  # least PSNR in dB and SSIM of a changed picture
 
     def __post_init__(self) -> None:
         """Rows that come from no file have a digest of their own, so that every report names what it was made by."""
         if self.digest is None:
-            rows = json.dumps([self.version, self.transforms, self.labels, self.notes, self.citations], sort_keys=True)
+            rows = json.dumps([self.version, self.transforms, self.labels, self.notes, self.citations, self.held, self.guards, self.allowed, self.floors], sort_keys=True)
             self.digest = f"sha256:{hashlib.sha256(rows.encode()).hexdigest()}"
 
 
@@ -80,8 +91,8 @@ def signature_list(text: str) -> list[str]:
 
 
 def load(path: str, signatures: dict[str, str] | None = None) -> Policy:
-    """A policy file: tables mark_class and transform; a key that lacks fails, and so does a degrading transform
-    without a cited effect. Targets are the fixed ones."""
+    """A policy file: tables mark_class, transform, held, guard, allowlist and sanity; a key that lacks in one that is there fails, and so
+    does a degrading transform without a cited effect. Targets are the fixed ones; without sanity, so are the floors."""
     text = Path(path).read_text()
     read = tomllib.loads(text)
     targets = {t[0]: t[5] for t in TRANSFORMS}
@@ -93,9 +104,49 @@ def load(path: str, signatures: dict[str, str] | None = None) -> Policy:
         sorted(((t["id"], t["name"], t["order"], t["kind"], t["applies"], targets.get(t["id"], [])) for t in read["transform"]), key=lambda t: t[2]),
         {m["id"]: m["label"] for m in read["mark_class"]}, {m["id"]: m["guard"] for m in read["mark_class"]},
         {m["id"]: m["citation"] for m in read["mark_class"] if m.get("citation")},
+        [(h["id"], h["name"], h["reason"]) for h in read.get("held", [])], [(g["id"], g["name"], g["guard"]) for g in read.get("guard", [])],
+        [*read.get("allowlist", {}).get("keep", [])], (float(read["sanity"]["psnr_floor_db"]), float(read["sanity"]["ssim_floor"])) if "sanity" in read else Policy.floors,
     )
 
 
+def shown(policy: Policy) -> str:
+    """A policy's facts as one JSON object."""
+    facts = {"version": policy.version, "digest": policy.digest, "supported_containers": SUPPORTED, "transforms": [t[0] for t in policy.transforms], "held": [h[0] for h in policy.held]}
+    return json.dumps(facts)
+
+
+def snapshot(policy: Policy) -> str:
+    """A policy as a page: its steps in order, mark classes, what is held, guards, and floors."""
+    rows = lambda found, lead="- ": [f"{lead}{' | '.join(str(x) for x in row if x not in (None, ''))}" for row in found]
+    parts = {
+        "Steps": rows((t[0], t[1], t[3], ", ".join(t[4])) for t in policy.transforms),
+        "Mark classes": rows((c, label, policy.notes.get(c), policy.citations.get(c)) for c, label in policy.labels.items()),
+        "Held": rows(policy.held), "Guards": rows(policy.guards), "Never taken away": rows((a,) for a in policy.allowed),
+        "Floors": rows([("PSNR in dB", policy.floors[0]), ("SSIM", policy.floors[1])]),
+    }
+    return "\n".join([f"# Policy {policy.version}", "", policy.digest or "", *(line for title, lines in parts.items() if lines for line in ("", f"## {title}", "", *lines))]) + "\n"
+
+
+def main(arguments: list[str]) -> int:
+    """See the module. 2 for wrong arguments or a place that can't be written, 30 for a policy that can't be read, else 0."""
+    options = dict(zip(arguments[1::2], arguments[2::2]))
+    made = {"digest": lambda p: f"{p.digest}\n", "show": lambda p: shown(p) + "\n", "snapshot": snapshot}.get(arguments[0] if arguments else "")
+    if made is None or len(arguments) % 2 == 0 or set(options) - {"--policy", "--out"}:
+        print("policy: digest, show or snapshot, perhaps --policy FILE and --out FILE", file=sys.stderr)
+        return 2
+    try:
+        policy = load(options["--policy"]) if "--policy" in options else Policy()
+    except (OSError, ValueError, KeyError, TypeError) as e:
+        print(f"policy: {e}", file=sys.stderr)
+        return 30
+    try:
+        Path(options["--out"]).write_text(made(policy)) if "--out" in options else sys.stdout.write(made(policy))
+    except OSError as e:
+        print(f"policy: {e}", file=sys.stderr)
+        return 2
+    return 0
+
+
 def transform_table(spark: SparkSession, policy: Policy) -> DataFrame:
     return spark.createDataFrame(policy.transforms, SCHEMA)
 
@@ -129,3 +180,7 @@ def targeted(plan: DataFrame) -> DataFrame:
     """format, targeted: the distinct classes that a format's run strips, by its order."""
     steps = F.array_sort(F.collect_list(F.struct("place", "targets")))
     return plan.where("runs").groupBy("format").agg(F.array_distinct(F.flatten(F.transform(steps, lambda s: s["targets"]))).alias("targeted"))
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))
