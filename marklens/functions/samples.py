@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from . import binary, flac, jpeg
+from . import binary, flac, jpeg, webp
 from .jpeg import Unread, Unreadable
 
 #: Bytes of a band of lines, about; and of compressed data that are taken in at once.
@@ -151,7 +151,7 @@ def as_bytes(made: np.ndarray, colour: int, depth: int, palette: list, clear: li
 
 
 #: Readers of pictures by format.
-PICTURES = {"png": png_bands, "jpeg": jpeg.bands}
+PICTURES = {"png": png_bands, "jpeg": jpeg.bands, "webp": webp.bands}
 
 
 def in_windows(bands: Iterator[np.ndarray], lines: int = 8) -> Iterator[np.ndarray]:

@@ -1,6 +1,7 @@
 """Policies, plans, reports and verification against them."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from marklens.operators import pixelmark, report
 from marklens.plans import policy
 from test_containers import FILES, jpeg, png, riff
 from test_pixelmark import as_jpeg, drawn
+from test_webp import written
 
 TEXTS = {20: "a​b".encode(), 21: b"plain", 22: ("x" + "️" * 12).encode(), 23: b"OggS....", 24: b"\xc0" * 40}
 
@@ -87,15 +89,19 @@ def test_nothing_is_shuffled_or_read_twice(spark):
         assert plan.count("ArrowEvalPython") <= 3  # walks, spans, votes: each once
 
 
+def as_webp(picture):
+    return written([[0xFF000000 | r << 16 | g << 8 | b for r, g, b in line] for line in picture.tolist()], random.Random(1), (2,))
+
+
 def test_pixel_rows(spark):
     one, two = pixelmark.PAYLOADS.values()
     wrong = drawn(one, 8, 8, wrong=range(10))
     half = as_jpeg(np.full((64, 64, 3), 120, np.uint8), [(2, 2), (1, 1), (1, 1)])
     files = {1: samples.png_of(drawn(one, 8, 8)), 2: samples.png_of(drawn(two, 12, 12)), 3: samples.png_of(drawn(one, 6, 7)), 4: samples.png_of(wrong), 5: half,
-             6: as_jpeg(drawn(one, 8, 8), [(1, 1)] * 3), 7: png(), 8: riff(b"WEBP", (b"VP8L", b"abc")), 9: b"text"}
+             6: as_jpeg(drawn(one, 8, 8), [(1, 1)] * 3), 7: png(), 8: riff(b"WEBP", (b"VP8 ", b"abc")), 9: b"text", 10: riff(b"WEBP", (b"VP8L", b"abc")), 11: as_webp(drawn(one, 8, 8))}
     rows = spark.createDataFrame([(i, bytearray(c)) for i, c in files.items()], "asset_id long, content binary")
     found = {r["asset_id"]: r for r in report.detections(rows).where("class = 'dwtdct'").collect()}
-    assert {i: r["state"] for i, r in found.items()} == {1: "confirmed_present", 2: "confirmed_present", 3: "confirmed_absent", 4: "confirmed_absent", 5: "unsupported_format", 6: "confirmed_present", 7: "malformed", 8: "unsupported_format"}
+    assert {i: r["state"] for i, r in found.items()} == {1: "confirmed_present", 2: "confirmed_present", 3: "confirmed_absent", 4: "confirmed_absent", 5: "unsupported_format", 6: "confirmed_present", 7: "malformed", 8: "unsupported_format", 10: "malformed", 11: "confirmed_present"}
     assert found[1]["honesty"] == "confirmable" and found[1]["label"] == "dwtDct pixel mark" and found[1]["evidence"][0].endswith("in 64 blocks, 0.80 are needed: found")
     made = {r["asset_id"]: r for r in report.reports(report.inspected(rows)).collect()}
     assert [f["class"] for f in made[1]["findings"]] == ["dwtdct"] and made[7]["exit_code"] == 30 and made[5]["exit_code"] == 0
