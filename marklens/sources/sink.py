@@ -78,15 +78,31 @@ class FileWriter(DataSourceWriter):
         return f"{store_of(self.folder)[1]}/.run-{self.run}"
 
     def write(self, rows: Iterator) -> Done:
+        from pyarrow import fs
         from pyspark import TaskContext
 
         task = TaskContext.get()
         store, _ = store_of(self.folder)
         store.create_dir(self.own)
         name = f"{task.partitionId()}-{task.taskAttemptId()}"
-        lines = [self.one(store, f"{self.own}/{name}", *row) for row in rows]
+        try:
+            return self.each(store, task.partitionId(), name, rows)
+        finally:  # a task that goes on after the job's end leaves nothing either
+            if isinstance(store, fs.LocalFileSystem):
+                for remove, left in ((os.remove, f"{self.own}/{name}"), (os.remove, f"{self.own}/{name}.lines"), (os.rmdir, self.own)):
+                    try:
+                        remove(left)
+                    except OSError:  # it is not there, or others still use it
+                        pass
+
+    def each(self, store, partition: int, name: str, rows: Iterator) -> Done:
+        lines = []
+        for row in rows:
+            store.create_dir(self.own)  # another task may have ended, and taken the empty folder along
+            lines.append(self.one(store, f"{self.own}/{name}", *row))
         out, place = store_of(self.outcomes)
-        put(out, f"{self.own}/{name}.lines" if self.folder.split("://")[0] == self.outcomes.split("://")[0] else f"{place}/.{name}", f"{place}/part-{task.partitionId():05d}.json", "".join(json.dumps(x) + "\n" for x in lines).encode())
+        store.create_dir(self.own)
+        put(out, f"{self.own}/{name}.lines" if self.folder.split("://")[0] == self.outcomes.split("://")[0] else f"{place}/.{name}", f"{place}/part-{partition:05d}.json", "".join(json.dumps(x) + "\n" for x in lines).encode())
         written = sum(x["outcome"] == "written" for x in lines)
         return Done(written, len(lines) - written)
 
