@@ -63,8 +63,8 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k)
 
 
-#: While a table is written: the shuffle files that made it go at once, and Arrow batches are small.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: While a table is written: the shuffle files that made it go at once, and Arrow and Parquet batches (of texts, of sets) are small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
 
 
 def written(df: DataFrame) -> DataFrame:

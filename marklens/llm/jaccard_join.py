@@ -63,8 +63,9 @@ PIECES, HOT, SPREAD, MOST_HOT = 512, 4096, 32, 2**18
 BLOCK, FANOUT, HARDLY, LEAST_BITS = 1024, 8, 0.75, 2048
 #: Bytes of text taken at once, sets remembered per task, places held back per task. No effect on results.
 AT_ONCE, REMEMBERED, HELD = 500_000, 100_000, 1_000_000
-#: Sets of a bucket, about, and least buckets. No effect on results.
-BUCKET_SETS, LEAST_BUCKETS = 4000, 8
+#: Sets of a bucket, about: a reader holds up to 4,096 rows at once, so few of them keep its memory small; least and most buckets.
+#: No effect on results.
+BUCKET_SETS, LEAST_BUCKETS, MOST_BUCKETS = 1000, 8, 50_000
 #: Most classes whose names clash: about n ** 2 / 2 ** 65 of n are expected.
 MOST_CLASHES = 100_000
 #: Fixed odd multipliers, one per word of a shingle.
@@ -588,7 +589,7 @@ def rooted_classes(docs: DataFrame, words: int, percent: int, rare: int) -> tupl
     # classes of rows with null ids alone have no document to be found by: those rows' sets are compared
     nameless = of_rows(texts_of(docs).where("doc_id IS NULL"), active.where("rep IS NULL"))
     # every step joins with the sets: buckets spare them further shuffles
-    sets = common.bucketed(of_rows(chosen, active.where("rep IS NOT NULL")).unionByName(nameless), "k", max(LEAST_BUCKETS, active.count() // BUCKET_SETS))
+    sets = common.bucketed(of_rows(chosen, active.where("rep IS NOT NULL")).unionByName(nameless), "k", min(MOST_BUCKETS, max(LEAST_BUCKETS, active.count() // BUCKET_SETS)))
     links = class_links(members, sets, percent)
     root = graph.components(links)
     out = common.written(named.join(root, F.expr("k = node"), "left_outer").select("s1", "s2", "least", F.coalesce("root", "k").alias("root")))
