@@ -13,17 +13,19 @@ lies within A', and d(A, B) >= j / |A|. So A goes to the regions of its first fl
 and to no other: two linked documents meet in a region at least once. No link is lost, no candidate
 list is cut.
 
-Recursion. Regions of a few members test all pairs. In a larger one all members are measured against one
-document; a region all of whose members then are in one component is done (groups of near copies are).
-Regions still open that share members form a group, the root cell of a recursion with documents as pivots:
+Recursion. In each region all members are measured against one document; a region all of whose members then
+are in one component is done (groups of near copies are). Of those still open, regions of a few members test
+all pairs of different components; larger ones that share members form a group, the root cell of a recursion with documents as pivots:
 a cell's members are measured against FANOUT of them, each goes to the Voronoi cell of its nearest pivot, and,
 by the triangle inequality, also to each cell whose pivot is at most 2 r further than its nearest, and to no
 other: if d(x, y) <= r and y's nearest pivot is p, then d(x, p) <= d(y, p) + r <= d(y, q) + r <= d(x, q) + 2 r for every
 pivot q. Members within r of a pivot are in its component. Cells join recursively until they are small or hold
 one component. A cell whose windows reach nearly everywhere (some child is hardly smaller) stays, and gets other
 pivots as long as these join its components. What then is left, and small cells, are compared in blocks, by signatures
-that bound the distance from below, then exactly: each member outside of a cell's largest component with all
-others. So work grows with the square only of such near copies as link with none of their cell's pivots.
+that bound the distance from below, each member outside of a cell's largest component with all others. Of the pairs that
+these leave, a forest is tested exactly, then only what lies between components that are still apart. So work grows with
+the square only of such near copies as link with none of their cell's pivots, and tested pairs of a group that links grow
+with its members.
 
 Documents with equal sets are one class from the start, named by 64 bits of a 128-bit key; classes whose names
 would clash get others. "Frequent" is counted over all documents on each one's lowest 2 r |A| shingles, by place in a
@@ -61,6 +63,8 @@ PIECES, HOT, SPREAD, MOST_HOT = 512, 4096, 32, 2**18
 #: Members of a block in which a cell is compared; pivots of a larger one; share of its members, or components, from
 #: which a cell is hardly smaller; least bits of a set's signature.
 BLOCK, FANOUT, HARDLY, LEAST_BITS = 1024, 8, 0.75, 2048
+#: Regions that may be sent to all tasks. No effect on results.
+FEW_SENT = 100_000
 #: Bytes of text taken at once, sets remembered per task, places held back per task. No effect on results.
 AT_ONCE, REMEMBERED, HELD = 500_000, 100_000, 1_000_000
 #: Sets of a bucket, about: a reader holds up to 4,096 rows at once, so few of them keep its memory small; least and most buckets.
@@ -387,41 +391,57 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sign = lambda name: sets.select(F.col("k").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"s_{name}"))
     near = pairs.select("a", "b").join(sign("b"), "b").join(sign("a"), "a").where(f"{100 + percent} * ({DIFFER}) <= {100 - percent} * (n_a + n_b)")
     near = common.written(near.select("a", "b"))
-    one, two = sets.select(F.col("k").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("k").alias("b"), F.col("shingles").alias("y"))
-    both = near.join(two, "b").join(one, "a").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
-    out = common.written(both.where(f"100 * i >= {percent} * (s - i)").select("a", "b"))
+    out = exact(near, sets, percent)
     common.forget(near)
     return out
 
 
+def exact(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, a written table: those of the pairs whose whole sets link."""
+    one, two = sets.select(F.col("k").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("k").alias("b"), F.col("shingles").alias("y"))
+    both = near.join(two, "b").join(one, "a").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
+    return common.written(both.where(f"100 * i >= {percent} * (s - i)").select("a", "b"))
+
+
 def ordered(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
 def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links between classes, enough to connect every component and none that is not exact."""
-    # per region, combined before the shuffle: how many members, and the one that the others are measured against
-    of_region = members.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("k").alias("h"), "k", "n")).alias("p"))
-    large = common.written(of_region.where(F.col("m") > SMALL).select("t", F.col("p.k").alias("pk"), F.col("p.n").alias("pn")))
-    many = common.written(members.join(common.sent_if_small(large), "t"))
-    few = members.join(common.sent_if_small(large.select("t")), "t", "left_anti")
-    pairs = few.alias("x").join(few.alias("y"), F.expr("x.t = y.t AND x.k < y.k AND " + near_size("x.n", "y.n", percent)))
-    pairs = pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
+    # per region, combined before the shuffle: how many members, and the one that the others are measured against; of two, the other one
+    row = F.struct(F.xxhash64("k").alias("h"), "k", "n")
+    of_region = members.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min(row).alias("p"), F.max(row).alias("q"))
+    of_region = common.written(of_region.where("m > 1").select("t", "m", F.col("p.k").alias("pk"), F.col("p.n").alias("pn"), F.col("q.k").alias("qk"), F.col("q.n").alias("qn")))
+    several = of_region.where("m > 2").select("t", "m", "pk", "pn")
+    many = common.written(members.join(common.sent_if_small(several, FEW_SENT), "t"))
+    twos = ordered(of_region.where("m = 2 AND pk <> qk AND " + near_size("pn", "qn", percent)), "pk", "qk")
     stars = ordered(many.where("k <> pk AND " + near_size("n", "pn", percent)), "pk", "k")
-    pairs = common.written(pairs.unionByName(stars).distinct())
+    pairs = common.written(twos.unionByName(stars).distinct())
     links = linked(pairs, sets, percent)
     root = graph.components(links)
-    named = many.join(root, F.expr("k = node"), "left_outer").select("t", "k", F.coalesce("root", "k").alias("c"))
+    named = many.join(root, F.expr("k = node"), "left_outer").select("t", "k", "n", "m", "pk", F.coalesce("root", "k").alias("c"))
     open_ = common.written(named.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("t"))
     rest = common.written(named.join(common.sent_if_small(open_), "t"))
-    common.forget(pairs, large, many, root, open_)
+    common.forget(of_region, pairs, many, root, open_)
+    # a small region that its first pair of each member has not joined: the other pairs, of different components
+    few = rest.where(f"m <= {SMALL} AND k <> pk")
+    both = few.alias("x").join(few.alias("y"), F.expr("x.t = y.t AND x.k < y.k AND x.c <> y.c AND " + near_size("x.n", "y.n", percent)))
+    pairs = common.written(both.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct())
+    if not pairs.isEmpty():
+        last = links, linked(pairs, sets, percent)
+        links = common.written(last[0].unionByName(last[1]).distinct())
+        common.forget(*last)
+    common.forget(pairs)
+    rest_, rest = rest, rest.where(f"m > {SMALL}")
     if rest.isEmpty():
+        common.forget(rest_)
         return links
     # regions that share members form a group: its pairs are then looked at once, not once per region
     group = graph.components(rest.select(F.xxhash64("t", F.lit("region")).alias("a"), F.col("k").alias("b")))
     cells = rest.select("k", "c").distinct().join(group, F.expr("k = node")).select(F.col("root").alias("cell"), "k", "c", F.lit(True).alias("home"))
     cells = common.written(cells)
-    common.forget(rest, group)
+    common.forget(rest_, group)
     more = recursive_links(cells, sets, percent)
     all_ = common.written(links.unionByName(more).distinct())
     common.forget(links, more)
@@ -441,7 +461,7 @@ def recursive_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFram
             return links
         told = live if idle is None else live.join(common.sent_if_small(idle).withColumn("stuck", F.lit(True)), "cell", "left_outer")
         flat = F.expr(f"m <= {SMALL}" + " OR stuck IS NOT NULL" * (idle is not None))
-        found = linked(compared(told.where(flat), sets, percent), sets, percent)
+        found = compared(told.where(flat), sets, percent)
         rest = common.written(told.where(~flat).select("cell", "k", "c", "home", "m", "comps", "top"))
         common.forget(live)
         cells, star, now_idle = split(rest, sets, percent)
@@ -519,10 +539,23 @@ def split(live: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, Da
     return cells, star, idle
 
 
-def compared(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of different components in a cell, one of them at home there, that signatures don't exclude.
-    The members outside of a cell's largest component meet all others, in blocks."""
-    members = common.written(live.select("cell", "k", "c", "home", "m", "top").join(sets.select("k", "n", "signature"), "k"))
+def spanning(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Of pairs of components, in their order: which join what no pair before them has joined."""
+    names, place = np.unique(np.concatenate([one, two]), return_inverse=True)
+    one, two, root, kept = place[: len(one)], place[len(one) :], np.arange(len(names)), []
+    for at in range(0, len(one), 1024):
+        x, y = one[at : at + 1024], two[at : at + 1024]
+        for i in np.flatnonzero(root[x] != root[y]).tolist():
+            if root[x[i]] != root[y[i]]:
+                root[root == root[y[i]]] = root[x[i]]
+                kept.append(at + i)
+    return np.array(kept, np.int64)
+
+
+def candidates(members: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """a, b, a written table: the pairs of different components in a cell, one of them at home there, that signatures don't exclude.
+    The members outside of a cell's largest component meet all others, in blocks. forest: of each block, nearest pairs first, only
+    those that join what no pair before them has joined, at most as many as members."""
     sizes = common.written(members.where("c <> top").groupBy("cell").agg(F.count(F.lit(1)).alias("others"), F.first("m").alias("whole")))
     sizes_ = sizes.select("cell", F.expr(f"ceil(whole / {BLOCK})").alias("blocks"), F.expr(f"ceil(others / {BLOCK})").alias("rests"))
     dealt = members.join(common.sent_if_small(sizes_), "cell")
@@ -536,7 +569,7 @@ def compared(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(one: pa.Table, two: pa.Table) -> pa.Table:
         two = two.rename_columns([c.removeprefix("other_") for c in two.column_names])
         k1, k2, c1, c2, n1, n2, h1, h2 = (t.column(c).to_numpy() for c in ("k", "c", "n", "home") for t in (one, two))
-        found = [np.empty((0, 2), np.int64)]
+        found = [np.empty((3, 0), np.int64)]
         for w1, (rows1, all1) in signatures_by_width(one).items():
             for w2, (rows2, s2) in signatures_by_width(two).items():
                 s2 = at_width(s2, min(w1, w2))
@@ -549,17 +582,46 @@ def compared(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     if may.any():
                         differ = np.bitwise_count(s1[:, None] ^ s2[None]).sum(2, dtype=np.int64)
                         i, j = np.nonzero(may & ((100 + percent) * differ <= (100 - percent) * (small + large)))
-                        found.append(np.column_stack([k1[i1[i]], k2[rows2[j]]]))
-        pairs = np.sort(np.concatenate(found), axis=1)
+                        found.append(np.array([i1[i], rows2[j], 1000 * differ[i, j] // (small + large)[i, j]]))
+        i, j, far = np.concatenate(found, axis=1)
+        if forest:
+            order = np.argsort(far, kind="stable")
+            i, j = i[order], j[order]
+            kept = spanning(c1[i], c2[j])
+            i, j = i[kept], j[kept]
+        pairs = np.sort(np.column_stack([k1[i], k2[j]]), axis=1)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     by = ["cell", "x", "y"]
     pairs = rest.groupBy(*by).cogroup(whole.groupBy(*(f"other_{c}" for c in by))).applyInArrow(compare, "a long, b long")
     pairs = common.written(pairs.distinct())
-    common.forget(members, sizes)
+    common.forget(sizes)
     return pairs
 
 
+def compared(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, a written table: links of different components of a cell, enough to connect what all its links connect.
+
+    Each block's forest of candidates is tested first. If all of it links, so does nothing else that was apart; else
+    the candidates between what is then still apart are tested as well. So a group of many links has few pairs tested."""
+    members = common.written(live.select("cell", "k", "c", "home", "m", "top").join(sets.select("k", "n", "signature"), "k"))
+    pairs = candidates(members, percent, forest=True)
+    links = exact(pairs, sets, percent)
+    if pairs.count() > links.count():
+        root = graph.components(links.unionByName(members.select(F.col("k").alias("a"), F.col("c").alias("b"))))
+        now = members.join(root, F.expr("k = node"), "left_outer").select("cell", "k", F.coalesce("root", "c").alias("c"), "home", "n", "signature")
+        sums = summed(now)
+        apart = common.written(now.join(common.sent_if_small(sums), "cell"))
+        common.forget(root, sums)
+        left = candidates(apart, percent, forest=False)
+        more = exact(left.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+        last = links, more, left, apart
+        links = common.written(links.unionByName(more))
+        common.forget(*last)
+    common.forget(members, pairs)
+    return links
+
+
 def rooted_classes(docs: DataFrame, words: int, percent: int, rare: int) -> tuple[DataFrame, DataFrame]:
     """The survey, and s1, s2, least, root: each class's least doc_id and its component."""
     surveyed = common.written(survey(docs, words, percent))

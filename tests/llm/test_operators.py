@@ -485,6 +485,26 @@ def test_jaccard_recursion_cuts_cells_and_finds_all(spark, monkeypatch):
     assert max(x for x in seen if x) < 1200  # the group was never compared as a whole
 
 
+def test_jaccard_tests_no_more_pairs_than_members_of_a_group_that_links(spark, monkeypatch):
+    """A cell in which nearly all pairs link, and small regions of such members: tested pairs follow the members."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(62) for _ in range(100)]
+    sets = {k: np.array(sorted({*base[:-3], *(rng.getrandbits(62) for _ in range(3))}), np.int64) for k in range(200)}
+    rows = [(k, len(s), s.tolist(), jaccard_join.signature(s).tolist()) for k, s in sets.items()]
+    table = spark.createDataFrame(rows, "k long, n int, shingles array<long>, signature array<long>")
+    tested = []
+    monkeypatch.setattr(jaccard_join, "exact", lambda near, *a, real=jaccard_join.exact: tested.append(near.count()) or real(near, *a))
+    live = spark.createDataFrame([(0, k, k, True, 200, 0) for k in sets], "cell long, k long, c long, home boolean, m long, top long")
+    links = jaccard_join.compared(live, table, 85)
+    assert {r["root"] for r in graph.components(links).collect()} == {0} and graph.components(links).count() == 200
+    assert sum(tested) < 200
+    tested.clear()
+    members = spark.createDataFrame([(t, k, 100) for t in range(20) for k in range(10 * t, 10 * t + 10)], "t long, k long, n int")
+    links = jaccard_join.class_links(jaccard_join.common.written(members), table, 85)
+    assert sorted(r["count"] for r in graph.components(links).groupBy("root").count().collect()) == [10] * 20
+    assert sum(tested) == 180
+
+
 def test_signatures_bound_the_difference_from_below():
     rng = np.random.default_rng(9)
     for n, more in ((200, 90), (900, 200), (1000, 30), (5000, 3)):
