@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arrow
+
 # Code point sets, the encoded forms of two words, and element patterns.
 SELECTORS = r"\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
 HYGIENE_SET = r"\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{AD}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{1680}"
@@ -91,7 +93,7 @@ def spans(text: Column) -> Column:
 
         return pa.array([one(t.as_py()) for t in texts], pa.list_(pa.struct([("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])))
 
-    return F.arrow_udf(all_of, SPANS).asNondeterministic()(bound(text, lambda t: F.when(t.rlike(f"[{SELECTORS}{HYGIENE_SET}]"), t)))  # said to be so that no plan runs it twice
+    return arrow.by_slices(all_of, SPANS)(bound(text, lambda t: F.when(t.rlike(f"[{SELECTORS}{HYGIENE_SET}]"), t)))
 
 
 def without_invisibles(text: Column) -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import manifest
+from ..functions import arrow, manifest
 from ..functions import text as T
 from . import containers
 
@@ -45,7 +45,7 @@ def stores(content: Column, form: Column) -> Column:
     # a store holds the word, as it is or as selectors (j is U+E015A): other files don't go to Python
     word = F.contains(content, F.unhex(F.lit("6A756D62")))
     maybe = word | form.isin(containers.TEXT) & content.cast("string").contains("\U000e015a\U000e0165")
-    return F.arrow_udf(each, MANIFESTS).asNondeterministic()(F.when(maybe, content), form)  # said to be so that no plan runs it twice
+    return arrow.by_slices(each, MANIFESTS)(F.when(maybe, content), form)  # said to be so that no plan runs it twice
 
 
 def manifests(assets: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import binary, mp3
+from ..functions import arrow, binary, mp3
 from ..functions import text as T
 from ..plans import classes
 
@@ -57,7 +57,7 @@ def walked(content: Column, form: Column) -> Column:
     def walk(content: pa.Array, form: pa.Array) -> pa.Array:
         return pa.array([one(f.as_py(), c.as_py()) for c, f in zip(content, form)], _WALKED)
 
-    once = F.arrow_udf(walk, WALKED).asNondeterministic()  # said to be so that no plan runs it twice
+    once = arrow.by_slices(walk, WALKED)
     return F.when(is_media(form), once(F.when(is_media(form), content), F.when(is_media(form), form)))
 
 

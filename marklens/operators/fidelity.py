@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import samples
+from ..functions import arrow, samples
 from ..functions import text as T
 
 # Value for equal pictures, floors, least edge of a picture, least frames of a sound, exit codes.
@@ -55,7 +55,7 @@ def sums(form: Column, before: Column, after: Column) -> Column:
         rows = (measured(f.as_py(), b.as_py(), a.as_py()) for f, b, a in zip(form, before, after))  # a pair at a time, in bands
         return pa.array([dict(zip(_SUMS.names, r)) for r in rows], _SUMS)
 
-    return F.arrow_udf(each, SUMS).asNondeterministic()(form, before, after)  # said to be so that no plan runs it twice
+    return arrow.by_slices(each, SUMS)(form, before, after)
 
 
 def gathered(rows: Iterator[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def totals(form: Column, content: Column) -> Column:
     def each(form: pa.Array, content: pa.Array) -> pa.Array:
         return pa.array([one(f.as_py(), c.as_py()) for f, c in zip(form, content)], _TOTALS)
 
-    return F.arrow_udf(each, TOTALS).asNondeterministic()(form, content)  # said to be so that no plan runs it twice
+    return arrow.by_slices(each, TOTALS)(form, content)
 
 
 def judged(form: Column, found: Column, floors: tuple[float, float] = (PSNR_FLOOR, SSIM_FLOOR)) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import jpeg, samples
+from ..functions import arrow, jpeg, samples
 from ..functions import text as T
 
 # Payloads, least agreement, quantization step, edge of a block, weights of luma and blue difference in 2**14ths.
@@ -75,7 +75,7 @@ def votes(content: Column, form: Column) -> Column:
         return pa.array([one(f.as_py(), c.as_py()) for c, f in zip(content, form)], _VOTES)
 
     picture = form.isin(*samples.PICTURES)
-    return F.arrow_udf(vote, VOTES).asNondeterministic()(F.when(picture, content), F.when(picture, form))  # said to be so that no plan runs it twice
+    return arrow.by_slices(vote, VOTES)(F.when(picture, content), F.when(picture, form))
 
 
 def agreement(votes: Column, i: int, payload: str) -> Column:

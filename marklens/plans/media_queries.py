@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import jpeg
+from ..functions import arrow, jpeg
 from ..functions import text as T
 from ..operators import audit, clean, fidelity, outputs, report, rewrite
 from . import policy
@@ -130,7 +130,7 @@ def jpeg_pixels(spark, sf_dir):
         return pa.array(out, pa.binary())
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
-    files = docs.select("doc_id", F.arrow_udf(drawn, "binary").asNondeterministic()(F.col("t")).alias("content"))
+    files = docs.select("doc_id", arrow.by_slices(drawn, "binary", files=True)(F.col("t")).alias("content"))
     found = files.select("doc_id", fidelity.totals(T.sniffed(F.col("content")), F.col("content")).alias("f"))
     return found.select("doc_id", "f.width", "f.height", "f.total", "f.squares", "f.problem")
 

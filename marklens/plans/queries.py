@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import samples
+from ..functions import arrow, samples
 from ..functions import text as T
 from ..operators import containers, fidelity, inspect, pixelmark, report
 from . import classes, media_queries, policy
@@ -156,7 +156,7 @@ def picture_fidelity(spark, sf_dir):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.when(F.col("doc_id") % 5 == 0, COARSE).otherwise(FINE).alias("step"))
-    pairs = texts.select("doc_id", F.arrow_udf(drawn, "struct<before: binary, after: binary>").asNondeterministic()(F.col("t"), F.col("step")).alias("p"))
+    pairs = texts.select("doc_id", arrow.by_slices(drawn, "struct<before: binary, after: binary>", files=True)(F.col("t"), F.col("step")).alias("p"))
     made = fidelity.measures(pairs.select(F.col("doc_id").alias("asset_id"), "p.before", "p.after"))
     return made.select(F.col("asset_id").alias("doc_id"), F.round("psnr_db", 6).alias("psnr_db"), F.round("ssim", 6).alias("ssim"), "passed", "exit_code")
 
@@ -188,7 +188,7 @@ def pixel_marks(spark, sf_dir):
         return pa.array(out, pa.binary())
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("asset_id"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
-    files = docs.select("asset_id", F.arrow_udf(drawn, "binary").asNondeterministic()(F.col("asset_id"), F.col("t")).alias("content"))
+    files = docs.select("asset_id", arrow.by_slices(drawn, "binary", files=True)(F.col("asset_id"), F.col("t")).alias("content"))
     found = pixelmark.decisions(files)
     return found.select(F.col("asset_id").alias("doc_id"), "state", "blocks", *(F.col("agreements")[n].alias(c) for n, c in (("sdxl-48", "sdxl"), ("compvis-136", "compvis"))))
 
