@@ -78,12 +78,14 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Like :func:`written`, but in so many buckets of a key, one row per key: joins by it shuffle their other side alone."""
+def bucketed(df: DataFrame, keys: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Like :func:`written`, but in so many buckets of a key, one row per key that is in keys (distinct ones): joins by it shuffle
+    their other side alone. Rows are dealt to buckets first, and joined where they then are, so they too are shuffled once. The join
+    is an inner one, as Spark moves a semi-join below the dealing, and then shuffles the rows for it as well."""
     spark = df.sparkSession
     path, name = scratch_dir(spark), f"marklens_{uuid.uuid4().hex}"
     with settings(spark, WRITING):
-        rows = df.repartition(buckets, key).dropDuplicates([key])
+        rows = df.repartition(buckets, key).join(keys.select(key).repartition(buckets, key), key).dropDuplicates([key])
         rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.written_to, out.table_name = path, name

@@ -647,11 +647,11 @@ def rooted_classes(docs: DataFrame, words: int, percent: int, rare: int) -> tupl
             columns = [pa.array([k for k, _ in made], pa.int64()), pa.array([len(s) for _, s in made], pa.int32()), pa.array([s for _, s in made], pa.list_(pa.int64())), pa.array([signature(s) for _, s in made], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["k", "n", "shingles", "signature"])
 
-    of_rows = lambda rows, keys: common.in_batches(rows, batches, "k long, n int, shingles array<long>, signature array<long>", AT_ONCE).join(keys.select("k"), "k", "left_semi")
     # classes of rows with null ids alone have no document to be found by: those rows' sets are compared
-    nameless = of_rows(texts_of(docs).where("doc_id IS NULL"), active.where("rep IS NULL"))
+    nameless = texts_of(docs).where("doc_id IS NULL")
+    found = common.in_batches(chosen.unionByName(nameless), batches, "k long, n int, shingles array<long>, signature array<long>", AT_ONCE)
     # every step joins with the sets: buckets spare them further shuffles
-    sets = common.bucketed(of_rows(chosen, active.where("rep IS NOT NULL")).unionByName(nameless), "k", min(MOST_BUCKETS, max(LEAST_BUCKETS, active.count() // BUCKET_SETS)))
+    sets = common.bucketed(found, active, "k", min(MOST_BUCKETS, max(LEAST_BUCKETS, active.count() // BUCKET_SETS)))
     links = class_links(members, sets, percent)
     root = graph.components(links)
     out = common.written(named.join(root, F.expr("k = node"), "left_outer").select("s1", "s2", "least", F.coalesce("root", "k").alias("root")))

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from marklens.llm import ann, bpe, exact_dedup, graph, jaccard_join, license_scan, mixing, quality, queries, secret_scan, token_count, warc
@@ -485,6 +486,23 @@ def test_jaccard_recursion_cuts_cells_and_finds_all(spark, monkeypatch):
     assert max(x for x in seen if x) < 1200  # the group was never compared as a whole
 
 
+def test_jaccard_sets_are_shuffled_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(jaccard_join, "LEAST_BUCKETS", 2)  # fewer than the shuffle's partitions
+    save = DataFrameWriter.saveAsTable
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or save(self, *a, **k))
+    texts = ["a b c d e f", "A b c d e f", "a b c d e f g", None, "nobody else has this"]
+    docs = spark.createDataFrame([(None if i == 0 else i, t) for i, t in enumerate(texts)] + [(None, "b c d e x"), (None, "b c d e y")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables over it
+    try:
+        jaccard_join.jaccard_components(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    initial = plans[0].split("== Initial Plan ==")[-1]
+    assert initial.count("Exchange hashpartitioning(k") == 2, initial  # the sets' and the keys'
+
+
 def test_jaccard_tests_no_more_pairs_than_members_of_a_group_that_links(spark, monkeypatch):
     """A cell in which nearly all pairs link, and small regions of such members: tested pairs follow the members."""
     rng = random.Random(9)
