@@ -8,7 +8,7 @@ import string
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,6 +78,15 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """Like :func:`written`; ``row_count`` of what it returns is known from the writing, so that asking for it starts no
+    job. (Each stage and each broadcast costs the driver some MB until its next garbage collection.)"""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    out.row_count = seen.get["rows"]
+    return out
+
+
 def bucketed(df: DataFrame, keys: DataFrame, key: str, buckets: int) -> DataFrame:
     """Like :func:`written`, but in so many buckets of a key, one row per key that is in keys (distinct ones): joins by it shuffle
     their other side alone. Rows are dealt to buckets first, and joined where they then are, so they too are shuffled once. The join
@@ -175,7 +184,10 @@ SENT_ROWS = 500_000
 
 def sent_if_small(keys: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     """keys (written before), marked for broadcast if it has at most so many rows; else left to a shuffle."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+    rows = vars(keys).get("row_count")
+    if rows is None:
+        rows = keys.limit(most + 1).count()
+    return F.broadcast(keys) if rows <= most else keys
 
 
 def one_each(rows: DataFrame, by: list[str], like: DataFrame, text_col: str = "text") -> DataFrame:

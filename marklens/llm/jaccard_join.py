@@ -400,7 +400,7 @@ def exact(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, a written table: those of the pairs whose whole sets link."""
     one, two = sets.select(F.col("k").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("k").alias("b"), F.col("shingles").alias("y"))
     both = near.join(two, "b").join(one, "a").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
-    return common.written(both.where(f"100 * i >= {percent} * (s - i)").select("a", "b"))
+    return common.counted(both.where(f"100 * i >= {percent} * (s - i)").select("a", "b"))
 
 
 def ordered(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -421,14 +421,14 @@ def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     links = linked(pairs, sets, percent)
     root = graph.components(links)
     named = many.join(root, F.expr("k = node"), "left_outer").select("t", "k", "n", "m", "pk", F.coalesce("root", "k").alias("c"))
-    open_ = common.written(named.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("t"))
+    open_ = common.counted(named.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("t"))
     rest = common.written(named.join(common.sent_if_small(open_), "t"))
     common.forget(of_region, pairs, many, root, open_)
     # a small region that its first pair of each member has not joined: the other pairs, of different components
     few = rest.where(f"m <= {SMALL} AND k <> pk")
     both = few.alias("x").join(few.alias("y"), F.expr("x.t = y.t AND x.k < y.k AND x.c <> y.c AND " + near_size("x.n", "y.n", percent)))
-    pairs = common.written(both.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct())
-    if not pairs.isEmpty():
+    pairs = common.counted(both.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct())
+    if pairs.row_count:
         last = links, linked(pairs, sets, percent)
         links = common.written(last[0].unionByName(last[1]).distinct())
         common.forget(*last)
@@ -454,9 +454,9 @@ def recursive_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFram
     links = common.written(cells.select(F.col("k").alias("a"), F.col("k").alias("b")).where(F.lit(False)))
     idle = None  # cells that the last pivots neither cut nor joined
     while True:
-        live = common.written(cells.join(common.sent_if_small(summed(cells)), "cell"))
+        live = common.counted(cells.join(common.sent_if_small(summed(cells)), "cell"))
         common.forget(cells)
-        if live.isEmpty():
+        if not live.row_count:
             common.forget(live)
             return links
         told = live if idle is None else live.join(common.sent_if_small(idle).withColumn("stuck", F.lit(True)), "cell", "left_outer")
@@ -477,7 +477,7 @@ def summed(cells: DataFrame) -> DataFrame:
     """cell, m, comps, top, written: members, components and the largest one of the cells that hold several."""
     sizes = cells.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.groupBy("cell").agg(F.sum("size").alias("m"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "c")).alias("top"))
-    return common.written(sizes.where("comps > 1").select("cell", "m", "comps", F.col("top.c").alias("top")))
+    return common.counted(sizes.where("comps > 1").select("cell", "m", "comps", F.col("top.c").alias("top")))
 
 
 def split(live: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -529,12 +529,12 @@ def split(live: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, Da
     widest = children.groupBy("cell").agg(F.max("size").alias("size"))
     comps = made_.groupBy("cell").agg(F.count_distinct("c").alias("now"))
     before = live.groupBy("cell").agg(F.first("m").alias("m"), F.first("comps").alias("comps"))
-    fate = common.written(before.join(widest, "cell").join(comps, "cell").select("cell", F.expr(f"size <= {HARDLY} * m").alias("cut"), F.expr(f"now > {HARDLY} * comps").alias("stuck")))
+    fate = common.counted(before.join(widest, "cell").join(comps, "cell").select("cell", F.expr(f"size <= {HARDLY} * m").alias("cut"), F.expr(f"now > {HARDLY} * comps").alias("stuck")))
     decided = made_.join(common.sent_if_small(fate), "cell")
     cut = decided.where("cut").select(F.col("child").alias("cell"), "k", "c", F.col("at_home").alias("home"))
     kept = decided.where("NOT cut").select("cell", "k", "c", "home").distinct()
     cells = common.written(cut.unionByName(kept))
-    idle = common.written(fate.where("NOT cut AND stuck").select("cell"))
+    idle = common.counted(fate.where("NOT cut AND stuck").select("cell"))
     common.forget(parts, made, joined, made_, fate)
     return cells, star, idle
 
@@ -556,9 +556,9 @@ def candidates(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     """a, b, a written table: the pairs of different components in a cell, one of them at home there, that signatures don't exclude.
     The members outside of a cell's largest component meet all others, in blocks. forest: of each block, nearest pairs first, only
     those that join what no pair before them has joined, at most as many as members."""
-    sizes = common.written(members.where("c <> top").groupBy("cell").agg(F.count(F.lit(1)).alias("others"), F.first("m").alias("whole")))
-    sizes_ = sizes.select("cell", F.expr(f"ceil(whole / {BLOCK})").alias("blocks"), F.expr(f"ceil(others / {BLOCK})").alias("rests"))
-    dealt = members.join(common.sent_if_small(sizes_), "cell")
+    sizes = common.counted(members.where("c <> top").groupBy("cell").agg(F.count(F.lit(1)).alias("others"), F.first("m").alias("whole")))
+    blocks = common.sent_if_small(sizes).select("cell", F.expr(f"ceil(whole / {BLOCK})").alias("blocks"), F.expr(f"ceil(others / {BLOCK})").alias("rests"))
+    dealt = members.join(blocks, "cell")
     block = lambda count: F.expr(f"int(pmod(xxhash64(k, 1), {count}))")
     every = lambda count: F.explode(F.expr(f"sequence(0, int({count}) - 1)"))
     columns = ["cell", "k", "c", "home", "n", "signature"]
@@ -594,7 +594,7 @@ def candidates(members: DataFrame, percent: int, forest: bool) -> DataFrame:
 
     by = ["cell", "x", "y"]
     pairs = rest.groupBy(*by).cogroup(whole.groupBy(*(f"other_{c}" for c in by))).applyInArrow(compare, "a long, b long")
-    pairs = common.written(pairs.distinct())
+    pairs = common.counted(pairs.distinct())
     common.forget(sizes)
     return pairs
 
@@ -607,7 +607,7 @@ def compared(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = common.written(live.select("cell", "k", "c", "home", "m", "top").join(sets.select("k", "n", "signature"), "k"))
     pairs = candidates(members, percent, forest=True)
     links = exact(pairs, sets, percent)
-    if pairs.count() > links.count():
+    if pairs.row_count > links.row_count:
         root = graph.components(links.unionByName(members.select(F.col("k").alias("a"), F.col("c").alias("b"))))
         now = members.join(root, F.expr("k = node"), "left_outer").select("cell", "k", F.coalesce("root", "c").alias("c"), "home", "n", "signature")
         sums = summed(now)
@@ -636,8 +636,8 @@ def rooted_classes(docs: DataFrame, words: int, percent: int, rare: int) -> tupl
         renamed = classes.sparkSession.createDataFrame([(*np.frombuffer(k, np.int64).tolist(), n) for k, n in other.items()], "s1 long, s2 long, other long")
         named = classes.join(F.broadcast(renamed), ["s1", "s2"], "left_outer").select("s1", "s2", "least", F.coalesce("other", "s1").alias("k"))  # MOST_CLASHES rows at most
     # sets of the documents that share a region with another, one document per class
-    active = common.written(named.join(members.select("k").distinct(), "k").select("k", F.col("least").alias("rep")))
-    reps = common.written(active.where("rep IS NOT NULL").select("rep"))
+    active = common.counted(named.join(members.select("k").distinct(), "k").select("k", F.col("least").alias("rep")))
+    reps = common.counted(active.where("rep IS NOT NULL").select("rep"))
     chosen = texts_of(docs).join(common.sent_if_small(reps), F.expr("doc_id = rep"), "left_semi")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -651,7 +651,7 @@ def rooted_classes(docs: DataFrame, words: int, percent: int, rare: int) -> tupl
     nameless = texts_of(docs).where("doc_id IS NULL")
     found = common.in_batches(chosen.unionByName(nameless), batches, "k long, n int, shingles array<long>, signature array<long>", AT_ONCE)
     # every step joins with the sets: buckets spare them further shuffles
-    sets = common.bucketed(found, active, "k", min(MOST_BUCKETS, max(LEAST_BUCKETS, active.count() // BUCKET_SETS)))
+    sets = common.bucketed(found, active, "k", min(MOST_BUCKETS, max(LEAST_BUCKETS, active.row_count // BUCKET_SETS)))
     links = class_links(members, sets, percent)
     root = graph.components(links)
     out = common.written(named.join(root, F.expr("k = node"), "left_outer").select("s1", "s2", "least", F.coalesce("root", "k").alias("root")))
@@ -679,12 +679,12 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     first = F.expr("doc_id <=> stays.least AND s1 = stays.s1 AND s2 = stays.s2").alias("first")
     # per id and set key: whether its rows go, or how many of them would stay; those that stay alone need no mention
     keys = found.groupBy("doc_id", "s1", "s2", first).agg(F.count(F.lit(1)).alias("rows")).where("NOT first OR rows > 1")
-    keys = common.written(keys.select("doc_id", "s1", "s2", "first")).alias("r")
+    keys = common.counted(keys.select("doc_id", "s1", "s2", "first"))
     common.forget(surveyed, named)
     keyed, s1, s2 = with_keys(docs, words)
     same = F.expr(f"CAST(l.doc_id AS BIGINT) <=> r.doc_id AND l.`{s1}` = r.s1 AND l.`{s2}` = r.s2")
-    rest = keyed.alias("l").join(common.sent_if_small(keys), same, "left_anti").select(*common.all_of(docs))
-    repeated = keys.where("first")
+    rest = keyed.alias("l").join(common.sent_if_small(keys).alias("r"), same, "left_anti").select(*common.all_of(docs))
+    repeated = keys.where("first").alias("r")
     if repeated.isEmpty():
         return rest
     some = keyed.alias("l").join(common.sent_if_small(repeated), same, "left_semi")
