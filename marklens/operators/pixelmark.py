@@ -6,7 +6,7 @@ agreement with the published payloads, decision and evidence are column expressi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,13 +58,13 @@ def voted(bands: Iterator[np.ndarray]) -> tuple[int, list[list[int]]]:
 def votes(content: Column, form: Column) -> Column:
     """VOTES of a picture, null for other formats; null blocks where it can't be read, or its form is not read here (unread)."""
 
-    def one(form: str | None, content: bytes | None) -> dict | None:
-        if form not in samples.PICTURES:
+    def one(form: str | None, content: bytes | None, opened: Callable[[], samples.Bands] | None) -> dict | None:
+        if opened is None:
             return None
         count = ones = None
         unread = False
         try:
-            count, ones = voted(samples.PICTURES[form](content)[2])  # a file at a time, in bands of lines
+            count, ones = voted(opened()[2])  # a file at a time, in bands of lines
         except samples.Unreadable:
             pass
         except samples.Unread:
@@ -72,7 +72,8 @@ def votes(content: Column, form: Column) -> Column:
         return {"blocks": count, "ones": ones, "subsampled": form == "jpeg" and bool(jpeg.subsampled(content)), "unread": unread}
 
     def vote(content: pa.Array, form: pa.Array) -> pa.Array:
-        return pa.array([one(f.as_py(), c.as_py()) for c, f in zip(content, form)], _VOTES)
+        forms, contents = form.to_pylist(), content.to_pylist()
+        return pa.array(list(map(one, forms, contents, samples.pictures(forms, contents))), _VOTES)
 
     picture = form.isin(*samples.PICTURES)
     return arrow.by_slices(vote, VOTES)(F.when(picture, content), F.when(picture, form))

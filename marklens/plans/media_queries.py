@@ -114,21 +114,22 @@ def format_audit(spark, sf_dir):
 BLOCKS, SCALE = 16, 2
 
 
-def jpeg_pixels(spark, sf_dir):
-    """Each text as a grey JPEG, eight bytes a block: its first line of coefficients. Pixels in total, decoded."""
-
-    def drawn(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts:
-            content = np.frombuffer(text.as_py(), np.uint8)
-            lines = max(1, -(-len(content) // (8 * BLOCKS)))
-            plane = np.zeros((lines, BLOCKS, 64), np.int64)
-            values = np.zeros(lines * BLOCKS * 8, np.int64)
-            values[: len(content)] = (content.astype(np.int64) - 96) * SCALE
-            plane[..., :8] = values.reshape(lines, BLOCKS, 8)
-            out.append(jpeg.of_coefficients(8 * BLOCKS, 8 * lines, [plane], [(1, 1)]))
-        return pa.array(out, pa.binary())
+def drawn(texts: pa.Array) -> pa.Array:
+    """Each text as a grey JPEG, eight bytes a block: its first line of coefficients."""
+    out = []
+    for text in texts:
+        content = np.frombuffer(text.as_py(), np.uint8)
+        lines = max(1, -(-len(content) // (8 * BLOCKS)))
+        plane = np.zeros((lines, BLOCKS, 64), np.int16)
+        values = np.zeros(lines * BLOCKS * 8, np.int64)
+        values[: len(content)] = (content.astype(np.int64) - 96) * SCALE
+        plane[..., :8] = values.reshape(lines, BLOCKS, 8)
+        out.append(jpeg.of_coefficients(8 * BLOCKS, 8 * lines, [plane], [(1, 1)]))
+    return pa.array(out, pa.binary())
+
 
+def jpeg_pixels(spark, sf_dir):
+    """Each text as a grey JPEG: its pixels in total, decoded."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
     files = docs.select("doc_id", arrow.by_slices(drawn, "binary", files=True)(F.col("t")).alias("content"))
     found = files.select("doc_id", fidelity.totals(T.sniffed(F.col("content")), F.col("content")).alias("f"))
