@@ -26,14 +26,14 @@ SUMS = "struct<width: int, height: int, samples: long, squares: long, windows: l
 _SUMS = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int64()), ("squares", pa.int64()), ("windows", pa.int64()), ("similar", pa.float64()), ("frames", pa.int64()), ("distance", pa.float64()), ("problem", pa.string())])
 
 
-def measured(form: str | None, before: bytes | None, after: bytes | None) -> tuple:
-    """The fields of SUMS of one pair."""
+def measured(form: str | None, before: bytes | None, after: bytes | None, opened: tuple[Callable[[], samples.Bands] | None, ...]) -> tuple:
+    """The fields of SUMS of one pair; opened: what gives each one's bands, if both are pictures."""
     nothing = (None,) * 8
     if form not in samples.SOUNDS and form not in samples.PICTURES:
         return (*nothing, "unsupported")
     try:
         if form in samples.PICTURES:
-            (height, width, one), (*size, two) = samples.PICTURES[form](before), samples.PICTURES[form](after)
+            (height, width, one), (*size, two) = (o() for o in opened)
             if [height, width] != size:
                 return (*nothing, "mismatch")
             return (width, height, *samples.picture_sums(one, two), None, None, None)
@@ -52,7 +52,9 @@ def sums(form: Column, before: Column, after: Column) -> Column:
     are not read here), malformed, mismatch (other size or rate), else null."""
 
     def each(form: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
-        rows = (measured(f.as_py(), b.as_py(), a.as_py()) for f, b, a in zip(form, before, after))  # a pair at a time, in bands
+        forms, ones, twos = (c.to_pylist() for c in (form, before, after))
+        pairs = zip(samples.pictures(forms, ones), samples.pictures(forms, twos))
+        rows = map(measured, forms, ones, twos, pairs)  # a pair at a time, in bands
         return pa.array([dict(zip(_SUMS.names, r)) for r in rows], _SUMS)
 
     return arrow.by_slices(each, SUMS)(form, before, after)
