@@ -71,6 +71,17 @@ def test_more_codes_than_are_read_together(monkeypatch):
         assert (np.concatenate(list(opened()[2])) == one_by_one(content)).all()
 
 
+def test_components_of_the_same_codes_come_into_step(monkeypatch):
+    """Which of a unit's blocks is read can't be told from the data if all have the same codes, and isn't asked."""
+    walked = []
+    walk = huffman.Tables.walk
+    monkeypatch.setattr(huffman.Tables, "walk", lambda self, *args: walked.append(1) or walk(self, *args))
+    planes = random_planes(np.random.default_rng(4), 700, 500, SAMPLINGS[2])
+    content = jpeg.of_coefficients(700, 500, planes, SAMPLINGS[2])
+    assert (np.concatenate(list(jpeg.bands(content)[2])) == one_by_one(content)).all()
+    assert len(walked) < len(content) * 8 / huffman.STRETCH / 2
+
+
 def test_no_function_is_called_by_block_or_code(monkeypatch):
     """Drawing and totals of jpeg_pixels: their steps follow the files and the lengths of stretches, not the blocks."""
     monkeypatch.setattr(media_queries.arrow, "by_slices", lambda each, kind, files=False: lambda *c: each)
